@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def class_rates(rows: DataFrame, label: str, codes: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -17,10 +17,11 @@ def class_rates(rows: DataFrame, label: str, codes: str, keys: Sequence[str] = (
     marker = F.array(F.lit(None).cast("string"))
     flat = rows.select(*group, F.explode(F.concat(marker, F.array_distinct(codes))).alias("code"))
     counts = flat.groupBy(*group, "code").agg(F.count(F.lit(1)).alias("hits"))
-    sizes = counts.where(F.col("code").isNull()).select(*group, F.col("hits").alias("n"))
+    # A window partition holds one class: at most the dictionary and the marker.
+    size = F.max(F.when(F.col("code").isNull(), F.col("hits"))).over(Window.partitionBy(*group))
     return (
-        counts.where(F.col("code").isNotNull())
-        .join(sizes, group)
+        counts.withColumn("n", size)
+        .where(F.col("code").isNotNull())
         .select(*group, "code", "hits", "n", (F.col("hits") / F.col("n")).alias("rate"))
     )
 

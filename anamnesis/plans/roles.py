@@ -75,6 +75,10 @@ def pairs(t: Tables) -> DataFrame:
     return symptom_rows(t).distinct()
 
 
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def r6(column: Column) -> Column:
     return F.round(column.cast("double"), 6)
 
