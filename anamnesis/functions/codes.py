@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
@@ -87,11 +87,9 @@ def multi_hot(indices: Column, width: int) -> Column:
     )
 
 
-def hot_positions(bits: Column, names: Sequence[str]) -> Column:
-    """Names of the nonzero positions of a 0/1 array."""
-    labels = F.array(*[F.lit(n) for n in names])
-    pairs = F.arrays_zip(bits.alias("bit"), labels.alias("name"))
-    return F.transform(F.filter(pairs, lambda p: p["bit"] != 0), lambda p: p["name"])
+def hot_positions(bits: Column, names: Column) -> Column:
+    """Names (an array in column order) of the nonzero positions of a 0/1 array."""
+    return F.filter(names, lambda n, i: F.get(bits, i) != 0)
 
 
 def one_hot_race(code: Column, width: int = 5) -> Column:
