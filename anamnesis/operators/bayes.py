@@ -8,7 +8,7 @@ weights, so a score is  base(class) + sum of weight(class, token) + the Gaussian
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,8 @@ class BayesModel:
     """``classes`` (label, n, base, rest), ``weights`` (label, token, w), ``gauss`` (label, feature, mean, var).
 
     ``rest`` is the weight of a dictionary token the class has no row of in ``weights``.
+    With ``keys`` the tables hold one model per key (fold, training size); a row is scored by the
+    model its own key columns name.
     """
 
     classes: DataFrame
@@ -96,6 +98,7 @@ class BayesModel:
     gauss: DataFrame
     dictionary: DataFrame
     numbers: tuple[str, ...] = ()
+    keys: tuple[str, ...] = ()
     _dense: list = field(default_factory=list, repr=False, compare=False)
 
     # -- storage ------------------------------------------------------------------------
@@ -105,14 +108,14 @@ class BayesModel:
             getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, numbers: Sequence[str] = ()) -> BayesModel:
+    def load(spark: SparkSession, path: str, numbers: Sequence[str] = (), keys: Sequence[str] = ()) -> BayesModel:
         tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("classes", "weights", "gauss", "dictionary")}
-        return BayesModel(**tables, numbers=tuple(numbers))
+        return BayesModel(**tables, numbers=tuple(numbers), keys=tuple(keys))
 
     # -- scoring ------------------------------------------------------------------------
 
     def cells(self) -> int:
-        return self.classes.count() * max(1, self.dictionary.count())
+        return self.weights.count() + self.classes.count() * max(1, self.dictionary.count())
 
     def score(self, rows: DataFrame, tokens: str, top: int = 5, label: str | None = None, key: str | None = None) -> DataFrame:
         """Add ``top``: array of (label, p) by falling p, ties by label; ``own``: p of the row's label.
@@ -126,54 +129,65 @@ class BayesModel:
             raise ValueError("a model of this size is scored by joins and needs the row key")
         return self.score_joined(rows, tokens, key, top, label)
 
-    def _matrix(self) -> dict:
+    def _matrices(self) -> dict[str, dict]:
+        """Dense form of each keyed model; only called on a checked size."""
         if self._dense:
             return self._dense[0]
-        classes = self.classes.orderBy("label").toPandas()
-        words = [r[0] for r in self.dictionary.orderBy("token").collect()]
-        labels = classes["label"].tolist()
-        at_label = {c: i for i, c in enumerate(labels)}
+        which = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys]).alias("which")
+        classes = self.classes.select(which, "label", "base", "rest").toPandas()
+        weights = self.weights.select(which, "label", "token", "w").toPandas()
+        gauss = self.gauss.select(which, "label", "feature", "mean", "var").toPandas()
+        words = sorted(r[0] for r in self.dictionary.select("token").collect())
         at_word = {w: i for i, w in enumerate(words)}
-        matrix = np.repeat(classes["rest"].to_numpy(float)[None, :], max(1, len(words)), axis=0)
-        weights = self.weights.toPandas()
-        known = weights["token"].isin(at_word)
-        weights = weights[known]
-        matrix[weights["token"].map(at_word).to_numpy(int), weights["label"].map(at_label).to_numpy(int)] = weights["w"].to_numpy(float)
-        mean, var = np.zeros((len(self.numbers), len(labels))), np.ones((len(self.numbers), len(labels)))
-        for r in self.gauss.collect():
-            if r["feature"] in self.numbers:
-                j, c = self.numbers.index(r["feature"]), at_label[r["label"]]
-                mean[j, c], var[j, c] = r["mean"], r["var"]
-        dense = {"labels": labels, "words": words, "base": classes["base"].to_numpy(float), "matrix": matrix, "mean": mean, "var": var}
+        dense = {}
+        for name, part in classes.groupby("which"):
+            part = part.sort_values("label")
+            labels = part["label"].tolist()
+            at_label = {c: i for i, c in enumerate(labels)}
+            matrix = np.repeat(part["rest"].to_numpy(float)[None, :], max(1, len(words)), axis=0)
+            w = weights[(weights["which"] == name) & weights["token"].isin(at_word)]
+            matrix[w["token"].map(at_word).to_numpy(int), w["label"].map(at_label).to_numpy(int)] = w["w"].to_numpy(float)
+            mean, var = np.zeros((len(self.numbers), len(labels))), np.ones((len(self.numbers), len(labels)))
+            for r in gauss[gauss["which"] == name].itertuples():
+                if r.feature in self.numbers:
+                    mean[self.numbers.index(r.feature), at_label[r.label]] = r.mean
+                    var[self.numbers.index(r.feature), at_label[r.label]] = r.var
+            dense[name] = {"labels": labels, "words": words, "base": part["base"].to_numpy(float), "matrix": matrix, "mean": mean, "var": var}
         self._dense.append(dense)
         return dense
 
     def _score_dense(self, rows: DataFrame, tokens: str, top: int, label: str | None) -> DataFrame:
-        model = rows.sparkSession.sparkContext.broadcast(self._matrix())
+        models = rows.sparkSession.sparkContext.broadcast(self._matrices())
 
         @F.arrow_udf("top array<struct<label:string,p:double>>, own double")
-        def score(words: pa.Array, numbers: pa.Array, own: pa.Array) -> pa.Array:
-            return _score_batch(model.value, words, numbers, own, top)
+        def score(which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array) -> pa.Array:
+            return _score_keyed(models.value, which, words, numbers, own, top)
 
+        which = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys])
         values = F.array(*[F.col(c).cast("double") for c in self.numbers]) if self.numbers else F.array().cast("array<double>")
         own = F.col(label).cast("string") if label else F.lit(None).cast("string")
-        scored = rows.withColumn("_s", score(F.array_distinct(tokens), values, own))
+        scored = rows.withColumn("_s", score(which, F.array_distinct(tokens), values, own))
         return scored.withColumns({"top": F.col("_s.top"), "own": F.col("_s.own")}).drop("_s")
 
     def joint(self, rows: DataFrame, tokens: str, key: str) -> DataFrame:
         """(key, label, s): joint log-likelihood of every class, by joins only."""
         stats = self.classes
         for j, name in enumerate(self.numbers):
-            g = self.gauss.where(F.col("feature") == name).select("label", F.col("mean").alias(f"_m{j}"), F.col("var").alias(f"_v{j}"))
-            stats = stats.join(g, "label")
-        fields = [F.struct("label", "base", "rest", *[f"_{k}{j}" for j in range(len(self.numbers)) for k in "mv"])]
-        every = stats.agg(F.collect_list(*fields)).scalar()
+            g = self.gauss.where(F.col("feature") == name).select(*self.keys, "label", F.col("mean").alias(f"_m{j}"), F.col("var").alias(f"_v{j}"))
+            stats = stats.join(g, [*self.keys, "label"])
+        fields = F.struct("label", "base", "rest", *[f"_{k}{j}" for j in range(len(self.numbers)) for k in "mv"])
+        held = rows.select(key, *self.keys, *self.numbers)
+        if self.keys:
+            held = held.join(stats.groupBy(*self.keys).agg(F.collect_list(fields).alias("_c")), list(self.keys))
+        else:
+            held = held.withColumn("_c", stats.agg(F.collect_list(fields)).scalar())
         known = self.dictionary.select("token")
-        flat = rows.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(known, "token")
-        held = flat.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
-        shift = self.weights.join(self.classes.select("label", "rest"), "label").select("label", "token", (F.col("w") - F.col("rest")).alias("d"))
-        sums = flat.join(shift, "token").groupBy(key, "label").agg(F.sum("d").alias("_d"))
-        wide = rows.select(key, *self.numbers).join(held, key, "left").select("*", F.explode(every).alias("c"))
+        flat = rows.select(key, *self.keys, F.explode(F.array_distinct(tokens)).alias("token")).join(known, "token")
+        count = flat.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
+        on = [*self.keys, "label"]
+        shift = self.weights.join(self.classes.select(*on, "rest"), on).select(*on, "token", (F.col("w") - F.col("rest")).alias("d"))
+        sums = flat.join(shift, [*self.keys, "token"]).groupBy(key, "label").agg(F.sum("d").alias("_d"))
+        wide = held.join(count, key, "left").select("*", F.explode("_c").alias("c")).drop("_c")
         wide = wide.select(key, *self.numbers, "_k", "c.*").join(sums, [key, "label"], "left")
         s = F.col("base") + F.coalesce("_k", F.lit(0)) * F.col("rest") + F.coalesce("_d", F.lit(0.0))
         for j, name in enumerate(self.numbers):
@@ -197,6 +211,20 @@ class BayesModel:
         return rows.join(tops, key)
 
 
+def _score_keyed(models: dict, which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array, top: int) -> pa.Array:
+    """Score each row of an Arrow batch with the model its key names; all models have the same classes or fewer."""
+    names = pc.unique(which).to_pylist()
+    if len(names) == 1:
+        return _score_batch(models[names[0]], words, numbers, own, top)
+    parts, places = [], []
+    for name in names:
+        at = pc.indices_nonzero(pc.equal(which, name))
+        parts.append(_score_batch(models[name], words.take(at), numbers.take(at), own.take(at), top))
+        places.append(at.to_numpy())
+    back = np.argsort(np.concatenate(places), kind="stable")
+    return pa.concat_arrays(parts).take(pa.array(back))
+
+
 def _score_batch(model: dict, words: pa.Array, numbers: pa.Array, own: pa.Array, top: int) -> pa.Array:
     """One Arrow batch: log scores as matrix sums, then the ``top`` classes of each row."""
     size, classes = len(words), len(model["labels"])
@@ -248,52 +276,69 @@ def _top_columns(scores: np.ndarray, top: int) -> np.ndarray:
 
 
 def fit_counts(
-    counts: DataFrame, stats: DataFrame | None, dictionary: DataFrame, numbers: Sequence[str] = (), spec: BayesSpec = BayesSpec()
+    counts: DataFrame,
+    stats: DataFrame | None,
+    dictionary: DataFrame,
+    numbers: Sequence[str] = (),
+    spec: BayesSpec = BayesSpec(),
+    keys: Sequence[str] = (),
 ) -> BayesModel:
-    """Model from count and moment tables; ``dictionary`` (token) is the feature set."""
+    """Model from count and moment tables; ``dictionary`` (token) is the feature set.
+
+    The counts (classes x tokens rows) are written once; all that follows works on them.
+    """
     counts = settle(counts)
-    dictionary = settle(dictionary.select("token").distinct())
+    dictionary = dictionary.select("token").distinct()
     words = dictionary.agg(F.count(F.lit(1))).scalar()
-    sizes = counts.where(F.col("token").isNull()).select("label", F.col("hits").cast("double").alias("n"))
-    seen = counts.where(F.col("token").isNotNull()).join(dictionary, "token").join(sizes, "label")
+    on = [*keys, "label"]
+    # A window partition holds one class: at most the dictionary and the marker.
+    size = F.max(F.when(F.col("token").isNull(), F.col("hits"))).over(Window.partitionBy(*on)).cast("double")
+    sized = counts.withColumn("n", size).join(dictionary.withColumn("_in", F.lit(1)), "token", "left")
+    seen = sized.where(F.col("_in").isNotNull())
     n, hits = F.col("n"), F.col("hits")
     if spec.smoothing == "clamp":
         p, unseen = F.greatest(F.lit(spec.eps), F.least(F.lit(1 - spec.eps), hits / n)), F.lit(spec.eps)
     else:
         p, unseen = (hits + spec.alpha) / (n + 2 * spec.alpha), F.lit(spec.alpha) / (n + 2 * spec.alpha)
-    weights = seen.withColumn("p", p).select("label", "token", (F.ln("p") - F.ln(1 - F.col("p"))).alias("w"), F.ln(1 - F.col("p")).alias("_q"))
-    weights = settle(weights)
-    absent = weights.groupBy("label").agg(F.sum("_q").alias("_q"), F.count(F.lit(1)).alias("_k"))
-    classes = sizes.join(absent, "label", "left").withColumn("_u", unseen).withColumn("_all", words)
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    weights = seen.withColumn("p", p).select(*on, "token", (F.ln("p") - F.ln(1 - F.col("p"))).alias("w"))
+    folded = sized.withColumn("p", F.when(F.col("_in").isNotNull(), p)).groupBy(*on).agg(
+        F.max("n").alias("n"), F.sum(F.ln(1 - F.col("p"))).alias("_q"), F.count("p").alias("_k")
+    )
+    classes = folded.withColumn("_u", unseen).withColumn("_all", words)
+    total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))
     share = F.ln(n / total) if spec.prior != "uniform" else F.lit(0.0)
     times = spec.components if spec.prior == "per_component" else 1
-    base = F.coalesce("_q", F.lit(0.0)) + (F.col("_all") - F.coalesce("_k", F.lit(0))) * F.ln(1 - F.col("_u")) + share * F.lit(float(times))
-    classes = classes.select("label", "n", base.alias("base"), (F.ln("_u") - F.ln(1 - F.col("_u"))).alias("rest"))
-    spark = counts.sparkSession
+    base = F.coalesce("_q", F.lit(0.0)) + (F.col("_all") - F.col("_k")) * F.ln(1 - F.col("_u")) + share * F.lit(float(times))
+    classes = classes.select(*on, "n", base.alias("base"), (F.ln("_u") - F.ln(1 - F.col("_u"))).alias("rest"))
     if stats is None or not numbers:
-        gauss = spark.createDataFrame([], "label string, feature string, mean double, var double")
+        gauss = classes.select(*on, F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
     else:
-        gauss = _gaussians(stats)
-    return BayesModel(settle(classes), weights.drop("_q"), settle(gauss), dictionary, tuple(numbers))
+        gauss = _gaussians(settle(stats), keys)
+    return BayesModel(classes, weights, gauss, dictionary, tuple(numbers), tuple(keys))
 
 
-def _gaussians(stats: DataFrame) -> DataFrame:
+def _gaussians(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and smoothed population variance per class: the smoothing is a share of the largest overall variance."""
-    stats = settle(stats)
     n, mean = F.col("n"), F.col("mean")
-    overall = stats.groupBy("feature").agg(
+    overall = stats.groupBy(*keys, "feature").agg(
         (F.sum(F.col("m2") + n * mean * mean) / F.sum("n") - F.pow(F.sum(n * mean) / F.sum("n"), F.lit(2))).alias("v")
     )
-    extra = overall.agg(F.max("v") * VAR_SMOOTHING).scalar()
-    return stats.select("label", "feature", "mean", (F.col("m2") / n + extra).alias("var"))
+    extra = overall.groupBy(*keys).agg((F.max("v") * VAR_SMOOTHING).alias("_x"))
+    held = stats.join(extra, list(keys)) if keys else stats.withColumn("_x", extra.scalar())
+    return held.select(*keys, "label", "feature", "mean", (F.col("m2") / n + F.col("_x")).alias("var"))
 
 
 def fit(
-    rows: DataFrame, label: str, tokens: str, dictionary: DataFrame, numbers: Sequence[str] = (), spec: BayesSpec = BayesSpec()
+    rows: DataFrame,
+    label: str,
+    tokens: str,
+    dictionary: DataFrame,
+    numbers: Sequence[str] = (),
+    spec: BayesSpec = BayesSpec(),
+    keys: Sequence[str] = (),
 ) -> BayesModel:
-    stats = moments(rows, label, numbers) if numbers else None
-    return fit_counts(token_counts(rows, label, tokens), stats, dictionary, numbers, spec)
+    stats = moments(rows, label, numbers, keys) if numbers else None
+    return fit_counts(token_counts(rows, label, tokens, keys), stats, dictionary, numbers, spec, keys)
 
 
 def fit_gaussian(rows: DataFrame, label: str, numbers: Sequence[str], prior: str = "uniform") -> BayesModel:
@@ -322,14 +367,10 @@ def fit_categorical(rows: DataFrame, label: str, tokens: str, spec: BayesSpec =
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     share = F.lit(0.0) if spec.prior == "uniform" else F.ln(n / total) * F.lit(float(spec.components if spec.prior == "per_component" else 1))
     classes = base.select("label", "n", (F.col("_b") + share).alias("base"), F.lit(0.0).alias("rest"))
-    gauss = rows.sparkSession.createDataFrame([], "label string, feature string, mean double, var double")
+    gauss = classes.select("label", F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
     return BayesModel(settle(classes), full.select("label", "token", "w"), gauss, words.select("token"))
 
 
-def without_numbers(model: BayesModel) -> BayesModel:
-    return replace(model, numbers=(), _dense=[])
-
-
 def rule_table(rows: DataFrame, label: str, codes: str) -> DataFrame:
     """(mask, rule, n): the most frequent class of every exact code set, ties by label."""
     mask = F.array_join(F.array_sort(codes), ";")
