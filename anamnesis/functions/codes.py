@@ -81,15 +81,13 @@ def bits_to_number(bits: Column) -> Column:
 
 def multi_hot(indices: Column, width: int) -> Column:
     """0/1 array of the given width; meant for narrow report edges."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.array_contains(indices, i).cast("int"),
-    )
+    return F.array(*[F.array_contains(indices, i).cast("int") for i in range(width)])
 
 
 def hot_positions(bits: Column, names: Column) -> Column:
     """Names (an array in column order) of the nonzero positions of a 0/1 array."""
-    return F.filter(names, lambda n, i: F.get(bits, i) != 0)
+    pairs = F.zip_with(bits, names, lambda b, n: F.when(b != 0, n))
+    return F.array_compact(pairs)
 
 
 def one_hot_race(code: Column, width: int = 5) -> Column:

@@ -13,14 +13,22 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def _with_each(values: Column, other: Column, fn) -> Column:
+    """``fn(value, other)`` per element.
+
+    The second value is repeated next to the array instead of being captured by the lambda, which
+    would work it out anew for every element.
+    """
+    return F.zip_with(values, F.array_repeat(other, F.size(values)), fn)
+
+
 def log_sum_exp(values: Column) -> Column:
     top = F.array_max(values)
-    return top + F.ln(array_sum(F.transform(values, lambda v: F.exp(v - top))))
+    return top + F.ln(array_sum(_with_each(values, top, lambda v, m: F.exp(v - m))))
 
 
 def softmax(values: Column) -> Column:
-    shift = log_sum_exp(values)
-    return F.transform(values, lambda v: F.exp(v - shift))
+    return _with_each(values, log_sum_exp(values), lambda v, s: F.exp(v - s))
 
 
 def odds_to_probability(odds: Column) -> Column:

@@ -67,9 +67,10 @@ def named_percentages(cell: Column) -> Column:
     entries = F.zip_with(names, F.zip_with(whole, tail, _decimal), lambda n, v: F.struct(n.alias("k"), v.alias("v")))
     # A name given twice keeps its last value.
     keys = F.array_distinct(names)
-    return F.map_from_arrays(
-        keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
+    last = F.zip_with(
+        keys, F.array_repeat(entries, F.size(keys)), lambda k, es: F.element_at(F.filter(es, lambda e: e["k"] == k), -1)["v"]
     )
+    return F.map_from_arrays(keys, last)
 
 
 def locations(cell: Column) -> Column:

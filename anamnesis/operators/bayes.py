@@ -86,9 +86,9 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``classes`` (label, n, base, rest), ``weights`` (label, token, w), ``gauss`` (label, feature, mean, var).
+    """``classes`` (label, n, base, rest, words), ``weights`` (label, token, w), ``gauss`` (label, feature, mean, var).
 
-    ``rest`` is the weight of a dictionary token the class has no row of in ``weights``.
+    ``words`` is the size of the dictionary, ``rest`` the weight of a dictionary token the class has no row of in ``weights``.
     With ``keys`` the tables hold one model per key (fold, training size); a row is scored by the
     model its own key columns name.
     """
@@ -115,7 +115,8 @@ class BayesModel:
     # -- scoring ------------------------------------------------------------------------
 
     def cells(self) -> int:
-        return self.weights.count() + self.classes.count() * max(1, self.dictionary.count())
+        """Classes x tokens over all keyed models."""
+        return self.classes.agg(F.sum(F.greatest(F.col("words"), F.lit(1)))).first()[0] or 0
 
     def score(self, rows: DataFrame, tokens: str, top: int = 5, label: str | None = None, key: str | None = None) -> DataFrame:
         """Add ``top``: array of (label, p) by falling p, ties by label; ``own``: p of the row's label.
@@ -309,7 +310,8 @@ def fit_counts(
     share = F.ln(n / total) if spec.prior != "uniform" else F.lit(0.0)
     times = spec.components if spec.prior == "per_component" else 1
     base = F.coalesce("_q", F.lit(0.0)) + (F.col("_all") - F.col("_k")) * F.ln(1 - F.col("_u")) + share * F.lit(float(times))
-    classes = classes.select(*on, "n", base.alias("base"), (F.ln("_u") - F.ln(1 - F.col("_u"))).alias("rest"))
+    rest = F.ln("_u") - F.ln(1 - F.col("_u"))
+    classes = classes.select(*on, "n", base.alias("base"), rest.alias("rest"), F.col("_all").alias("words"))
     if stats is None or not numbers:
         gauss = classes.select(*on, F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
     else:
@@ -366,7 +368,8 @@ def fit_categorical(rows: DataFrame, label: str, tokens: str, spec: BayesSpec =
     base = per_symptom.groupBy("label", "n").agg(F.sum(F.ln("_p0")).alias("_b"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     share = F.lit(0.0) if spec.prior == "uniform" else F.ln(n / total) * F.lit(float(spec.components if spec.prior == "per_component" else 1))
-    classes = base.select("label", "n", (F.col("_b") + share).alias("base"), F.lit(0.0).alias("rest"))
+    size = words.agg(F.count(F.lit(1))).scalar()
+    classes = base.select("label", "n", (F.col("_b") + share).alias("base"), F.lit(0.0).alias("rest"), size.alias("words"))
     gauss = classes.select("label", F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
     return BayesModel(settle(classes), full.select("label", "token", "w"), gauss, words.select("token"))
 
