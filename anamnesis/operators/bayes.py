@@ -55,12 +55,42 @@ def token_counts(rows: DataFrame, label: str, tokens: str, keys: Sequence[str] =
     return flat.groupBy(*keys, "label", "token").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def moments(rows: DataFrame, label: str, numbers: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., label, feature, n, mean, m2) of each numeric column."""
-    stats = [F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.var_pop(c) * F.count(c)).alias("m2")).alias(c) for c in numbers]
-    wide = rows.groupBy(*keys, F.col(label).cast("string").alias("label")).agg(*stats)
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), f"{c}.n", f"{c}.mean", f"{c}.m2") for c in numbers])
-    return wide.select(*keys, "label", F.explode(items).alias("i")).select(*keys, "label", "i.*")
+def statistics(
+    rows: DataFrame, label: str, tokens: str, numbers: Sequence[str], keys: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame | None]:
+    """Count and moment tables from one pass over the rows.
+
+    A NULL token marks the row itself; the numbers are only taken up there. The result (classes x
+    tokens rows) is written once, and both tables read it.
+    """
+    marker = F.array(F.lit(None).cast("string"))
+    flat = rows.select(
+        *keys,
+        F.col(label).cast("string").alias("label"),
+        *[F.col(c).cast("double").alias(c) for c in numbers],
+        F.explode(F.concat(marker, F.array_distinct(tokens))).alias("token"),
+    )
+    picks = []
+    for c in numbers:
+        x = F.when(F.col("token").isNull(), F.col(c))
+        picks += [F.count(x).alias(f"_n_{c}"), F.avg(x).alias(f"_m_{c}"), F.var_pop(x).alias(f"_v_{c}")]
+    sums = settle(flat.groupBy(*keys, "label", "token").agg(F.count(F.lit(1)).alias("hits"), *picks))
+    counts = sums.select(*keys, "label", "token", "hits")
+    if not numbers:
+        return counts, None
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.col(f"_n_{c}").alias("n"),
+                F.col(f"_m_{c}").alias("mean"),
+                (F.col(f"_v_{c}") * F.col(f"_n_{c}")).alias("m2"),
+            )
+            for c in numbers
+        ]
+    )
+    stats = sums.where(F.col("token").isNull()).select(*keys, "label", F.explode(items).alias("i")).select(*keys, "label", "i.*")
+    return counts, stats.where(F.col("n") > 0)
 
 
 def merge_counts(parts: Iterable[DataFrame], keys: Sequence[str] = ()) -> DataFrame:
@@ -286,9 +316,8 @@ def fit_counts(
 ) -> BayesModel:
     """Model from count and moment tables; ``dictionary`` (token) is the feature set.
 
-    The counts (classes x tokens rows) are written once; all that follows works on them.
+    Both tables have classes x tokens rows; the facts are not read again.
     """
-    counts = settle(counts)
     dictionary = dictionary.select("token").distinct()
     words = dictionary.agg(F.count(F.lit(1))).scalar()
     on = [*keys, "label"]
@@ -315,7 +344,7 @@ def fit_counts(
     if stats is None or not numbers:
         gauss = classes.select(*on, F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
     else:
-        gauss = _gaussians(settle(stats), keys)
+        gauss = _gaussians(stats, keys)
     return BayesModel(classes, weights, gauss, dictionary, tuple(numbers), tuple(keys))
 
 
@@ -339,15 +368,16 @@ def fit(
     spec: BayesSpec = BayesSpec(),
     keys: Sequence[str] = (),
 ) -> BayesModel:
-    stats = moments(rows, label, numbers, keys) if numbers else None
-    return fit_counts(token_counts(rows, label, tokens, keys), stats, dictionary, numbers, spec, keys)
+    counts, stats = statistics(rows, label, tokens, numbers, keys)
+    return fit_counts(counts, stats, dictionary, numbers, spec, keys)
 
 
 def fit_gaussian(rows: DataFrame, label: str, numbers: Sequence[str], prior: str = "uniform") -> BayesModel:
     """Gaussian part alone."""
     none = rows.sparkSession.createDataFrame([], "token string")
     empty = rows.withColumn("_none", F.array().cast("array<string>"))
-    return fit_counts(token_counts(empty, label, "_none"), moments(rows, label, numbers), none, numbers, BayesSpec(prior=prior, components=1))
+    counts, stats = statistics(empty, label, "_none", numbers)
+    return fit_counts(counts, stats, none, numbers, BayesSpec(prior=prior, components=1))
 
 
 def fit_categorical(rows: DataFrame, label: str, tokens: str, spec: BayesSpec = BayesSpec(components=1)) -> BayesModel:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bayes as N
 from .evaluation import accuracy
-from .sizes import settle
-from .splits import kfold, learning_fractions
+from .ordering import hash_rank
+from .sizes import settle, store
+from .splits import kfold
 
 
 def _other_folds(table: DataFrame, folds: int) -> DataFrame:
@@ -23,16 +24,24 @@ def _up_to_level(table: DataFrame, levels: int) -> DataFrame:
     return table.withColumnRenamed("level", "_own").withColumn("level", F.explode(F.sequence("_own", F.lit(levels - 1)))).drop("_own")
 
 
+def _dealt(rows: DataFrame, label: str, ids: Sequence[str], folds: int, fractions: Sequence[float]) -> DataFrame:
+    """Fold and level from one hash rank."""
+    ranked = hash_rank(rows, [label], 0, ids)
+    level = F.lit(None).cast("int")
+    for i in reversed(range(len(fractions))):
+        level = F.when(F.col("rn") <= F.round(F.col("n") * fractions[i]), i).otherwise(level)
+    return ranked.withColumns({"fold": ((F.col("rn") - 1) % folds).cast("int"), "level": level}).drop("rn", "n")
+
+
 def cross_validated(
     rows: DataFrame, label: str, tokens: str, ids: Sequence[str], dictionary: DataFrame, numbers: Sequence[str], folds: int, spec: N.BayesSpec
 ) -> DataFrame:
     """Rows with ``fold``, ``top`` and ``own``, each scored by the model of the other folds."""
-    dealt = kfold(rows, label, ids, folds)
-    counts = settle(N.token_counts(dealt, label, tokens, ["fold"]))
-    stats = settle(N.moments(dealt, label, numbers, ["fold"]))
-    model = N.fit_counts(
-        N.merge_counts([_other_folds(counts, folds)], ["fold"]), N.merge_moments([_other_folds(stats, folds)], ["fold"]), dictionary, numbers, spec, ["fold"]
-    )
+    dealt = store(kfold(rows, label, ids, folds))
+    counts, stats = N.statistics(dealt, label, tokens, numbers, ["fold"])
+    counts = settle(N.merge_counts([_other_folds(counts, folds)], ["fold"]))
+    stats = settle(N.merge_moments([_other_folds(stats, folds)], ["fold"]))
+    model = N.fit_counts(counts, stats, dictionary, numbers, spec, ["fold"])
     return model.score(dealt, tokens, 5, label, ids[0])
 
 
@@ -52,16 +61,15 @@ def learning_curve(
     Facts are counted once per (fold, level); the models of the whole grid are sums of those
     counts, and each test row is scored by the models of its fold.
     """
-    dealt = learning_fractions(kfold(rows, label, ids, folds), label, ids, fractions)
-    counts = settle(N.token_counts(dealt, label, tokens, ["fold", "level"]))
-    stats = settle(N.moments(dealt, label, numbers, ["fold", "level"]))
+    dealt = store(_dealt(rows, label, ids, folds, fractions))
+    counts, stats = N.statistics(dealt, label, tokens, numbers, ["fold", "level"])
 
     def grid(table: DataFrame) -> DataFrame:
         return _up_to_level(_other_folds(table, folds), len(fractions))
 
-    model = N.fit_counts(
-        N.merge_counts([grid(counts)], ["fold", "level"]), N.merge_moments([grid(stats)], ["fold", "level"]), dictionary, numbers, spec, ["fold", "level"]
-    )
+    keys = ["fold", "level"]
+    counts, stats = settle(N.merge_counts([grid(counts)], keys)), settle(N.merge_moments([grid(stats)], keys))
+    model = N.fit_counts(counts, stats, dictionary, numbers, spec, keys)
     tests = dealt.drop("level").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(fractions) - 1))))
     tests = tests.withColumn("_test", F.concat_ws("-", *[F.col(i).cast("string") for i in ids], "level"))
     scored = model.score(tests, tokens, 5, label, "_test")

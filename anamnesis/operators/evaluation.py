@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import running_sum, value_buckets
+from .sizes import store
 
 
 def predicted() -> Column:
@@ -63,12 +64,13 @@ def averaged_scores(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def auc_one_vs_rest(scored: DataFrame, label: str) -> DataFrame:
     """(cand, positives, auc): rank-sum area per class, ties counted half.
 
-    ``top`` must hold all classes. Rows are first counted per class and distinct score, so the
-    running sum sees each score once.
+    ``top`` must hold all classes. Rows are first counted per class and distinct score; that table
+    is written once, and the running sum sees each score once.
     """
     flat = scored.select(F.col(label).alias("_l"), F.explode("top").alias("t")).select("_l", F.col("t.label").alias("cand"), F.col("t.p").alias("p"))
     hit = (F.col("_l") == F.col("cand")).cast("bigint")
-    counts = value_buckets(flat, "p").groupBy("cand", "_bucket", "p").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+    counts = store(flat.groupBy("cand", "p").agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")), "scores")
+    counts = value_buckets(counts, "p")
     below = running_sum(counts, ["cand"], ["p"], "_bucket", F.col("neg"), "below", "negatives")
     sums = below.groupBy("cand").agg(
         F.sum("pos").alias("positives"),
@@ -82,8 +84,9 @@ def auc_pairs(scored: DataFrame, label: str) -> DataFrame:
     """(a, b, auc): for a < b the mean of the areas of a against b and b against a, each on the rows of the two classes."""
     flat = scored.select(F.col(label).alias("_l"), F.explode("top").alias("t")).select("_l", F.col("t.label").alias("cand"), F.col("t.p").alias("p"))
     # Counts per (class, distinct score, true class): the own rows are positive against every other class.
-    counts = value_buckets(flat, "p").groupBy("cand", "_bucket", "p", "_l").agg(F.count(F.lit(1)).alias("n"))
-    classes = flat.agg(F.collect_set("_l").alias("c")).scalar()
+    counts = store(flat.groupBy("cand", "p", "_l").agg(F.count(F.lit(1)).alias("n")), "scores")
+    classes = counts.agg(F.collect_set("_l").alias("c")).scalar()
+    counts = value_buckets(counts, "p")
     rivals = F.when(F.col("_l") == F.col("cand"), F.array_except("_c", F.array("cand"))).otherwise(F.array("_l"))
     spread = counts.withColumn("_c", classes).withColumn("rival", F.explode(rivals))
     own = F.col("_l") == F.col("cand")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.codes import lookup
 from ..functions.text import hash_key, percent_max, slugify, symptom_key
 from ..session import ensure_checkpoints
+from .sizes import settle, small_side
 
 # Order and neutral value of the four coded attributes, and the fill-in percentages.
 ATTRIBUTES = ["nature", "vas", "duration", "location"]
@@ -211,23 +212,39 @@ def combination_codes(values: DataFrame) -> DataFrame:
     return out.select("symptom", F.concat_ws(";", *[f"_v_{a}" for a in ATTRIBUTES]).alias("combo"), (code + 1).alias("code"))
 
 
+def attribute_places(values: DataFrame, reductions: DataFrame | None = None) -> DataFrame:
+    """(symptom, attribute, value, place): position of every value in its list, replaced values at the place of their replacement."""
+    places = values.select("symptom", "attribute", F.posexplode("values").alias("place", "value"))
+    if reductions is None:
+        return places
+    moved = reductions.join(places.withColumnRenamed("value", "reduced").withColumnRenamed("place", "_to"), ["symptom", "reduced"])
+    moved = moved.select("symptom", "attribute", "value", "_to")
+    both = places.join(moved, ["symptom", "attribute", "value"], "full")
+    return both.select("symptom", "attribute", "value", F.coalesce("_to", "place").alias("place"))
+
+
 def encode_attributes(rows: DataFrame, values: DataFrame, key: str, order: str, reductions: DataFrame | None = None) -> DataFrame:
     """One ``code`` per record and symptom from its attribute rows; the last value in order wins.
 
-    ``rows`` holds (key, symptom, attribute, value, order), ``reductions`` (symptom, value,
-    reduced). Only one row per record and symptom reaches the dictionary join.
+    ``rows`` holds (key, symptom, attribute, value, order) with a numeric order, ``reductions``
+    (symptom, value, reduced). Values become list positions before the fold, which then keeps
+    only numbers per record and symptom and can hash-aggregate on the map side.
     """
-    if reductions is not None:
-        rows = rows.join(reductions, ["symptom", "value"], "left").withColumn("value", F.coalesce("reduced", "value"))
-    picked = rows.groupBy(key, "symptom").agg(
-        *[F.max_by("value", F.when(F.col("attribute") == a, F.col(order))).alias(a) for a in ATTRIBUTES]
+    values = settle(values)
+    places = settle(attribute_places(values, reductions))
+    placed = rows.join(small_side(places), ["symptom", "attribute", "value"])
+    picked = placed.groupBy(key, "symptom").agg(
+        *[F.max_by("place", F.when(F.col("attribute") == a, F.col(order))).alias(a) for a in ATTRIBUTES]
+    )
+    neutral = F.array_position("values", NEUTRAL) - 1
+    shape = values.withColumn("_z", neutral).groupBy("symptom").agg(
+        *[F.max(F.when(F.col("attribute") == a, F.size("values"))).alias(f"_k_{a}") for a in ATTRIBUTES],
+        *[F.max(F.when(F.col("attribute") == a, F.col("_z"))).alias(f"_z_{a}") for a in ATTRIBUTES],
     )
-    lists = values.groupBy("symptom").agg(*[F.max(F.when(F.col("attribute") == a, F.col("values"))).alias(f"_l_{a}") for a in ATTRIBUTES])
-    joined = picked.join(lists, "symptom", "left")
+    joined = picked.join(small_side(settle(shape)), "symptom")
     code: Column = F.lit(0)
     for a in ATTRIBUTES:
-        place = F.array_position(f"_l_{a}", F.coalesce(F.col(a), F.lit(NEUTRAL)))
-        code = code * F.size(f"_l_{a}") + F.when(place > 0, place - 1)
+        code = code * F.col(f"_k_{a}") + F.coalesce(a, f"_z_{a}")
     return joined.select(key, "symptom", (code + 1).cast("bigint").alias("code"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ensure_checkpoints
+from ..session import ensure_checkpoints, scratch_path
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -19,6 +19,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table that several passes need to a Parquet folder under the shared one, and read it from there.
+
+    For design rows and other joins of the facts: one write saves the later passes the shuffles,
+    and they read only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(settled: DataFrame, cell_bytes: int = 64, array_column: str | None = None) -> DataFrame:
     """Mark a settled table for broadcast where its counted size is under BROADCAST_BYTES.
 

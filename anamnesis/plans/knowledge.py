@@ -168,7 +168,7 @@ def j7(t: Tables) -> DataFrame:
 
 
 def attribute_rows(t: Tables) -> DataFrame:
-    """(row_id, symptom, attribute, value, place): four attribute reports per symptom row."""
+    """(row_id, symptom, attribute, value, seq): four attribute reports per symptom row."""
     facts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     reports = F.create_map(
         F.lit("nature"), F.col("l_returnflag"),
@@ -179,7 +179,7 @@ def attribute_rows(t: Tables) -> DataFrame:
     return facts.select(
         F.col("l_orderkey").alias("row_id"),
         F.col("p_brand").alias("symptom"),
-        F.struct("l_linenumber", "l_extendedprice").alias("place"),
+        (F.col("l_linenumber") * 1e9 + F.col("l_extendedprice")).alias("seq"),
         F.explode(reports).alias("attribute", "value"),
     )
 
@@ -228,7 +228,7 @@ c AS (SELECT row_id, p.symptom, (((list_position(n, n0) - 1) * len(i) + list_pos
 
 def coded_rows(t: Tables) -> DataFrame:
     rows = attribute_rows(t)
-    return J.encode_attributes(rows, J.attribute_values(rows), "row_id", "place", reductions(t))
+    return J.encode_attributes(rows, J.attribute_values(rows), "row_id", "seq", reductions(t))
 
 
 @query("j11_attribute_records", f"{CODED} SELECT row_id, symptom, CAST(code AS BIGINT) AS code FROM c")
@@ -328,7 +328,7 @@ SELECT row_id, symptom, CAST((n0 <> 'N') + (i0 <> 'O') + (d0 <> '1') + (l0 <> 'S
 )
 def j18(t: Tables) -> DataFrame:
     picked = attribute_rows(t).groupBy("row_id", "symptom").agg(
-        *[F.max_by("value", F.when(F.col("attribute") == a, F.col("place"))).alias(a) for a in J.ATTRIBUTES]
+        *[F.max_by("value", F.when(F.col("attribute") == a, F.col("seq"))).alias(a) for a in J.ATTRIBUTES]
     )
     combo = F.concat_ws(";", *J.ATTRIBUTES)
     return picked.select("row_id", "symptom", M.mismatches(F.split(combo, ";"), F.split(F.lit("N;O;1;SMALL"), ";")).alias("distance"))

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bayes as N
 from ..operators import ensembles as E
+from ..operators.sizes import store
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
 
 
 def training(t: Tables, label: str = "nation") -> DataFrame:
-    """Records with their label and tokens (codes and gender)."""
+    """Records with their label and tokens (codes and gender), joined once for fit and scores."""
     tokens = N.bernoulli_tokens("codes", {"gender": F.col("gender") == 1})
     rows = S.records(t).withColumn("label", F.col(label).cast("string"))
-    return rows.withColumn("tokens", tokens)
+    return store(rows.withColumn("tokens", tokens), "records")
 
 
 def feature_set(t: Tables) -> DataFrame:
@@ -129,8 +130,8 @@ def m8(t: Tables) -> DataFrame:
     """Three batches are counted apart and merged; the model equals that of all rows at once."""
     rows = training(t)
     batches = [rows.where(F.col("source") == s) for s in ("F", "O", "P")]
-    counts = N.merge_counts([N.token_counts(b, "label", "tokens") for b in batches])
-    stats = N.merge_moments([N.moments(b, "label", ["age"]) for b in batches])
+    parts = [N.statistics(b, "label", "tokens", ["age"]) for b in batches]
+    counts, stats = N.merge_counts([c for c, _ in parts]), N.merge_moments([s for _, s in parts])
     return best(N.fit_counts(counts, stats, feature_set(t), ["age"]).score(rows, "tokens", 1))
 
 

@@ -16,6 +16,7 @@ from ..functions.codes import RACE_CODES, race_code
 from ..functions.text import code_list
 from ..operators import bayes as N
 from ..operators.evaluation import predicted
+from ..operators.sizes import settle
 from ..session import scratch_path
 
 
@@ -35,14 +36,15 @@ def fit_stream(stream: DataFrame, label: str, tokens: str, numbers: Sequence[str
     """Count and moment tables of all records of a stream, kept under ``path``."""
 
     def each(batch: DataFrame, number: int) -> None:
-        N.token_counts(batch, label, tokens).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
-        N.moments(batch, label, numbers).coalesce(1).write.mode("overwrite").parquet(f"{path}/moments/batch={number}")
+        counts, stats = N.statistics(batch, label, tokens, numbers)
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/moments/batch={number}")
 
     run_batches(stream, each, checkpoint)
     spark = stream.sparkSession
     counts = spark.read.parquet(f"{path}/counts").drop("batch")
     stats = spark.read.parquet(f"{path}/moments").drop("batch")
-    return N.merge_counts([counts]), N.merge_moments([stats])
+    return settle(N.merge_counts([counts])), settle(N.merge_moments([stats]))
 
 
 def validate_stream(
