@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordering import exact_quantiles
+from .sizes import settle, small_side
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -31,8 +32,7 @@ def box_stats(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
     picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"))]
     box = q.groupBy(*group).agg(*picks)
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    # One row per group; Spark broadcasts it only where it is under its threshold.
-    joined = df.join(box, list(group))
+    joined = df.join(small_side(settle(box)), list(group))
     inside = (F.col(column) >= F.col("q1") - reach) & (F.col(column) <= F.col("q3") + reach)
     return joined.groupBy(*group).agg(
         *[F.max(c).alias(c) for c in ("q1", "med", "q3")],

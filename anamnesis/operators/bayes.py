@@ -24,7 +24,7 @@ VAR_SMOOTHING = 1e-9
 
 # A model with more cells than this (classes x tokens, 8 bytes each) is not sent to the executors;
 # rows are scored by joins instead.
-DENSE_CELLS = 16_000_000
+DENSE_CELLS = 4_000_000
 ROW_CHUNK = 1024
 
 
@@ -161,29 +161,49 @@ class BayesModel:
         return self.score_joined(rows, tokens, key, top, label)
 
     def _matrices(self) -> dict[str, dict]:
-        """Dense form of each keyed model; only called on a checked size."""
+        """Dense form of each keyed model; only called on a checked size. One job brings all tables."""
         if self._dense:
             return self._dense[0]
         which = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys]).alias("which")
-        classes = self.classes.select(which, "label", "base", "rest").toPandas()
-        weights = self.weights.select(which, "label", "token", "w").toPandas()
-        gauss = self.gauss.select(which, "label", "feature", "mean", "var").toPandas()
-        words = sorted(r[0] for r in self.dictionary.select("token").collect())
-        at_word = {w: i for i, w in enumerate(words)}
+
+        def part(kind: str, table: DataFrame, label, name, x, y) -> DataFrame:
+            columns = [F.lit(kind).alias("kind"), which if kind != "word" else F.lit("").alias("which")]
+            for alias, value, cast in (("label", label, "string"), ("name", name, "string"), ("x", x, "double"), ("y", y, "double")):
+                columns.append((F.col(value) if value else F.lit(None)).cast(cast).alias(alias))
+            return table.select(*columns)
+
+        parts = [
+            part("class", self.classes, "label", None, "base", "rest"),
+            part("weight", self.weights, "label", "token", "w", None),
+            part("gauss", self.gauss, "label", "feature", "mean", "var"),
+            part("word", self.dictionary, None, "token", None, None),
+        ]
+        table = _union(parts).toArrow()
+
+        def rows(kind: str, name: str | None = None) -> pa.Table:
+            mask = pc.equal(table["kind"], kind)
+            return table.filter(mask if name is None else pc.and_(mask, pc.equal(table["which"], name)))
+
+        words = sorted(rows("word")["name"].to_pylist())
+        word_set = pa.array(words, pa.string())
         dense = {}
-        for name, part in classes.groupby("which"):
-            part = part.sort_values("label")
-            labels = part["label"].tolist()
-            at_label = {c: i for i, c in enumerate(labels)}
-            matrix = np.repeat(part["rest"].to_numpy(float)[None, :], max(1, len(words)), axis=0)
-            w = weights[(weights["which"] == name) & weights["token"].isin(at_word)]
-            matrix[w["token"].map(at_word).to_numpy(int), w["label"].map(at_label).to_numpy(int)] = w["w"].to_numpy(float)
+        for name in pc.unique(rows("class")["which"]).to_pylist():
+            classes = rows("class", name).sort_by("label")
+            labels = classes["label"].to_pylist()
+            label_set = pa.array(labels, pa.string())
+            matrix = np.repeat(classes["y"].to_numpy()[None, :], max(1, len(words)), axis=0)
+            weights = rows("weight", name)
+            token = pc.index_in(weights["name"], value_set=word_set).fill_null(-1).to_numpy()
+            owner = pc.index_in(weights["label"], value_set=label_set).to_numpy()
+            known = token >= 0
+            matrix[token[known], owner[known]] = weights["x"].to_numpy()[known]
             mean, var = np.zeros((len(self.numbers), len(labels))), np.ones((len(self.numbers), len(labels)))
-            for r in gauss[gauss["which"] == name].itertuples():
-                if r.feature in self.numbers:
-                    mean[self.numbers.index(r.feature), at_label[r.label]] = r.mean
-                    var[self.numbers.index(r.feature), at_label[r.label]] = r.var
-            dense[name] = {"labels": labels, "words": words, "base": part["base"].to_numpy(float), "matrix": matrix, "mean": mean, "var": var}
+            for j, number in enumerate(self.numbers):
+                stats = rows("gauss", name)
+                stats = stats.filter(pc.equal(stats["name"], number))
+                at = pc.index_in(stats["label"], value_set=label_set).to_numpy()
+                mean[j, at], var[j, at] = stats["x"].to_numpy(), stats["y"].to_numpy()
+            dense[name] = {"labels": labels, "words": words, "base": classes["x"].to_numpy(), "matrix": matrix, "mean": mean, "var": var}
         self._dense.append(dense)
         return dense
 

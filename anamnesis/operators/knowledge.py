@@ -273,7 +273,8 @@ def fill_values(given: DataFrame, allowed: DataFrame, other: bool) -> DataFrame:
     with ``other`` such a pair gets 90 % for ``other``. ``allowed`` holds (symptom, value).
     """
     sets = allowed.groupBy("symptom").agg(F.collect_set("value").alias("_all"))
-    folded = given.groupBy("condition", "symptom").agg(
+    once = given.groupBy("condition", "symptom", "value").agg(F.max("pct").alias("pct"))
+    folded = once.groupBy("condition", "symptom").agg(
         F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "pct"))))).alias("_m")
     )
     start = F.col("_m")
@@ -295,8 +296,8 @@ def location_family(locations: DataFrame, parts: DataFrame) -> DataFrame:
     """
     members = parts.select("main", "part").unionByName(parts.select("main", F.col("main").alias("part"))).distinct()
     families = members.groupBy("main").agg(F.collect_set("part").alias("_f"))
-    homes = members.groupBy("part").agg(F.min("main").alias("main"))
-    joined = locations.join(homes, F.col("location") == F.col("part"), "left").join(families, "main", "left")
+    homes = settle(members.groupBy("part").agg(F.min("main").alias("main")).join(families, "main"))
+    joined = locations.distinct().join(small_side(homes, 1024), F.col("location") == F.col("part"), "left")
     return joined.select("id", F.explode(F.coalesce("_f", F.array("location"))).alias("location")).distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import codes as C
 from ..operators import ensembles as E
 from ..operators import features as L
+from ..operators.sizes import store
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -45,7 +46,9 @@ HOT = f"""UNION ALL SELECT row_id, 1, 1.0 FROM rec WHERE gender = 1 UNION ALL SE
 SELECT row_id, 0::BIGINT AS idx, round(z, 6) AS value FROM a WHERE z <> 0 {HOT}""",
 )
 def l2(t: Tables) -> DataFrame:
-    return flat(L.one_hot_rows(base_rows(t), words(t), True))
+    # Read twice: for mean and deviation of the age, and for the vectors.
+    rows = store(base_rows(t), "records")
+    return flat(L.one_hot_rows(rows, words(t), True))
 
 
 @query("l3_one_hot_raw_age", f"{S.BASE} SELECT row_id, 0::BIGINT AS idx, age::DOUBLE AS value FROM rec WHERE age <> 0 {HOT}")
@@ -119,5 +122,5 @@ def l10(t: Tables) -> DataFrame:
 
 @query("l11_layout_check", f"{S.BASE} SELECT 0::BIGINT AS gender, 0::BIGINT AS age, 0::BIGINT AS race, 0::BIGINT AS codes, count(*) AS rows FROM rec")
 def l11(t: Tables) -> DataFrame:
-    rows, names = base_rows(t), words(t)
+    rows, names = store(base_rows(t), "records"), words(t)
     return L.layout_differences(L.sparse_rows(rows, names), L.one_hot_rows(rows, names, False), "row_id", len(names))

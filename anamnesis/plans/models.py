@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bayes as N
 from ..operators import ensembles as E
-from ..operators.sizes import store
+from ..operators.sizes import settle, small_side, store
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -176,9 +176,9 @@ rule AS (SELECT mask, label AS pred FROM c QUALIFY row_number() OVER (PARTITION
 SELECT row_id, label, pred FROM rec JOIN rule ON array_to_string(codes, ';') = mask WHERE len(codes) > 0""",
 )
 def m13(t: Tables) -> DataFrame:
-    rows = S.reported(t)
-    rules = N.rule_table(rows, "label", "codes").select("mask", F.col("rule").alias("pred"))
-    return rows.withColumn("mask", F.array_join("codes", ";")).join(rules, "mask").select("row_id", "label", "pred")
+    rows = store(S.reported(t).select("row_id", "label", "codes"), "records")
+    rules = settle(N.rule_table(rows, "label", "codes").select("mask", F.col("rule").alias("pred")))
+    return rows.withColumn("mask", F.array_join("codes", ";")).join(small_side(rules, 256), "mask").select("row_id", "label", "pred")
 
 
 @query("m14_feature_importance")

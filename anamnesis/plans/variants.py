@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import rates as B
 from ..operators import variants as V
+from ..operators.sizes import store
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -85,8 +86,9 @@ SELECT row_id, string_agg(code, ';' ORDER BY code) AS codes FROM r WHERE place <
 
 
 def _resampled(t: Tables, weighted: bool) -> DataFrame:
-    rates = B.class_rates(S.records(t), "label", "codes").select("label", "code", F.col("hits").cast("double").alias("weight"))
-    out = V.resample(S.reported(t), rates, "row_id", "label", "codes", 9, weighted)
+    rows = store(S.reported(t).select("row_id", "label", "codes"), "records")
+    rates = B.class_rates(rows, "label", "codes").select("label", "code", F.col("hits").cast("double").alias("weight"))
+    out = V.resample(rows, rates, "row_id", "label", "codes", 9, weighted)
     return out.select("row_id", F.array_join("codes", ";").alias("codes"))
 
 
