@@ -29,10 +29,11 @@ def fold_by_key(
     add: Callable[[Any, Any], Any],
     merge: Callable[[Any, Any], Any],
     schema: str,
+    open_keys: int = PARTIAL_KEYS,
 ) -> DataFrame:
     """Fold the values of each key with ``add`` inside partitions, then ``merge`` the partial results.
 
-    For folds no built-in aggregate expresses. A partition keeps at most PARTIAL_KEYS open keys
+    For folds no built-in aggregate expresses. A partition keeps about ``open_keys`` open keys
     and passes on what it has when there are more, so a key reaches the merge as a few partial
     results per partition, whatever its number of rows. ``schema`` names the key and the result.
     """
@@ -43,7 +44,7 @@ def fold_by_key(
         for batch in batches:
             for k, v in zip(batch[key].tolist(), batch[value].tolist()):
                 held[k] = add(held.get(k, initial), v)
-            if len(held) > PARTIAL_KEYS:
+            if len(held) > open_keys:
                 yield pd.DataFrame({key: list(held), result: list(held.values())})
                 held = {}
         yield pd.DataFrame({key: list(held), result: list(held.values())})

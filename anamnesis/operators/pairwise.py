@@ -10,14 +10,14 @@ ROW_BLOCK = 256
 COLUMN_BLOCK = 4096
 
 
-def _block_product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_product(key: tuple, pdf: pd.DataFrame, row_block: int) -> pd.DataFrame:
     left_block, right_block, _ = key
     rows = np.sort(pdf["_row"].unique())
     columns = np.sort(pdf["_col"].unique())
     dense = np.zeros((len(rows), len(columns)))
     dense[np.searchsorted(rows, pdf["_row"]), np.searchsorted(columns, pdf["_col"])] = pdf["_val"]
-    left = np.flatnonzero(rows // ROW_BLOCK == left_block)
-    right = np.flatnonzero(rows // ROW_BLOCK == right_block)
+    left = np.flatnonzero(rows // row_block == left_block)
+    right = np.flatnonzero(rows // row_block == right_block)
     product = dense[left] @ dense[right].T
     i, j = np.nonzero(product)
     a, b = rows[left[i]], rows[right[j]]
@@ -25,25 +25,31 @@ def _block_product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_a": a[keep], "_b": b[keep], "dot": product[i, j][keep]})
 
 
-def dot_products(entries: DataFrame, row: str, column: str, value: str) -> DataFrame:
+def dot_products(
+    entries: DataFrame, row: str, column: str, value: str, row_block: int = ROW_BLOCK, column_block: int = COLUMN_BLOCK
+) -> DataFrame:
     """(a, b, dot) for all a < b whose dot product is not zero.
 
     Rows are the classes (or codes) of a pre-aggregated table. They are cut into blocks of
-    ROW_BLOCK, and each pair of blocks is multiplied as a matrix inside one task, in slices of
-    COLUMN_BLOCK columns: a task never holds more than 2 x ROW_BLOCK x COLUMN_BLOCK numbers, and
-    the only pairs made are those of the result.
+    ``row_block``, and each pair of blocks is multiplied as a matrix inside one task, in slices of
+    ``column_block`` columns: a task never holds more than 2 x row_block x column_block numbers,
+    and the only pairs made are those of the result.
     """
     def numbered(name: str, out: str) -> DataFrame:
         return entries.select(name).distinct().withColumn(out, F.row_number().over(Window.orderBy(name)) - 1)
 
     rows, columns = numbered(row, "_row"), numbered(column, "_col")
     work = entries.join(rows, row).join(columns, column).select("_row", "_col", F.col(value).cast("double").alias("_val"))
-    blocks = rows.agg(F.coalesce(F.floor(F.max("_row") / ROW_BLOCK), F.lit(0)).alias("b")).scalar()
-    own = F.floor(F.col("_row") / ROW_BLOCK)
+    blocks = rows.agg(F.coalesce(F.floor(F.max("_row") / row_block), F.lit(0)).alias("b")).scalar()
+    own = F.floor(F.col("_row") / row_block)
     spread = work.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks)))
     spread = spread.withColumn("_left", F.least(own, "_other")).withColumn("_right", F.greatest(own, "_other"))
-    spread = spread.withColumn("_slice", F.floor(F.col("_col") / COLUMN_BLOCK))
-    parts = spread.groupBy("_left", "_right", "_slice").applyInPandas(_block_product, "_a bigint, _b bigint, dot double")
+    spread = spread.withColumn("_slice", F.floor(F.col("_col") / column_block))
+
+    def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _block_product(key, pdf, row_block)
+
+    parts = spread.groupBy("_left", "_right", "_slice").applyInPandas(multiply, "_a bigint, _b bigint, dot double")
     sums = parts.groupBy("_a", "_b").agg(F.sum("dot").alias("dot"))
     names_a = rows.select(F.col("_row").cast("bigint").alias("_a"), F.col(row).alias("a"))
     names_b = rows.select(F.col("_row").cast("bigint").alias("_b"), F.col(row).alias("b"))
