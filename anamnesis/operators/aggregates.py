@@ -12,9 +12,8 @@ from .sizes import settle, small_side
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Count of every integer in [min, max], zeros included: (value, n)."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("bigint").alias("value")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    present = df.where(F.col(column).isNotNull())
+    counts = settle(present.groupBy(F.col(column).cast("bigint").alias("value")).agg(F.count(F.lit(1)).alias("n")))
     ends = counts.agg(F.min("value").alias("a"), F.max("value").alias("b"))
     every = ends.select(F.explode(F.sequence("a", "b")).alias("value"))
     return every.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
@@ -43,7 +42,7 @@ def box_stats(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
 
 def size_bands(df: DataFrame, label: str) -> DataFrame:
     """Class sizes with their distance from the mean size in whole standard deviations."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
     stats = sizes.agg(F.struct(F.avg("n").alias("m"), F.stddev_samp("n").alias("s")).alias("s")).scalar()
     work = sizes.withColumn("_s", stats)
     return work.withColumn("band", F.floor((F.col("n") - F.col("_s.m")) / F.col("_s.s")).cast("bigint")).drop("_s")

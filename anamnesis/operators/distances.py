@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .pairwise import dot_products
+from .sizes import settle
 
 
 def _norms(table: DataFrame, label: str, code: str, p: str) -> DataFrame:
@@ -33,11 +34,9 @@ def class_distances(table: DataFrame, label: str, code: str, p: str, width: Colu
     Pairs without a common code have a zero dot product and still get a row, as the pair list is
     the wanted result.
     """
-    norms = _norms(table, label, code, p)
+    norms = settle(_norms(table, label, code, p))
     ids = norms.select(label).withColumn("_i", F.row_number().over(Window.orderBy(label)))
     dots = dot_products(table, label, code, p)
-    shared = dot_products(table.where(F.col(p) > 0).withColumn("_one", F.lit(1.0)), label, code, "_one")
-    shared = shared.select("a", "b", F.col("dot").alias("common"))
     # Result-sized: every class gets the list of the later ones.
     numbered = norms.join(ids, label)
     later = ids.agg(F.array_sort(F.collect_list(F.struct("_i", F.col(label).alias("_l")))).alias("l")).scalar()
@@ -48,13 +47,14 @@ def class_distances(table: DataFrame, label: str, code: str, p: str, width: Colu
         F.explode(F.expr("slice(_all, _i + 1, size(_all))")).alias("_r"),
     ).withColumn("b", F.col("_r._l"))
     right = norms.select(F.col(label).alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("_sq", "_sum", "_nz")])
-    pairs = left.join(right, "b").join(dots, ["a", "b"], "left").join(shared, ["a", "b"], "left")
-    pairs = pairs.withColumn("dot", F.coalesce("dot", F.lit(0.0))).withColumn("common", F.coalesce("common", F.lit(0.0)))
+    pairs = left.join(right, "b").join(dots, ["a", "b"], "left")
+    pairs = pairs.withColumn("dot", F.coalesce("dot", F.lit(0.0))).withColumn("common", F.coalesce("common", F.lit(0)))
     return _finish(pairs, width)
 
 
 def distances_to(table: DataFrame, label: str, code: str, p: str, target: object) -> DataFrame:
     """Cosine distance of every other class to one class."""
+    table = settle(table)
     own = table.where(F.col(label) == target).select(code, F.col(p).alias("_p"))
     norms = _norms(table, label, code, p)
     own_sq = norms.where(F.col(label) == target).select("_sq").scalar()

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .sizes import settle
+
 ROW_BLOCK = 256
 COLUMN_BLOCK = 4096
 
@@ -19,27 +21,31 @@ def _block_product(key: tuple, pdf: pd.DataFrame, row_block: int) -> pd.DataFram
     left = np.flatnonzero(rows // row_block == left_block)
     right = np.flatnonzero(rows // row_block == right_block)
     product = dense[left] @ dense[right].T
-    i, j = np.nonzero(product)
+    filled = (dense != 0).astype(float)
+    common = filled[left] @ filled[right].T
+    i, j = np.nonzero(common)
     a, b = rows[left[i]], rows[right[j]]
     keep = a < b
-    return pd.DataFrame({"_a": a[keep], "_b": b[keep], "dot": product[i, j][keep]})
+    return pd.DataFrame({"_a": a[keep], "_b": b[keep], "dot": product[i, j][keep], "common": common[i, j][keep].astype("int64")})
 
 
 def dot_products(
     entries: DataFrame, row: str, column: str, value: str, row_block: int = ROW_BLOCK, column_block: int = COLUMN_BLOCK
 ) -> DataFrame:
-    """(a, b, dot) for all a < b whose dot product is not zero.
+    """(a, b, dot, common) for all a < b that share a column: dot product and number of shared columns.
 
     Rows are the classes (or codes) of a pre-aggregated table. They are cut into blocks of
     ``row_block``, and each pair of blocks is multiplied as a matrix inside one task, in slices of
     ``column_block`` columns: a task never holds more than 2 x row_block x column_block numbers,
     and the only pairs made are those of the result.
     """
+    entries = settle(entries.select(row, column, F.col(value).cast("double").alias("_val")).where(F.col("_val") != 0))
+
     def numbered(name: str, out: str) -> DataFrame:
         return entries.select(name).distinct().withColumn(out, F.row_number().over(Window.orderBy(name)) - 1)
 
     rows, columns = numbered(row, "_row"), numbered(column, "_col")
-    work = entries.join(rows, row).join(columns, column).select("_row", "_col", F.col(value).cast("double").alias("_val"))
+    work = entries.join(rows, row).join(columns, column).select("_row", "_col", "_val")
     blocks = rows.agg(F.coalesce(F.floor(F.max("_row") / row_block), F.lit(0)).alias("b")).scalar()
     own = F.floor(F.col("_row") / row_block)
     spread = work.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks)))
@@ -49,8 +55,8 @@ def dot_products(
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _block_product(key, pdf, row_block)
 
-    parts = spread.groupBy("_left", "_right", "_slice").applyInPandas(multiply, "_a bigint, _b bigint, dot double")
-    sums = parts.groupBy("_a", "_b").agg(F.sum("dot").alias("dot"))
+    parts = spread.groupBy("_left", "_right", "_slice").applyInPandas(multiply, "_a bigint, _b bigint, dot double, common bigint")
+    sums = parts.groupBy("_a", "_b").agg(F.sum("dot").alias("dot"), F.sum("common").alias("common"))
     names_a = rows.select(F.col("_row").cast("bigint").alias("_a"), F.col(row).alias("a"))
     names_b = rows.select(F.col("_row").cast("bigint").alias("_b"), F.col(row).alias("b"))
-    return sums.join(names_a, "_a").join(names_b, "_b").select("a", "b", "dot")
+    return sums.join(names_a, "_a").join(names_b, "_b").select("a", "b", "dot", "common")

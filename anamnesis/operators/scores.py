@@ -6,9 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sizes import settle
+
 
 def normalised(runs: DataFrame, columns: Sequence[str], suffix: str = "_norm") -> DataFrame:
     """Add (x - min) / (max - min) of each column; the ends come from one aggregate."""
+    runs = settle(runs)
     ends = runs.agg(F.struct(*[x for c in columns for x in (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))]).alias("e"))
     work = runs.withColumn("_e", ends.scalar())
     for c in columns:
@@ -26,6 +29,7 @@ def weighted_score(weights: Mapping[str, float], suffix: str = "_norm") -> Colum
 
 def near_best(runs: DataFrame, score: str, tolerance: float) -> DataFrame:
     """Runs whose score is at least max * (1 - tolerance)."""
+    runs = settle(runs)
     best = runs.agg(F.max(score)).scalar()
     return runs.where(F.col(score) >= best * F.lit(1 - tolerance))
 

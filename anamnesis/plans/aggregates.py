@@ -9,6 +9,7 @@ from ..operators import aggregates as A
 from ..operators import ordering as O
 from ..operators import rates as B
 from ..operators import records as R
+from ..operators.sizes import settle
 from . import roles as S
 from .joins import class_sets
 from .registry import Tables, query
@@ -182,7 +183,7 @@ def d16(t: Tables) -> DataFrame:
 SELECT CAST(rank AS BIGINT) AS rank, round(med, 4) AS med, round((first_value(med) OVER (ORDER BY rank) - med) / first_value(med) OVER (ORDER BY rank), 6) AS drop FROM m""",
 )
 def d17(t: Tables) -> DataFrame:
-    med = O.exact_quantiles(t.lineitem, ["l_linenumber"], "l_extendedprice", [0.5])
+    med = settle(O.exact_quantiles(t.lineitem, ["l_linenumber"], "l_extendedprice", [0.5]))
     # One row per rank.
     first = med.agg(F.min_by("value", "l_linenumber").alias("f")).scalar()
     return med.withColumn("f", first).select(

@@ -8,6 +8,7 @@ from ..functions import codes as C
 from ..operators import pairwise as P
 from ..operators import rates as B
 from ..operators import records as R
+from ..operators.sizes import settle
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -233,8 +234,8 @@ SELECT CAST(a.dataset AS BIGINT) AS dataset, round(a.score, 4) AS nb, round(b.sc
 FROM m a JOIN m b ON a.dataset = b.dataset AND a.model = 'F' AND b.model = 'O'""",
 )
 def c14(t: Tables) -> DataFrame:
-    runs = t.orders.groupBy(F.year("o_orderdate").alias("dataset"), F.col("o_orderstatus").alias("model")).agg(
-        F.avg("o_totalprice").alias("score")
+    runs = settle(
+        t.orders.groupBy(F.year("o_orderdate").alias("dataset"), F.col("o_orderstatus").alias("model")).agg(F.avg("o_totalprice").alias("score"))
     )
     nb = runs.where("model = 'F'").select("dataset", F.round("score", 4).alias("nb"))
     rf = runs.where("model = 'O'").select("dataset", F.round("score", 4).alias("rf"))
@@ -249,7 +250,7 @@ FROM p v LEFT JOIN p b ON b.source = 'F' AND b.label = v.label AND b.code = v.co
 )
 def c15(t: Tables) -> DataFrame:
     flat = S.records(t).select("source", "label", F.explode("codes").alias("code"))
-    counts = flat.groupBy("source", "label", "code").agg(F.count(F.lit(1)).alias("n"))
+    counts = settle(flat.groupBy("source", "label", "code").agg(F.count(F.lit(1)).alias("n")))
     base = counts.where("source = 'F'").select("label", "code", F.col("n").alias("base_n"))
     return (
         counts.where("source <> 'F'")

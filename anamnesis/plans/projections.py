@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators import aggregates as A
 from ..operators import ordering as O
 from ..operators import records as R
+from ..operators import scores as K
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -106,8 +107,7 @@ SELECT run, round(acc, 4) AS acc FROM m WHERE acc >= (SELECT max(acc) FROM m) *
 )
 def b13(t: Tables) -> DataFrame:
     runs = t.lineitem.groupBy(F.col("l_suppkey").alias("run")).agg(F.avg("l_extendedprice").alias("acc"))
-    best = runs.agg(F.max("acc")).scalar()
-    return runs.where(F.col("acc") >= best * F.lit(1 - 0.05)).select("run", F.round("acc", 4).alias("acc"))
+    return K.near_best(runs, "acc", 0.05).select("run", F.round("acc", 4).alias("acc"))
 
 
 SAMPLE_SQL = """WITH h AS (SELECT o_orderpriority AS label, o_orderkey AS row_id, md5(concat_ws('-', '5', o_orderkey::VARCHAR)) AS k FROM orders),

@@ -10,6 +10,7 @@ from ..operators import ordering as O
 from ..operators import rates as B
 from ..operators import records as R
 from ..operators import splits as G
+from ..operators.sizes import settle
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -59,7 +60,7 @@ UNION ALL SELECT 'bottom', label, n::DOUBLE FROM (SELECT * FROM s ORDER BY n, la
 UNION ALL SELECT 'median', NULL, median(n) FROM s""",
 )
 def e5(t: Tables) -> DataFrame:
-    sizes = t.lineitem.groupBy(F.col("l_suppkey").alias("label")).agg(S.count_rows().alias("n"))
+    sizes = settle(t.lineitem.groupBy(F.col("l_suppkey").alias("label")).agg(S.count_rows().alias("n")))
     shape = [F.col("label"), F.col("n").cast("double").alias("n")]
     top = sizes.orderBy(F.desc("n"), "label").limit(10).select(F.lit("top").alias("side"), *shape)
     low = sizes.orderBy("n", "label").limit(10).select(F.lit("bottom").alias("side"), *shape)

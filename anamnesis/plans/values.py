@@ -9,6 +9,7 @@ from ..functions import maths as M
 from ..operators import rates as B
 from ..operators import records as R
 from ..operators import scores as K
+from ..operators.sizes import settle
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -183,8 +184,9 @@ def i17(t: Tables) -> DataFrame:
     f"{RUNS} SELECT run, round(((SELECT max(acc) FROM m) - acc) * 100 / (SELECT max(acc) FROM m), 6) AS loss FROM m",
 )
 def i18(t: Tables) -> DataFrame:
-    best = runs(t).agg(F.max("acc")).scalar()
-    return runs(t).withColumn("best", best).select("run", r6(M.relative_change(F.col("best"), F.col("acc"))).alias("loss"))
+    log = settle(runs(t))
+    best = log.agg(F.max("acc")).scalar()
+    return log.withColumn("best", best).select("run", r6(M.relative_change(F.col("best"), F.col("acc"))).alias("loss"))
 
 
 @query(
