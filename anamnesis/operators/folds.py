@@ -49,11 +49,23 @@ def fold_by_key(
                 held = {}
         yield pd.DataFrame({key: list(held), result: list(held.values())})
 
-    def final(group: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, first = None, True
-        for batch in rows:
-            for v in batch[result].tolist():
-                total, first = (v, False) if first else (merge(total, v), False)
-        yield pd.DataFrame({key: [group[0]], result: [total]})
-
-    return df.select(key, value).mapInPandas(partial, schema).groupBy(key).applyInPandas(final, schema)
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows of a key lie next to each other; the last key of a batch may go on in the next one.
+        open_key, total, started = None, None, False
+        for batch in batches:
+            keys, values = [], []
+            for k, v in zip(batch[key].tolist(), batch[result].tolist()):
+                if started and k == open_key:
+                    total = merge(total, v)
+                    continue
+                if started:
+                    keys.append(open_key)
+                    values.append(total)
+                open_key, total, started = k, v, True
+            if keys:
+                yield pd.DataFrame({key: keys, result: values})
+        if started:
+            yield pd.DataFrame({key: [open_key], result: [total]})
+
+    parts = df.select(key, value).mapInPandas(partial, schema)
+    return parts.repartition(key).sortWithinPartitions(key).mapInPandas(final, schema)

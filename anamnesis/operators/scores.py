@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ordering import value_buckets
 from .sizes import settle
 
 
@@ -35,10 +36,18 @@ def near_best(runs: DataFrame, score: str, tolerance: float) -> DataFrame:
 
 
 def pareto_front(runs: DataFrame, score: str, cost: str) -> DataFrame:
-    """Runs that no cheaper (or equally cheap) run beats; the table has one row per run."""
-    earlier = Window.orderBy(cost, F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    best_before = F.max(score).over(earlier)
-    return runs.withColumn("_b", best_before).where(F.col("_b").isNull() | (F.col(score) > F.col("_b"))).drop("_b")
+    """Runs that no cheaper (or equally cheap) run beats.
+
+    The best score before a run is the running maximum in its cost range, or the best of the
+    cheaper ranges.
+    """
+    work = value_buckets(settle(runs), cost)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = work.groupBy("_bucket").agg(F.max(score).alias("_m")).select("_bucket", F.max("_m").over(earlier).alias("_before"))
+    inside = Window.partitionBy("_bucket").orderBy(cost, F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    # At most MAX_BUCKETS + 1 rows are broadcast.
+    joined = work.join(F.broadcast(ranges), "_bucket").withColumn("_best", F.greatest("_before", F.max(score).over(inside)))
+    return joined.where(F.col("_best").isNull() | (F.col(score) > F.col("_best"))).drop("_bucket", "_before", "_best")
 
 
 def shares(df: DataFrame, keys: Sequence[str], weight: str, scale: float = 1.0, out: str = "share") -> DataFrame:

@@ -35,7 +35,7 @@ def d2(t: Tables) -> DataFrame:
     f"""{S.BASE} SELECT label, array_to_string(list_sort(list(DISTINCT code)), ';') AS codes FROM rec JOIN sym USING (row_id) GROUP BY label""",
 )
 def d3(t: Tables) -> DataFrame:
-    flat = S.records(t).select("label", F.explode("codes").alias("code"))
+    flat = S.coded(t).select("label", F.explode("codes").alias("code"))
     return R.symptom_sets(flat, "label", "code").select("label", F.array_join("codes", ";").alias("codes"))
 
 
@@ -54,7 +54,7 @@ def d4(t: Tables) -> DataFrame:
 SELECT source AS dataset, label, code, round(count(*) / any_value(n), 6) AS rate FROM rec JOIN sym USING (row_id) JOIN cls USING (source, label) GROUP BY ALL""",
 )
 def d5(t: Tables) -> DataFrame:
-    rates = B.class_rates(S.records(t), "label", "codes", ["source"])
+    rates = B.class_rates(S.coded(t), "label", "codes", ["source"])
     return rates.select(F.col("source").alias("dataset"), "label", "code", r6(F.col("rate")).alias("rate"))
 
 
@@ -122,7 +122,7 @@ def d11(t: Tables) -> DataFrame:
   CAST(sum(CASE WHEN list_contains(codes, 'Brand#3') THEN 1 ELSE 0 END) AS BIGINT) AS f3 FROM rec GROUP BY label""",
 )
 def d12(t: Tables) -> DataFrame:
-    flags = R.wide_flags(S.records(t), "codes", ["Brand#1", "Brand#2", "Brand#3"])
+    flags = R.wide_flags(S.coded(t), "codes", ["Brand#1", "Brand#2", "Brand#3"])
     return flags.groupBy("label").agg(*[F.sum(f"`Brand#{i}`").alias(f"f{i}") for i in (1, 2, 3)])
 
 
@@ -237,7 +237,7 @@ def d21(t: Tables) -> DataFrame:
     f"""{S.BASE} SELECT source AS dataset, CAST(len(codes) AS BIGINT) AS length, count(*) AS n FROM rec GROUP BY ALL""",
 )
 def d22(t: Tables) -> DataFrame:
-    return S.records(t).groupBy(F.col("source").alias("dataset"), n64(F.size("codes")).alias("length")).agg(S.count_rows().alias("n"))
+    return S.coded(t).groupBy(F.col("source").alias("dataset"), n64(F.size("codes")).alias("length")).agg(S.count_rows().alias("n"))
 
 
 @query(
@@ -245,7 +245,7 @@ def d22(t: Tables) -> DataFrame:
     f"""{S.BASE} SELECT label, round(avg(len(codes)), 6) AS mean_length FROM rec GROUP BY label""",
 )
 def d22_mean(t: Tables) -> DataFrame:
-    return S.records(t).groupBy("label").agg(r6(F.avg(F.size("codes"))).alias("mean_length"))
+    return S.coded(t).groupBy("label").agg(r6(F.avg(F.size("codes"))).alias("mean_length"))
 
 
 @query(
@@ -278,13 +278,13 @@ p AS (SELECT label, code, count(*) / any_value(n) AS rate FROM rec JOIN sym USIN
 
 @query("d26_rate_spread", f"{RATES} SELECT label, round(max(rate) - min(rate), 6) AS spread FROM p GROUP BY label")
 def d26(t: Tables) -> DataFrame:
-    rates = B.class_rates(S.records(t), "label", "codes")
+    rates = B.class_rates(S.coded(t), "label", "codes")
     return rates.groupBy("label").agg(r6(F.max("rate") - F.min("rate")).alias("spread"))
 
 
 @query("d27_rates_above", f"{RATES} SELECT label, count(*) FILTER (WHERE rate > 0.15) AS above FROM p GROUP BY label")
 def d27(t: Tables) -> DataFrame:
-    rates = B.class_rates(S.records(t), "label", "codes")
+    rates = B.class_rates(S.coded(t), "label", "codes")
     return rates.groupBy("label").agg(F.count_if(F.col("rate") > 0.15).alias("above"))
 
 

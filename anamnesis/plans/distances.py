@@ -79,7 +79,7 @@ DRIFT = f"{S.BASE}, {drift_sql()}"
 
 
 def rates(t: Tables) -> DataFrame:
-    return settle(B.class_rates(S.records(t), "label", "codes", ["source"]))
+    return settle(B.class_rates(S.coded(t), "label", "codes", ["source"]))
 
 
 @query("o6_kl_base_support", f"{DRIFT} SELECT source, label, missing, round(CASE WHEN missing = 0 THEN kl END, 6) AS kl FROM kl")

@@ -39,7 +39,7 @@ FROM rec JOIN sym USING (row_id) JOIN cls USING (label) GROUP BY label, code"""
 
 @query("class_symptom_rate", RATE_SQL)
 def class_symptom_rate(t: Tables) -> DataFrame:
-    return B.class_rates(S.records(t), "label", "codes").select("label", "code", "hits", "n", r6(F.col("rate")).alias("rate"))
+    return B.class_rates(S.coded(t), "label", "codes").select("label", "code", "hits", "n", r6(F.col("rate")).alias("rate"))
 
 
 @query(
@@ -249,7 +249,7 @@ SELECT v.source, v.label, v.code, CAST(v.n - coalesce(b.n, 0) AS BIGINT) AS diff
 FROM p v LEFT JOIN p b ON b.source = 'F' AND b.label = v.label AND b.code = v.code WHERE v.source <> 'F'""",
 )
 def c15(t: Tables) -> DataFrame:
-    flat = S.records(t).select("source", "label", F.explode("codes").alias("code"))
+    flat = S.coded(t).select("source", "label", F.explode("codes").alias("code"))
     counts = settle(flat.groupBy("source", "label", "code").agg(F.count(F.lit(1)).alias("n")))
     base = counts.where("source = 'F'").select("label", "code", F.col("n").alias("base_n"))
     return (

@@ -39,7 +39,8 @@ def p2(t: Tables) -> DataFrame:
 WHERE (c_nationkey, p_brand) NOT IN (SELECT (condition, code) FROM own) GROUP BY ALL""",
 )
 def p3(t: Tables) -> DataFrame:
-    seen = S.symptom_rows(t).join(S.records(t).select("row_id", F.col("nation").alias("condition")), "row_id")
+    owners = R.join_patients(S.conditions(t), S.patients(t)).select("row_id", F.col("nation").alias("condition"))
+    seen = S.symptom_rows(t).join(owners, "row_id")
     return Q.not_allowed(seen, class_sets(t), ["condition", "code"]).withColumn("condition", n64("condition"))
 
 
@@ -67,7 +68,7 @@ SELECT label, CAST(n AS BIGINT) AS n, CAST(sum(a) AS BIGINT) AS "left", CAST(sum
 )
 def p6(t: Tables) -> DataFrame:
     """Counts with repeats against counts of distinct codes: the rows tell where they differ."""
-    after = S.records(t).select("label", n64(F.size("codes")).alias("n"))
+    after = S.coded(t).select("label", n64(F.size("codes")).alias("n"))
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(S.count_rows().alias("k"))
     before = S.conditions(t).join(lines, F.col("row_id") == F.col("id"), "left").select("label", F.coalesce("k", F.lit(0)).alias("n"))
     return Q.multiset_difference(after, before, ["label", "n"])

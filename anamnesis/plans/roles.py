@@ -65,14 +65,24 @@ def records(t: Tables) -> DataFrame:
     )
 
 
-def reported(t: Tables) -> DataFrame:
-    """Records with at least one symptom."""
-    return records(t).where(F.size("codes") > 0)
+def coded(t: Tables) -> DataFrame:
+    """Design rows without the patient: row_id, label, source, gender, age, codes; one shuffle less."""
+    rows = conditions(t)
+    sets = R.symptom_sets(symptom_rows(t), "row_id", "code").withColumnRenamed("row_id", "_sk")
+    joined = rows.join(sets, F.col("row_id") == F.col("_sk"), "left")
+    return joined.select(
+        "row_id",
+        "label",
+        F.col("GENDER").alias("source"),
+        C.gender_code(F.col("GENDER")).alias("gender"),
+        "age",
+        F.coalesce("codes", F.array().cast("array<string>")).alias("codes"),
+    )
 
 
-def pairs(t: Tables) -> DataFrame:
-    """Distinct (row_id, code)."""
-    return symptom_rows(t).distinct()
+def reported(t: Tables) -> DataFrame:
+    """Coded rows with at least one symptom."""
+    return coded(t).where(F.size("codes") > 0)
 
 
 def count_rows() -> Column:

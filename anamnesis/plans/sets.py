@@ -15,7 +15,7 @@ o AS (SELECT label, list(DISTINCT code) AS b FROM rec JOIN sym USING (row_id) WH
 
 def two_sets(t: Tables) -> DataFrame:
     """Per class the codes two sources report of the youngest rows: (label, a, b)."""
-    flat = S.records(t).where(F.col("age") < 3).select("label", "source", F.explode("codes").alias("code"))
+    flat = S.coded(t).where(F.col("age") < 3).select("label", "source", F.explode("codes").alias("code"))
     sides = flat.groupBy("label").agg(
         F.collect_set(F.when(F.col("source") == "F", F.col("code"))).alias("a"),
         F.collect_set(F.when(F.col("source") == "O", F.col("code"))).alias("b"),

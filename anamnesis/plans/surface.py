@@ -68,7 +68,7 @@ def u6(t: Tables) -> DataFrame:
         ordered = group.sort_values(["hits", "code"], ascending=[False, True])
         return ordered.assign(rank=range(1, len(ordered) + 1))[["label", "code", "rank"]]
 
-    rates = B.class_rates(S.records(t), "label", "codes").select("label", "code", "hits")
+    rates = B.class_rates(S.coded(t), "label", "codes").select("label", "code", "hits")
     return rates.groupBy("label").applyInPandas(rank, "label string, code string, rank bigint")
 
 
@@ -82,7 +82,7 @@ def u7(t: Tables) -> DataFrame:
 @query("u8_flattened_lists", f"{S.BASE} SELECT label, code, count(*) AS n FROM rec JOIN sym USING (row_id) GROUP BY ALL")
 def u8(t: Tables) -> DataFrame:
     """All lists of a class as one: rows, not one array per class."""
-    flat = S.records(t).select("label", F.explode("codes").alias("code"))
+    flat = S.coded(t).select("label", F.explode("codes").alias("code"))
     return flat.groupBy("label", "code").agg(S.count_rows().alias("n"))
 
 
@@ -108,7 +108,7 @@ def u10(t: Tables) -> DataFrame:
 
 @query("u11_rows_from_row", f"{S.BASE} SELECT row_id, unnest(codes) AS code, CAST(generate_subscripts(codes, 1) - 1 AS INTEGER) AS pos FROM rec")
 def u11(t: Tables) -> DataFrame:
-    return S.records(t).select("row_id", F.posexplode("codes").alias("pos", "code"))
+    return S.coded(t).select("row_id", F.posexplode("codes").alias("pos", "code"))
 
 
 @query("v1_repartition", "SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1")

@@ -17,7 +17,7 @@ from .roles import n64, r6
     f"{S.BASE} SELECT row_id, CAST(len(codes) AS BIGINT) AS n, codes[1] AS head FROM rec",
 )
 def h1(t: Tables) -> DataFrame:
-    text = R.compact_rows(S.records(t)).select("row_id", "SYMPTOMS")
+    text = R.compact_rows(S.coded(t)).select("row_id", "SYMPTOMS")
     codes = X.code_list(F.col("SYMPTOMS"))
     return text.select("row_id", n64(F.size(codes)).alias("n"), F.get(codes, 0).alias("head"))
 

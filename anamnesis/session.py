@@ -36,6 +36,8 @@ def shared_base(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _local_base
