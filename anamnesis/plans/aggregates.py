@@ -22,11 +22,11 @@ def d1(t: Tables) -> DataFrame:
 
 @query(
     "d2_mean_std",
-    """SELECT year(o_orderdate) AS size, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1""",
+    """SELECT year(o_orderdate) AS size, round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std FROM orders GROUP BY 1""",
 )
 def d2(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.year("o_orderdate").cast("bigint").alias("size")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.stddev_samp("o_totalprice"), 4).alias("std")
+        F.round(F.avg("o_totalprice"), 6).alias("mean"), F.round(F.stddev_samp("o_totalprice"), 6).alias("std")
     )
 
 
@@ -60,12 +60,12 @@ def d5(t: Tables) -> DataFrame:
 
 @query(
     "d6_one_pass_stats",
-    """SELECT round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders""",
+    """SELECT round(avg(o_totalprice), 6) AS mean, round(stddev_samp(o_totalprice), 6) AS std, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders""",
 )
 def d6(t: Tables) -> DataFrame:
     p = "o_totalprice"
     return t.orders.agg(
-        F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("std"), F.min(p).alias("min"), F.max(p).alias("max")
+        F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_samp(p), 6).alias("std"), F.min(p).alias("min"), F.max(p).alias("max")
     )
 
 
@@ -168,33 +168,33 @@ def d15(t: Tables) -> DataFrame:
 
 @query(
     "d16_quantiles",
-    """SELECT label, prob, round(value, 4) AS value FROM (
+    """SELECT label, prob, round(value, 6) AS value FROM (
 SELECT o_orderpriority AS label, unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS prob,
   unnest(quantile_cont(o_totalprice, [0.0, 0.25, 0.5, 0.75, 1.0])) AS value FROM orders GROUP BY 1)""",
 )
 def d16(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderpriority").alias("label"), "o_totalprice")
-    return O.exact_quantiles(rows, ["label"], "o_totalprice", [0, 0.25, 0.5, 0.75, 1]).withColumn("value", F.round("value", 4))
+    return O.exact_quantiles(rows, ["label"], "o_totalprice", [0, 0.25, 0.5, 0.75, 1]).withColumn("value", F.round("value", 6))
 
 
 @query(
     "d17_median_per_rank",
     """WITH m AS (SELECT l_linenumber AS rank, median(l_extendedprice) AS med FROM lineitem GROUP BY 1)
-SELECT CAST(rank AS BIGINT) AS rank, round(med, 4) AS med, round((first_value(med) OVER (ORDER BY rank) - med) / first_value(med) OVER (ORDER BY rank), 6) AS drop FROM m""",
+SELECT CAST(rank AS BIGINT) AS rank, round(med, 6) AS med, round((first_value(med) OVER (ORDER BY rank) - med) / first_value(med) OVER (ORDER BY rank), 6) AS drop FROM m""",
 )
 def d17(t: Tables) -> DataFrame:
     med = settle(O.exact_quantiles(t.lineitem, ["l_linenumber"], "l_extendedprice", [0.5]))
     # One row per rank.
     first = med.agg(F.min_by("value", "l_linenumber").alias("f")).scalar()
     return med.withColumn("f", first).select(
-        n64("l_linenumber").alias("rank"), F.round("value", 4).alias("med"), F.round((F.col("f") - F.col("value")) / F.col("f"), 6).alias("drop")
+        n64("l_linenumber").alias("rank"), F.round("value", 6).alias("med"), F.round((F.col("f") - F.col("value")) / F.col("f"), 6).alias("drop")
     )
 
 
 @query(
     "d18_box_stats",
     """WITH q AS (SELECT o_orderpriority AS label, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1)
-SELECT label, round(any_value(q1), 4) AS q1, round(any_value(med), 4) AS med, round(any_value(q3), 4) AS q3,
+SELECT label, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS med, round(any_value(q3), 6) AS q3,
   min(o_totalprice) FILTER (WHERE o_totalprice >= q1 - 1.5 * (q3 - q1) AND o_totalprice <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
   max(o_totalprice) FILTER (WHERE o_totalprice >= q1 - 1.5 * (q3 - q1) AND o_totalprice <= q3 + 1.5 * (q3 - q1)) AS whisker_high
 FROM orders JOIN q ON o_orderpriority = label GROUP BY label""",
@@ -202,7 +202,7 @@ FROM orders JOIN q ON o_orderpriority = label GROUP BY label""",
 def d18(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderpriority").alias("label"), "o_totalprice")
     box = A.box_stats(rows, ["label"], "o_totalprice")
-    return box.select("label", *[F.round(c, 4).alias(c) for c in ("q1", "med", "q3")], "whisker_low", "whisker_high")
+    return box.select("label", *[F.round(c, 6).alias(c) for c in ("q1", "med", "q3")], "whisker_low", "whisker_high")
 
 
 @query(
@@ -250,11 +250,11 @@ def d22_mean(t: Tables) -> DataFrame:
 
 @query(
     "d23_mean_of_metrics",
-    """SELECT year(o_orderdate) AS dataset, o_orderstatus AS model, round(avg(o_totalprice), 4) AS price, round(avg(o_custkey), 4) AS cust FROM orders GROUP BY ALL""",
+    """SELECT year(o_orderdate) AS dataset, o_orderstatus AS model, round(avg(o_totalprice), 6) AS price, round(avg(o_custkey), 6) AS cust FROM orders GROUP BY ALL""",
 )
 def d23(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.year("o_orderdate").cast("bigint").alias("dataset"), F.col("o_orderstatus").alias("model")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("price"), F.round(F.avg("o_custkey"), 4).alias("cust")
+        F.round(F.avg("o_totalprice"), 6).alias("price"), F.round(F.avg("o_custkey"), 6).alias("cust")
     )
 
 

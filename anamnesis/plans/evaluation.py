@@ -229,17 +229,17 @@ def run_log(t: Tables) -> DataFrame:
     )
 
 
-@query("n15_fold_mean_full_size", f"WITH {LOG} SELECT fold, round(avg(score), 4) AS score FROM lg WHERE size = 1 GROUP BY fold")
+@query("n15_fold_mean_full_size", f"WITH {LOG} SELECT fold, round(avg(score), 6) AS score FROM lg WHERE size = 1 GROUP BY fold")
 def n15(t: Tables) -> DataFrame:
-    return run_log(t).where(F.col("size") == 1.0).groupBy("fold").agg(F.round(F.avg("score"), 4).alias("score"))
+    return run_log(t).where(F.col("size") == 1.0).groupBy("fold").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
 @query(
     "n16_pareto",
-    f"""{RUNS} SELECT run, round(acc, 4) AS acc, t FROM m QUALIFY coalesce(acc > max(acc) OVER (ORDER BY t, acc DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""",
+    f"""{RUNS} SELECT run, round(acc, 6) AS acc, t FROM m QUALIFY coalesce(acc > max(acc) OVER (ORDER BY t, acc DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)""",
 )
 def n16(t: Tables) -> DataFrame:
-    return K.pareto_front(runs(t), "acc", "t").select("run", F.round("acc", 4).alias("acc"), "t")
+    return K.pareto_front(runs(t), "acc", "t").select("run", F.round("acc", 6).alias("acc"), "t")
 
 
 @query(
@@ -253,11 +253,11 @@ def n16_near(t: Tables) -> DataFrame:
 @query(
     "n17_wide_report",
     f"""WITH {LOG}, a AS (SELECT dataset, model, avg(score) AS s, max(score) AS m FROM lg GROUP BY ALL)
-SELECT dataset, round(max(CASE WHEN model = 'nb' THEN s END), 4) AS nb_mean, round(max(CASE WHEN model = 'nb' THEN m END), 4) AS nb_max, round(max(CASE WHEN model = 'rf' THEN s END), 4) AS rf_mean, round(max(CASE WHEN model = 'rf' THEN m END), 4) AS rf_max FROM a GROUP BY dataset""",
+SELECT dataset, round(max(CASE WHEN model = 'nb' THEN s END), 6) AS nb_mean, round(max(CASE WHEN model = 'nb' THEN m END), 6) AS nb_max, round(max(CASE WHEN model = 'rf' THEN s END), 6) AS rf_mean, round(max(CASE WHEN model = 'rf' THEN m END), 6) AS rf_max FROM a GROUP BY dataset""",
 )
 def n17(t: Tables) -> DataFrame:
     wide = run_log(t).groupBy("dataset").pivot("model", ["nb", "rf"]).agg(
-        F.round(F.avg("score"), 4).alias("mean"), F.round(F.max("score"), 4).alias("max")
+        F.round(F.avg("score"), 6).alias("mean"), F.round(F.max("score"), 6).alias("max")
     )
     return wide
 
@@ -296,10 +296,10 @@ def n20(t: Tables) -> DataFrame:
 @query(
     "n21_model_comparison",
     f"""WITH {LOG}, a AS (SELECT size, model, avg(score) AS s FROM lg GROUP BY ALL)
-SELECT size, round(max(CASE WHEN model = 'nb' THEN s END), 4) AS nb, round(max(CASE WHEN model = 'rf' THEN s END), 4) AS rf FROM a GROUP BY size""",
+SELECT size, round(max(CASE WHEN model = 'nb' THEN s END), 6) AS nb, round(max(CASE WHEN model = 'rf' THEN s END), 6) AS rf FROM a GROUP BY size""",
 )
 def n21(t: Tables) -> DataFrame:
-    return run_log(t).groupBy("size").pivot("model", ["nb", "rf"]).agg(F.round(F.avg("score"), 4))
+    return run_log(t).groupBy("size").pivot("model", ["nb", "rf"]).agg(F.round(F.avg("score"), 6))
 
 
 @query(

@@ -230,15 +230,15 @@ def c13(t: Tables) -> DataFrame:
 @query(
     "c14_model_columns",
     """WITH m AS (SELECT year(o_orderdate) AS dataset, o_orderstatus AS model, avg(o_totalprice) AS score FROM orders GROUP BY ALL)
-SELECT CAST(a.dataset AS BIGINT) AS dataset, round(a.score, 4) AS nb, round(b.score, 4) AS rf
+SELECT CAST(a.dataset AS BIGINT) AS dataset, round(a.score, 6) AS nb, round(b.score, 6) AS rf
 FROM m a JOIN m b ON a.dataset = b.dataset AND a.model = 'F' AND b.model = 'O'""",
 )
 def c14(t: Tables) -> DataFrame:
     runs = settle(
         t.orders.groupBy(F.year("o_orderdate").alias("dataset"), F.col("o_orderstatus").alias("model")).agg(F.avg("o_totalprice").alias("score"))
     )
-    nb = runs.where("model = 'F'").select("dataset", F.round("score", 4).alias("nb"))
-    rf = runs.where("model = 'O'").select("dataset", F.round("score", 4).alias("rf"))
+    nb = runs.where("model = 'F'").select("dataset", F.round("score", 6).alias("nb"))
+    rf = runs.where("model = 'O'").select("dataset", F.round("score", 6).alias("rf"))
     return nb.join(rf, "dataset").withColumn("dataset", n64("dataset"))
 
 

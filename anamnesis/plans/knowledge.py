@@ -154,7 +154,7 @@ def j6(t: Tables) -> DataFrame:
 @query(
     "j7_clean_definitions",
     f"""{SHEET} SELECT CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'kept' END AS part, count(*) AS n,
-  coalesce(round(sum(CASE WHEN event_type <> 'error' THEN floor(value) END), 4), 0.0)::DOUBLE AS total FROM e WHERE event_type <> 'signup' AND c IS NOT NULL GROUP BY 1""",
+  coalesce(round(sum(CASE WHEN event_type <> 'error' THEN floor(value) END), 6), 0.0)::DOUBLE AS total FROM e WHERE event_type <> 'signup' AND c IS NOT NULL GROUP BY 1""",
 )
 def j7(t: Tables) -> DataFrame:
     good, bad = J.clean_definitions(sheet(t))

@@ -103,11 +103,11 @@ def b12(t: Tables) -> DataFrame:
 @query(
     "b13_within_one_percent",
     """WITH m AS (SELECT l_suppkey AS run, avg(l_extendedprice) AS acc FROM lineitem GROUP BY 1)
-SELECT run, round(acc, 4) AS acc FROM m WHERE acc >= (SELECT max(acc) FROM m) * (1 - 0.05::DOUBLE)""",
+SELECT run, round(acc, 6) AS acc FROM m WHERE acc >= (SELECT max(acc) FROM m) * (1 - 0.05::DOUBLE)""",
 )
 def b13(t: Tables) -> DataFrame:
     runs = t.lineitem.groupBy(F.col("l_suppkey").alias("run")).agg(F.avg("l_extendedprice").alias("acc"))
-    return K.near_best(runs, "acc", 0.05).select("run", F.round("acc", 4).alias("acc"))
+    return K.near_best(runs, "acc", 0.05).select("run", F.round("acc", 6).alias("acc"))
 
 
 SAMPLE_SQL = """WITH h AS (SELECT o_orderpriority AS label, o_orderkey AS row_id, md5(concat_ws('-', '5', o_orderkey::VARCHAR)) AS k FROM orders),

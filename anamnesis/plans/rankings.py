@@ -93,14 +93,14 @@ def e8(t: Tables) -> DataFrame:
 @query(
     "e9_difference_to_first",
     """WITH y AS (SELECT o_orderstatus AS model, year(o_orderdate) AS step, avg(o_totalprice) AS score FROM orders GROUP BY ALL)
-SELECT model, step, round(abs(score - first_value(score) OVER (PARTITION BY model ORDER BY step)), 4) AS diff FROM y""",
+SELECT model, step, round(abs(score - first_value(score) OVER (PARTITION BY model ORDER BY step)), 6) AS diff FROM y""",
 )
 def e9(t: Tables) -> DataFrame:
     runs = t.orders.groupBy(F.col("o_orderstatus").alias("model"), F.year("o_orderdate").cast("bigint").alias("step")).agg(
         F.avg("o_totalprice").alias("score")
     )
     first = F.first("score").over(Window.partitionBy("model").orderBy("step"))
-    return runs.select("model", "step", F.round(F.abs(F.col("score") - first), 4).alias("diff"))
+    return runs.select("model", "step", F.round(F.abs(F.col("score") - first), 6).alias("diff"))
 
 
 @query(
@@ -162,14 +162,14 @@ def e14(t: Tables) -> DataFrame:
 @query(
     "e15_variants_by_distance",
     """WITH m AS (SELECT year(o_orderdate) AS variant, avg(o_totalprice) AS acc, avg(o_custkey) AS dist FROM orders GROUP BY 1)
-SELECT variant, round(acc, 4) AS acc, row_number() OVER (ORDER BY dist, variant) AS pos FROM m""",
+SELECT variant, round(acc, 6) AS acc, row_number() OVER (ORDER BY dist, variant) AS pos FROM m""",
 )
 def e15(t: Tables) -> DataFrame:
     runs = t.orders.groupBy(F.year("o_orderdate").cast("bigint").alias("variant")).agg(
         F.avg("o_totalprice").alias("acc"), F.avg("o_custkey").alias("dist")
     )
     # One row per variant.
-    return runs.select("variant", F.round("acc", 4).alias("acc"), n64(F.row_number().over(Window.orderBy("dist", "variant"))).alias("pos"))
+    return runs.select("variant", F.round("acc", 6).alias("acc"), n64(F.row_number().over(Window.orderBy("dist", "variant"))).alias("pos"))
 
 
 @query(

@@ -47,13 +47,13 @@ def u4(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("row_id"), F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("tag"))
 
 
-@query("u5_partition_function", "SELECT l_orderkey AS row_id, CAST(l_linenumber AS BIGINT) AS line, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
+@query("u5_partition_function", "SELECT l_orderkey AS row_id, CAST(l_linenumber AS BIGINT) AS line, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem")
 def u5(t: Tables) -> DataFrame:
     def net(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row_id": batch.l_orderkey, "line": batch.l_linenumber, "net": batch.l_extendedprice * (1 - batch.l_discount)})
 
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
-    return K.map_batches(rows, net, "row_id bigint, line bigint, net double").withColumn("net", F.round("net", 4))
+    return K.map_batches(rows, net, "row_id bigint, line bigint, net double").withColumn("net", F.round("net", 6))
 
 
 @query(
@@ -126,12 +126,12 @@ def v2(t: Tables) -> DataFrame:
 
 @query(
     "v3_one_pass",
-    "SELECT count(*) AS n, round(avg(o_totalprice), 4) AS mean, min(o_orderkey) AS low, max(o_orderkey) AS high, count(DISTINCT o_custkey) AS patients FROM orders",
+    "SELECT count(*) AS n, round(avg(o_totalprice), 6) AS mean, min(o_orderkey) AS low, max(o_orderkey) AS high, count(DISTINCT o_custkey) AS patients FROM orders",
 )
 def v3(t: Tables) -> DataFrame:
     return t.orders.agg(
         S.count_rows().alias("n"),
-        F.round(F.avg("o_totalprice"), 4).alias("mean"),
+        F.round(F.avg("o_totalprice"), 6).alias("mean"),
         F.min("o_orderkey").alias("low"),
         F.max("o_orderkey").alias("high"),
         F.count_distinct("o_custkey").alias("patients"),
