@@ -223,7 +223,7 @@ def j10(t: Tables) -> DataFrame:
 
 CODED = f"""WITH {ATTRS}, p AS (SELECT row_id, symptom, arg_max(nature, place) AS n0, arg_max(vas, place) AS i0, arg_max(duration, place) AS d0, arg_max(location, place) AS l0 FROM f GROUP BY ALL),
 c AS (SELECT row_id, p.symptom, (((list_position(n, n0) - 1) * len(i) + list_position(i, i0) - 1) * len(d) + list_position(d, d0) - 1) * len(l)
-  + list_position(l, CASE WHEN p.symptom IN ('Brand#1', 'Brand#2') AND l0 = 'PROMO' THEN 'SMALL' ELSE l0 END) AS code FROM p JOIN lists USING (symptom))"""
+  + list_position(l, CASE WHEN p.symptom IN ('Brand#1', 'Brand#2') AND l0 = 'PROMO' AND list_contains(l, 'SMALL') THEN 'SMALL' ELSE l0 END) AS code FROM p JOIN lists USING (symptom))"""
 
 
 def coded_rows(t: Tables) -> DataFrame:
@@ -321,10 +321,7 @@ def j17(t: Tables) -> DataFrame:
 @query(
     "j18_category_distance",
     f"""{CODED}, b AS (SELECT row_id, symptom, concat_ws(';', n0, i0, d0, l0) AS combo FROM p)
-SELECT row_id, symptom, CAST((n0 <> 'N') + (i0 <> 'O') + (d0 <> '1') + (l0 <> 'SMALL') AS INTEGER) AS distance FROM (SELECT row_id, symptom, split_part(combo, ';', 1) AS n0, split_part(combo, ';', 2) AS i0, split_part(combo, ';', 3) AS d0, split_part(combo, ';', 4) AS l0 FROM b)""".replace(
-        "(n0 <> 'N') + (i0 <> 'O') + (d0 <> '1') + (l0 <> 'SMALL')",
-        "(n0 <> 'N')::INT + (i0 <> 'O')::INT + (d0 <> '1')::INT + (l0 <> 'SMALL')::INT",
-    ),
+SELECT row_id, symptom, (split_part(combo, ';', 1) <> 'N')::INT + (split_part(combo, ';', 2) <> 'O')::INT + (split_part(combo, ';', 3) <> '1')::INT + (split_part(combo, ';', 4) <> 'SMALL')::INT AS distance FROM b""",
 )
 def j18(t: Tables) -> DataFrame:
     picked = attribute_rows(t).groupBy("row_id", "symptom").agg(

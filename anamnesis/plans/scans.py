@@ -293,7 +293,8 @@ SELECT row_id AS "Index", CAST(li AS INTEGER) AS "LABEL", gender AS "GENDER", ra
 def compact_to_sparse(t: Tables) -> DataFrame:
     """The whole way from records to sparse rows in a file and back."""
     labels = R.number_codes(S.conditions(t), "label", "label_idx").withColumnRenamed("code", "label")
-    rows = R.with_indices(S.reported(t), "codes", S.dictionary(t)).join(labels, "label", "left")
+    reported = S.records(t).where(F.size("codes") > 0)
+    rows = R.with_indices(reported, "codes", S.dictionary(t)).join(labels, "label", "left")
     sparse = rows.select(
         F.col("row_id").alias("Index"), F.col("label_idx").alias("LABEL"), F.col("gender").alias("GENDER"), F.col("race").alias("RACE"), F.col("age").alias("AGE"),
         F.array_join(F.transform("idx", lambda i: i.cast("string")), ",").alias("SYMPTOMS"),
