@@ -48,11 +48,13 @@ def size_bands(df: DataFrame, label: str) -> DataFrame:
     return work.withColumn("band", F.floor((F.col("n") - F.col("_s.m")) / F.col("_s.s")).cast("bigint")).drop("_s")
 
 
-def flag_union(df: DataFrame, key: str, code: str, constants: Sequence[str]) -> DataFrame:
-    """Fold rows to one per key: the union of the codes and the constants of the key."""
-    return df.groupBy(key).agg(
-        F.array_sort(F.collect_set(code)).alias("codes"), *[F.max(c).alias(c) for c in constants]
-    )
+def flag_union(facts: DataFrame, key: str, code: str, constants: DataFrame) -> DataFrame:
+    """Fold rows to one per key, the union of their codes, and add the constants of the key.
+
+    The codes are folded before the join, so a key with very many rows is one row there.
+    """
+    folded = facts.groupBy(key).agg(F.array_sort(F.collect_set(code)).alias("codes"))
+    return folded.join(constants, key)
 
 
 def extreme_rows(df: DataFrame, pick: Column, by: Column) -> DataFrame:

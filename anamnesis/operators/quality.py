@@ -12,8 +12,8 @@ def count_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def orphans(facts: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
-    """Fact rows whose key no parent has."""
-    keys = parents.select(F.col(parent_key).alias("_pk"))
+    """Fact rows whose key no parent has; repeated parent keys are folded first."""
+    keys = parents.select(F.col(parent_key).alias("_pk")).distinct()
     return facts.join(keys, F.col(key) == F.col("_pk"), "left_anti")
 
 

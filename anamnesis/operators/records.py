@@ -28,6 +28,19 @@ def join_conditions(symptoms: DataFrame, conditions: DataFrame, on: str = "CONDI
     return left.join(right, left[key_col] == right["_ck"], "left").drop("_ck")
 
 
+def fan_out(parents: DataFrame, facts: DataFrame, key: str, fact_key: str) -> DataFrame:
+    """Left join of parents to their facts, where one parent may have a large share of all facts.
+
+    Spark can split a hot key of the right side in an inner join but not in a left one. So the
+    matches are an inner join, and the parents without facts (found by the distinct keys, which
+    are folded on the map side) are added with NULLs.
+    """
+    matched = parents.join(facts, F.col(key) == F.col(fact_key))
+    keys = facts.select(F.col(fact_key).alias("_fk")).distinct()
+    bare = parents.join(keys, F.col(key) == F.col("_fk"), "left_anti")
+    return matched.unionByName(bare, allowMissingColumns=True)
+
+
 def symptom_sets(symptoms: DataFrame, key: str, code: str, out: str = "codes") -> DataFrame:
     """Sorted distinct codes per key.
 

@@ -90,20 +90,19 @@ def d8(t: Tables) -> DataFrame:
 
 @query("d9_reduce_to_vector", FOLD_SQL)
 def d9(t: Tables) -> DataFrame:
-    joined = S.symptom_rows(t).join(S.conditions(t), "row_id")
-    return A.flag_union(joined, "row_id", "code", ["label", "age"]).select(
+    return A.flag_union(S.symptom_rows(t), "row_id", "code", S.conditions(t)).select(
         "row_id", F.array_join("codes", ";").alias("codes"), "label", n64("age").alias("age")
     )
 
 
 @query(
     "d10_group_constant",
-    """SELECT l_orderkey AS row_id, max(o_orderpriority) AS label, CAST(count(DISTINCT o_orderpriority) = 1 AS INTEGER) AS consistent
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
+    """SELECT l_orderkey AS row_id, max(l_linestatus) AS l_linestatus, max(l_returnflag) AS l_returnflag,
+  CAST(count(DISTINCT l_linestatus) = 1 AND count(DISTINCT l_returnflag) = 1 AS INTEGER) AS consistent FROM lineitem GROUP BY 1""",
 )
 def d10(t: Tables) -> DataFrame:
-    joined = t.lineitem.select(F.col("l_orderkey").alias("row_id")).join(S.conditions(t), "row_id")
-    return R.group_constant(joined, "row_id", ["label"])
+    out = R.group_constant(t.lineitem, "l_orderkey", ["l_linestatus", "l_returnflag"])
+    return out.withColumnRenamed("l_orderkey", "row_id")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import codes as C
 from ..operators import ensembles as E
 from ..operators import features as L
+from ..operators import records as R
 from ..operators.sizes import store
 from . import roles as S
 from .registry import Tables, query
@@ -109,7 +110,7 @@ def l8(t: Tables) -> DataFrame:
 def l9(t: Tables) -> DataFrame:
     encoding = t.lineitem.select(F.col("l_returnflag").alias("value")).where(F.col("value") != "N").distinct()
     encoding = encoding.withColumn("code", F.when(F.col("value") == "A", 1).otherwise(2))
-    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = R.fan_out(t.orders, t.lineitem, "o_orderkey", "l_orderkey")
     coded = L.nominal(rows, "l_returnflag", encoding, 9, "code")
     return coded.select(F.col("o_orderkey").alias("row_id"), n64("l_linenumber").alias("line"), "code")
 

@@ -86,7 +86,7 @@ LEFT JOIN nation ON c_nationkey = n_nationkey""",
 def c4(t: Tables) -> DataFrame:
     people = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return (
-        t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        R.fan_out(t.orders, t.lineitem, "o_orderkey", "l_orderkey")
         .join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
         .select(
             F.col("o_orderkey").alias("encounter"),
@@ -146,7 +146,8 @@ def c8(t: Tables) -> DataFrame:
 WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
 )
 def c9(t: Tables) -> DataFrame:
-    returned = t.lineitem.where(F.col("l_returnflag") == "R").select("l_orderkey")
+    # The distinct keys: a key repeated in many rows must not meet in one task.
+    returned = t.lineitem.where(F.col("l_returnflag") == "R").select("l_orderkey").distinct()
     return t.orders.join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("label")
     )

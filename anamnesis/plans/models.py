@@ -14,9 +14,9 @@ from .roles import n64, r6
 
 def training(t: Tables, label: str = "nation") -> DataFrame:
     """Records with their label and tokens (codes and gender), joined once for fit and scores."""
-    tokens = N.bernoulli_tokens("codes", {"gender": F.col("gender") == 1})
-    rows = S.records(t).withColumn("label", F.col(label).cast("string"))
-    return store(rows.withColumn("tokens", tokens), "records")
+    rows = S.coded(t) if label == "label" else S.records(t).withColumn("label", F.col(label).cast("string"))
+    kept = store(rows.select("row_id", "label", "source", "gender", "age", "codes"), "records")
+    return kept.withColumn("tokens", N.bernoulli_tokens("codes", {"gender": F.col("gender") == 1}))
 
 
 def feature_set(t: Tables) -> DataFrame:

@@ -74,7 +74,7 @@ def b9(t: Tables) -> DataFrame:
 SELECT count(*) AS n, count(l_orderkey) AS present, count(*) FILTER (WHERE l_quantity IS NULL) AS missing FROM j""",
 )
 def b10(t: Tables) -> DataFrame:
-    both = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    both = R.fan_out(t.orders, t.lineitem, "o_orderkey", "l_orderkey")
     return both.agg(
         S.count_rows().alias("n"), F.count("l_orderkey").alias("present"), F.count_if(F.col("l_quantity").isNull()).alias("missing")
     )

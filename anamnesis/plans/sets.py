@@ -46,7 +46,7 @@ def f2_array(t: Tables) -> DataFrame:
 
 @query("f3_except", "SELECT p_partkey AS item FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def f3(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("item")).subtract(t.lineitem.where("l_quantity > 45").select("l_partkey"))
+    return t.part.select(F.col("p_partkey").alias("item")).subtract(t.lineitem.where("l_quantity > 45").select("l_partkey").distinct())
 
 
 @query(

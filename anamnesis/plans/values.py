@@ -64,7 +64,7 @@ def i5(t: Tables) -> DataFrame:
   CASE WHEN l_returnflag = 'M' THEN 1 WHEN l_returnflag = 'S' THEN 0 ELSE 2 END AS marital FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""",
 )
 def i6(t: Tables) -> DataFrame:
-    both = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    both = R.fan_out(t.orders, t.lineitem, "o_orderkey", "l_orderkey")
     flag = F.col("l_returnflag")
     return both.select(F.col("o_orderkey").alias("row_id"), C.gender_code(flag, 2).alias("gender"), C.marital_code(flag).alias("marital"))
 

@@ -9,6 +9,7 @@ from anamnesis.operators import folds as K
 from anamnesis.operators import pairwise as P
 from anamnesis.operators import quality as Q
 from anamnesis.operators import rates as B
+from anamnesis.operators import records as R
 from anamnesis.operators import variants as V
 
 
@@ -99,3 +100,10 @@ def test_multiset_difference(spark):
     b = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "l string, n int")
     got = {(r.l, r.n): (r.left, r.right) for r in Q.multiset_difference(a, b, ["l", "n"]).collect()}
     assert got == {("x", 1): (2, 1), ("z", 3): (0, 1)}
+
+
+def test_fan_out_is_a_left_join(spark):
+    parents = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    facts = spark.createDataFrame([(1, 10), (1, 11), (3, 12), (9, 13)], "pid int, v int")
+    got = sorted(R.fan_out(parents, facts, "id", "pid").collect(), key=str)
+    assert got == sorted(parents.join(facts, F.col("id") == F.col("pid"), "left").collect(), key=str)
