@@ -5,7 +5,7 @@ quantile range of a number). Windows then run per (group, bucket); what the earl
 the group hold is added from a bucket table of at most groups x buckets rows. A class with a
 third of all rows is thereby spread over as many tasks as there are buckets.
 
-Group columns must not be NULL.
+NULL is a group of its own: groups are matched by text keys in which it has a mark.
 """
 
 from __future__ import annotations
@@ -36,12 +36,18 @@ def value_buckets(df: DataFrame, column: str, out: str = "_bucket", buckets: int
         buckets = max(8, min(MAX_BUCKETS, 4 * parts))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.select(F.col(column).cast("double").alias("_v")).approxQuantile("_v", probs, 1.0 / (2 * buckets))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
     work = df.withColumn("_v", F.col(column).cast("double"))
     work = Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(work)
     return work.drop("_v").withColumn(out, F.col(out).cast("int"))
 
 
+def _group_keys(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add a text key per group column that is never NULL, so that joins keep all rows."""
+    keys = {f"_g{i}": F.coalesce(F.col(c).cast("string"), F.lit("\0")) for i, c in enumerate(group)}
+    return (df.withColumns(keys) if keys else df), list(keys)
+
+
 def _with_offsets(df: DataFrame, group: Sequence[str], bucket: str, amount: Column) -> DataFrame:
     """Join what the earlier buckets of the group sum to (``_off``) and the group's sum (``_all``)."""
     per_bucket = df.groupBy(*group, bucket).agg(F.sum(amount).alias("_part"))
@@ -72,11 +78,12 @@ def running_sum(
 
     ``bucket`` must never fall as ``order`` rises, and ``order`` must have no ties.
     """
-    work = _with_offsets(df, group, bucket, amount)
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    keyed, keys = _group_keys(df, group)
+    work = _with_offsets(keyed, keys, bucket, amount)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return work.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0)) + F.col("_off")).withColumnRenamed(
         "_all", total
-    ).drop("_off")
+    ).drop("_off", *keys)
 
 
 def hash_rank(
@@ -142,10 +149,11 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], column: str, probs: Seq
         .groupBy(*group, "_bucket", column)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = _with_offsets(counts, group, "_bucket", F.col("_n"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    counts, keys = _group_keys(counts, group)
+    placed = _with_offsets(counts, keys, "_bucket", F.col("_n"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    bucket_rows = Window.partitionBy(*group, "_bucket")
+    bucket_rows = Window.partitionBy(*keys, "_bucket")
     # Rank positions are 0-based: the value at position h = (total - 1) * p.
     hit = F.exists(
         wanted,

@@ -110,3 +110,18 @@ def test_balanced_classes(skewed):
     got = G.balance_classes(df, "label", ["id"]).toPandas()
     keep = int(np.floor(pdf.groupby("label").size().min() * 0.95))
     assert (got[got.split == "train"].groupby("label").size() == keep).all()
+
+
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "a", float(i)) for i in range(30)], "id long, g string, v double")
+    ranked = O.hash_rank(df, ["g"], 0, ["id"]).toPandas()
+    assert len(ranked) == 30 and sorted(ranked[ranked.g.isna()].rn) == list(range(1, 11))
+    got = {r.g: r.value for r in O.exact_quantiles(df, ["g"], "v", [1.0]).collect()}
+    assert got == {None: 27.0, "a": 29.0}
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "id long, g string, v double")
+    assert O.row_index(df, "id").count() == 0
+    assert O.exact_quantiles(df, ["g"], "v", [0.5]).count() == 0
+    assert O.forward_fill(df, "id", ["g"]).count() == 0
