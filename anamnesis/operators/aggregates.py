@@ -31,7 +31,11 @@ def box_stats(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
     picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"))]
     box = q.groupBy(*group).agg(*picks)
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    joined = df.join(small_side(settle(box)), list(group))
+    named = box.withColumnsRenamed({g: f"_box_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_box_{g}"))
+    joined = df.join(small_side(settle(named)), same)
     inside = (F.col(column) >= F.col("q1") - reach) & (F.col(column) <= F.col("q3") + reach)
     return joined.groupBy(*group).agg(
         *[F.max(c).alias(c) for c in ("q1", "med", "q3")],
@@ -54,7 +58,7 @@ def flag_union(facts: DataFrame, key: str, code: str, constants: DataFrame) -> D
     The codes are folded before the join, so a key with very many rows is one row there.
     """
     folded = facts.groupBy(key).agg(F.array_sort(F.collect_set(code)).alias("codes"))
-    return folded.join(constants, key)
+    return folded.join(constants, key, "left")
 
 
 def extreme_rows(df: DataFrame, pick: Column, by: Column) -> DataFrame:

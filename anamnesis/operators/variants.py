@@ -86,7 +86,8 @@ def resample(
 
     ``weights`` holds (label, code, weight). Candidates are drawn by exponential keys -ln(u) / w
     (plain u when not weighted), with u from a hash of record and code, all inside the row: the
-    class list is joined to the record, and no record x code row is made.
+    class list is joined to the record, and no record x code row is made. A record whose class has
+    no weights keeps its codes.
     """
     lists = settle(weights.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("code", "weight"))).alias("_w")))
     joined = records.join(small_side(lists, 48, "_w"), label, "left")
@@ -99,7 +100,7 @@ def resample(
 
     drawn = F.slice(F.array_sort(F.transform("_w", draw)), F.lit(1), F.size(codes))
     picked = F.array_sort(F.transform(drawn, lambda d: d["code"]))
-    return joined.withColumn(codes, F.when(F.size(codes) > 0, picked).otherwise(F.col(codes))).drop("_w")
+    return joined.withColumn(codes, F.when(F.size(codes) > 0, F.coalesce(picked, F.col(codes))).otherwise(F.col(codes))).drop("_w")
 
 
 def at_least(records: DataFrame, codes: str, count: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import bayes as N
 from ..operators import ensembles as E
+from ..operators import features as L
 from ..operators.sizes import settle, small_side, store
 from . import roles as S
 from .registry import Tables, query
@@ -181,10 +182,26 @@ def m13(t: Tables) -> DataFrame:
     return rows.withColumn("mask", F.array_join("codes", ";")).join(small_side(rules, 256), "mask").select("row_id", "label", "pred")
 
 
+def record_vectors(t: Tables) -> tuple[DataFrame, list[str]]:
+    """Sparse design vectors with a numeric label, and the names of their positions."""
+    words = L.code_list(S.dictionary(t))
+    rows = store(L.ordinal(S.records(t).where(F.col("race").isNotNull()), "label", "y"), "records")
+    vectors = L.sparse_rows(rows, words).select("row_id", F.col("y").cast("double").alias("label"), "features")
+    return vectors, ["gender", "race", "age", *words]
+
+
+@query("m9_forest_on_records")
+def m9_records(t: Tables) -> DataFrame:
+    rows, _ = record_vectors(t)
+    scored = E.random_forest(trees=10, depth=6, seed=1).fit(rows).transform(rows)
+    return E.predictions(scored, "row_id")
+
+
 @query("m14_feature_importance")
 def m14(t: Tables) -> DataFrame:
-    model = E.random_forest(trees=20, depth=8, seed=1).fit(vectors(t))
-    return E.importances(t.spark, model, [f"x{i}" for i in range(64)])
+    rows, names = record_vectors(t)
+    model = E.random_forest(trees=10, depth=6, seed=1).fit(rows)
+    return E.importances(t.spark, model, names)
 
 
 @query("m15_grid_search")
