@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from ..functions import text as X
 from ..operators import bayes as N
 from ..operators import knowledge as J
 from ..operators import records as R
@@ -16,7 +15,7 @@ from ..sources import sinks, tables
 from . import roles as S
 from .models import composite, training
 from .registry import Tables, query
-from .roles import n64, r6
+from .roles import r6
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 

@@ -10,7 +10,7 @@ from ..streaming import incremental as I
 from . import roles as S
 from .models import BEST, feature_set, nb_sql, training
 from .registry import Tables, query
-from .roles import n64, r6
+from .roles import r6
 from .scans import compact
 
 RECORD = "row_id bigint, label string, age int, tokens array<string>"

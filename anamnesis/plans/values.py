@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codes as C
 from ..functions import maths as M
-from ..operators import rates as B
 from ..operators import records as R
 from ..operators import scores as K
 from ..operators.sizes import settle
