@@ -42,9 +42,18 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_WORDS).split()
 
 
-def grams(terms: list[bytes]) -> set[tuple[bytes, ...]]:
-    """Word triples; a shorter list is one gram."""
-    return {tuple(terms[i : i + GRAM]) for i in range(max(1, len(terms) - GRAM + 1))} if terms else set()
+def grams(terms: list[bytes], size: int = GRAM) -> set[tuple[bytes, ...]]:
+    """Runs of ``size`` words."""
+    return {tuple(terms[i : i + size]) for i in range(len(terms) - size + 1)}
+
+
+def overlap(part: list[bytes], passage: list[bytes]) -> float:
+    """Share of the part's word triples that stand in the passage; a shorter part is one gram, an empty one is always there."""
+    if not part:
+        return 1.0
+    size = min(GRAM, len(part))
+    own = grams(part, size)
+    return len(own & grams(passage, size)) / len(own)
 
 
 class Index:
@@ -54,7 +63,7 @@ class Index:
         """items: id, question words, answer words; frequency: items of the whole benchmark with the term."""
         items = sorted(items, key=lambda x: (len(x[1]) + len(x[2]), x[0]))  # blocks of about equal lengths have tight maxima
         self.ids = [i for i, _, _ in items]
-        self.parts = [(grams(q), grams(a)) for _, q, a in items]
+        self.parts = [(q, a) for _, q, a in items]
         self.longest = max(len(q) + len(a) for _, q, a in items)
         self.blocks = -(-len(items) // BLOCK_ITEMS)
         postings: dict[bytes, list[tuple[int, float]]] = {}
@@ -125,9 +134,8 @@ class Index:
         for p, k, s in zip(passage.tolist(), item.tolist(), score.tolist()):
             text = int(np.searchsorted(first_passage, p, "right")) - 1
             begin = (p - int(first_passage[text])) * half
-            there = grams(split[text][begin : begin + 2 * half])
-            asked, said = self.parts[k]
-            q, a = (len(g & there) / len(g) if g else 1.0 for g in (asked, said))
+            there = split[text][begin : begin + 2 * half]
+            q, a = (overlap(part, there) for part in self.parts[k])
             if q >= question and a >= answer:
                 pair = text, self.ids[k]
                 best[pair] = max(best.get(pair, (0.0, 0.0, 0.0)), (s, q, a))

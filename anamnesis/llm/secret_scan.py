@@ -123,6 +123,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: str = "source", owner: str | None = None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """Spans of every document: base patterns, and live-looking tokens that few owners have.
 
@@ -137,7 +141,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("base", F.filter("all", lambda s: s["kind"] < 3))
     return rows.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{KINDS[i]}") for i in range(3)],
+        *[F.size(F.filter("base", _of_kind(i))).cast("bigint").alias(f"n_{KINDS[i]}") for i in range(3)],
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(F.col("all")).alias("spans"),
         F.size(F.filter("all", lambda s: ~s["example"] & s["random"])).cast("bigint").alias("n_live"),

@@ -131,6 +131,7 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(prints: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked rows; groups are given by size and first row."""
+    prints = prints.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     small = sizes <= SMALL
     row_size = np.repeat(np.where(small, sizes, 0), sizes)

@@ -4,7 +4,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier:
 smaller id, or earlier in the same one. The suffixes of a corpus are too many to be sorted together,
 so they are dealt out first: the window of ``LENGTH`` bytes at a start is named by the least hash of
 its ``GRAM``-byte substrings. Equal windows have equal names, neighbouring windows mostly share one,
-and a name that occurs once in the corpus needs no further look. The stretches of text with a
+and a name that occurs once in the corpus, in a run that cannot repeat
+a window, needs no further look. The stretches of text with a
 repeated name meet in one task, which sorts their suffixes, takes the previous and the next smaller
 position of each in suffix order, and finds the longest factor that also starts earlier.
 
@@ -27,6 +28,8 @@ from .texts import flat, ragged, utf8
 
 LENGTH = 100
 GRAM = 32
+#: Grams of a window.
+GRAMS = LENGTH - GRAM + 1
 #: Starts of one stretch; longer runs of one name are cut.
 RUN = 256
 #: Stretches of one name that one task sorts.
@@ -74,42 +77,56 @@ def gram_hashes(data: np.ndarray, length: int, kind: int = 0) -> np.ndarray:
     return whole ^ (whole >> np.uint64(32))
 
 
-def window_names(data: np.ndarray) -> np.ndarray:
-    """Least hash of the grams of each window of ``LENGTH`` bytes."""
-    least = gram_hashes(data, GRAM)
-    width, size = LENGTH - GRAM + 1, 1
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    size = 1
     while size * 2 <= width:
-        least = np.minimum(least[:-size], least[size:])
+        values = np.minimum(values[:-size], values[size:])
         size *= 2
     rest = width - size
-    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def named_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts of one name: row, first start in the row, number of starts, name."""
-    rows, firsts, sizes, names = [], [], [], []
+def window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least hash of the grams of each window of ``LENGTH`` bytes, and whether several of its grams have it.
+
+    The last seven bits of a hash make way for the gram's position, once rising and once falling:
+    a window is narrower than 128 grams, so both least values name one position or there are several.
+    """
+    hashed = gram_hashes(data, GRAM) & ~np.uint64(127)
+    spot = np.arange(len(hashed), dtype=np.uint64) & np.uint64(127)
+    low = _sliding_least(hashed | spot, GRAMS)
+    high = _sliding_least(hashed | (np.uint64(127) - spot), GRAMS)
+    return low & ~np.uint64(127), (low & np.uint64(127)) + (high & np.uint64(127)) != 127
+
+
+def named_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts of one name: row, first start in the row, number of starts, name, and if a window may come twice in the run."""
+    rows, firsts, sizes, names, twice = [], [], [], [], []
     for at in range(0, len(data) - LENGTH + 1, STRETCH):
-        name = window_names(data[at : at + STRETCH + LENGTH - 1])
+        name, several = window_names(data[at : at + STRETCH + LENGTH - 1])
         start = np.arange(at, at + len(name))
         row = np.searchsorted(offsets, start, "right") - 1
         inside = start + LENGTH <= offsets[row + 1]
-        start, row, name = start[inside], row[inside], name[inside]
+        start, row, name, several = start[inside], row[inside], name[inside], several[inside]
         if not len(start):
             continue
         begin = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (name[1:] != name[:-1])]))
         size = np.diff(np.concatenate([begin, [len(start)]]))
+        # Equal windows have the gram at the same offset: two of one run need it twice in a window, or a run beyond the reach of one gram.
+        again = (size > GRAMS) | np.logical_or.reduceat(several, begin)
         pieces = -(-size // RUN)
         if (pieces > 1).any():
             cut = ragged(np.zeros(len(size), np.int64), pieces) * RUN
             whole = np.repeat(size, pieces)
-            begin, size = np.repeat(begin, pieces) + cut, np.minimum(RUN, whole - cut)
+            begin, size, again = np.repeat(begin, pieces) + cut, np.minimum(RUN, whole - cut), np.repeat(again, pieces)
         rows.append(row[begin])
         firsts.append(start[begin] - offsets[row[begin]])
         sizes.append(size)
         names.append(name[begin])
+        twice.append(again)
     if not rows:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    return np.concatenate(rows), np.concatenate(firsts), np.concatenate(sizes), np.concatenate(names)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
+    return tuple(np.concatenate(x) for x in (rows, firsts, sizes, names, twice))
 
 
 def place(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -125,10 +142,10 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, count in _row_groups(batch.column(2)):
             part = batch.slice(at, count)
-            row, first, size, name = named_runs(*flat(part.column(2)))
+            row, first, size, name, again = named_runs(*flat(part.column(2)))
             ids = part.column(0).to_numpy(zero_copy_only=False)
             keys = part.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[row]), pa.array(place(keys[row], first, size))], ["name", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[row]), pa.array(place(keys[row], first, size)), pa.array(1 + again.astype(np.int32))], ["name", "doc", "at", "weight"])
 
 
 def _row_groups(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -319,10 +336,10 @@ def repeated_runs(texts: DataFrame, most: int = MOST) -> DataFrame:
     ``texts``: ``doc, key, data``; places are ordered by ``doc``, then ``key`` (tells texts with one id apart), then start.
     """
     count = partitions(texts)
-    names = texts.mapInArrow(_names, "name bigint, doc bigint, at bigint")
+    names = texts.mapInArrow(_names, "name bigint, doc bigint, at bigint, weight int")
     # Written once: the counts are read again by the join, and tell whether a name is hot at all.
-    counts = store(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", (F.col("n") > most).alias("hot")), "names")
-    found = names.join(counts, "name").groupBy("doc").agg(F.collect_list(F.struct("name", "at", "hot")).alias("found"))
+    counts = store(names.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1").select("name", (F.col("n") > most).alias("hot")), "names")
+    found = names.select("name", "doc", "at").join(counts, "name").groupBy("doc").agg(F.collect_list(F.struct("name", "at", "hot")).alias("found"))
 
     def stretches(hot: bool) -> DataFrame:
         own = texts.join(found, "doc").select("doc", "key", "data", "found")

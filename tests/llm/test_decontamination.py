@@ -8,6 +8,12 @@ from anamnesis.llm import decontamination as dc
 from tests.llm.common import frame, given
 
 
+def standing(part, passage):
+    size = min(3, len(part))
+    own = {tuple(part[i : i + size]) for i in range(len(part) - size + 1)}
+    return sum(any(passage[i : i + size] == list(g) for i in range(len(passage))) for g in own) / len(own) if part else 1.0
+
+
 def expected(rows, items):
     """Every passage against every item, without an index."""
     parts = {i: dc.halves_of(dc.words((t or "").encode())) for i, t in items}
@@ -26,9 +32,10 @@ def expected(rows, items):
                 terms = Counter(q + a)
                 score = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (dc.K1 + 1) / (c + dc.K1 * (1 - dc.B + dc.B * len(q + a) / mean)) for t, c in terms.items()}
                 share = sum(s for t, s in score.items() if t in set(passage)) / sum(score.values())
-                there = dc.grams(passage)
-                oq, oa = (len(dc.grams(x) & there) / len(dc.grams(x)) if x else 1.0 for x in (q, a))
-                if share >= dc.THRESHOLD - 1e-9 and oq >= dc.QUESTION and oa >= dc.ANSWER:
+                if share < dc.THRESHOLD - 1e-9:
+                    continue
+                oq, oa = (standing(x, passage) for x in (q, a))
+                if oq >= dc.QUESTION and oa >= dc.ANSWER:
                     out[doc, i] = max(out.get((doc, i), (0, 0, 0)), (share, oq, oa))
     return out
 

@@ -54,7 +54,7 @@ def test_hot_names_and_small_steps(spark):
 def test_hash_stretches(monkeypatch):
     data = np.frombuffer(("".join(random.Random(4).choice("abc") for _ in range(2000)) + "q" * 700).encode(), np.uint8)
     offsets = np.array([0, 50, 50, 1200, 2700])
-    names = lambda: {(r, f + i, n) for r, f, s, n in zip(*(x.tolist() for x in sx.named_runs(data, offsets))) for i in range(s)}
+    names = lambda: {(r, f + i, n) for r, f, s, n, _ in zip(*(x.tolist() for x in sx.named_runs(data, offsets))) for i in range(s)}
     whole = names()
     monkeypatch.setattr(sx, "STRETCH", 64)
     assert names() == whole and len(whole) == (1150 - 99) + (1500 - 99)
