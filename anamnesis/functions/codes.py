@@ -61,9 +61,10 @@ def age_on(birth: Column, day: str) -> Column:
 
 
 def bit_mask(indices: Column) -> Column:
-    """Bits set at the given positions (at most ``MASK_BITS`` of them); repeats do not carry."""
+    """Bits set at the given positions; repeats do not carry. A position from ``MASK_BITS`` on is an error: it has no bit of its own."""
+    fits = F.transform(indices, lambda i: F.when(i < MASK_BITS, i).otherwise(F.raise_error(F.lit(f"a mask has {MASK_BITS} bits"))))
     return F.aggregate(
-        F.array_distinct(indices),
+        F.array_distinct(fits),
         F.lit(0).cast("bigint"),
         lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))),
     )

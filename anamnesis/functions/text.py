@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Patterns of the text cells, as they stand in the definition files.
-PERCENT_PATTERN = r"^([0-9]*[.|,])?([0-9]+)%?\-?([0-9]*[.|,])?([0-9]+)?%?"
-NAMED_PERCENT_PATTERN = r"([\w\s]+)\(([0-9]*[.|,])?([0-9]+)%?\)"
+# Cells of the definition sheets: numbers with decimal comma or point, ranges, and an optional percent sign.
+NUMBER = r"(\d+(?:[.,]\d+)?)"
+PERCENT_CELL = rf"^{NUMBER}%?(?:-{NUMBER}%?)?"
+NAMED_CELL = rf"([\w\s]+)\({NUMBER}%?(?:-{NUMBER}%?)?\)"
 ATTRIBUTE_NAME_PATTERN = r"^(.*)-nlice-(.*)-(.*)$"
 ATTRIBUTE_MARK = "nlice"
-PAIR_PATTERN = r"(\d{1,2})\|(\d{1,3})"
+PAIR_PATTERN = r"(\d+)\|(\d+)"
 MALE_AFTER = r"(?i)\bmales?\s*[:(]?\s*([0-9]+(?:[.,][0-9]+)?)\s*%"
 MALE_BEFORE = r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*%\s*males?\b"
 FEMALE_AFTER = r"(?i)\bfemales?\s*[:(]?\s*([0-9]+(?:[.,][0-9]+)?)\s*%"
@@ -43,28 +44,21 @@ def likelihood(text: Column) -> Column:
     return F.split_part(F.trim(text), F.lit("x"), F.lit(1)).try_cast("double")
 
 
-def _decimal(whole: Column, tail: Column) -> Column:
-    """Join the optional ``12,`` and the digits after it into one number; '' stays NULL."""
-    digits = F.concat(F.regexp_replace(whole, "[|,]", "."), tail)
-    return F.when(tail == "", None).otherwise(digits.try_cast("double"))
-
-
 def percent_max(cell: Column) -> Column:
     """Upper end of ``10%``, ``8,5%`` or ``10-20%``; ``n/a`` is 0, anything else NULL."""
     text = F.regexp_replace(cell, r"\s+", "")
-    part = [F.regexp_extract(text, PERCENT_PATTERN, i) for i in (1, 2, 3, 4)]
-    low, high = _decimal(part[0], part[1]), _decimal(part[2], part[3])
+    low, high = (_number(F.regexp_extract(text, PERCENT_CELL, i)) for i in (1, 2))
     return F.when(cell == "n/a", F.lit(0.0)).otherwise(F.greatest(low, high))
 
 
 def named_percentages(cell: Column) -> Column:
-    """All ``name (12,5%)`` pairs of a cell as a map from slug to number."""
-    whole = F.regexp_extract_all(cell, F.lit(NAMED_PERCENT_PATTERN), F.lit(2))
-    tail = F.regexp_extract_all(cell, F.lit(NAMED_PERCENT_PATTERN), F.lit(3))
+    """All ``name (12,5%)`` pairs of a cell as a map from slug to number; of a range the upper end."""
+    low = F.regexp_extract_all(cell, F.lit(NAMED_CELL), F.lit(2))
+    high = F.regexp_extract_all(cell, F.lit(NAMED_CELL), F.lit(3))
     names = F.transform(
-        F.regexp_extract_all(cell, F.lit(NAMED_PERCENT_PATTERN), F.lit(1)), lambda n: symptom_key(n)
+        F.regexp_extract_all(cell, F.lit(NAMED_CELL), F.lit(1)), lambda n: symptom_key(n)
     )
-    entries = F.zip_with(names, F.zip_with(whole, tail, _decimal), lambda n, v: F.struct(n.alias("k"), v.alias("v")))
+    entries = F.zip_with(names, F.zip_with(low, high, lambda a, b: F.coalesce(_number(b), _number(a))), lambda n, v: F.struct(n.alias("k"), v.alias("v")))
     # A name given twice keeps its last value.
     keys = F.array_distinct(names)
     last = F.zip_with(

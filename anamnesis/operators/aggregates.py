@@ -45,11 +45,11 @@ def box_stats(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
 
 
 def size_bands(df: DataFrame, label: str) -> DataFrame:
-    """Class sizes with their distance from the mean size in whole standard deviations."""
+    """Class sizes with their distance from the mean size in whole standard deviations; NULL where all sizes are equal."""
     sizes = settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
     stats = sizes.agg(F.struct(F.avg("n").alias("m"), F.stddev_samp("n").alias("s")).alias("s")).scalar()
     work = sizes.withColumn("_s", stats)
-    return work.withColumn("band", F.floor((F.col("n") - F.col("_s.m")) / F.col("_s.s")).cast("bigint")).drop("_s")
+    return work.withColumn("band", F.floor(F.try_divide(F.col("n") - F.col("_s.m"), F.col("_s.s"))).cast("bigint")).drop("_s")
 
 
 def flag_union(facts: DataFrame, key: str, code: str, constants: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _finish(pairs: DataFrame, width: Column) -> DataFrame:
     dot, common = F.col("dot"), F.col("common")
     return pairs.select(
         *[c for c in ("a", "b", "other") if c in pairs.columns],
-        (1 - dot / F.sqrt(F.col("_sq_a")) / F.sqrt(F.col("_sq_b"))).alias("cosine"),
+        (1 - F.try_divide(F.try_divide(dot, F.sqrt(F.col("_sq_a"))), F.sqrt(F.col("_sq_b")))).alias("cosine"),
         ((F.col("_nz_a") + F.col("_nz_b") - 2 * common) / width).alias("hamming"),
         F.sqrt(F.greatest(F.lit(0.0), F.col("_sq_a") + F.col("_sq_b") - 2 * dot)).alias("euclidean"),
         ((F.col("_sum_a") + F.col("_sum_b") - 2 * dot) / width).alias("variability"),

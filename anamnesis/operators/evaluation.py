@@ -64,7 +64,7 @@ def averaged_scores(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def auc_one_vs_rest(scored: DataFrame, label: str) -> DataFrame:
     """(cand, positives, auc): rank-sum area per class, ties counted half.
 
-    ``top`` must hold all classes. Rows are first counted per class and distinct score; that table
+    ``top`` must hold all classes. A class without positive or without negative rows has a NULL area. Rows are first counted per class and distinct score; that table
     is written once, and the running sum sees each score once.
     """
     flat = scored.select(F.col(label).alias("_l"), F.explode("top").alias("t")).select("_l", F.col("t.label").alias("cand"), F.col("t.p").alias("p"))
@@ -77,7 +77,7 @@ def auc_one_vs_rest(scored: DataFrame, label: str) -> DataFrame:
         F.max("negatives").alias("negatives"),
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"),
     )
-    return sums.select("cand", "positives", (F.col("u") / F.col("positives") / F.col("negatives")).alias("auc"))
+    return sums.select("cand", "positives", F.try_divide(F.try_divide("u", "positives"), F.col("negatives")).alias("auc"))
 
 
 def auc_pairs(scored: DataFrame, label: str) -> DataFrame:
@@ -97,7 +97,7 @@ def auc_pairs(scored: DataFrame, label: str) -> DataFrame:
     sums = below.groupBy("cand", "rival").agg(
         F.sum("pos").alias("positives"), F.max("negatives").alias("negatives"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u")
     )
-    one = sums.select(F.least("cand", "rival").alias("a"), F.greatest("cand", "rival").alias("b"), (F.col("u") / F.col("positives") / F.col("negatives")).alias("auc"))
+    one = sums.select(F.least("cand", "rival").alias("a"), F.greatest("cand", "rival").alias("b"), F.try_divide(F.try_divide("u", "positives"), F.col("negatives")).alias("auc"))
     return one.groupBy("a", "b").agg(F.avg("auc").alias("auc"))
 
 

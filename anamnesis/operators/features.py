@@ -23,16 +23,16 @@ def code_vector(rows: DataFrame, codes: str, words: Sequence[str], out: str) ->
 
 
 def sparse_rows(rows: DataFrame, words: Sequence[str], codes: str = "codes", out: str = "features") -> DataFrame:
-    """[gender, race, age] ++ codes."""
-    work = code_vector(rows, codes, words, "_codes")
+    """[gender, race, age] ++ codes; an unknown race is 0."""
+    work = code_vector(rows, codes, words, "_codes").withColumn("race", F.coalesce("race", F.lit(0)))
     return VectorAssembler(inputCols=["gender", "race", "age", "_codes"], outputCol=out).transform(work).drop("_codes")
 
 
 def race_vector(rows: DataFrame, column: str = "race", out: str = "_race", width: int = 5) -> DataFrame:
-    """One-hot race, code 0 in the first position."""
-    fixed = OneHotEncoder(inputCols=[column], outputCols=[out], dropLast=False, handleInvalid="error")
+    """One-hot race, code 0 in the first position; all 0 for an unknown one."""
+    fixed = OneHotEncoder(inputCols=[column], outputCols=[out], dropLast=True, handleInvalid="keep")
     sample = rows.sparkSession.range(width).select(F.col("id").cast("double").alias(column))
-    return fixed.fit(sample).transform(rows.withColumn(column, F.col(column).cast("double")))
+    return fixed.fit(sample).transform(rows.withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(float(width)))))
 
 
 def one_hot_rows(rows: DataFrame, words: Sequence[str], scale_age: bool, codes: str = "codes", out: str = "features") -> DataFrame:
@@ -47,7 +47,7 @@ def valued_rows(rows: DataFrame, values: str, width: int, out: str = "features")
     numbers = F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(F.col(values), i), F.lit(0)).cast("double")
     )
-    work = rows.withColumn("_v", array_to_vector(numbers))
+    work = rows.withColumn("_v", array_to_vector(numbers)).withColumn("race", F.coalesce("race", F.lit(0)))
     return VectorAssembler(inputCols=["gender", "race", "age", "_v"], outputCol=out).transform(work).drop("_v")
 
 

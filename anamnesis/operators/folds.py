@@ -1,15 +1,12 @@
-"""Python functions over partitions and keys, with bounded memory."""
+"""Python functions over partitions, with bounded memory."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-PARTIAL_KEYS = 100_000
-
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a function to every Arrow batch of every partition."""
@@ -19,53 +16,3 @@ def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
             yield fn(batch)
 
     return df.mapInPandas(each, schema)
-
-
-def fold_by_key(
-    df: DataFrame,
-    key: str,
-    value: str,
-    initial: Any,
-    add: Callable[[Any, Any], Any],
-    merge: Callable[[Any, Any], Any],
-    schema: str,
-    open_keys: int = PARTIAL_KEYS,
-) -> DataFrame:
-    """Fold the values of each key with ``add`` inside partitions, then ``merge`` the partial results.
-
-    For folds no built-in aggregate expresses. A partition keeps about ``open_keys`` open keys
-    and passes on what it has when there are more, so a key reaches the merge as a few partial
-    results per partition, whatever its number of rows. ``schema`` names the key and the result.
-    """
-    result = schema.split(",")[1].split()[0]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[Any, Any] = {}
-        for batch in batches:
-            for k, v in zip(batch[key].tolist(), batch[value].tolist()):
-                held[k] = add(held.get(k, initial), v)
-            if len(held) > open_keys:
-                yield pd.DataFrame({key: list(held), result: list(held.values())})
-                held = {}
-        yield pd.DataFrame({key: list(held), result: list(held.values())})
-
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows of a key lie next to each other; the last key of a batch may go on in the next one.
-        open_key, total, started = None, None, False
-        for batch in batches:
-            keys, values = [], []
-            for k, v in zip(batch[key].tolist(), batch[result].tolist()):
-                if started and k == open_key:
-                    total = merge(total, v)
-                    continue
-                if started:
-                    keys.append(open_key)
-                    values.append(total)
-                open_key, total, started = k, v, True
-            if keys:
-                yield pd.DataFrame({key: keys, result: values})
-        if started:
-            yield pd.DataFrame({key: [open_key], result: [total]})
-
-    parts = df.select(key, value).mapInPandas(partial, schema)
-    return parts.repartition(key).sortWithinPartitions(key).mapInPandas(final, schema)

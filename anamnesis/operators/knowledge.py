@@ -125,7 +125,7 @@ def state_edges(states: DataFrame) -> DataFrame:
     return states.select("module", "state", F.explode(merged).alias("e")).select("module", "state", "e.next_state", "e.kind", "e.p")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, source: str, target: str, start: str, max_rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, source: str, target: str, start: str) -> DataFrame:
     """(start, node): all nodes that can be reached from each start, the start included.
 
     Breadth first to the fixpoint; each round joins only the nodes found last. Rounds are cut by
@@ -136,13 +136,12 @@ def reachable(edges: DataFrame, starts: DataFrame, source: str, target: str, sta
     steps = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
     found = starts.select(F.col(start).alias("start"), F.col(start).alias("node")).distinct()
     fresh = found
-    for _ in range(max_rounds):
+    while True:
         after = fresh.join(steps, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
         fresh = after.join(found, ["start", "node"], "left_anti").checkpoint()
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh).checkpoint()
-    raise RuntimeError(f"not closed after {max_rounds} rounds")
 
 
 # -- definition sheets ----------------------------------------------------------------------

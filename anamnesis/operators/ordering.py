@@ -30,7 +30,7 @@ def hash_unit(key: Column) -> Column:
 
 
 def value_buckets(df: DataFrame, column: str, out: str = "_bucket", buckets: int | None = None) -> DataFrame:
-    """Add the quantile range of a numeric column; NULL and NaN fall into the last one."""
+    """Add the quantile range of a numeric column: -1 for NULL, which sorts first, and a last one of its own for NaN."""
     if buckets is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(8, min(MAX_BUCKETS, 4 * parts))
@@ -39,7 +39,7 @@ def value_buckets(df: DataFrame, column: str, out: str = "_bucket", buckets: int
     splits = [float("-inf"), *sorted(set(cuts or [0.0])), float("inf")]
     work = df.withColumn("_v", F.col(column).cast("double"))
     work = Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(work)
-    return work.drop("_v").withColumn(out, F.col(out).cast("int"))
+    return work.drop("_v").withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
 
 
 def _group_keys(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -104,7 +104,10 @@ def value_rank(
     total: str = "n",
     descending: bool = False,
 ) -> DataFrame:
-    """1-based rank by a numeric column (ties broken by further columns), and the size of the group."""
+    """1-based rank by a numeric column (ties broken by further columns), and the size of the group.
+
+    NULL comes first, in descending order last.
+    """
     work = value_buckets(df, column)
     order: list[Column] = [F.col(column), *[F.col(c) for c in ties]]
     if descending:
@@ -120,7 +123,7 @@ def row_index(df: DataFrame, column: str, out: str = "Index") -> DataFrame:
 
 
 def forward_fill(df: DataFrame, order: str, columns: Sequence[str], suffix: str = "_filled") -> DataFrame:
-    """Last non-NULL value at or before each row, in the order of a unique numeric column."""
+    """Last non-NULL value at or before each row, in the order of a unique numeric column; rows with a NULL order come first."""
     work = value_buckets(df, order)
     last = work.groupBy("_bucket").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_l_{c}") for c in columns]

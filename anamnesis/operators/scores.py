@@ -11,13 +11,13 @@ from .sizes import settle
 
 
 def normalised(runs: DataFrame, columns: Sequence[str], suffix: str = "_norm") -> DataFrame:
-    """Add (x - min) / (max - min) of each column; the ends come from one aggregate."""
+    """Add (x - min) / (max - min) of each column, NULL for a constant one; the ends come from one aggregate."""
     runs = settle(runs)
     ends = runs.agg(F.struct(*[x for c in columns for x in (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))]).alias("e"))
     work = runs.withColumn("_e", ends.scalar())
     for c in columns:
         low, high = F.col(f"_e.{c}_a"), F.col(f"_e.{c}_b")
-        work = work.withColumn(c + suffix, (F.col(c) - low) / (high - low))
+        work = work.withColumn(c + suffix, F.try_divide(F.col(c) - low, high - low))
     return work.drop("_e")
 
 
@@ -53,10 +53,10 @@ def pareto_front(runs: DataFrame, score: str, cost: str) -> DataFrame:
 def shares(df: DataFrame, keys: Sequence[str], weight: str, scale: float = 1.0, out: str = "share") -> DataFrame:
     """weight / (scale * sum of the weights of the key); a key is one condition and attribute kind."""
     total = F.sum(weight).over(Window.partitionBy(*keys))
-    return df.withColumn(out, F.col(weight) / (F.lit(scale) * total))
+    return df.withColumn(out, F.try_divide(F.col(weight), F.lit(scale) * total))
 
 
 def standardised(df: DataFrame, column: str, out: str) -> DataFrame:
-    """(x - mean) / sample deviation."""
+    """(x - mean) / sample deviation; NULL for a constant column."""
     stats = df.agg(F.struct(F.avg(column).alias("m"), F.stddev_samp(column).alias("s")).alias("s")).scalar()
-    return df.withColumn("_s", stats).withColumn(out, (F.col(column) - F.col("_s.m")) / F.col("_s.s")).drop("_s")
+    return df.withColumn("_s", stats).withColumn(out, F.try_divide(F.col(column) - F.col("_s.m"), F.col("_s.s"))).drop("_s")

@@ -289,8 +289,8 @@ def d27(t: Tables) -> DataFrame:
 
 @query(
     "d28_target_size",
-    """WITH own AS (SELECT DISTINCT c_nationkey AS condition, p_brand AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 0.09 AND l_quantity >= 45),
+    """WITH own AS (SELECT DISTINCT c_nationkey AS condition, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 s AS (SELECT count(*) AS n FROM own GROUP BY condition)
 SELECT CAST(floor(avg(n)) AS BIGINT) AS mean_size, CAST(floor(floor(avg(n)) / 2) AS BIGINT) AS target FROM s""",
 )

@@ -15,14 +15,14 @@ from .registry import Tables, query
 from .roles import n64, r6
 
 WIDTH = "(SELECT count(*) FROM dic)"
-PAIRS = f"""{S.BASE}, cls AS (SELECT nation, count(*) AS n FROM rec WHERE age < 3 GROUP BY 1), p AS (SELECT nation, code, count(*) / any_value(n) AS p FROM rec JOIN sym USING (row_id) JOIN cls USING (nation) WHERE age < 3 GROUP BY 1, 2),
+PAIRS = f"""{S.BASE}, cls AS (SELECT nation, count(*) AS n FROM rec GROUP BY 1), p AS (SELECT nation, code, count(*) / any_value(n) AS p FROM rec JOIN sym USING (row_id) JOIN cls USING (nation) GROUP BY 1, 2),
 nz AS (SELECT nation, sum(p) AS s, sum(p * p) AS q, count(*) AS k FROM p GROUP BY 1),
 d AS (SELECT x.nation AS a, y.nation AS b, coalesce(sum(pa.p * pb.p), 0) AS dot, count(pb.p) AS common, any_value(x.s) AS sa, any_value(y.s) AS sb, any_value(x.q) AS qa, any_value(y.q) AS qb, any_value(x.k) AS ka, any_value(y.k) AS kb
   FROM nz x JOIN nz y ON x.nation < y.nation JOIN p pa ON pa.nation = x.nation LEFT JOIN p pb ON pb.nation = y.nation AND pb.code = pa.code GROUP BY 1, 2)"""
 
 
 def class_pairs(t: Tables) -> DataFrame:
-    rates = settle(B.class_rates(S.records(t).where(F.col("age") < 3), "nation", "codes"))
+    rates = settle(B.class_rates(S.records(t), "nation", "codes"))
     width = S.dictionary(t).agg(S.count_rows()).scalar()
     return D.class_distances(rates, "nation", "code", "rate", width)
 

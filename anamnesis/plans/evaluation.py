@@ -102,8 +102,12 @@ def n7(t: Tables) -> DataFrame:
     return scores.select("label", n64("support").alias("support"), n64(F.col("predicted") - F.col("tp")).alias("fp"), r6(F.col("precision")).alias("precision"))
 
 
+#: More than any label has: areas need the probabilities of all classes.
+ALL_CLASSES = 1 << 30
+
+
 def rounded_top(t: Tables) -> DataFrame:
-    rows = scored(t, "label")
+    rows = scored(t, "label", top=ALL_CLASSES)
     return rows.withColumn("top", F.transform("top", lambda s: F.struct(s["label"].alias("label"), F.round(s["p"], 9).alias("p"))))
 
 

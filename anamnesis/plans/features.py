@@ -18,7 +18,7 @@ CODES = "sym JOIN dic USING (code)"
 
 
 def base_rows(t: Tables) -> DataFrame:
-    return S.records(t).where(F.col("race").isNotNull())
+    return S.records(t)
 
 
 def words(t: Tables) -> list[str]:

@@ -155,36 +155,36 @@ def c9(t: Tables) -> DataFrame:
 
 @query(
     "c10_missing_symptoms",
-    """WITH own AS (SELECT DISTINCT c_nationkey AS nation, p_brand AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 0.09 AND l_quantity >= 45),
-vocab AS (SELECT DISTINCT p_brand AS code FROM part)
+    """WITH own AS (SELECT DISTINCT c_nationkey AS nation, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+vocab AS (SELECT DISTINCT p_name AS code FROM part)
 SELECT CAST(nation AS BIGINT) AS condition, code FROM (SELECT DISTINCT nation FROM own) CROSS JOIN vocab
 WHERE (nation, code) NOT IN (SELECT (nation, code) FROM own)""",
 )
 def c10(t: Tables) -> DataFrame:
     own = (
-        t.lineitem.where((F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 45))
+        t.lineitem
         .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("c_nationkey").alias("condition"), F.col("p_brand").alias("code"))
+        .select(F.col("c_nationkey").alias("condition"), F.col("p_name").alias("code"))
     )
-    vocabulary = t.part.select(F.col("p_brand").alias("code"))
+    vocabulary = t.part.select(F.col("p_name").alias("code"))
     return B.absent_codes(own, "condition", "code", vocabulary).select(n64("condition").alias("condition"), "code")
 
 
-CLASS_SETS = """own AS (SELECT DISTINCT c_nationkey AS condition, p_brand AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 0.09 AND l_quantity >= 45)"""
+CLASS_SETS = """own AS (SELECT DISTINCT c_nationkey AS condition, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
 def class_sets(t: Tables) -> DataFrame:
     """A sparse definition table: (condition, code)."""
     return (
-        t.lineitem.where((F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 45))
+        t.lineitem
         .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("c_nationkey").cast("int").alias("condition"), F.col("p_brand").alias("code"))
+        .select(F.col("c_nationkey").cast("int").alias("condition"), F.col("p_name").alias("code"))
         .distinct()
     )
 

@@ -185,7 +185,7 @@ def m13(t: Tables) -> DataFrame:
 def record_vectors(t: Tables) -> tuple[DataFrame, list[str]]:
     """Sparse design vectors with a numeric label, and the names of their positions."""
     words = L.code_list(S.dictionary(t))
-    rows = store(L.ordinal(S.records(t).where(F.col("race").isNotNull()), "label", "y"), "records")
+    rows = store(L.ordinal(S.records(t), "label", "y"), "records")
     vectors = L.sparse_rows(rows, words).select("row_id", F.col("y").cast("double").alias("label"), "features")
     return vectors, ["gender", "race", "age", *words]
 

@@ -9,13 +9,13 @@ from . import roles as S
 from .registry import Tables, query
 from .roles import n64
 
-TWO = f"""{S.BASE}, f AS (SELECT label, list(DISTINCT code) AS a FROM rec JOIN sym USING (row_id) WHERE source = 'F' AND age < 3 GROUP BY label),
-o AS (SELECT label, list(DISTINCT code) AS b FROM rec JOIN sym USING (row_id) WHERE source = 'O' AND age < 3 GROUP BY label)"""
+TWO = f"""{S.BASE}, f AS (SELECT label, list(DISTINCT code) AS a FROM rec JOIN sym USING (row_id) WHERE source = 'F' GROUP BY label),
+o AS (SELECT label, list(DISTINCT code) AS b FROM rec JOIN sym USING (row_id) WHERE source = 'O' GROUP BY label)"""
 
 
 def two_sets(t: Tables) -> DataFrame:
-    """Per class the codes two sources report of the youngest rows: (label, a, b)."""
-    flat = S.coded(t).where(F.col("age") < 3).select("label", "source", F.explode("codes").alias("code"))
+    """Per class the codes two sources report: (label, a, b)."""
+    flat = S.coded(t).select("label", "source", F.explode("codes").alias("code"))
     sides = flat.groupBy("label").agg(
         F.collect_set(F.when(F.col("source") == "F", F.col("code"))).alias("a"),
         F.collect_set(F.when(F.col("source") == "O", F.col("code"))).alias("b"),

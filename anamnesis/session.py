@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 _local_base: str | None = None
+_shipped: dict[str, bool] = {}
 
 
 def build_session(app: str = "anamnesis", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,7 +30,26 @@ def build_session(app: str = "anamnesis", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python workers need not have it installed."""
+    context = spark.sparkContext
+    if _shipped.get(context.applicationId):
+        return
+    _shipped[context.applicationId] = True
+    here = os.path.dirname(os.path.abspath(__file__))
+    held = os.path.join(tempfile.mkdtemp(prefix="code-"), f"{os.path.basename(here)}.zip")
+    with zipfile.ZipFile(held, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    context.addPyFile(held)
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -38,6 +60,8 @@ def shared_base(spark: SparkSession) -> str:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return _local_base

@@ -34,20 +34,24 @@ def read_csv(
 def read_chunks(spark: SparkSession, path: str, schema: StructType, mark: str) -> DataFrame:
     """Chunks of one file of which only the first has the header line: that line is dropped by its first cell."""
     text = StructType([StructField(f.name, StringType()) for f in schema.fields])
-    raw = read_csv(spark, path, text, header=False).where(F.col(schema.fields[0].name) != mark)
+    raw = read_csv(spark, path, text, header=False).where(~F.col(schema.fields[0].name).eqNullSafe(mark))
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_below_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """CSV whose files start with lines of free text.
 
-    The leading lines do not fit the schema and lie in the first block of a file; bad lines
-    elsewhere stay in the result, with their text in ``_corrupt``.
+    Lines that do not fit the schema go up to the first line of a file that does; bad lines after it
+    stay in the result, with their text in ``_corrupt``. The leading lines lie in the first block.
     """
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     raw = spark.read.schema(wide).option("header", "false").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
-    tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_start"))
-    return tagged.where(F.col(CORRUPT).isNull() | (F.col("_start") > 0)).drop("_start")
+    tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+    # Numbers rise along a block; one row a file.
+    firsts = tagged.where(F.col(CORRUPT).isNull() & (F.col("_start") == 0)).groupBy(F.col("_file").alias("_of")).agg(F.min(F.struct("_line", schema.fields[0].name))["_line"].alias("_first"))
+    placed = tagged.join(firsts, F.col("_file") == F.col("_of"), "left")
+    leading = F.col(CORRUPT).isNotNull() & (F.col("_start") == 0) & (F.col("_first").isNull() | (F.col("_line") < F.col("_first")))
+    return placed.where(~leading).drop("_start", "_file", "_line", "_of", "_first")
 
 
 def read_code_map(spark: SparkSession, path: str, key: str = "code", value: str = "name") -> DataFrame:

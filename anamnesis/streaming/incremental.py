@@ -84,16 +84,21 @@ def running_counts(stream: DataFrame, keys: Sequence[str | Column], path: str, c
 LINE_CELLS = {"GENDER": 1, "RACE": 2, "AGE": 4, "CONDITION": 6, "SYMPTOMS": 8}
 
 
+HEADER_CELL = "PATIENT"
+
+
 def parse_lines(lines: DataFrame, races: dict[str, int] | None = None) -> DataFrame:
-    """Text lines of the compact file as (gender, race, age, condition, codes); the header line drops out.
+    """Text lines of the compact file as (gender, race, age, condition, codes); only the header line drops out.
+
+    Cells may be quoted. A missing or bad age is NULL.
 
     Here M is 0 and everything else 1.
     """
-    cells = F.split("value", ",")
-    part = {name: F.get(cells, i) for name, i in LINE_CELLS.items()}
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(max(LINE_CELLS.values()) + 1)))
+    part = {name: cells[f"c{i}"] for name, i in LINE_CELLS.items()}
     age = part["AGE"].try_cast("int")
-    return lines.where(age.isNotNull()).select(
-        F.get(cells, 0).alias("patient"),
+    return lines.where(~cells["c0"].eqNullSafe(HEADER_CELL)).select(
+        cells["c0"].alias("patient"),
         F.when(part["GENDER"] == "M", 0).otherwise(1).alias("gender"),
         race_code(part["RACE"], races or RACE_CODES).alias("race"),
         age.alias("age"),

@@ -21,7 +21,7 @@ NAMES = [
     "e3_first_n_per_class", "e6_forward_fill", "f3_except", "g1_stratified_split", "g3_positional_split", "g6_holdout_folds", "g7_kfold",
     "g9_mixed_sources", "i9_mask_of_list", "j6_sheet_blocks", "k1_inject_connected_mean", "k2_inject_hashed_mean", "k5_resample_weighted",
     "l1_sparse_rows", "l9_nominal_default", "m6_composite_top5", "m13_rule_table", "n2_top_n", "n8_auc_one_vs_rest", "n10_threshold_sweep",
-    "n14_learning_curve", "o2_cosine_pairs", "o8_wasserstein", "p2_orphans", "p3_symptoms_not_allowed", "s1_incremental_fit", "u7_fold_by_key",
+    "n14_learning_curve", "o2_cosine_pairs", "o8_wasserstein", "p2_orphans", "p3_symptoms_not_allowed", "s1_incremental_fit", "u7_python_aggregate",
 ]
 
 

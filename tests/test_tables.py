@@ -88,13 +88,6 @@ def test_perturb_bounds(spark):
     assert all(1 < p < 100 for p in got.values())
 
 
-def test_fold_by_key_with_many_keys(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
-    got = {r.k: r.m for r in K.fold_by_key(df, "k", "v", 0, lambda a, v: a + v, lambda a, b: a + b, "k bigint, m bigint", 3).collect()}
-    want = df.groupBy("k").agg(F.sum("v").alias("m")).collect()
-    assert got == {r.k: r.m for r in want}
-
-
 def test_multiset_difference(spark):
     a = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "l string, n int")
     b = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "l string, n int")
