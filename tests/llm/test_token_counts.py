@@ -54,7 +54,7 @@ def same(df, rows):
 
 
 def test_rows(spark):
-    rows = [(1, None), (2, ""), (2, ""), (None, "word"), (3, " \n\t "), (4, "漢字 😀 a▁b ##x"), (5, "running " * 100_000), (6, "x" * 2000)]
+    rows = [(1, None), (2, ""), (2, ""), (None, "word"), (3, " \n\t "), (4, "漢字 😀 a▁b ##x"), (5, "running " * 20_000), (6, "x" * 400)]
     same(frame(spark, rows), rows)
     same(frame(spark, []), [])
 
