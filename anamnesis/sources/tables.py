@@ -47,8 +47,8 @@ def read_below_lines(spark: SparkSession, path: str, schema: StructType) -> Data
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     raw = spark.read.schema(wide).option("header", "false").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
     tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
-    # Numbers rise along a block; one row a file.
-    firsts = tagged.where(F.col(CORRUPT).isNull() & (F.col("_start") == 0)).groupBy(F.col("_file").alias("_of")).agg(F.min(F.struct("_line", schema.fields[0].name))["_line"].alias("_first"))
+    # Numbers rise along a block; one row a file. All cells are asked for: a cell that is not read cannot be bad.
+    firsts = tagged.where(F.col(CORRUPT).isNull() & (F.col("_start") == 0)).groupBy(F.col("_file").alias("_of")).agg(F.min(F.struct("_line", *[f.name for f in schema.fields]))["_line"].alias("_first"))
     placed = tagged.join(firsts, F.col("_file") == F.col("_of"), "left")
     leading = F.col(CORRUPT).isNotNull() & (F.col("_start") == 0) & (F.col("_first").isNull() | (F.col("_line") < F.col("_first")))
     return placed.where(~leading).drop("_start", "_file", "_line", "_of", "_first")
