@@ -36,8 +36,9 @@ RUN = 256
 MOST = 20_000
 #: Bytes hashed at a time, and bytes of stretches sorted at a time.
 STRETCH, SORTED = 1 << 20, 2 << 20
-NO_ID = -(1 << 63)
 KEY_BITS, RUN_BITS = 23, 9
+#: Documents without an id get one below all real ones, by the hash of their text.
+NO_ID, NO_ID_BITS = -(1 << 63), 40
 
 
 def _hash_tables() -> np.ndarray:
@@ -339,7 +340,7 @@ def repeated_runs(texts: DataFrame, most: int = MOST) -> DataFrame:
     names = texts.mapInArrow(_names, "name bigint, doc bigint, at bigint, weight int")
     # Written once: the counts are read again by the join, and tell whether a name is hot at all.
     counts = store(names.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1").select("name", (F.col("n") > most).alias("hot")), "names")
-    found = names.select("name", "doc", "at").join(counts, "name").groupBy("doc").agg(F.collect_list(F.struct("name", "at", "hot")).alias("found"))
+    found = names.select("name", "doc", "at").join(counts, "name").groupBy("doc").agg(F.collect_set(F.struct("name", "at", "hot")).alias("found"))
 
     def stretches(hot: bool) -> DataFrame:
         own = texts.join(found, "doc").select("doc", "key", "data", "found")
@@ -376,23 +377,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rest.update(data[end:a])
                     end = b
                 rest.update(data[end:])
-                rows.append((None if doc == NO_ID else doc, len(data), sum(b - a for a, b in spans), len(spans), rest.hexdigest()))
+                rows.append((None if doc < NO_ID + (1 << NO_ID_BITS) else doc, len(data), sum(b - a for a, b in spans), len(spans), rest.hexdigest()))
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     data = utf8(text_col)
-    key = F.shiftrightunsigned(F.xxhash64(data), 64 - KEY_BITS)
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), key.alias("key"), data.alias("data"))
+    hashed = F.xxhash64(data)
+    nameless = F.lit(NO_ID) + hashed.bitwiseAND(F.lit((1 << NO_ID_BITS) - 1))
+    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), nameless).alias("doc"), F.shiftrightunsigned(hashed, 64 - KEY_BITS).alias("key"), data.alias("data"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document.
 
-    NULL texts are empty, NULL ids come before all others. Texts with one id are ordered by a hash; rows with
-    the same id and text are one document, whose result is repeated.
+    NULL texts are empty. Documents without an id come before all others, each apart; they and texts with one id
+    are ordered by a hash. Rows with the same id and text are one document, whose result is repeated.
+    Ids of the least 2^40 whole numbers stand for NULL.
     """
     texts = keyed_texts(docs, id_col, text_col)
-    runs = repeated_runs(texts, most).groupBy("doc").agg(F.collect_list(F.struct("key", "first", "last")).alias("runs"))
+    runs = repeated_runs(texts, most).groupBy("doc").agg(F.collect_set(F.struct("key", "first", "last")).alias("runs"))
     return texts.join(runs, "doc", "left").select("doc", "key", "data", "runs").mapInArrow(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

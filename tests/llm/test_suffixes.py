@@ -87,3 +87,14 @@ def test_suffix_ranks():
     ok = [i for i in range(len(text) - 9)]
     assert sorted(ok, key=lambda i: (rank[i], i)) == sorted(ok, key=lambda i: (text[i : i + 10], i))
     assert (rank[len(text) - 9 :] == -1).all()
+
+
+def test_many_without_id(spark):
+    """They come before all others; of a shared passage one of them keeps its copy."""
+    rnd = random.Random(9)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    rows = [(None, f"{i} {shared}") for i in range(20)] + [(7, shared)]
+    got = sx.remove_repeats(frame(spark, rows)).collect()
+    assert [r["n_removed"] for r in got if r["doc_id"] == 7] == [300]
+    without = sorted(r["n_removed"] for r in got if r["doc_id"] is None)
+    assert len(without) == 20 and without[0] == 0 and without[1] >= 300
