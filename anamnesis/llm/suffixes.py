@@ -37,6 +37,8 @@ MOST = 20_000
 #: Bytes hashed at a time, and bytes of stretches sorted at a time.
 STRETCH, SORTED = 1 << 20, 2 << 20
 KEY_BITS, RUN_BITS = 23, 9
+#: Short names compress better in shuffles; those that fall together only cost a further look.
+NAME_BITS = 48
 #: Documents without an id get one below all real ones, by the hash of their text.
 NO_ID, NO_ID_BITS = -(1 << 63), 40
 
@@ -88,7 +90,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least hash of the grams of each window of ``LENGTH`` bytes, and whether several of its grams have it.
+    """Name of each window of ``LENGTH`` bytes, the low bits of the least hash of its grams, and whether several grams have that.
 
     The last seven bits of a hash make way for the gram's position, once rising and once falling:
     a window is narrower than 128 grams, so both least values name one position or there are several.
@@ -97,7 +99,7 @@ def window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     spot = np.arange(len(hashed), dtype=np.uint64) & np.uint64(127)
     low = _sliding_least(hashed | spot, GRAMS)
     high = _sliding_least(hashed | (np.uint64(127) - spot), GRAMS)
-    return low & ~np.uint64(127), (low & np.uint64(127)) + (high & np.uint64(127)) != 127
+    return low >> np.uint64(7) & np.uint64((1 << NAME_BITS) - 1), (low & np.uint64(127)) + (high & np.uint64(127)) != 127
 
 
 def named_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
