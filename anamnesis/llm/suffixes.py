@@ -182,26 +182,35 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np
     return rank
 
 
-def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each, -1 where there is none; by pointer jumping."""
+def previous_smaller(values: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Index of the nearest smaller value before each, -1 where there is none; by pointer jumping.
+
+    With groups (runs of equal numbers) a pointer that has left its group goes no further: it stands
+    outside, as the nearest smaller value does. So a long rising group is not walked through from behind it.
+    """
     link = np.arange(len(values)) - 1
-    while True:
-        behind = np.flatnonzero((link >= 0) & (values[np.maximum(link, 0)] > values))
-        if not len(behind):
-            return link
+    behind = np.arange(len(values))
+    while len(behind):
+        to = link[behind]
+        on = (to >= 0) & (values[to] > values[behind])
+        if group is not None:
+            on &= group[to] == group[behind]
+        behind = behind[on]
         link[behind] = link[link[behind]]
+    return link
 
 
 def repeated_starts(order: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Of suffixes with a place in the corpus and a rank of their first bytes: does the longest previous factor reach that far?
 
     In suffix order the earlier suffix with the longest common prefix is the nearest with a
-    smaller place before or behind; it shares the first bytes if its rank is the same.
+    smaller place before or behind; it shares the first bytes if its rank is the same. Beyond the
+    suffixes of one rank the common prefix is too short, so the search ends there.
     """
     by = np.lexsort((order, rank))
     place_, rank_ = order[by], rank[by]
-    before = previous_smaller(place_)
-    behind = len(by) - 1 - previous_smaller(place_[::-1])[::-1]
+    before = previous_smaller(place_, rank_)
+    behind = len(by) - 1 - previous_smaller(place_[::-1], rank_[::-1])[::-1]
     factor = (before >= 0) & (rank_[np.maximum(before, 0)] == rank_)
     factor |= (behind < len(by)) & (rank_[np.minimum(behind, len(by) - 1)] == rank_)
     out = np.zeros(len(by), bool)
