@@ -98,3 +98,11 @@ def test_many_without_id(spark):
     assert [r["n_removed"] for r in got if r["doc_id"] == 7] == [300]
     without = sorted(r["n_removed"] for r in got if r["doc_id"] is None)
     assert len(without) == 20 and without[0] == 0 and without[1] >= 300
+
+
+def test_repeated_starts_in_large_groups():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((1, 1), (40, 5), (400, 3)):
+        place, rank = rng.permutation(n), rng.integers(0, kinds, n)
+        want = [bool(((rank == rank[i]) & (place < place[i])).any()) for i in range(n)]
+        assert sx.repeated_starts(place, rank).tolist() == want
