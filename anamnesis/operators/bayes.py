@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .sizes import settle
+from .sizes import settle, store
 
 # Smoothing of the library classifiers and clamp of the hand-written one.
 ALPHA = 1.0
@@ -152,7 +152,7 @@ class BayesModel:
         """Add ``top``: array of (label, p) by falling p, ties by label; ``own``: p of the row's label.
 
         A model of checked size goes to the executors as a matrix and rows are scored where they
-        lie, without a shuffle. A larger one is joined, which needs the unique row ``key``.
+        lie, without a shuffle. A larger one is joined with the same answers; the caller allows that by naming a row ``key``.
         """
         if self.cells() <= DENSE_CELLS:
             return self._score_dense(rows, tokens, top, label)
@@ -218,48 +218,64 @@ class BayesModel:
         values = F.array(*[F.col(c).cast("double") for c in self.numbers]) if self.numbers else F.array().cast("array<double>")
         own = F.col(label).cast("string") if label else F.lit(None).cast("string")
         scored = rows.withColumn("_s", score(which, F.array_distinct(tokens), values, own))
-        return scored.withColumns({"top": F.col("_s.top"), "own": F.col("_s.own")}).drop("_s")
+        return scored.withColumns({"top": F.col("_s.top"), "own": F.col("_s.own") if label else F.lit(None).cast("double")}).drop("_s")
 
     def joint(self, rows: DataFrame, tokens: str, key: str) -> DataFrame:
-        """(key, label, s): joint log-likelihood of every class, by joins only."""
+        """(key, label, s): joint log-likelihood of every class, by joins only; ``key`` is unique. A class without a number has mean 0 and variance 1 in it."""
+        on = [*self.keys, "label"]
         stats = self.classes
         for j, name in enumerate(self.numbers):
-            g = self.gauss.where(F.col("feature") == name).select(*self.keys, "label", F.col("mean").alias(f"_m{j}"), F.col("var").alias(f"_v{j}"))
-            stats = stats.join(g, [*self.keys, "label"])
+            g = self.gauss.where(F.col("feature") == name).select(*on, F.col("mean").alias(f"_m{j}"), F.col("var").alias(f"_v{j}"))
+            stats = _null_safe(stats, g, on, "left").withColumns({f"_m{j}": F.coalesce(f"_m{j}", F.lit(0.0)), f"_v{j}": F.coalesce(f"_v{j}", F.lit(1.0))})
         fields = F.struct("label", "base", "rest", *[f"_{k}{j}" for j in range(len(self.numbers)) for k in "mv"])
-        held = rows.select(key, *self.keys, *self.numbers)
+        numbers = [F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(self.numbers)]
+        held = rows.select(key, *self.keys, *numbers)
         if self.keys:
-            held = held.join(stats.groupBy(*self.keys).agg(F.collect_list(fields).alias("_c")), list(self.keys))
+            held = _null_safe(held, stats.groupBy(*self.keys).agg(F.collect_list(fields).alias("_c")), self.keys, "left")
+            held = held.withColumn("_c", F.when(F.col("_c").isNotNull(), F.col("_c")).otherwise(F.raise_error(F.lit("no model has the keys of a row"))))
         else:
             held = held.withColumn("_c", stats.agg(F.collect_list(fields)).scalar())
-        known = self.dictionary.select("token")
+        known = self.dictionary.select("token").distinct()
         flat = rows.select(key, *self.keys, F.explode(F.array_distinct(tokens)).alias("token")).join(known, "token")
         count = flat.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
-        on = [*self.keys, "label"]
-        shift = self.weights.join(self.classes.select(*on, "rest"), on).select(*on, "token", (F.col("w") - F.col("rest")).alias("d"))
-        sums = flat.join(shift, [*self.keys, "token"]).groupBy(key, "label").agg(F.sum("d").alias("_d"))
+        shift = _null_safe(self.weights, self.classes.select(*on, "rest"), on).select(*on, "token", (F.col("w") - F.col("rest")).alias("d"))
+        sums = _null_safe(flat, shift, [*self.keys, "token"]).groupBy(key, "label").agg(F.sum("d").alias("_d"))
         wide = held.join(count, key, "left").select("*", F.explode("_c").alias("c")).drop("_c")
-        wide = wide.select(key, *self.numbers, "_k", "c.*").join(sums, [key, "label"], "left")
+        wide = _null_safe(wide.select(key, *[f"_x{j}" for j in range(len(self.numbers))], "_k", "c.*"), sums, [key, "label"], "left")
         s = F.col("base") + F.coalesce("_k", F.lit(0)) * F.col("rest") + F.coalesce("_d", F.lit(0.0))
-        for j, name in enumerate(self.numbers):
-            x, m, v = F.col(name).cast("double"), F.col(f"_m{j}"), F.col(f"_v{j}")
-            s = s + F.coalesce(-0.5 * F.ln(2 * np.pi * v) - (x - m) * (x - m) / (2 * v), F.lit(0.0))
+        for j in range(len(self.numbers)):
+            x, m, v = F.col(f"_x{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")
+            term = -0.5 * F.ln(2 * np.pi * v) - (x - m) * (x - m) / (2 * v)
+            s = s + F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.coalesce(term, F.lit(0.0)))
         return wide.select(key, "label", s.alias("s"))
 
     def score_joined(self, rows: DataFrame, tokens: str, key: str, top: int = 5, label: str | None = None) -> DataFrame:
-        """The same columns as ``score`` for a model of any size."""
-        joint = self.joint(rows, tokens, key)
+        """The same columns and answers as ``score`` for a model of any size.
+
+        Rows are numbered and written once, so a ``key`` that repeats or is NULL does not mix or lose rows.
+        """
+        rows = store(rows.drop("top", "own").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        joint = self.joint(rows, tokens, "_row")
         if label:
-            joint = joint.join(rows.select(key, F.col(label).cast("string").alias("_own")), key)
-        best = F.max("s").over(Window.partitionBy(key))
+            joint = joint.join(rows.select("_row", F.col(label).cast("string").alias("_own")), "_row")
+        best = F.max("s").over(Window.partitionBy("_row"))
         p = F.exp(F.col("s") - best)
-        ranked = joint.withColumn("p", p / F.sum(p).over(Window.partitionBy(key)))
-        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("s"), "label"))
+        ranked = joint.withColumn("p", p / F.sum(p).over(Window.partitionBy("_row")))
+        place = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("s"), F.asc_nulls_last("label")))
         item = F.when(F.col("_r") <= top, F.struct("_r", "label", "p"))
-        own = F.max(F.when(F.col("label") == F.col("_own"), F.col("p"))) if label else F.lit(None).cast("double")
-        folded = ranked.withColumn("_r", place).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_t"), own.alias("own"))
-        tops = folded.select(key, F.transform("_t", lambda t: F.struct(t["label"].alias("label"), t["p"].alias("p"))).alias("top"), "own")
-        return rows.join(tops, key)
+        own = F.max(F.when(F.col("label").eqNullSafe(F.col("_own")), F.col("p"))) if label else F.lit(None).cast("double")
+        folded = ranked.withColumn("_r", place).groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("_t"), own.alias("own"))
+        tops = folded.select("_row", F.transform("_t", lambda t: F.struct(t["label"].alias("label"), t["p"].alias("p"))).alias("top"), "own")
+        return rows.join(tops, "_row").drop("_row")
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names in which NULL equals NULL; they are taken from the left."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
 
 
 def _score_keyed(models: dict, which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array, top: int) -> pa.Array:

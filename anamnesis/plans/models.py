@@ -62,45 +62,45 @@ def best(scored: DataFrame) -> DataFrame:
 def m1(t: Tables) -> DataFrame:
     rows = training(t).withColumn("tokens", F.col("codes"))
     model = N.fit(rows, "label", "tokens", feature_set(t).where("token <> 'gender'"), spec=N.BayesSpec("clamp", prior="uniform", components=1))
-    return best(model.score(rows, "tokens", 1))
+    return best(model.score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m2_bernoulli_prior", f"{nb_sql(prior=1, gauss=False)} {BEST}")
 def m2(t: Tables) -> DataFrame:
     rows = training(t)
-    return best(N.fit(rows, "label", "tokens", feature_set(t), spec=N.BayesSpec(components=1)).score(rows, "tokens", 1))
+    return best(N.fit(rows, "label", "tokens", feature_set(t), spec=N.BayesSpec(components=1)).score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m2_bernoulli_uniform", f"{nb_sql(prior=0, gauss=False)} {BEST}")
 def m2_uniform(t: Tables) -> DataFrame:
     rows = training(t)
-    return best(N.fit(rows, "label", "tokens", feature_set(t), spec=N.BayesSpec(prior="uniform", components=1)).score(rows, "tokens", 1))
+    return best(N.fit(rows, "label", "tokens", feature_set(t), spec=N.BayesSpec(prior="uniform", components=1)).score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m3_gaussian", f"{nb_sql(prior=0, tokens=False)} {BEST}")
 def m3(t: Tables) -> DataFrame:
     rows = training(t)
-    return best(N.fit_gaussian(rows, "label", ["age"]).score(rows, "tokens", 1))
+    return best(N.fit_gaussian(rows, "label", ["age"]).score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m4_single_column_multinomial", f"{nb_sql(prior=2)} {BEST}")
 def m4(t: Tables) -> DataFrame:
     """A one-column multinomial part adds nothing but its prior: Bernoulli and race part."""
     rows = training(t)
-    return best(composite(t, rows).score(rows, "tokens", 1))
+    return best(composite(t, rows).score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m5_composite_three_parts", f"{nb_sql(prior=3)} {BEST}")
 def m5(t: Tables) -> DataFrame:
     rows = training(t)
     model = N.fit(rows, "label", "tokens", feature_set(t), ["age"], N.BayesSpec(components=3))
-    return best(model.score(rows, "tokens", 1))
+    return best(model.score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m6_composite_top5", f"{nb_sql(prior=2)} SELECT row_id, rank, cand AS label, round(p, 6) AS p FROM pr WHERE rank <= 5")
 def m6(t: Tables) -> DataFrame:
     rows = training(t)
-    flat = composite(t, rows).score(rows, "tokens", 5).select("row_id", F.posexplode("top"))
+    flat = composite(t, rows).score(rows, "tokens", 5, key="row_id").select("row_id", F.posexplode("top"))
     return flat.select("row_id", n64(F.col("pos") + 1).alias("rank"), "col.label", r6(F.col("col.p")).alias("p"))
 
 
@@ -123,7 +123,7 @@ def m7(t: Tables) -> DataFrame:
     sets = values.groupBy("id").agg(F.array_sort(F.collect_list(F.concat_ws("|", "p_brand", F.col("v").cast("string")))).alias("tokens"))
     rows = S.conditions(t).join(sets, F.col("row_id") == F.col("id"), "left")
     rows = rows.withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    return best(N.fit_categorical(rows, "label", "tokens").score(rows, "tokens", 1))
+    return best(N.fit_categorical(rows, "label", "tokens").score(rows, "tokens", 1, key="row_id"))
 
 
 @query("m8_partial_fit", f"{nb_sql(prior=2)} {BEST}")
@@ -133,7 +133,7 @@ def m8(t: Tables) -> DataFrame:
     batches = [rows.where(F.col("source") == s) for s in ("F", "O", "P")]
     parts = [N.statistics(b, "label", "tokens", ["age"]) for b in batches]
     counts, stats = N.merge_counts([c for c, _ in parts]), N.merge_moments([s for _, s in parts])
-    return best(N.fit_counts(counts, stats, feature_set(t), ["age"]).score(rows, "tokens", 1))
+    return best(N.fit_counts(counts, stats, feature_set(t), ["age"]).score(rows, "tokens", 1, key="row_id"))
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -214,7 +214,7 @@ def m16(t: Tables) -> DataFrame:
     """One model, fitted on the first source, applied to all named test sets in one pass."""
     rows = training(t)
     model = composite(t, rows.where("source = 'F'"))
-    scored = model.score(rows, "tokens", 1)
+    scored = model.score(rows, "tokens", 1, key="row_id")
     top = F.get("top", 0)
     return scored.select(F.col("source").alias("dataset"), "row_id", top["label"].alias("pred"), r6(top["p"]).alias("p"))
 
@@ -222,5 +222,5 @@ def m16(t: Tables) -> DataFrame:
 @query("m17_single_record", f"{nb_sql(prior=2)} SELECT rank, cand AS label, round(p, 6) AS p FROM pr WHERE row_id = 42 AND rank <= 5")
 def m17(t: Tables) -> DataFrame:
     rows = training(t)
-    one = composite(t, rows).score(rows.where("row_id = 42"), "tokens", 5).select(F.posexplode("top"))
+    one = composite(t, rows).score(rows.where("row_id = 42"), "tokens", 5, key="row_id").select(F.posexplode("top"))
     return one.select(n64(F.col("pos") + 1).alias("rank"), "col.label", r6(F.col("col.p")).alias("p"))

@@ -151,3 +151,45 @@ def test_learning_curve_counts(rows, words):
     assert len(curve) == 6 and (curve.groupby("level").n.sum() == 1200).all()
     assert curve.top_1.between(0, 1).all() and (curve.top_5 >= curve.top_1).all()
     assert isinstance(curve, pd.DataFrame)
+
+
+AWKWARD = [
+    (1, "a", ["w0", "w1"], 1.0), (1, "a", ["w0"], 3.0), (1, "b", ["w1", "w1"], 2.0), (None, "b", ["w2"], 5.0), (None, "a", None, 4.0), (2, None, ["w2", "w0"], 7.0),
+    (3, None, ["w2"], 9.0), (4, "none", ["w1", "w2"], None), (4, "none", ["w0", None, "unknown"], None), (5, "a", [], float("nan")), (5, "b", ["w1"], 2.0),
+]
+
+
+@pytest.mark.parametrize("keys", [[], ["fold"]])
+def test_large_model_gives_the_same_answers(spark, words, monkeypatch, keys):
+    """NULL and repeated row keys, a NULL class, a class without numbers, a NaN: the joins lose and mix nothing."""
+    data = [(*r, at, f) for f in (0, None) for at, r in enumerate(AWKWARD)]
+    rows = spark.createDataFrame(data, "id long, label string, tokens array<string>, age double, at int, fold int")
+    fitted = rows.where("not isnan(age) or age is null")
+    model = N.fit(fitted, "label", "tokens", words, ["age"], keys=keys)
+
+    def answers(label):
+        scored = model.score(rows, "tokens", 3, label, "id")
+        assert scored.columns == [*rows.columns, "top", "own"]
+        return {(r["at"], r["fold"]): (r["id"], [(x["label"], round(x["p"], 9)) for x in r["top"]], r["own"] and round(r["own"], 9)) for r in scored.collect()}
+
+    want = answers("label"), answers(None)
+    assert len(want[0]) == len(data) and all(own is not None for _, _, own in want[0].values())
+    monkeypatch.setattr(N, "DENSE_CELLS", 1)
+    assert (answers("label"), answers(None)) == want
+
+
+@pytest.mark.parametrize("name", ["m6_composite_top5", "n14_learning_curve"])
+def test_queries_score_large_models(spark, monkeypatch, name):
+    from anamnesis.plans import catalog
+
+    run = lambda: sorted(map(repr, (tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect())))
+    want = run()
+    monkeypatch.setattr(N, "DENSE_CELLS", 1)
+    assert run() == want
+
+
+def test_estimator_with_large_model(rows, words, monkeypatch):
+    model = M.CompositeNaiveBayes(labelCol="label", numberCols=["age"]).setDictionary(words).fit(rows)
+    want = {r["id"]: r["prediction"] for r in model.transform(rows).collect()}
+    monkeypatch.setattr(N, "DENSE_CELLS", 1)
+    assert {r["id"]: r["prediction"] for r in model.transform(rows).collect()} == want
