@@ -75,14 +75,16 @@ def has_bit(mask: Column, index: int) -> Column:
 
 
 def bits_to_number(bits: Column) -> Column:
-    """A 0/1 array read as a binary number, most significant bit first."""
-    text = F.array_join(F.transform(bits, lambda b: b.cast("string")), "")
+    """A 0/1 array read as a binary number, most significant bit first. More than ``MASK_BITS`` bits are an error."""
+    fits = F.when(F.size(bits) <= MASK_BITS, bits).otherwise(F.raise_error(F.lit(f"a number has {MASK_BITS} bits")))
+    text = F.array_join(F.transform(fits, lambda b: b.cast("string")), "")
     return F.conv(text, 2, 10).cast("bigint")
 
 
-def multi_hot(indices: Column, width: int) -> Column:
-    """0/1 array of the given width; meant for narrow report edges."""
-    return F.array(*[F.array_contains(indices, i).cast("int") for i in range(width)])
+def multi_hot(indices: Column, width: int | Column) -> Column:
+    """0/1 array of the given width, a number or the size of a dictionary; meant for narrow report edges."""
+    size = F.lit(width) if isinstance(width, int) else width.cast("int")
+    return F.transform(F.slice(F.sequence(F.lit(0), size), F.lit(1), size), lambda i: F.array_contains(indices, i).cast("int"))
 
 
 def hot_positions(bits: Column, names: Column) -> Column:

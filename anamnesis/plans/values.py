@@ -110,16 +110,17 @@ def i9(t: Tables) -> DataFrame:
     f"{S.BASE} SELECT row_id, CAST(sum(CAST(1 AS BIGINT) << CAST(24 - idx AS INTEGER)) AS BIGINT) AS number FROM sym JOIN dic USING (code) GROUP BY 1",
 )
 def i10(t: Tables) -> DataFrame:
-    sets = R.with_indices(S.reported(t), "codes", S.dictionary(t))
-    return sets.select("row_id", C.bits_to_number(C.multi_hot(F.col("idx"), 25)).alias("number"))
+    """As wide as the dictionary; one of more than 62 codes has no such number and is an error."""
+    sets = R.with_indices(S.reported(t), "codes", S.dictionary(t)).withColumn("width", S.dictionary(t).agg(S.count_rows()).scalar())
+    return sets.select("row_id", C.bits_to_number(C.multi_hot(F.col("idx"), F.col("width"))).alias("number"))
 
 
 @query("i11_nonzero_names", f"{S.BASE} SELECT row_id, array_to_string(codes, ';') AS codes FROM sets")
 def i11(t: Tables) -> DataFrame:
     names = S.dictionary(t).agg(F.array_sort(F.collect_list("code"))).scalar()
     bits = R.with_indices(S.reported(t), "codes", S.dictionary(t)).withColumn("names", names)
-    hot = C.hot_positions(C.multi_hot(F.col("idx"), 25), F.col("names"))
-    return bits.select("row_id", F.array_join(hot, ";").alias("codes"))
+    named = F.transform(F.array_sort(F.array_distinct("idx")), lambda i: F.get("names", i.cast("int")))
+    return bits.select("row_id", F.array_join(named, ";").alias("codes"))
 
 
 @query("i12_value_at_label", "SELECT vec_id, round(embedding[label + 1]::DOUBLE, 6) AS p FROM embeddings")
