@@ -56,15 +56,17 @@ def signature(data: bytes) -> int:
     return int((counts * 2 > n).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64)))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit number; zero for NULL and wordless texts."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as a signed 64-bit number; zero for NULL and wordless texts. ``hashed`` adds ``text_hash``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((signature(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            more = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *more], ["doc_id", "fp", "text_hash"][: 2 + len(more)])
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(sign, "doc_id bigint, fp bigint")
+    more = [F.xxhash64(text_col).alias("text_hash")] if hashed else []
+    return id_and_bytes(docs, id_col, text_col, *more).mapInArrow(sign, "doc_id bigint, fp bigint" + ", text_hash bigint" * hashed)
 
 
 class Golay:
@@ -268,6 +270,13 @@ def fingerprint_edges(prints: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     return edges.unionByName(paired.repartition(count, "pair").sortWithinPartitions("pair").mapInArrow(_compare_blocks, STARS).select("u", "v"))
 
 
+def _rooted(nodes: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``fp, first, root`` of stored distinct fingerprints: the root is the same in a component."""
+    roots = components(fingerprint_edges(nodes, key_rows))
+    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return store(joined, "rooted")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_rows: int = KEY_ROWS) -> DataFrame:
     """``doc_id, fingerprint, component_id``: fingerprints linked at up to four bits, components over all links.
 
@@ -277,9 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = store(signatures(docs, id_col, text_col), "signatures")
     nodes = store(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(fingerprint_edges(nodes, key_rows))
-    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    joined = store(joined, "rooted")
+    joined = _rooted(nodes, key_rows)
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = joined.join(least, "root").select("fp", "component_id")
     return signed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -288,12 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays, once.
 
+    Of rows with that id the one with the least text hash is taken, among those of the component only.
     Rows with a NULL id cannot be told apart by id and all stay.
     """
-    chosen = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col("component_id").alias("_kept")).distinct()
-    kept = docs.join(chosen, F.col(id_col) == F.col("_kept"), "left_semi")
+    signed = signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, hashed=True)
+    nodes = store(signed.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "nodes")
+    chosen = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_text"))
+    kept = docs.join(chosen, (F.col(id_col) == F.col("_kept")) & (F.xxhash64(text_col) == F.col("_kept_text")), "left_semi")
     from pyspark.sql import Window
 
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    order = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)
     one = kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
     return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -112,3 +112,17 @@ def test_representatives(spark):
     want = sorted({c for d, _, c in expected([r for r in rows if r[0] is not None])})
     got = [r["doc_id"] for r in kept.collect()]
     assert sorted(d for d in got if d is not None) == want and got.count(None) == 2
+
+
+def test_representatives_of_repeated_ids(spark):
+    """A text that copies nothing stays, whatever other texts carry its id."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(n))
+    rows, want = [], []
+    for i in range(0, 40, 2):
+        a, b, c = text(400), text(30), text(25)
+        near = a + " " + text(1)
+        assert (signature_by_hand(a) ^ signature_by_hand(near)).bit_count() <= 4
+        rows += [(i, a), (i + 1, near), (i + 1, b), (i + 1, b), (i + 1, c)]
+        want += [(i, a), (i + 1, b), (i + 1, c)]
+    assert sorted((r["doc_id"], r["text"]) for r in sh.representatives(frame(spark, rows)).collect()) == sorted(want)
