@@ -6,8 +6,9 @@ Passages whose block maxima stay below the threshold are passed over, block by b
 block-max WAND; only the others meet single items. What is retrieved is verified: enough
 word triples of the item's question and of its answer must stand in the passage.
 
-Passages are as long as two of the longest item and overlap by half, so an item that is copied
-whole lies whole in a passage. Items are indexed in lots of a bounded size; a lot is one pass.
+Passages are as long as two of the longest item of the benchmark and overlap by half, so an item that is
+copied whole lies whole in a passage. Items are indexed in lots of a bounded size; a lot is one pass,
+and what is found does not depend on the lots.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.sizes import store
 from .texts import ragged, utf8
 
 K1, B = 1.2, 0.75
@@ -59,12 +61,12 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
 class Index:
     """Postings of a lot of items, scores as shares of each item's own."""
 
-    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], frequency: dict[bytes, int], n_items: int, mean_length: float) -> None:
-        """items: id, question words, answer words; frequency: items of the whole benchmark with the term."""
+    def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], frequency: dict[bytes, int], n_items: int, mean_length: float, longest: int) -> None:
+        """items: id, question words, answer words; frequency: items of the whole benchmark with the term; longest: words of its longest item."""
         items = sorted(items, key=lambda x: (len(x[1]) + len(x[2]), x[0]))  # blocks of about equal lengths have tight maxima
         self.ids = [i for i, _, _ in items]
         self.parts = [(q, a) for _, q, a in items]
-        self.longest = max(len(q) + len(a) for _, q, a in items)
+        self.longest = longest
         self.blocks = -(-len(items) // BLOCK_ITEMS)
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for k, (_, question, answer) in enumerate(items):
@@ -148,37 +150,52 @@ def halves_of(terms: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     return terms[:cut], terms[cut:]
 
 
-def item_lots(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, lot_bytes: int = LOT_BYTES) -> list[Index]:
+def item_lots(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None, lot_bytes: int = LOT_BYTES) -> Iterator[Index]:
     """Indexes over all items, each of items with at most ``lot_bytes`` of text (one item at least).
 
     ``text_col`` holds the question, or question and answer where no ``answer_col`` is named. Items
-    without words are left out, a NULL answer is empty. Items come to the driver lot by lot;
-    the counts that BM25 needs are those of all items.
+    without words are left out, a NULL answer is empty. Items come to the driver lot by lot, with the
+    frequencies of the lot's terms; the counts that BM25 needs are those of all items, made by the executors.
     """
     answer = F.coalesce(F.col(answer_col).cast("binary"), F.lit(b"")) if answer_col else F.lit(b"")
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), utf8(text_col).alias("q"), answer.alias("a"))
 
-    def parsed(r) -> tuple[int, list[bytes], list[bytes]]:
-        question = words(bytes(r["q"]))
-        return (r["id"], question, words(bytes(r["a"]))) if answer_col else (r["id"], *halves_of(question))
-
-    frequency: Counter = Counter()
-    n = total = 0
-    lots: list[list] = [[]]
+    def parsed(q: bytes, a: bytes) -> tuple[list[bytes], list[bytes]]:
+        return (words(q), words(a)) if answer_col else halves_of(words(q))
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each item's terms, and its length beside a NULL."""
+        for batch in batches:
+            for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                both = [t for part in parsed(q, a) for t in part]
+                if both:
+                    own = [None, *{*both}]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([len(both)] * len(own), pa.int64())], ["term", "length"])
+
+    counted = rows.select("q", "a").mapInArrow(terms, "term binary, length bigint").groupBy("term")
+    counts = store(counted.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.max("length").alias("longest")), "item_terms")
+    whole = counts.where("term is null").first()
+    if whole is None:
+        return
+
+    def index(lot: list[tuple[int, list[bytes], list[bytes]]]) -> Index:
+        own = pa.table({"term": pa.array(list({t for _, q, a in lot for t in (*q, *a)}), pa.binary())})
+        found = counts.join(F.broadcast(benchmark.sparkSession.createDataFrame(own)), "term").select("term", "n").toArrow()
+        frequency = dict(zip(found["term"].to_pylist(), found["n"].to_pylist()))
+        return Index(lot, frequency, whole["n"], whole["total"] / whole["n"], whole["longest"])
+
+    lot: list[tuple[int, list[bytes], list[bytes]]] = []
     size = 0
     for r in rows.orderBy("id").toLocalIterator():
-        item = parsed(r)
-        if not item[1] and not item[2]:
+        question, reply = parsed(bytes(r["q"]), bytes(r["a"]))
+        if not question and not reply:
             continue
-        n += 1
-        total += len(item[1]) + len(item[2])
-        frequency.update({*item[1], *item[2]})
-        if lots[-1] and size + len(r["q"]) + len(r["a"]) > lot_bytes:
-            lots.append([])
-            size = 0
-        lots[-1].append(item)
+        if lot and size + len(r["q"]) + len(r["a"]) > lot_bytes:
+            yield index(lot)
+            lot, size = [], 0
+        lot.append((r["id"], question, reply))
         size += len(r["q"]) + len(r["a"])
-    return [Index(lot, frequency, n, total / n) for lot in lots if lot]
+    yield index(lot)
 
 
 def _slices(data: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -196,12 +213,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``doc_id, item_id, score, question_overlap, answer_overlap``: documents with a passage that gives away an item.
 
     The score is the largest share of the item's own BM25 score over the document's passages. NULL
-    and empty texts match nothing; an empty benchmark gives no rows. Repeated rows are searched each. No shuffle.
+    and empty texts match nothing; an empty benchmark gives no rows. Repeated rows are searched each. Documents are not shuffled.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(text_col).alias("data"))
     found = rows.select("doc_id").where(F.lit(False)).selectExpr("doc_id", "cast(null as bigint) item_id", "0D score", "0D question_overlap", "0D answer_overlap")
     for i, index in enumerate(item_lots(benchmark, item_id, item_text, answer_col, lot_bytes)):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index  # the broadcast is in a file; the driver holds one lot at a time
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -217,9 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no passage gives away an item; all columns stay. No shuffle."""
+    """The documents in which no passage gives away an item; all columns stay. Documents are not shuffled."""
     for index in item_lots(benchmark, **options):
         shared = docs.sparkSession.sparkContext.broadcast(index)
+        del index
         place = docs.columns.index(text_col)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:

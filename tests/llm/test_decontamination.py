@@ -103,3 +103,17 @@ def test_answer_column(spark):
     items = spark.createDataFrame([(1, "what colour has the sky", "blue of course"), (2, "who asks such things", None)], "item_id bigint, text string, answer string")
     docs = frame(spark, [(1, "what colour has the sky - blue of course"), (2, "what colour has the sky"), (3, "who asks such things")])
     assert set(found(docs, items, answer_col="answer")) == {(1, 1), (3, 2)}
+
+
+def test_lots_change_nothing(spark):
+    """A short item whose question and answer stand apart is found by the passages of the longest one, in its own lot, too."""
+    items = [(1, " ".join(f"long{i}" for i in range(40))), (2, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, "alpha long1 long2 kappa lambda mu")]
+    apart = " ".join(["alpha beta gamma delta epsilon zeta", *[f"filler{i}" for i in range(40)], "eta theta iota"])
+    rows = [(1, apart), (2, items[0][1]), (3, items[2][1]), (4, "nothing of these")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = expected(rows, items)
+    assert {(1, 2), (2, 1), (3, 3)} <= want.keys()
+    for lot_bytes in (dc.LOT_BYTES, 60, 1):
+        same(found(frame(spark, rows), benchmark, lot_bytes=lot_bytes), want)
+        assert [r["doc_id"] for r in dc.clean_documents(frame(spark, rows), benchmark, lot_bytes=lot_bytes).collect()] == [4]
+    assert len({id(x) for x in [*dc.item_lots(benchmark, lot_bytes=1)]}) == 3
