@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 QUANTILE_ACCURACY = 10_000
 
@@ -29,6 +31,39 @@ def id_buckets(df: DataFrame, id_col: str, count: int) -> DataFrame:
     return dealt.withColumn("_bucket", F.coalesce(F.col("_cut").cast("int"), F.lit(0))).drop("_key", "_cut")
 
 
+def spread_buckets(df: DataFrame, id_col: str, tie: Column, count: int) -> DataFrame:
+    """As ``id_buckets``, NULL ids first; an id (or NULL) that fills several buckets is dealt among them by a hash of ``tie``.
+
+    Buckets never fall as ids rise. Rows that are the same in id and ``tie`` stay together.
+    """
+    key = F.coalesce(F.col(id_col).cast("double"), F.lit(float("-inf")))
+    parts = [i / count for i in range(1, count)]
+    cuts = df.agg(F.percentile_approx(key, parts, max(QUANTILE_ACCURACY, 20 * count)).alias("c")).first()["c"] if parts else None
+    cuts = sorted(cuts or [])
+    if not cuts:
+        return df.withColumn("_bucket", F.lit(0))
+    values = sorted(set(cuts))
+    at_most = [0, *(bisect_right(cuts, v) for v in values)]
+    times = [1, *(cuts.count(v) if len(values) < len(cuts) else 1 for v in values)]
+    named = df.withColumn("_key", key)
+    finite = [v for v in values if v > float("-inf")]
+    below = len(values) - len(finite)  # 1 where NULL ids fill a bucket
+    if finite:
+        named = Bucketizer(splits=[-float("inf"), *finite, float("inf")], inputCol="_key", outputCol="_cut", handleInvalid="keep").transform(named)
+    else:
+        named = named.withColumn("_cut", F.lit(0.0))
+    # 1-based places in the tables: how many values are at most the key.
+    place = F.col("_cut").cast("int") + F.lit(1 + below)
+
+    def look_up(table: list, kind: str) -> Column:
+        return F.element_at(F.lit(table).cast(f"array<{kind}>"), place)
+
+    top = look_up(at_most, "int")
+    among = F.when(F.col("_key") == look_up([float("nan"), *values], "double"), look_up(times, "int")).otherwise(F.lit(1))
+    bucket = F.when(among > 1, top - among + F.pmod(F.xxhash64(tie), among + 1)).otherwise(top)
+    return named.withColumn("_bucket", bucket.cast("int")).drop("_key", "_cut")
+
+
 def with_followers(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` in id order within buckets, each bucket ended by the document that follows it.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, pieces, secret_scan, simhash, suffixes, token_counts, token_store, toxicity, url_rules
+from . import decontamination, fingerprints, packing, pieces, secret_scan, simhash, suffixes, token_counts, token_store, toxicity, url_rules
 from .texts import tables_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pieces")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -9,6 +9,7 @@ look-ups.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -21,48 +22,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.sizes import store
 from ..session import scratch_path
-from .orders import id_buckets, partitions
-from .texts import ragged
+from .kept import Kept
+from .orders import id_buckets, partitions, spread_buckets
+from .texts import flat, ragged
 
 END_ID = 1
 MAX_BITS = 18
 BLOCK_IDS = 1 << 16
 CHECKPOINT = 128
-#: Words whose ids a worker keeps; beyond it the table starts anew.
-KEPT_WORDS = 400_000
-
-
-class _Kept(dict):
-    """Values made on first use."""
-
-    def __init__(self, make: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.make(key)
-        return value
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, asked once for each distinct stretch between spaces.
+    """Ids of whole texts by the tokenizers library, asked once for each distinct part.
 
-    The tokenizer drops white space before it merges, so stretches are encoded apart with the same
-    ids. A stretch of plain letters, digits and signs is cut further where the tokenizer's pattern cuts it, and
-    its parts go to the model alone; every other stretch goes through the whole tokenizer.
+    A text of plain letters, digits, signs and blanks is cut where the tokenizer's own pattern cuts it, and the
+    parts go to the model alone. Any other text is cut at blanks, which the tokenizer drops before it merges;
+    its plain stretches go the same way, every other stretch through the whole tokenizer. Files whose normaliser
+    or pattern differs from those built in here are refused.
     """
 
-    PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*")
-    PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    PLAIN = re.compile(r"[\n\t\r -~À-ÖØ-öø-ÿ]*")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    #: The settings that PLAIN and PARTS stand for.
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        settings = json.loads(self.tokenizer.to_str())
+        cuts = settings["pre_tokenizer"]["pretokenizers"][0] if (settings["pre_tokenizer"] or {}).get("type") == "Sequence" else {}
+        if (settings["normalizer"] or {}).get("normalizers") != self.NORMALIZERS or cuts.get("pattern") != {"Regex": self.PATTERN}:
+            raise ValueError(f"{path}: not a word tokenizer with the settings that are built in here")
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.bytewise = _byte_letters()
-        self.known, self.parts = _Kept(self._stretch), _Kept(self._part)
+        self.known, self.parts = Kept(self._stretch), Kept(self._part)
 
     def _bytes(self, ids: list[int]) -> bytes:
         values = array(self.code, ids)
@@ -76,18 +72,15 @@ class WordEncoder:
 
     def _stretch(self, stretch: str) -> bytes:
         if self.PLAIN.fullmatch(stretch) and "<|" not in stretch:
-            low = stretch.lower()
-            if low.isascii() and low.isalpha():
-                return self.parts[low]
-            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(low)))
+            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(stretch.lower())))
         return self._bytes(self.tokenizer.encode(stretch, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        if len(self.parts) > KEPT_WORDS:
-            self.parts.clear()
+        self.known.trim()
+        self.parts.trim()
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
         for c in "\n\t\r":
             text = text.replace(c, " ")
         return b"".join(map(self.known.__getitem__, text.split(" ")))
@@ -180,7 +173,7 @@ class Decoder:
 
     def unpack(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> list[np.ndarray]:
         """Ids of blocks (bits, checkpoints, number of ids); all stretches of all blocks advance together."""
-        data = np.frombuffer(b"".join(b for b, _, _ in blocks), np.uint8).astype(np.uint32)
+        data = np.concatenate([np.frombuffer(b, np.uint8) for b, _, _ in blocks]).astype(np.uint32)
         words = np.zeros(len(data), np.uint32)
         for i in range(4):
             words[: len(data) - i] |= data[i:] << np.uint32(24 - 8 * i)
@@ -208,13 +201,20 @@ class Decoder:
         return result
 
 
+#: Rows without ``before`` end a bucket: ``n`` is its number of ids, ``ids`` its sparse counts.
 IDS = "_bucket int, doc_id bigint, before bigint, n bigint, ids binary"
 BLOCKS = "start bigint, n_ids bigint, doc_ids array<bigint>, doc_lengths array<bigint>, checkpoints array<bigint>, bits binary"
+COUNT = np.dtype([("id", "<i4"), ("n", "<i8")])
 
 
-def encoded_in_order(docs: DataFrame, encode: Callable[[str], bytes], width: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, before, n, ids`` in buckets of ascending ids; ``before`` counts the ids of the bucket's earlier documents."""
-    count = partitions(docs)
+def dealt_ids(
+    docs: DataFrame, encode: Callable[[str], bytes], width: int, end_id: int, id_col: str, text_col: str, buckets: int | None = None, spread: bool = False
+) -> DataFrame:
+    """``_bucket, doc_id, ids``: buckets of ascending ids, each in one partition and in order of id and token ids; a NULL text is empty.
+
+    With ``spread`` the rows of an id that fills several buckets are dealt among them by a hash of their texts.
+    """
+    count = buckets or partitions(docs)
     end = int(end_id).to_bytes(width, "little")
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,38 +222,63 @@ def encoded_in_order(docs: DataFrame, encode: Callable[[str], bytes], width: int
             ids = [encode(t or "") + end for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], ["_bucket", "doc_id", "ids"])
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, total = None, 0
-        for batch in batches:
-            before, n = [], [len(x.as_py()) // width for x in batch.column(2)]
-            for b, k in zip(batch.column(0).to_pylist(), n):
-                if b != bucket:
-                    bucket, total = b, 0
-                before.append(total)
-                total += k
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(before, pa.int64()), pa.array(n, pa.int64()), batch.column(2)], ["_bucket", "doc_id", "before", "n", "ids"])
-
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = id_buckets(texts, "doc_id", count).select("_bucket", "doc_id", "text").mapInArrow(ids_of, "_bucket int, doc_id bigint, ids binary")
-    ordered = dealt.repartitionById(count, F.col("_bucket")).sortWithinPartitions("_bucket", "doc_id", "ids")
-    return store(ordered.mapInArrow(number, IDS), "ids")
+    bucketed = spread_buckets(texts, "doc_id", F.col("text"), count) if spread else id_buckets(texts, "doc_id", count)
+    dealt = bucketed.select("_bucket", "doc_id", "text").mapInArrow(ids_of, "_bucket int, doc_id bigint, ids binary")
+    return dealt.repartitionById(count, F.col("_bucket")).sortWithinPartitions("_bucket", "doc_id", "ids")
 
 
-def id_counts(encoded: DataFrame, width: int) -> DataFrame:
-    """``id, n`` over all documents, counted in each task first."""
+def encoded_in_order(docs: DataFrame, encode: Callable[[str], bytes], width: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, before, n, ids`` in buckets of ascending ids; ``before`` counts the ids of the bucket's earlier documents.
+
+    After the documents of a bucket comes a row with its sum and its counts of ids, so nothing is read again to count.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, total, counts = None, 0, np.zeros(1 << 8 * min(width, 2), np.int64)
+
+        def summed() -> pa.RecordBatch:
+            used = np.flatnonzero(counts)
+            sparse = np.zeros(len(used), COUNT)
+            sparse["id"], sparse["n"] = used, counts[used]
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total], pa.int64()), pa.array([sparse.tobytes()], pa.binary())], names)
+
+        names = ["_bucket", "doc_id", "before", "n", "ids"]
+        for batch in batches:
+            data, offsets = flat(batch.column(2))
+            ids = data.view(f"<u{width}")
+            buckets = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if bucket is not None and buckets[a] != bucket:
+                    yield summed()
+                    total, counts = 0, np.zeros_like(counts)
+                bucket = int(buckets[a])
+                at = offsets[a : b + 1] // width
+                found = np.bincount(ids[at[0] : at[-1]])
+                if len(found) > len(counts):
+                    counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
+                counts[: len(found)] += found
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(total + at[:-1] - at[0]), pa.array(np.diff(at)), part.column(2)], names)
+                total += int(at[-1] - at[0])
+        if bucket is not None:
+            yield summed()
+
+    return store(dealt_ids(docs, encode, width, end_id, id_col, text_col).mapInArrow(number, IDS), "ids")
+
+
+def id_counts(sums: DataFrame) -> DataFrame:
+    """``id, n`` over all documents, from the sums of the buckets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"))
-                if len(found) > len(total):
-                    total, found = found, total
-                total[: len(found)] += found
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+            sparse = flat(batch.column(0))[0].view(COUNT)
+            yield pa.RecordBatch.from_arrays([pa.array(sparse["id"].astype(np.int64)), pa.array(sparse["n"].astype(np.int64))], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return sums.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -265,38 +290,43 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     """
     width = encoder(tokenizer).width
     encoded = encoded_in_order(docs, lambda text: encoder(tokenizer).encode(text), width, end_id, id_col, text_col)
-    counts = {r["id"]: r["n"] for r in id_counts(encoded, width).collect()}
+    sums = encoded.where("before is null")
+    counts = {r["id"]: r["n"] for r in id_counts(sums).collect()}
     table = np.zeros(max(counts, default=0) + 1, np.int64)
     table[list(counts)] = list(counts.values())
     lengths = code_lengths(table)
     spark = docs.sparkSession
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
-    sums = sorted((r["_bucket"], r["n"]) for r in encoded.groupBy("_bucket").agg(F.sum("n").alias("n")).collect())
     starts, total = {}, 0
-    for bucket, n in sums:
+    for bucket, n in sorted((r["_bucket"], r["n"]) for r in sums.select("_bucket", "n").collect()):
         starts[bucket] = total
         total += n
     codes = canonical_codes(lengths)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, doc_id, before, n = (c.to_pylist() for c in batch.columns[:4])
+            data, offsets = flat(batch.column(4))
+            ids, offsets = data.view(f"<u{width}"), offsets // width
+            bucket, before, n = (batch.column(i).to_pylist() for i in (0, 2, 3))
             at = 0
             while at < len(n):
                 end, size = at, 0
                 while end < len(n) and bucket[end] == bucket[at] and before[end] == before[at] + size and (end == at or size + n[end] <= BLOCK_IDS):
                     size += n[end]
                     end += 1
-                ids = np.frombuffer(b"".join(batch.column(4)[i].as_py() for i in range(at, end)), f"<u{width}").astype(np.int64)
-                bits, checkpoints = pack(ids, lengths, codes)
+                bits, checkpoints = pack(ids[offsets[at] : offsets[end]].astype(np.int64), lengths, codes)
+
+                def one_list(values: pa.Array) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([starts[bucket[at]] + before[at]]), pa.array([size]), pa.array([doc_id[at:end]], pa.list_(pa.int64())), pa.array([n[at:end]], pa.list_(pa.int64())), pa.array([checkpoints.tolist()], pa.list_(pa.int64())), pa.array([bits])],
+                    [pa.array([starts[bucket[at]] + before[at]]), pa.array([size]), *(one_list(batch.column(i).slice(at, end - at)) for i in (1, 3)), one_list(pa.array(checkpoints)), pa.array([bits])],
                     ["start", "n_ids", "doc_ids", "doc_lengths", "checkpoints", "bits"],
                 )
                 at = end
 
-    encoded.mapInArrow(block, BLOCKS).write.parquet(f"{path}/blocks")
+    encoded.where("before is not null").mapInArrow(block, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, digest: Callable[[np.ndarray], object], digest_type: str, arrow_type: pa.DataType) -> DataFrame:
@@ -311,15 +341,16 @@ def read_ids(spark: SparkSession, path: str, digest: Callable[[np.ndarray], obje
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                start, n_ids, doc_ids, doc_lengths, checkpoints, bits = (c.to_pylist() for c in part.columns)
-                rows = []
-                for s, docs, sizes, ids in zip(start, doc_ids, doc_lengths, decoder.unpack(list(zip(bits, checkpoints, n_ids)))):
-                    done = 0
-                    for doc, n in zip(docs, sizes):
-                        rows.append((doc, s + done, n, digest(ids[done : done + n])))
-                        done += n
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [arrow_type])], ["doc_id", "start", "n_tokens", "value"])
+                start, n_ids = (part.column(i).to_numpy() for i in (0, 1))
+                doc_ids, sizes, checkpoints = ([row.values for row in part.column(i)] for i in (2, 3, 4))
+                bits, edges = flat(part.column(5))
+                found = decoder.unpack([(bits[a:b], c.to_numpy(), n) for a, b, c, n in zip(edges, edges[1:], checkpoints, n_ids.tolist())])
+                starts, values = [], []
+                for s, n, ids in zip(start, sizes, found):
+                    ends = np.cumsum(n.to_numpy())
+                    starts.append(s + ends - n.to_numpy())
+                    values += [digest(x) for x in np.split(ids, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(doc_ids), pa.array(np.concatenate(starts)), pa.concat_arrays(sizes), pa.array(values, arrow_type)], ["doc_id", "start", "n_tokens", "value"])
 
     # A batch of few rows: each is a block of many ids.
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, f"doc_id bigint, start bigint, n_tokens bigint, value {digest_type}")
