@@ -15,17 +15,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .sizes import settle, store
+from .scoring import score_batch
+from .sizes import settle
 
 # Smoothing of the library classifiers and clamp of the hand-written one.
 ALPHA = 1.0
 CLAMP = 0.001
 VAR_SMOOTHING = 1e-9
-
-# A model with more cells than this (classes x tokens, 8 bytes each) is not sent to the executors;
-# rows are scored by joins instead.
-DENSE_CELLS = 4_000_000
-ROW_CHUNK = 1024
+# Classes x tokens of a block (8 bytes each); one class at least.
+BLOCK_CELLS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -129,7 +127,7 @@ class BayesModel:
     dictionary: DataFrame
     numbers: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
-    _dense: list = field(default_factory=list, repr=False, compare=False)
+    _sent: list = field(default_factory=list, repr=False, compare=False)
 
     # -- storage ------------------------------------------------------------------------
 
@@ -144,203 +142,96 @@ class BayesModel:
 
     # -- scoring ------------------------------------------------------------------------
 
-    def cells(self) -> int:
-        """Classes x tokens over all keyed models."""
-        return self.classes.agg(F.sum(F.greatest(F.col("words"), F.lit(1)))).first()[0] or 0
-
-    def score(self, rows: DataFrame, tokens: str, top: int = 5, label: str | None = None, key: str | None = None) -> DataFrame:
+    def score(self, rows: DataFrame, tokens: str, top: int = 5, label: str | None = None) -> DataFrame:
         """Add ``top``: array of (label, p) by falling p, ties by label; ``own``: p of the row's label.
 
-        A model of checked size goes to the executors as a matrix and rows are scored where they
-        lie, without a shuffle. A larger one is joined with the same answers; the caller allows that by naming a row ``key``.
+        The model goes to the executors in blocks of classes, and rows are scored where they lie, without a shuffle;
+        the answers do not depend on the size of the blocks. Row keys do not matter, so rows may repeat. A row whose model
+        key no model has is an error.
         """
-        if self.cells() <= DENSE_CELLS:
-            return self._score_dense(rows, tokens, top, label)
-        if key is None:
-            raise ValueError("a model of this size is scored by joins and needs the row key")
-        return self.score_joined(rows, tokens, key, top, label)
-
-    def _matrices(self) -> dict[str, dict]:
-        """Dense form of each keyed model; only called on a checked size. One job brings all tables."""
-        if self._dense:
-            return self._dense[0]
-        which = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys]).alias("which")
-
-        def part(kind: str, table: DataFrame, label, name, x, y) -> DataFrame:
-            columns = [F.lit(kind).alias("kind"), which if kind != "word" else F.lit("").alias("which")]
-            for alias, value, cast in (("label", label, "string"), ("name", name, "string"), ("x", x, "double"), ("y", y, "double")):
-                columns.append((F.col(value) if value else F.lit(None)).cast(cast).alias(alias))
-            return table.select(*columns)
+        own = F.col(label).cast("string") if label else F.lit(None).cast("string")
+        scored = rows.withColumn("_s", self._scorer("top array<struct<label:string,p:double>>, own double", top)(*self._inputs(tokens), own))
+        return scored.withColumns({"top": F.col("_s.top"), "own": F.col("_s.own") if label else F.lit(None).cast("double")}).drop("_s")
 
-        parts = [
-            part("class", self.classes, "label", None, "base", "rest"),
-            part("weight", self.weights, "label", "token", "w", None),
-            part("gauss", self.gauss, "label", "feature", "mean", "var"),
-            part("word", self.dictionary, None, "token", None, None),
-        ]
-        table = _union(parts).toArrow()
+    def log_probabilities(self, rows: DataFrame, tokens: str) -> DataFrame:
+        """Add ``log_p``: array of (label, log_p) of every class in label order."""
+        score = self._scorer("array<struct<label:string,log_p:double>>", None)
+        return rows.withColumn("log_p", score(*self._inputs(tokens), F.lit(None).cast("string")))
 
-        def rows(kind: str, name: str | None = None) -> pa.Table:
-            mask = pc.equal(table["kind"], kind)
-            return table.filter(mask if name is None else pc.and_(mask, pc.equal(table["which"], name)))
+    def _inputs(self, tokens: str) -> list[Column]:
+        which = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys])
+        values = F.array(*[F.col(c).cast("double") for c in self.numbers]) if self.numbers else F.array().cast("array<double>")
+        return [which, F.array_distinct(tokens), values]
+
+    def _scorer(self, returns: str, top: int | None):
+        blocks = self._blocks()
 
-        words = sorted(rows("word")["name"].to_pylist())
-        word_set = pa.array(words, pa.string())
+        @F.arrow_udf(returns)
+        def score(which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array) -> pa.Array:
+            return score_batch(blocks, which, words, numbers, own, top)
+
+        return score
+
+    def _blocks(self) -> list:
+        """The model as broadcasts of {key: classes, matrix, moments}, made one after the other; each has BLOCK_CELLS cells or one class."""
+        if self._sent:
+            return self._sent
+        context = self.classes.sparkSession.sparkContext
+        listed = self._named(self.classes).select("which", "label", "words").toArrow().sort_by([("which", "ascending"), ("label", "ascending")])
+        cells = np.maximum(1, listed["words"].to_numpy())
+        block, number, held = [], 0, 0
+        for n in cells.tolist():
+            if held and held + n > BLOCK_CELLS:
+                number, held = number + 1, 0
+            held += n
+            block.append(number)
+        words = pc.array_sort_indices(word := self.dictionary.select("token").toArrow()["token"].combine_chunks())
+        words = word.take(words)
+        for i in range(number + 1 if block else 0):
+            picked = listed.filter(pa.array(np.array(block) == i)).select(["which", "label"])
+            self._sent.append(context.broadcast(self._matrices(words, picked if number else None)))
+        return self._sent
+
+    def _named(self, table: DataFrame) -> DataFrame:
+        return table.withColumn("which", F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys]))
+
+    def _matrices(self, words: pa.Array, picked: pa.Table | None) -> dict[str, dict]:
+        """Dense form of the picked classes, or of all; one job brings all tables."""
+
+        def part(kind: str, table: DataFrame, name, x, y) -> DataFrame:
+            columns = [F.lit(kind).alias("kind"), F.col("which"), F.col("label")]
+            for alias, value, cast in (("name", name, "string"), ("x", x, "double"), ("y", y, "double")):
+                columns.append((F.col(value) if value else F.lit(None)).cast(cast).alias(alias))
+            return self._named(table).select(*columns)
+
+        table = _union([part("class", self.classes, None, "base", "rest"), part("weight", self.weights, "token", "w", None), part("gauss", self.gauss, "feature", "mean", "var")])
+        if picked is not None:
+            # At most the classes of a block.
+            wanted = self.classes.sparkSession.createDataFrame(picked)
+            same = (F.col("which") == F.col("_which")) & F.col("label").eqNullSafe(F.col("_label"))
+            table = table.join(F.broadcast(wanted.toDF("_which", "_label")), same, "left_semi")
+        table = table.toArrow()
         dense = {}
-        for name in pc.unique(rows("class")["which"]).to_pylist():
-            classes = rows("class", name).sort_by("label")
-            labels = classes["label"].to_pylist()
-            label_set = pa.array(labels, pa.string())
+        for name in pc.unique(table["which"]).to_pylist():
+            own = table.filter(pc.equal(table["which"], name))
+            kinds = {kind: own.filter(pc.equal(own["kind"], kind)) for kind in ("class", "weight", "gauss")}
+            classes = kinds["class"].sort_by("label")
+            if not len(classes):
+                continue
+            labels = classes["label"].combine_chunks()
             matrix = np.repeat(classes["y"].to_numpy()[None, :], max(1, len(words)), axis=0)
-            weights = rows("weight", name)
-            token = pc.index_in(weights["name"], value_set=word_set).fill_null(-1).to_numpy()
-            owner = pc.index_in(weights["label"], value_set=label_set).to_numpy()
+            token = pc.index_in(kinds["weight"]["name"], value_set=words).fill_null(-1).to_numpy()
+            owner = pc.index_in(kinds["weight"]["label"], value_set=labels).to_numpy()
             known = token >= 0
-            matrix[token[known], owner[known]] = weights["x"].to_numpy()[known]
+            matrix[token[known], owner[known]] = kinds["weight"]["x"].to_numpy()[known]
             mean, var = np.zeros((len(self.numbers), len(labels))), np.ones((len(self.numbers), len(labels)))
             for j, number in enumerate(self.numbers):
-                stats = rows("gauss", name)
-                stats = stats.filter(pc.equal(stats["name"], number))
-                at = pc.index_in(stats["label"], value_set=label_set).to_numpy()
+                stats = kinds["gauss"].filter(pc.equal(kinds["gauss"]["name"], number))
+                at = pc.index_in(stats["label"], value_set=labels).to_numpy()
                 mean[j, at], var[j, at] = stats["x"].to_numpy(), stats["y"].to_numpy()
-            dense[name] = {"labels": labels, "words": words, "base": classes["x"].to_numpy(), "matrix": matrix, "mean": mean, "var": var}
-        self._dense.append(dense)
+            dense[name] = {"labels": labels.to_pylist(), "words": words, "base": classes["x"].to_numpy(), "matrix": matrix, "mean": mean, "var": var}
         return dense
 
-    def _score_dense(self, rows: DataFrame, tokens: str, top: int, label: str | None) -> DataFrame:
-        models = rows.sparkSession.sparkContext.broadcast(self._matrices())
-
-        @F.arrow_udf("top array<struct<label:string,p:double>>, own double")
-        def score(which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array) -> pa.Array:
-            return _score_keyed(models.value, which, words, numbers, own, top)
-
-        which = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys])
-        values = F.array(*[F.col(c).cast("double") for c in self.numbers]) if self.numbers else F.array().cast("array<double>")
-        own = F.col(label).cast("string") if label else F.lit(None).cast("string")
-        scored = rows.withColumn("_s", score(which, F.array_distinct(tokens), values, own))
-        return scored.withColumns({"top": F.col("_s.top"), "own": F.col("_s.own") if label else F.lit(None).cast("double")}).drop("_s")
-
-    def joint(self, rows: DataFrame, tokens: str, key: str) -> DataFrame:
-        """(key, label, s): joint log-likelihood of every class, by joins only; ``key`` is unique. A class without a number has mean 0 and variance 1 in it."""
-        on = [*self.keys, "label"]
-        stats = self.classes
-        for j, name in enumerate(self.numbers):
-            g = self.gauss.where(F.col("feature") == name).select(*on, F.col("mean").alias(f"_m{j}"), F.col("var").alias(f"_v{j}"))
-            stats = _null_safe(stats, g, on, "left").withColumns({f"_m{j}": F.coalesce(f"_m{j}", F.lit(0.0)), f"_v{j}": F.coalesce(f"_v{j}", F.lit(1.0))})
-        fields = F.struct("label", "base", "rest", *[f"_{k}{j}" for j in range(len(self.numbers)) for k in "mv"])
-        numbers = [F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(self.numbers)]
-        held = rows.select(key, *self.keys, *numbers)
-        if self.keys:
-            held = _null_safe(held, stats.groupBy(*self.keys).agg(F.collect_list(fields).alias("_c")), self.keys, "left")
-            held = held.withColumn("_c", F.when(F.col("_c").isNotNull(), F.col("_c")).otherwise(F.raise_error(F.lit("no model has the keys of a row"))))
-        else:
-            held = held.withColumn("_c", stats.agg(F.collect_list(fields)).scalar())
-        known = self.dictionary.select("token").distinct()
-        flat = rows.select(key, *self.keys, F.explode(F.array_distinct(tokens)).alias("token")).join(known, "token")
-        count = flat.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
-        shift = _null_safe(self.weights, self.classes.select(*on, "rest"), on).select(*on, "token", (F.col("w") - F.col("rest")).alias("d"))
-        sums = _null_safe(flat, shift, [*self.keys, "token"]).groupBy(key, "label").agg(F.sum("d").alias("_d"))
-        wide = held.join(count, key, "left").select("*", F.explode("_c").alias("c")).drop("_c")
-        wide = _null_safe(wide.select(key, *[f"_x{j}" for j in range(len(self.numbers))], "_k", "c.*"), sums, [key, "label"], "left")
-        s = F.col("base") + F.coalesce("_k", F.lit(0)) * F.col("rest") + F.coalesce("_d", F.lit(0.0))
-        for j in range(len(self.numbers)):
-            x, m, v = F.col(f"_x{j}"), F.col(f"_m{j}"), F.col(f"_v{j}")
-            term = -0.5 * F.ln(2 * np.pi * v) - (x - m) * (x - m) / (2 * v)
-            s = s + F.when(x.isNull() | F.isnan(x), 0.0).otherwise(F.coalesce(term, F.lit(0.0)))
-        return wide.select(key, "label", s.alias("s"))
-
-    def score_joined(self, rows: DataFrame, tokens: str, key: str, top: int = 5, label: str | None = None) -> DataFrame:
-        """The same columns and answers as ``score`` for a model of any size.
-
-        Rows are numbered and written once, so a ``key`` that repeats or is NULL does not mix or lose rows.
-        """
-        rows = store(rows.drop("top", "own").withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        joint = self.joint(rows, tokens, "_row")
-        if label:
-            joint = joint.join(rows.select("_row", F.col(label).cast("string").alias("_own")), "_row")
-        best = F.max("s").over(Window.partitionBy("_row"))
-        p = F.exp(F.col("s") - best)
-        ranked = joint.withColumn("p", p / F.sum(p).over(Window.partitionBy("_row")))
-        place = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("s"), F.asc_nulls_last("label")))
-        item = F.when(F.col("_r") <= top, F.struct("_r", "label", "p"))
-        own = F.max(F.when(F.col("label").eqNullSafe(F.col("_own")), F.col("p"))) if label else F.lit(None).cast("double")
-        folded = ranked.withColumn("_r", place).groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("_t"), own.alias("own"))
-        tops = folded.select("_row", F.transform("_t", lambda t: F.struct(t["label"].alias("label"), t["p"].alias("p"))).alias("top"), "own")
-        return rows.join(tops, "_row").drop("_row")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on columns of the same names in which NULL equals NULL; they are taken from the left."""
-    renamed = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
-    same = F.lit(True)
-    for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
-    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
-
-
-def _score_keyed(models: dict, which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array, top: int) -> pa.Array:
-    """Score each row of an Arrow batch with the model its key names; all models have the same classes or fewer."""
-    names = pc.unique(which).to_pylist()
-    if len(names) == 1:
-        return _score_batch(models[names[0]], words, numbers, own, top)
-    parts, places = [], []
-    for name in names:
-        at = pc.indices_nonzero(pc.equal(which, name))
-        parts.append(_score_batch(models[name], words.take(at), numbers.take(at), own.take(at), top))
-        places.append(at.to_numpy())
-    back = np.argsort(np.concatenate(places), kind="stable")
-    return pa.concat_arrays(parts).take(pa.array(back))
-
-
-def _score_batch(model: dict, words: pa.Array, numbers: pa.Array, own: pa.Array, top: int) -> pa.Array:
-    """One Arrow batch: log scores as matrix sums, then the ``top`` classes of each row."""
-    size, classes = len(words), len(model["labels"])
-    top = min(top, classes)
-    offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-    codes = pc.index_in(words.flatten(), value_set=pa.array(model["words"], pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
-    values = numbers.flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
-    at_own = pc.index_in(own, value_set=pa.array(model["labels"], pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
-    order, probs, own_p = np.empty((size, top), np.int64), np.empty((size, top)), np.full(size, np.nan)
-    for a in range(0, size, ROW_CHUNK):
-        b = min(size, a + ROW_CHUNK)
-        scores = np.repeat(model["base"][None, :], b - a, axis=0)
-        chunk = codes[offsets[a] : offsets[b]]
-        row = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1]))
-        row, chunk = row[chunk >= 0], chunk[chunk >= 0]
-        if len(chunk):
-            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            scores[row[starts]] += np.add.reduceat(model["matrix"][chunk], starts, axis=0)
-        for j in range(values.shape[1]):
-            x, mean, var = values[a:b, j, None], model["mean"][j], model["var"][j]
-            term = -0.5 * np.log(2 * np.pi * var) - (x - mean) ** 2 / (2 * var)
-            scores += np.where(np.isnan(x), 0.0, term)
-        best = scores.max(axis=1, keepdims=True)
-        p = np.exp(scores - best)
-        p /= p.sum(axis=1, keepdims=True)
-        picked = _top_columns(scores, top)
-        order[a:b] = picked
-        probs[a:b] = np.take_along_axis(p, picked, axis=1)
-        hit = np.flatnonzero(at_own[a:b] >= 0)
-        own_p[a + hit] = p[hit, at_own[a:b][hit]]
-    labels = pa.array(model["labels"], pa.string()).take(pa.array(order.ravel()))
-    items = pa.StructArray.from_arrays([labels, pa.array(probs.ravel())], names=["label", "p"])
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1, dtype=np.int32) * top), items)
-    return pa.StructArray.from_arrays([lists, pa.array(own_p, mask=np.isnan(own_p))], names=["top", "own"])
-
-
-def _top_columns(scores: np.ndarray, top: int) -> np.ndarray:
-    """Columns of the ``top`` largest scores per row, ties by column."""
-    if top >= scores.shape[1]:
-        return np.argsort(-scores, axis=1, kind="stable")
-    part = np.sort(np.argpartition(-scores, top - 1, axis=1)[:, :top], axis=1)
-    held = np.take_along_axis(scores, part, axis=1)
-    out = np.take_along_axis(part, np.argsort(-held, axis=1, kind="stable"), axis=1)
-    # A tie across the cut: sort those rows in full.
-    tied = np.flatnonzero((scores >= held.min(axis=1, keepdims=True)).sum(axis=1) > top)
-    if len(tied):
-        out[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :top]
-    return out
-
 
 def fit_counts(
     counts: DataFrame,

@@ -42,7 +42,7 @@ def cross_validated(
     counts = settle(N.merge_counts([_other_folds(counts, folds)], ["fold"]))
     stats = settle(N.merge_moments([_other_folds(stats, folds)], ["fold"]))
     model = N.fit_counts(counts, stats, dictionary, numbers, spec, ["fold"])
-    return model.score(dealt, tokens, 5, label, ids[0])
+    return model.score(dealt, tokens, 5, label)
 
 
 def learning_curve(
@@ -71,6 +71,5 @@ def learning_curve(
     counts, stats = settle(N.merge_counts([grid(counts)], keys)), settle(N.merge_moments([grid(stats)], keys))
     model = N.fit_counts(counts, stats, dictionary, numbers, spec, keys)
     tests = dealt.drop("level").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(len(fractions) - 1))))
-    tests = tests.withColumn("_test", F.concat_ws("-", *[F.col(i).cast("string") for i in ids], "level"))
-    scored = model.score(tests, tokens, 5, label, "_test")
+    scored = model.score(tests, tokens, 5, label)
     return accuracy(scored, label, ["level", "fold"])

@@ -56,8 +56,7 @@ class CompositeNaiveBayesModel(Model):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         label = self.label if self.label in dataset.columns else None
-        numbered = dataset.withColumn("_id", F.monotonically_increasing_id())
-        scored = self.bayes.score(numbered, self.tokens, self.top, label, "_id").drop("_id")
+        scored = self.bayes.score(dataset, self.tokens, self.top, label)
         return scored.withColumn("prediction", F.get("top", 0)["label"])
 
     def save(self, path: str) -> None:

@@ -22,7 +22,7 @@ PR5 = f"""{nb_sql(label='label')}, pd AS (SELECT row_id, any_value(label) AS lab
 def scored(t: Tables, label: str = "nation", top: int = 5, train: str | None = None) -> DataFrame:
     rows = training(t, label)
     model = composite(t, rows.where(train) if train else rows)
-    return model.score(rows, "tokens", top, "label", "row_id")
+    return model.score(rows, "tokens", top, "label")
 
 
 @query("n1_accuracy", f"{PR} SELECT source, round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pd GROUP BY source")
@@ -174,7 +174,7 @@ def n12(t: Tables) -> DataFrame:
     rows = training(t)
     model = composite(t, rows)
     # Only the chosen classes are scored.
-    chosen = model.score(rows.where(F.col("label").isin("3", "7", "11")), "tokens", 5, "label", "row_id")
+    chosen = model.score(rows.where(F.col("label").isin("3", "7", "11")), "tokens", 5, "label")
     return V.ranked_misfires(V.misfires(chosen, "label"), ["truth", "inside"], 5).withColumn("rank", n64("rank"))
 
 

@@ -31,7 +31,7 @@ def s1(t: Tables) -> DataFrame:
     stream = I.record_stream(t.spark, files, RECORD, 2)
     counts, stats = I.fit_stream(stream, "label", "tokens", ["age"], scratch_path(t.spark, "fit"))
     model = N.fit_counts(counts, stats, feature_set(t), ["age"])
-    scored = model.score(t.spark.read.schema(RECORD).parquet(files), "tokens", 1, key="row_id")
+    scored = model.score(t.spark.read.schema(RECORD).parquet(files), "tokens", 1)
     top = F.get("top", 0)
     return scored.select("row_id", top["label"].alias("pred"), r6(top["p"]).alias("p"))
 
@@ -50,7 +50,7 @@ SELECT count(*) FILTER (WHERE label = pred) AS correct, count(*) AS total, round
 def s2(t: Tables) -> DataFrame:
     files = record_files(t)
     model = N.fit(t.spark.read.schema(RECORD).parquet(files), "label", "tokens", feature_set(t), ["age"])
-    out = I.validate_stream(I.record_stream(t.spark, files, RECORD, 2), model, "label", "tokens", scratch_path(t.spark, "valid"), "row_id")
+    out = I.validate_stream(I.record_stream(t.spark, files, RECORD, 2), model, "label", "tokens", scratch_path(t.spark, "valid"))
     return out.withColumn("accuracy", r6(F.col("accuracy")))
 
 

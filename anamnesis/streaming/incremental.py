@@ -48,12 +48,12 @@ def fit_stream(stream: DataFrame, label: str, tokens: str, numbers: Sequence[str
 
 
 def validate_stream(
-    stream: DataFrame, model: N.BayesModel, label: str, tokens: str, path: str, key: str | None = None, checkpoint: str | None = None
+    stream: DataFrame, model: N.BayesModel, label: str, tokens: str, path: str, checkpoint: str | None = None
 ) -> DataFrame:
     """(correct, total, accuracy) of a model over all records of a stream."""
 
     def each(batch: DataFrame, number: int) -> None:
-        scored = model.score(batch, tokens, 1, key=key)
+        scored = model.score(batch, tokens, 1)
         hits = scored.agg(F.count_if(predicted() == F.col(label)).alias("correct"), F.count(F.lit(1)).alias("total"))
         hits.write.mode("overwrite").parquet(f"{path}/batch={number}")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from anamnesis.operators import bayes as N
 from anamnesis.operators import curves as U
 from anamnesis.operators import estimators as M
+from anamnesis.operators.scoring import score_batch, top_columns
 
 WORDS = [f"w{i}" for i in range(12)]
 
@@ -36,25 +37,70 @@ def tops(df):
     return {r.id: ([(t.label, round(t.p, 9)) for t in r.top], round(r.own, 9)) for r in df.select("id", "top", "own").collect()}
 
 
-@pytest.mark.parametrize("spec", [N.BayesSpec(), N.BayesSpec("clamp", prior="uniform"), N.BayesSpec(prior="once")])
-def test_dense_and_joined_agree(rows, words, spec):
-    model = N.fit(rows, "label", "tokens", words, ["age"], spec)
-    dense, joined = tops(model.score(rows, "tokens", 3, "label")), tops(model.score_joined(rows, "tokens", "id", 3, "label"))
-    assert dense.keys() == joined.keys()
-    for k in dense:
-        assert [x[0] for x in dense[k][0]] == [x[0] for x in joined[k][0]]
-        assert np.allclose([x[1] for x in dense[k][0]], [x[1] for x in joined[k][0]], atol=1e-8)
-        assert abs(dense[k][1] - joined[k][1]) < 1e-8
+def exact(df):
+    """Rows with their answers, in the order of their text; no rounding."""
+    return sorted(repr((r.id, [(t.label, t.p) for t in r.top], r.own)) for r in df.select("id", "top", "own").collect())
 
 
-def test_large_model_is_joined(rows, words, monkeypatch):
-    model = N.fit(rows, "label", "tokens", words, ["age"])
-    want = tops(model.score(rows, "tokens", 3, "label"))
-    monkeypatch.setattr(N, "DENSE_CELLS", 1)
-    with pytest.raises(ValueError):
-        model.score(rows, "tokens", 3)
-    got = tops(model.score(rows, "tokens", 3, "label", "id"))
-    assert [x[0] for x in got[0][0]] == [x[0] for x in want[0][0]]
+def by_hand(rows, words, spec, label_of_own="label"):
+    """All classes of all rows in plain Python: {id: ({label: p}, own)}."""
+    data = [r.asDict() for r in rows.collect()]
+    known = {r.token for r in words.collect()}
+    classes = sorted({r["label"] for r in data})
+    n = {c: sum(r["label"] == c for r in data) for c in classes}
+    ages = {c: [r["age"] for r in data if r["label"] == c and r["age"] is not None] for c in classes}
+    every = [a for c in classes for a in ages[c]]
+    out = {}
+    for r in data:
+        s = {}
+        for c in classes:
+            times = {"per_component": spec.components, "once": 1, "uniform": 0}[spec.prior]
+            s[c] = times * np.log(n[c] / len(data))
+            for w in known:
+                k = hits(data, c, w)
+                p = (k + 1) / (n[c] + 2) if spec.smoothing == "laplace" else min(1 - spec.eps, max(spec.eps, k / n[c]))
+                s[c] += np.log(p if w in r["tokens"] else 1 - p)
+            if r["age"] is not None:
+                var = np.var(ages[c]) + 1e-9 * np.var(every)
+                s[c] += -0.5 * np.log(2 * np.pi * var) - (r["age"] - np.mean(ages[c])) ** 2 / (2 * var)
+        top = max(s.values())
+        whole = sum(np.exp(v - top) for v in s.values())
+        out[r["id"]] = {c: np.exp(v - top) / whole for c, v in s.items()}
+    return out
+
+
+_HITS = {}
+
+
+def hits(data, label, word):
+    if (label, word) not in _HITS:
+        _HITS[label, word] = sum(r["label"] == label and word in r["tokens"] for r in data)
+    return _HITS[label, word]
+
+
+@pytest.mark.parametrize("spec", [N.BayesSpec(), N.BayesSpec("clamp", prior="uniform"), N.BayesSpec(prior="once")])
+def test_scores_by_hand(rows, words, spec):
+    model = N.fit(rows, "label", "tokens", words, ["age"], spec)
+    want = by_hand(rows, words, spec)
+    got = {r.id: r for r in model.score(rows, "tokens", 3, "label").collect()}
+    logs = {r.id: {x.label: x.log_p for x in r.log_p} for r in model.log_probabilities(rows, "tokens").collect()}
+    assert got.keys() == want.keys()
+    for k, p in want.items():
+        assert [t.label for t in got[k].top] == sorted(p, key=lambda c: (-round(p[c], 12), c))[:3]
+        assert np.allclose([t.p for t in got[k].top], [p[t.label] for t in got[k].top], atol=1e-9) and abs(got[k].own - p[got[k].label]) < 1e-9
+        assert list(logs[k]) == sorted(p) and np.allclose([np.exp(logs[k][c]) for c in p], list(p.values()), atol=1e-9)
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1_000_000])
+def test_blocks_change_no_bit(rows, words, monkeypatch, cells):
+    """One class a block, a few, all: the same bits, and the same as by default."""
+    fit = lambda: N.fit(rows, "label", "tokens", words, ["age"])
+    want, logs = exact(fit().score(rows, "tokens", 3, "label")), [r.log_p for r in fit().log_probabilities(rows, "tokens").orderBy("id").collect()]
+    monkeypatch.setattr(N, "BLOCK_CELLS", cells)
+    model = fit()
+    assert exact(model.score(rows, "tokens", 3, "label")) == want
+    assert len(model._sent) == {1: 7, 30: 4, 1_000_000: 1}[cells]
+    assert [r.log_p for r in model.log_probabilities(rows, "tokens").orderBy("id").collect()] == logs
 
 
 def test_against_library(rows, words):
@@ -112,13 +158,11 @@ def test_keyed_models_score_their_own_rows(rows, words):
     tagged = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
     keyed = N.fit(tagged, "label", "tokens", words, ["age"], keys=["fold"])
     got = tops(keyed.score(tagged, "tokens", 2, "label"))
-    joined = tops(keyed.score_joined(tagged, "tokens", "id", 2, "label"))
     for f in (0, 1):
         part = tagged.where(F.col("fold") == f)
         want = tops(N.fit(part, "label", "tokens", words, ["age"]).score(part, "tokens", 2, "label"))
         for k in want:
             assert np.allclose([x[1] for x in got[k][0]], [x[1] for x in want[k][0]], atol=1e-8)
-            assert np.allclose([x[1] for x in joined[k][0]], [x[1] for x in want[k][0]], atol=1e-8)
 
 
 def test_categorical_sums_to_one(spark):
@@ -136,7 +180,7 @@ def test_rule_table(spark):
 
 def test_ties_at_the_cut_are_broken_by_label():
     scores = np.array([[1.0, 3.0, 3.0, 3.0], [4.0, 4.0, 4.0, 4.0], [0.0, 1.0, 2.0, 3.0]])
-    assert N._top_columns(scores, 2).tolist() == [[1, 2], [0, 1], [3, 2]]
+    assert top_columns(scores, 2).tolist() == [[1, 2], [0, 1], [3, 2]]
 
 
 def test_estimator_and_evaluator(rows, words):
@@ -160,36 +204,68 @@ AWKWARD = [
 
 
 @pytest.mark.parametrize("keys", [[], ["fold"]])
-def test_large_model_gives_the_same_answers(spark, words, monkeypatch, keys):
-    """NULL and repeated row keys, a NULL class, a class without numbers, a NaN: the joins lose and mix nothing."""
+def test_awkward_rows_in_blocks(spark, words, monkeypatch, keys):
+    """NULL and repeated ids, a NULL class, a class without numbers, a NaN, NULL tokens: every row is answered, alike for all blocks."""
     data = [(*r, at, f) for f in (0, None) for at, r in enumerate(AWKWARD)]
     rows = spark.createDataFrame(data, "id long, label string, tokens array<string>, age double, at int, fold int")
     fitted = rows.where("not isnan(age) or age is null")
-    model = N.fit(fitted, "label", "tokens", words, ["age"], keys=keys)
 
     def answers(label):
-        scored = model.score(rows, "tokens", 3, label, "id")
+        model = N.fit(fitted, "label", "tokens", words, ["age"], keys=keys)
+        scored = model.score(rows, "tokens", 3, label)
         assert scored.columns == [*rows.columns, "top", "own"]
-        return {(r["at"], r["fold"]): (r["id"], [(x["label"], round(x["p"], 9)) for x in r["top"]], r["own"] and round(r["own"], 9)) for r in scored.collect()}
+        return {(r["at"], r["fold"]): (r["id"], [(x["label"], x["p"]) for x in r["top"]], r["own"]) for r in scored.collect()}
 
     want = answers("label"), answers(None)
     assert len(want[0]) == len(data) and all(own is not None for _, _, own in want[0].values())
-    monkeypatch.setattr(N, "DENSE_CELLS", 1)
+    monkeypatch.setattr(N, "BLOCK_CELLS", 1)
     assert (answers("label"), answers(None)) == want
 
 
+def test_unknown_key_is_an_error(rows, words):
+    tagged = rows.withColumn("fold", (F.col("id") % 2).cast("int"))
+    keyed = N.fit(tagged.where("fold = 0"), "label", "tokens", words, ["age"], keys=["fold"])
+    with pytest.raises(Exception, match="no model has the key"):
+        keyed.score(tagged, "tokens").collect()
+
+
+def test_far_apart_scores(monkeypatch):
+    """Sums over hundreds of powers of ten, in any order of blocks, without overflow or loss."""
+    import pyarrow as pa
+
+    class Sent:
+        def __init__(self, value):
+            self.__dict__["_file"] = value
+
+        def __getattr__(self, name):
+            self.__dict__["_value"] = self._file
+            return self._file
+
+    base = np.array([-4000.0, 0.0, 900.0, 899.0, -np.inf, 5.0])
+    none = pa.array(["w"])
+
+    def block(a, b):
+        return {"": {"labels": [f"c{i}" for i in range(a, b)], "words": none, "base": base[a:b], "matrix": np.zeros((1, b - a)), "mean": np.zeros((0, b - a)), "var": np.ones((0, b - a))}}
+
+    args = [pa.array([""]), pa.array([[]], pa.list_(pa.string())), pa.array([[]], pa.list_(pa.float64())), pa.array(["c3"])]
+    answers = [score_batch([Sent(block(a, b)) for a, b in cuts], *args, 3).to_pylist() for cuts in ([(0, 6)], [(i, i + 1) for i in range(6)], [(0, 2), (2, 6)])]
+    assert answers[0] == answers[1] == answers[2]
+    assert [x["label"] for x in answers[0][0]["top"]] == ["c2", "c3", "c5"]
+    assert abs(answers[0][0]["own"] - 1 / (1 + np.e)) < 1e-15
+
+
 @pytest.mark.parametrize("name", ["m6_composite_top5", "n14_learning_curve"])
-def test_queries_score_large_models(spark, monkeypatch, name):
+def test_queries_score_in_blocks(spark, monkeypatch, name):
     from anamnesis.plans import catalog
 
-    run = lambda: sorted(map(repr, (tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect())))
+    run = lambda: sorted(map(repr, map(tuple, catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect())))
     want = run()
-    monkeypatch.setattr(N, "DENSE_CELLS", 1)
+    monkeypatch.setattr(N, "BLOCK_CELLS", 1)
     assert run() == want
 
 
-def test_estimator_with_large_model(rows, words, monkeypatch):
-    model = M.CompositeNaiveBayes(labelCol="label", numberCols=["age"]).setDictionary(words).fit(rows)
-    want = {r["id"]: r["prediction"] for r in model.transform(rows).collect()}
-    monkeypatch.setattr(N, "DENSE_CELLS", 1)
-    assert {r["id"]: r["prediction"] for r in model.transform(rows).collect()} == want
+def test_estimator_in_blocks(rows, words, monkeypatch):
+    fit = lambda: M.CompositeNaiveBayes(labelCol="label", numberCols=["age"]).setDictionary(words).fit(rows)
+    want = {r["id"]: r["prediction"] for r in fit().transform(rows).collect()}
+    monkeypatch.setattr(N, "BLOCK_CELLS", 1)
+    assert {r["id"]: r["prediction"] for r in fit().transform(rows).collect()} == want
