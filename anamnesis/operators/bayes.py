@@ -7,6 +7,7 @@ weights, so a score is  base(class) + sum of weight(class, token) + the Gaussian
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -117,6 +118,7 @@ class BayesModel:
     """``classes`` (label, n, base, rest, words), ``weights`` (label, token, w), ``gauss`` (label, feature, mean, var).
 
     ``words`` is the size of the dictionary, ``rest`` the weight of a dictionary token the class has no row of in ``weights``.
+    A composed model has a dictionary with the ``part`` of each token, and ``rests`` (label, part, rest) in place of one rest a class.
     With ``keys`` the tables hold one model per key (fold, training size); a row is scored by the
     model its own key columns name.
     """
@@ -127,18 +129,41 @@ class BayesModel:
     dictionary: DataFrame
     numbers: tuple[str, ...] = ()
     keys: tuple[str, ...] = ()
+    rests: DataFrame | None = None
     _sent: list = field(default_factory=list, repr=False, compare=False)
 
     # -- storage ------------------------------------------------------------------------
 
+    def tables(self) -> dict[str, DataFrame]:
+        found = {"classes": self.classes, "weights": self.weights, "gauss": self.gauss, "dictionary": self.dictionary}
+        return found | ({"rests": self.rests} if self.rests is not None else {})
+
     def save(self, path: str) -> None:
-        for name in ("classes", "weights", "gauss", "dictionary"):
-            getattr(self, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+        """All tables, and a line that names them with the numbers and keys."""
+        spark = self.classes.sparkSession
+        for name, table in self.tables().items():
+            table.write.mode("errorifexists").parquet(f"{path}/{name}")
+        about = json.dumps({"tables": list(self.tables()), "numbers": list(self.numbers), "keys": list(self.keys)})
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{path}/about")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, numbers: Sequence[str] = (), keys: Sequence[str] = ()) -> BayesModel:
-        tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("classes", "weights", "gauss", "dictionary")}
-        return BayesModel(**tables, numbers=tuple(numbers), keys=tuple(keys))
+    def load(spark: SparkSession, path: str) -> BayesModel:
+        about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+        tables = {n: spark.read.parquet(f"{path}/{n}") for n in about["tables"]}
+        return BayesModel(**tables, numbers=tuple(about["numbers"]), keys=tuple(about["keys"]))
+
+    def of_key(self, **values: object) -> BayesModel:
+        """The model of one key: keep the fold that did best."""
+        if set(values) != set(self.keys):
+            raise ValueError(f"name a value for each of {self.keys}")
+
+        def picked(table: DataFrame) -> DataFrame:
+            for k, v in values.items():
+                table = table.where(F.col(k).eqNullSafe(F.lit(v)))
+            return table.drop(*values)
+
+        rests = None if self.rests is None else picked(self.rests)
+        return BayesModel(picked(self.classes), picked(self.weights), picked(self.gauss), self.dictionary, self.numbers, (), rests)
 
     # -- scoring ------------------------------------------------------------------------
 
@@ -164,7 +189,7 @@ class BayesModel:
         return [which, F.array_distinct(tokens), values]
 
     def _scorer(self, returns: str, top: int | None):
-        blocks = self._blocks()
+        blocks = self.send()
 
         @F.arrow_udf(returns)
         def score(which: pa.Array, words: pa.Array, numbers: pa.Array, own: pa.Array) -> pa.Array:
@@ -172,8 +197,8 @@ class BayesModel:
 
         return score
 
-    def _blocks(self) -> list:
-        """The model as broadcasts of {key: classes, matrix, moments}, made one after the other; each has BLOCK_CELLS cells or one class."""
+    def send(self) -> list:
+        """Build the model and send it to the executors, once: broadcasts of {key: classes, matrix, moments}, made one after the other; each has BLOCK_CELLS cells or one class."""
         if self._sent:
             return self._sent
         context = self.classes.sparkSession.sparkContext
@@ -185,8 +210,8 @@ class BayesModel:
                 number, held = number + 1, 0
             held += n
             block.append(number)
-        words = pc.array_sort_indices(word := self.dictionary.select("token").toArrow()["token"].combine_chunks())
-        words = word.take(words)
+        known = self.dictionary if "part" in self.dictionary.columns else self.dictionary.withColumn("part", F.lit(0))
+        words = known.select("token", F.col("part").cast("bigint").alias("part")).toArrow().sort_by("token")
         for i in range(number + 1 if block else 0):
             picked = listed.filter(pa.array(np.array(block) == i)).select(["which", "label"])
             self._sent.append(context.broadcast(self._matrices(words, picked if number else None)))
@@ -195,8 +220,10 @@ class BayesModel:
     def _named(self, table: DataFrame) -> DataFrame:
         return table.withColumn("which", F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys]))
 
-    def _matrices(self, words: pa.Array, picked: pa.Table | None) -> dict[str, dict]:
+    def _matrices(self, known: pa.Table, picked: pa.Table | None) -> dict[str, dict]:
         """Dense form of the picked classes, or of all; one job brings all tables."""
+        words, part_of = known["token"].combine_chunks(), known["part"].to_numpy()
+        rests = self.classes.withColumn("part", F.lit(0)) if self.rests is None else self.rests
 
         def part(kind: str, table: DataFrame, name, x, y) -> DataFrame:
             columns = [F.lit(kind).alias("kind"), F.col("which"), F.col("label")]
@@ -204,7 +231,7 @@ class BayesModel:
                 columns.append((F.col(value) if value else F.lit(None)).cast(cast).alias(alias))
             return self._named(table).select(*columns)
 
-        table = _union([part("class", self.classes, None, "base", "rest"), part("weight", self.weights, "token", "w", None), part("gauss", self.gauss, "feature", "mean", "var")])
+        table = _union([part("class", self.classes, None, "base", None), part("rest", rests, "part", "rest", None), part("weight", self.weights, "token", "w", None), part("gauss", self.gauss, "feature", "mean", "var")])
         if picked is not None:
             # At most the classes of a block.
             wanted = self.classes.sparkSession.createDataFrame(picked)
@@ -214,12 +241,14 @@ class BayesModel:
         dense = {}
         for name in pc.unique(table["which"]).to_pylist():
             own = table.filter(pc.equal(table["which"], name))
-            kinds = {kind: own.filter(pc.equal(own["kind"], kind)) for kind in ("class", "weight", "gauss")}
+            kinds = {kind: own.filter(pc.equal(own["kind"], kind)) for kind in ("class", "rest", "weight", "gauss")}
             classes = kinds["class"].sort_by("label")
             if not len(classes):
                 continue
             labels = classes["label"].combine_chunks()
-            matrix = np.repeat(classes["y"].to_numpy()[None, :], max(1, len(words)), axis=0)
+            rest = np.zeros((int(part_of.max(initial=0)) + 1, len(labels)))
+            rest[pc.cast(kinds["rest"]["name"], pa.int64()).to_numpy(), pc.index_in(kinds["rest"]["label"], value_set=labels).to_numpy()] = kinds["rest"]["x"].to_numpy()
+            matrix = rest[part_of] if len(words) else np.zeros((1, len(labels)))
             token = pc.index_in(kinds["weight"]["name"], value_set=words).fill_null(-1).to_numpy()
             owner = pc.index_in(kinds["weight"]["label"], value_set=labels).to_numpy()
             known = token >= 0
@@ -269,7 +298,7 @@ def fit_counts(
     rest = F.ln("_u") - F.ln(1 - F.col("_u"))
     classes = classes.select(*on, "n", base.alias("base"), rest.alias("rest"), F.col("_all").alias("words"))
     if stats is None or not numbers:
-        gauss = classes.select(*on, F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
+        gauss = _no_numbers(classes, on)
     else:
         gauss = _gaussians(stats, keys)
     return BayesModel(classes, weights, gauss, dictionary, tuple(numbers), tuple(keys))
@@ -299,6 +328,67 @@ def fit(
     return fit_counts(counts, stats, dictionary, numbers, spec, keys)
 
 
+def fit_multinomial(counts: DataFrame, dictionary: DataFrame, spec: BayesSpec = BayesSpec(components=1)) -> BayesModel:
+    """Model from a count table of tokens as draws from one distribution a class (a category written one-hot): a token that is there adds
+    ln((hits + alpha) / (all hits + alpha x words)), one that is not adds nothing.
+    """
+    dictionary = settle(dictionary.select("token").distinct())
+    words = dictionary.agg(F.count(F.lit(1))).scalar()
+    counts = settle(counts.select("label", "token", "hits").join(dictionary.withColumn("_in", F.lit(True)), "token", "left"))
+    sized = counts.groupBy("label").agg(
+        F.max(F.when(F.col("token").isNull(), F.col("hits"))).cast("double").alias("n"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("hits"))), F.lit(0)).alias("_all")
+    )
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    share = F.lit(0.0) if spec.prior == "uniform" else F.ln(F.col("n") / total) * F.lit(float(spec.components if spec.prior == "per_component" else 1))
+    below = F.col("_all") + words * F.lit(spec.alpha)
+    classes = settle(sized.select("label", "n", share.alias("base"), F.ln(F.lit(spec.alpha) / below).alias("rest"), words.alias("words"), below.alias("_below")))
+    seen = _null_safe(counts.where("_in"), classes.select("label", "_below"), ["label"])
+    weights = seen.select("label", "token", F.ln((F.col("hits") + spec.alpha) / F.col("_below")).alias("w"))
+    return BayesModel(classes.drop("_below"), weights, _no_numbers(classes), dictionary)
+
+
+def compose(*parts: BayesModel) -> BayesModel:
+    """The model whose joint log-likelihood is the sum of those of its parts.
+
+    The parts are fitted on the same rows, each with tokens and numbers of its own; a prior counts in every part that
+    has one. A class that one of the parts does not have is an error.
+    """
+    first = parts[0]
+    numbers = [n for part in parts for n in part.numbers]
+    if any(part.keys != first.keys for part in parts) or len(set(numbers)) < len(numbers):
+        raise ValueError("parts need the same keys, and numbers of their own")
+    if any(part.rests is not None for part in parts):
+        raise ValueError("compose all parts at once")
+    on = [*first.keys, "label"]
+    classes = _union([part.classes.select(*on, "n", "base", "words", F.lit(i).alias("_part")) for i, part in enumerate(parts)])
+    # In the order of the parts, so that the sum has the same bits everywhere.
+    bases = [F.max(F.when(F.col("_part") == i, F.col("base"))) for i in range(len(parts))]
+    whole = sum(bases[1:], bases[0])
+    summed = classes.groupBy(*on).agg(F.max("n").alias("n"), whole.alias("base"), F.sum("words").alias("words"))
+    checked = F.when(F.col("base").isNotNull(), F.col("base")).otherwise(F.raise_error(F.lit("a part lacks a class")).cast("double"))
+    summed = settle(summed.withColumns({"base": checked, "rest": F.lit(0.0)}))
+    rests = settle(_union([part.classes.select(*on, F.lit(i).alias("part"), "rest") for i, part in enumerate(parts)]))
+    dictionary = settle(_union([part.dictionary.select("token", F.lit(i).alias("part")) for i, part in enumerate(parts)]))
+    if not dictionary.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        raise ValueError("parts need tokens of their own")
+    weights = settle(_union([part.weights.select(*on, "token", "w") for part in parts]))
+    gauss = settle(_union([part.gauss.select(*on, "feature", "mean", "var") for part in parts]))
+    return BayesModel(summed, weights, gauss, dictionary, tuple(numbers), first.keys, rests)
+
+
+def _no_numbers(classes: DataFrame, on: Sequence[str] = ("label",)) -> DataFrame:
+    return classes.select(*on, F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names in which NULL equals NULL; they are taken from the left."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def fit_gaussian(rows: DataFrame, label: str, numbers: Sequence[str], prior: str = "uniform") -> BayesModel:
     """Gaussian part alone."""
     none = rows.sparkSession.createDataFrame([], "token string")
@@ -327,7 +417,7 @@ def fit_categorical(rows: DataFrame, label: str, tokens: str, spec: BayesSpec =
     share = F.lit(0.0) if spec.prior == "uniform" else F.ln(n / total) * F.lit(float(spec.components if spec.prior == "per_component" else 1))
     size = words.agg(F.count(F.lit(1))).scalar()
     classes = base.select("label", "n", (F.col("_b") + share).alias("base"), F.lit(0.0).alias("rest"), size.alias("words"))
-    gauss = classes.select("label", F.lit("").alias("feature"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("var")).where(F.lit(False))
+    gauss = _no_numbers(classes)
     return BayesModel(settle(classes), full.select("label", "token", "w"), gauss, words.select("token"))
 
 

@@ -28,11 +28,11 @@ def _finish(pairs: DataFrame, width: Column) -> DataFrame:
     )
 
 
-def class_distances(table: DataFrame, label: str, code: str, p: str, width: Column) -> DataFrame:
-    """Cosine, Hamming (of p > 0), Euclidean distance and variability index of all class pairs a < b.
+def class_sums(table: DataFrame, label: str, code: str, p: str) -> DataFrame:
+    """Of all class pairs a < b: ``dot``, ``common``, and of each side the sum, the sum of squares and the number of values over 0.
 
     Pairs without a common code have a zero dot product and still get a row, as the pair list is
-    the wanted result.
+    the wanted result. Over whole numbers all sums are exact.
     """
     norms = settle(_norms(table, label, code, p))
     ids = norms.select(label).withColumn("_i", F.row_number().over(Window.orderBy(label)))
@@ -47,9 +47,33 @@ def class_distances(table: DataFrame, label: str, code: str, p: str, width: Colu
         F.explode(F.expr("slice(_all, _i + 1, size(_all))")).alias("_r"),
     ).withColumn("b", F.col("_r._l"))
     right = norms.select(F.col(label).alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("_sq", "_sum", "_nz")])
-    pairs = left.join(right, "b").join(dots, ["a", "b"], "left")
-    pairs = pairs.withColumn("dot", F.coalesce("dot", F.lit(0.0))).withColumn("common", F.coalesce("common", F.lit(0)))
-    return _finish(pairs, width)
+    pairs = left.join(right, "b").join(dots, ["a", "b"], "left").drop("_r")
+    return pairs.withColumn("dot", F.coalesce("dot", F.lit(0.0))).withColumn("common", F.coalesce("common", F.lit(0)))
+
+
+def class_distances(table: DataFrame, label: str, code: str, p: str, width: Column) -> DataFrame:
+    """Cosine, Hamming (of p > 0), Euclidean distance and variability index of all class pairs a < b."""
+    return _finish(class_sums(table, label, code, p), width)
+
+
+def variability(hits: DataFrame, label: str, code: str, width: Column, digits: int = 6) -> DataFrame:
+    """(a, b, variability) from (label, code, hits, n): the mean over all codes of the chance that of two rows, one of each class, just one shows the code.
+
+    p = hits / n, so the index is (H_a n_b + H_b n_a - 2 sum(hits_a hits_b)) / (n_a n_b width) over whole numbers; it is rounded
+    (half up) by whole division, so every engine and every order of rows gives the same digits.
+    """
+    sizes = hits.groupBy(label).agg(F.max("n").alias("_n"))
+    pairs = class_sums(hits, label, code, "hits")
+    for side in "ab":
+        pairs = pairs.join(sizes.select(F.col(label).alias(side), F.col("_n").alias(f"_n_{side}")), side)
+    # 38 digits: classes of 10^9 rows over 10^7 codes.
+    whole = {c: F.col(c).cast("decimal(19,0)") for c in ("_sum_a", "_sum_b", "dot", "_n_a", "_n_b")}
+    top = whole["_sum_a"] * whole["_n_b"] + whole["_sum_b"] * whole["_n_a"] - 2 * whole["dot"]
+    below = whole["_n_a"] * whole["_n_b"] * width.cast("decimal(10,0)")
+    scale = 10**digits
+    pairs = pairs.withColumns({"_top": top.cast("decimal(30,0)"), "_below": below.cast("decimal(37,0)")})
+    rounded = F.expr(f"(2 * {scale} * _top + _below) div (2 * _below)")
+    return pairs.select("a", "b", (rounded.cast("double") / float(scale)).alias("variability"))
 
 
 def distances_to(table: DataFrame, label: str, code: str, p: str, target: object) -> DataFrame:

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bayes as N
 from .evaluation import top_hit
 
 
-class CompositeNaiveBayes(Estimator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Gaussian numbers and Bernoulli tokens; tokens seen in training are the feature set unless one is given."""
+class _NaiveBayesParams(HasLabelCol):
+    """What the estimator and its model share."""
 
     tokensCol = Param(Params._dummy(), "tokensCol", "array column of tokens", TypeConverters.toString)
     numberCols = Param(Params._dummy(), "numberCols", "numeric columns", TypeConverters.toListString)
@@ -25,10 +25,17 @@ class CompositeNaiveBayes(Estimator, HasLabelCol, DefaultParamsReadable, Default
     alpha = Param(Params._dummy(), "alpha", "smoothing", TypeConverters.toFloat)
     top = Param(Params._dummy(), "top", "number of ranked classes", TypeConverters.toInt)
 
+    def _set_defaults(self) -> None:
+        self._setDefault(labelCol="label", tokensCol="tokens", numberCols=[], prior="per_component", alpha=1.0, top=5)
+
+
+class CompositeNaiveBayes(Estimator, _NaiveBayesParams, MLWritable, MLReadable):
+    """Gaussian numbers and Bernoulli tokens; tokens seen in training are the feature set unless one is given."""
+
     @keyword_only
     def __init__(self, *, labelCol: str = "label", tokensCol: str = "tokens", numberCols: Sequence[str] = (), prior: str = "per_component", alpha: float = 1.0, top: int = 5):
         super().__init__()
-        self._setDefault(labelCol="label", tokensCol="tokens", numberCols=[], prior="per_component", alpha=1.0, top=5)
+        self._set_defaults()
         self._set(**self._input_kwargs)
         self.dictionary: DataFrame | None = None
 
@@ -43,28 +50,72 @@ class CompositeNaiveBayes(Estimator, HasLabelCol, DefaultParamsReadable, Default
         words = self.dictionary
         if words is None:
             words = dataset.select(F.explode(tokens).alias("token")).distinct()
-        bayes = N.fit(dataset, label, tokens, words, numbers, spec)
-        return CompositeNaiveBayesModel(bayes, tokens, label, self.getOrDefault("top"))
+        model = CompositeNaiveBayesModel(N.fit(dataset, label, tokens, words, numbers, spec))
+        return self._copyValues(model)
+
+    def write(self) -> MLWriter:
+        return _TablesWriter(self, lambda path: self.dictionary is not None and self.dictionary.write.parquet(f"{path}/dictionary"), {"dictionary": self.dictionary is not None})
+
+    @classmethod
+    def read(cls) -> MLReader:
+        def opened(spark: SparkSession, path: str, about: dict) -> CompositeNaiveBayes:
+            stage = cls()
+            return stage.setDictionary(spark.read.parquet(f"{path}/dictionary")) if about["dictionary"] else stage
+
+        return _TablesReader(opened)
 
 
-class CompositeNaiveBayesModel(Model):
-    """Adds ``top`` (ranked classes with probabilities), ``own`` and ``prediction``."""
+class CompositeNaiveBayesModel(Model, _NaiveBayesParams, MLWritable, MLReadable):
+    """Adds ``top`` (ranked classes with probabilities), ``own`` and ``prediction``.
 
-    def __init__(self, bayes: N.BayesModel, tokens: str, label: str, top: int):
+    It is kept as a ``pyspark.ml`` stage: the parameters beside the tables of the model, alone or within a pipeline.
+    """
+
+    def __init__(self, bayes: N.BayesModel):
         super().__init__()
-        self.bayes, self.tokens, self.label, self.top = bayes, tokens, label, top
+        self._set_defaults()
+        self.bayes = bayes
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        label = self.label if self.label in dataset.columns else None
-        scored = self.bayes.score(dataset, self.tokens, self.top, label)
+        label = self.getOrDefault("labelCol")
+        scored = self.bayes.score(dataset, self.getOrDefault("tokensCol"), self.getOrDefault("top"), label if label in dataset.columns else None)
         return scored.withColumn("prediction", F.get("top", 0)["label"])
 
-    def save(self, path: str) -> None:
-        self.bayes.save(path)
+    def logProbabilities(self, dataset: DataFrame) -> DataFrame:
+        """Add ``log_p``: every class with the logarithm of its probability."""
+        return self.bayes.log_probabilities(dataset, self.getOrDefault("tokensCol"))
+
+    def write(self) -> MLWriter:
+        return _TablesWriter(self, lambda path: self.bayes.save(f"{path}/bayes"), {})
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TablesReader(lambda spark, path, about: cls(N.BayesModel.load(spark, f"{path}/bayes")))
+
+
+class _TablesWriter(MLWriter):
+    """Parameters as the metadata of the library, tables beside them."""
 
-    @staticmethod
-    def load(spark, path: str, numbers: Sequence[str] = (), tokens: str = "tokens", label: str = "label", top: int = 5) -> CompositeNaiveBayesModel:
-        return CompositeNaiveBayesModel(N.BayesModel.load(spark, path, numbers), tokens, label, top)
+    def __init__(self, stage: Params, write_tables: Callable[[str], object], about: dict):
+        super().__init__()
+        self.stage, self.write_tables, self.about = stage, write_tables, about
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession, extraMetadata={"about": self.about})
+        self.write_tables(path)
+
+
+class _TablesReader(MLReader):
+    def __init__(self, opened: Callable[[SparkSession, str, dict], Params]):
+        super().__init__()
+        self.opened = opened
+
+    def load(self, path: str) -> Params:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stage = self.opened(self.sparkSession, path, metadata["about"])
+        stage._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(stage, metadata)
+        return stage
 
 
 class TopNEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -125,3 +125,21 @@ def group_constant(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame
     for s in same[1:]:
         consistent = consistent & s
     return df.groupBy(key).agg(*picks, consistent.cast("int").alias("consistent"))
+
+
+def merge_keyed(inputs: Sequence[DataFrame], keys: Sequence[str], order: str) -> DataFrame:
+    """Keyed tables merged, later wins: of a key the row of the last input that has it, in it the one with the highest ``order``.
+
+    All inputs have the same columns. Adds ``input`` (0-based number of the winning one) and ``inputs`` (how many have the key).
+    Every input is folded to one row a key before the tables meet, so a key that repeats in many rows is one row
+    there; NULL keys are a key like any other. Rows of equal order are told apart by their other columns.
+    """
+    values = [c for c in inputs[0].columns if c not in keys]
+    rest = F.struct(order, *[c for c in values if c != order])
+    folded = [df.groupBy(*keys).agg(F.max(rest).alias("_v")).select(*keys, F.lit(i).alias("_i"), "_v") for i, df in enumerate(inputs)]
+    whole = folded[0]
+    for more in folded[1:]:
+        whole = whole.unionByName(more)
+    # At most one row an input and key.
+    last = whole.groupBy(*keys).agg(F.max(F.struct("_i", "_v")).alias("_m"), F.count(F.lit(1)).alias("inputs"))
+    return last.select(*keys, *[F.col(f"_m._v.{c}").alias(c) for c in values], F.col("_m._i").alias("input"), F.col("inputs").cast("int").alias("inputs"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordering import hash_key, hash_unit
+from .ordering import hash_key
 from .pairwise import dot_products
 from .rates import absent_codes
 from .sizes import settle, small_side
@@ -85,22 +90,55 @@ def resample(
     """Redraw the codes of every record from its class without replacement, keeping their number.
 
     ``weights`` holds (label, code, weight). Candidates are drawn by exponential keys -ln(u) / w
-    (plain u when not weighted), with u from a hash of record and code, all inside the row: the
-    class list is joined to the record, and no record x code row is made. A record whose class has
-    no weights keeps its codes.
+    (plain u when not weighted), with u from a hash of record and code: the class list is joined to the
+    record, the least keys are selected there without a sort, and no record x code row is made. A record whose class has
+    no weights keeps its codes; one with more codes than its class has keeps those of the class.
     """
-    lists = settle(weights.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("code", "weight"))).alias("_w")))
+    items = F.array_sort(F.collect_list(F.struct("code", F.col("weight").cast("double").alias("weight"))))
+    lists = settle(weights.groupBy(label).agg(items.alias("_w")))
     joined = records.join(small_side(lists, 48, "_w"), label, "left")
-    row = F.col(key).cast("string")
-
-    def draw(item: Column) -> Column:
-        u = hash_unit(F.md5(F.concat_ws("-", F.lit(str(seed)), row, item["code"])))
-        rank = -F.ln(u) / item["weight"] if weighted else u
-        return F.struct(rank.alias("r"), item["code"].alias("code"))
-
-    drawn = F.slice(F.array_sort(F.transform("_w", draw)), F.lit(1), F.size(codes))
-    picked = F.array_sort(F.transform(drawn, lambda d: d["code"]))
-    return joined.withColumn(codes, F.when(F.size(codes) > 0, F.coalesce(picked, F.col(codes))).otherwise(F.col(codes))).drop("_w")
+    start = F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))
+
+    @F.arrow_udf("array<string>")
+    def draw(starts: pa.Array, lists: pa.Array, own: pa.Array) -> pa.Array:
+        return _drawn(starts, lists, own, weighted)
+
+    return joined.withColumn(codes, F.when(F.size(codes) > 0, draw(start, "_w", codes)).otherwise(F.col(codes))).drop("_w")
+
+
+def _drawn(starts: pa.Array, lists: pa.Array, own: pa.Array, weighted: bool) -> pa.Array:
+    """Per row as many codes of its list as it has of its own: those of the least keys, in order of code."""
+    out, tables = [], {}
+    offsets, flat = lists.offsets.to_numpy(), lists.values
+    names, shares = flat.field("code").to_pylist(), flat.field("weight").to_numpy(zero_copy_only=False)
+    wanted = pc.list_value_length(own).fill_null(0).to_pylist()
+    given = lists.is_valid().to_pylist()
+    md5 = hashlib.md5
+    for i, (first, n) in enumerate(zip(starts.to_pylist(), wanted)):
+        a, b = int(offsets[i]), int(offsets[i + 1])
+        if not n or not given[i]:
+            out.append(own[i].as_py())
+            continue
+        row = tables.get((names[a], b - a)) if b > a else []
+        if row is None or row and row[0] != names[a:b]:
+            row = tables[names[a], b - a] = (names[a:b], [f"-{c}".encode() for c in names[a:b]])
+        head = md5(first.encode())
+        digests = []
+        for tail in row[1] if row else []:
+            h = head.copy()
+            h.update(tail)
+            digests.append(h.digest()[:4])
+        u = (np.frombuffer(b"".join(digests), ">u4").astype(float) + 0.5) / 4294967296.0
+        keys = -np.log(u) / shares[a:b] if weighted else u
+        if n < b - a:
+            # The n least; a tie across the cut goes to the smaller code, which stands first.
+            limit = np.partition(keys, n - 1)[n - 1]
+            less = np.flatnonzero(keys < limit)
+            picked = np.sort(np.concatenate([less, np.flatnonzero(keys == limit)[: n - len(less)]]))
+        else:
+            picked = range(b - a)
+        out.append([names[a + k] for k in picked])
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def at_least(records: DataFrame, codes: str, count: int) -> DataFrame:

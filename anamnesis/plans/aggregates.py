@@ -11,7 +11,7 @@ from ..operators import rates as B
 from ..operators import records as R
 from ..operators.sizes import settle
 from . import roles as S
-from .joins import class_sets
+from .joins import CLASS_SETS, class_sets
 from .registry import Tables, query
 from .roles import n64, r6
 
@@ -289,9 +289,7 @@ def d27(t: Tables) -> DataFrame:
 
 @query(
     "d28_target_size",
-    """WITH own AS (SELECT DISTINCT c_nationkey AS condition, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-s AS (SELECT count(*) AS n FROM own GROUP BY condition)
+    f"""WITH {CLASS_SETS}, s AS (SELECT count(*) AS n FROM own GROUP BY condition)
 SELECT CAST(floor(avg(n)) AS BIGINT) AS mean_size, CAST(floor(floor(avg(n)) / 2) AS BIGINT) AS target FROM s""",
 )
 def d28(t: Tables) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import rates as B
 from ..operators.sizes import settle
 from . import roles as S
 from .evaluation import scored
+from .joins import PLACE_SETS, place_sets
 from .models import FIRST_SOURCE, nb_sql
 from .registry import Tables, query
 from .roles import n64, r6
@@ -32,11 +33,20 @@ def one(t: Tables, name: str) -> DataFrame:
 
 
 IDS = "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b,"
+# Sums of whole numbers: hits and rows of each class, products of hits.
+HITS = f"""{S.BASE}, cls AS (SELECT nation, count(*) AS n FROM rec GROUP BY 1), h AS (SELECT nation, code, count(*) AS k FROM rec JOIN sym USING (row_id) GROUP BY 1, 2),
+s AS (SELECT nation, sum(k)::HUGEINT AS h, any_value(n)::HUGEINT AS n FROM h JOIN cls USING (nation) GROUP BY 1),
+d AS (SELECT x.nation AS a, y.nation AS b, any_value(x.h) AS ha, any_value(y.h) AS hb, any_value(x.n) AS na, any_value(y.n) AS nb, coalesce(sum(p.k * q.k), 0)::HUGEINT AS dot
+  FROM s x JOIN s y ON x.nation < y.nation JOIN h p ON p.nation = x.nation LEFT JOIN h q ON q.nation = y.nation AND q.code = p.code GROUP BY 1, 2),
+f AS (SELECT a, b, ha * nb + hb * na - 2 * dot AS top, na * nb * {WIDTH} AS below FROM d)"""
 
 
-@query("o1_variability_index", f"{PAIRS} {IDS} round((sa + sb - 2 * dot) / {WIDTH}, 6) AS d FROM d")
+@query("o1_variability_index", f"{HITS} {IDS} ((2000000 * top + below) // (2 * below))::DOUBLE / 1000000 AS d FROM f")
 def o1(t: Tables) -> DataFrame:
-    return one(t, "variability")
+    hits = settle(B.class_rates(S.records(t), "nation", "codes"))
+    width = S.dictionary(t).agg(S.count_rows()).scalar()
+    found = D.variability(hits, "nation", "code", width)
+    return found.select(n64("a").alias("a"), n64("b").alias("b"), F.col("variability").alias("d"))
 
 
 @query("o2_cosine_pairs", f"{PAIRS} {IDS} round(1 - dot / sqrt(qa) / sqrt(qb), 6) AS d FROM d")
@@ -44,9 +54,22 @@ def o2(t: Tables) -> DataFrame:
     return one(t, "cosine")
 
 
-@query("o3_hamming_pairs", f"{PAIRS} {IDS} round((ka + kb - 2 * common) / {WIDTH}, 6) AS d FROM d")
+# Nations and the parts that they ordered: no nation has all.
+SETS = f"""WITH {PLACE_SETS}, width AS (SELECT count(*) AS w FROM part), k AS (SELECT condition, count(*) AS k FROM own GROUP BY 1),
+c AS (SELECT a.condition AS a, b.condition AS b, count(*) AS n FROM own a JOIN own b ON a.code = b.code AND a.condition < b.condition GROUP BY ALL),
+d AS (SELECT x.condition AS a, y.condition AS b, round((x.k + y.k - 2 * coalesce(n, 0)) / w, 6) AS d FROM k x JOIN k y ON x.condition < y.condition
+  LEFT JOIN c ON c.a = x.condition AND c.b = y.condition CROSS JOIN width)"""
+
+
+def set_pairs(t: Tables) -> DataFrame:
+    width = t.part.agg(S.count_rows()).scalar()
+    ones = place_sets(t).withColumn("w", F.lit(1.0))
+    return D.class_distances(ones, "condition", "code", "w", width).select(n64("a").alias("a"), n64("b").alias("b"), r6(F.col("hamming")).alias("d"))
+
+
+@query("o3_hamming_pairs", f"{SETS} {IDS} d FROM d")
 def o3(t: Tables) -> DataFrame:
-    return one(t, "hamming")
+    return set_pairs(t)
 
 
 @query("o4_euclidean_pairs", f"{PAIRS} {IDS} round(sqrt(greatest(0, qa + qb - 2 * dot)), 6) AS d FROM d")
@@ -54,11 +77,9 @@ def o4(t: Tables) -> DataFrame:
     return one(t, "euclidean")
 
 
-@query("o5_symmetric_matrix", f"{PAIRS} {IDS} round((ka + kb - 2 * common) / {WIDTH}, 6) AS d FROM d UNION ALL SELECT b, a, round((ka + kb - 2 * common) / {WIDTH}, 6) FROM d")
+@query("o5_symmetric_matrix", f"{SETS} {IDS} d FROM d UNION ALL SELECT CAST(b AS BIGINT), CAST(a AS BIGINT), d FROM d")
 def o5(t: Tables) -> DataFrame:
-    return D.symmetric(one(t, "hamming"))
-
-
+    return D.symmetric(set_pairs(t))
 
 
 def drift_sql(p: str = "p", sizes: str = "cls") -> str:

@@ -8,8 +8,9 @@ from ..operators import bayes as N
 from ..operators import curves as U
 from ..operators import evaluation as V
 from ..operators import scores as K
+from ..session import scratch_path
 from . import roles as S
-from .models import FIRST_SOURCE, composite, feature_set, nb_sql, training
+from .models import FIRST_SOURCE, best, composite, feature_set, nb_sql, training
 from .registry import Tables, query
 from .roles import n64, r6
 from .values import runs, RUNS
@@ -202,21 +203,49 @@ vocab AS (SELECT code FROM dic UNION ALL SELECT 'gender'),
 cnt AS (SELECT fold, level, label, code, count(*) AS k FROM tr JOIN tok USING (row_id) GROUP BY ALL),
 p AS (SELECT fold, level, label, code, (coalesce(k, 0) + 1.0::DOUBLE) / (n + 2.0::DOUBLE) AS p FROM cls CROSS JOIN vocab LEFT JOIN cnt USING (fold, level, label, code)),
 base AS (SELECT fold, level, label, sum(ln(1 - p)) AS b FROM p GROUP BY ALL),
-h AS (SELECT p.fold, p.level, row_id, p.label AS cand, sum(ln(p) - ln(1 - p)) AS s FROM tok JOIN r USING (row_id) JOIN p ON p.fold = r.fold AND p.code = tok.code GROUP BY ALL),
-sc AS (SELECT c.fold, c.level, r.row_id, r.label, c.label AS cand, 2 * ln(c.n / total) + b + coalesce(h.s, 0) - 0.5 * ln(2 * pi() * (v + 1e-9 * gv)) - (age - mu) * (age - mu) / (2 * (v + 1e-9 * gv)) AS s
-  FROM r JOIN cls c ON c.fold = r.fold JOIN gv ON gv.fold = c.fold AND gv.level = c.level JOIN base ON base.fold = c.fold AND base.level = c.level AND base.label = c.label
-  LEFT JOIN h ON h.row_id = r.row_id AND h.level = c.level AND h.cand = c.label),
-bst AS (SELECT fold, level, row_id, label, arg_max(cand, s) AS pred FROM sc GROUP BY ALL),
-acc AS (SELECT fold, level, count(*) AS n, avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc FROM bst GROUP BY ALL) {out}"""
+ev AS (SELECT g.fold, g.level, row_id, label, age, CASE WHEN r.fold = g.fold THEN 'test' ELSE 'train' END AS role FROM g JOIN r ON r.fold = g.fold OR r.level <= g.level),
+h AS (SELECT fold, level, row_id, p.label AS cand, sum(ln(p) - ln(1 - p)) AS s FROM tok JOIN ev USING (row_id) JOIN p USING (fold, level, code) GROUP BY ALL),
+sc AS (SELECT c.fold, c.level, role, r.row_id, r.label, c.label AS cand, 2 * ln(c.n / total) + b + coalesce(h.s, 0) - 0.5 * ln(2 * pi() * (v + 1e-9 * gv)) - (age - mu) * (age - mu) / (2 * (v + 1e-9 * gv)) AS s
+  FROM ev r JOIN cls c ON c.fold = r.fold AND c.level = r.level JOIN gv ON gv.fold = c.fold AND gv.level = c.level JOIN base ON base.fold = c.fold AND base.level = c.level AND base.label = c.label
+  LEFT JOIN h ON h.row_id = r.row_id AND h.fold = c.fold AND h.level = c.level AND h.cand = c.label),
+bst AS (SELECT fold, level, role, row_id, label, arg_max(cand, s) AS pred FROM sc GROUP BY ALL),
+acc AS (SELECT fold, level, role, count(*) AS n, avg(CASE WHEN label = pred THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc FROM bst GROUP BY ALL) {out}"""
+
+
+def grid_options(t: Tables) -> list:
+    return ["label", "tokens", ["row_id"], feature_set(t), ["age"]]
 
 
 @query(
     "n14_learning_curve",
-    _grid_sql(3, [0.25, 0.5, 1.0], "SELECT CAST(level AS BIGINT) AS level, round(avg(acc), 6) AS mean, round(stddev_pop(acc), 6) AS std FROM acc GROUP BY level"),
+    _grid_sql(
+        3,
+        [0.25, 0.5, 1.0],
+        """SELECT CAST(level AS BIGINT) AS level, round(avg(acc) FILTER (WHERE role = 'test'), 6) AS mean, round(stddev_pop(acc) FILTER (WHERE role = 'test'), 6) AS std,
+  round(avg(acc) FILTER (WHERE role = 'train'), 6) AS train_mean, round(stddev_pop(acc) FILTER (WHERE role = 'train'), 6) AS train_std FROM acc GROUP BY level""",
+    ),
 )
 def n14(t: Tables) -> DataFrame:
-    curve = U.learning_curve(training(t, "label"), "label", "tokens", ["row_id"], feature_set(t), ["age"], [0.25, 0.5, 1.0], 3, N.BayesSpec())
-    return curve.groupBy(n64("level").alias("level")).agg(r6(F.avg("top_1")).alias("mean"), r6(F.stddev_pop("top_1")).alias("std"))
+    curve = U.learning_curve(training(t, "label"), *grid_options(t), [0.25, 0.5, 1.0], 3, N.BayesSpec())
+    test, train = (F.when(F.col("role") == role, F.col("top_1")) for role in ("test", "train"))
+    sides = {"mean": F.avg(test), "std": F.stddev_pop(test), "train_mean": F.avg(train), "train_std": F.stddev_pop(train)}
+    return curve.groupBy(n64("level").alias("level")).agg(*[r6(c).alias(name) for name, c in sides.items()])
+
+
+@query(
+    "g10_curve_cells",
+    _grid_sql(3, [0.25, 0.5, 1.0], "SELECT CAST(level AS BIGINT) AS level, CAST(fold AS BIGINT) AS fold, role, n, round(acc, 6) AS score FROM acc"),
+)
+def g10_cells(t: Tables) -> DataFrame:
+    """Every cell of the grid with its rows and score, held out and trained on."""
+    curve = U.learning_curve(training(t, "label"), *grid_options(t), [0.25, 0.5, 1.0], 3, N.BayesSpec())
+    return curve.select(n64("level").alias("level"), n64("fold").alias("fold"), "role", "n", r6(F.col("top_1")).alias("score"))
+
+
+@query("n14_curve_times")
+def n14_times(t: Tables) -> DataFrame:
+    """Seconds of fit and score of every cell, with the rows that were counted meanwhile."""
+    return U.curve_times(training(t, "label"), *grid_options(t), [0.5, 1.0], 2, N.BayesSpec())
 
 
 LOG = """lg AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'nb' ELSE 'rf' END AS model, year(o_orderdate) AS dataset, o_orderpriority[1]::BIGINT AS fold, CASE WHEN o_totalprice < 250000 THEN 0.5 ELSE 1.0 END::DOUBLE AS size, o_totalprice AS score FROM orders)"""
@@ -289,14 +318,33 @@ def n19(t: Tables) -> DataFrame:
 
 @query(
     "n20_cross_validation",
-    _grid_sql(3, [1.0], "SELECT round(avg(acc), 6) AS mean, CAST(arg_max(fold, acc) AS BIGINT) AS best_fold, round(max(acc), 6) AS best FROM acc"),
+    _grid_sql(3, [1.0], "SELECT round(avg(acc), 6) AS mean, CAST(arg_max(fold, acc) AS BIGINT) AS best_fold, round(max(acc), 6) AS best FROM acc WHERE role = 'test'"),
 )
 def n20(t: Tables) -> DataFrame:
-    rows = U.cross_validated(training(t, "label"), "label", "tokens", ["row_id"], feature_set(t), ["age"], 3, N.BayesSpec())
-    folds = V.accuracy(rows, "label", ["fold"], (1,))
+    folds = U.cross_validation(training(t, "label"), *grid_options(t), 3, N.BayesSpec()).fold_scores((1,))
     return folds.agg(r6(F.avg("top_1")).alias("mean"), n64(F.max_by("fold", "top_1")).alias("best_fold"), r6(F.max("top_1")).alias("best"))
 
 
+@query(
+    "n20_kept_model",
+    _grid_sql(
+        3,
+        [1.0],
+        """, held AS (SELECT row_id, cand, s, max(s) OVER (PARTITION BY row_id) AS mx FROM sc
+  WHERE role = 'test' AND fold = (SELECT fold FROM acc WHERE role = 'test' ORDER BY acc DESC, fold LIMIT 1))
+SELECT row_id, arg_max(cand, s) AS pred, round(1 / sum(exp(s - mx)), 6) AS p FROM held GROUP BY row_id""",
+    ),
+)
+def n20_kept(t: Tables) -> DataFrame:
+    """The model of the best fold, saved, loaded and applied to the rows that it has not seen."""
+    run = U.cross_validation(training(t, "label"), *grid_options(t), 3, N.BayesSpec())
+    fold, model = run.keep_best()
+    path = scratch_path(t.spark, "kept")
+    model.save(path)
+    held = run.rows.where(F.col("fold") == fold)
+    return best(N.BayesModel.load(t.spark, path).score(held, "tokens", 1))
+
+
 @query(
     "n21_model_comparison",
     f"""WITH {LOG}, a AS (SELECT size, model, avg(score) AS s FROM lg GROUP BY ALL)

@@ -153,49 +153,47 @@ def c9(t: Tables) -> DataFrame:
     )
 
 
+CLASS_SETS = """own AS (SELECT DISTINCT o_custkey AS condition, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def class_sets(t: Tables) -> DataFrame:
+    """A sparse definition table: (condition, code), customers and the names of what they ordered."""
+    return (
+        t.lineitem.select("l_orderkey", "l_partkey")
+        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(F.col("o_custkey").alias("condition"), F.col("p_name").alias("code"))
+        .distinct()
+    )
+
+
 @query(
     "c10_missing_symptoms",
-    """WITH own AS (SELECT DISTINCT c_nationkey AS nation, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
-vocab AS (SELECT DISTINCT p_name AS code FROM part)
-SELECT CAST(nation AS BIGINT) AS condition, code FROM (SELECT DISTINCT nation FROM own) CROSS JOIN vocab
-WHERE (nation, code) NOT IN (SELECT (nation, code) FROM own)""",
+    f"""WITH {CLASS_SETS}, vocab AS (SELECT DISTINCT p_name AS code FROM part)
+SELECT condition, code FROM (SELECT DISTINCT condition FROM own) CROSS JOIN vocab WHERE (condition, code) NOT IN (SELECT (condition, code) FROM own)""",
 )
 def c10(t: Tables) -> DataFrame:
-    own = (
-        t.lineitem
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("c_nationkey").alias("condition"), F.col("p_name").alias("code"))
-    )
     vocabulary = t.part.select(F.col("p_name").alias("code"))
-    return B.absent_codes(own, "condition", "code", vocabulary).select(n64("condition").alias("condition"), "code")
+    return B.absent_codes(class_sets(t), "condition", "code", vocabulary).select("condition", "code")
 
 
-CLASS_SETS = """own AS (SELECT DISTINCT c_nationkey AS condition, p_name AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+PLACE_SETS = """own AS (SELECT DISTINCT c_nationkey AS condition, l_partkey::VARCHAR AS code FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-def class_sets(t: Tables) -> DataFrame:
-    """A sparse definition table: (condition, code)."""
-    return (
-        t.lineitem
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("c_nationkey").cast("int").alias("condition"), F.col("p_name").alias("code"))
-        .distinct()
-    )
+def place_sets(t: Tables) -> DataFrame:
+    """(condition, code): nations and the parts that they ordered; no nation has all."""
+    lines = t.lineitem.select("l_orderkey", "l_partkey").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    placed = lines.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return placed.select(F.col("c_nationkey").cast("int").alias("condition"), F.col("l_partkey").cast("string").alias("code")).distinct()
 
 
 @query(
     "c11_class_pairs",
-    f"""WITH {CLASS_SETS} SELECT CAST(a.condition AS BIGINT) AS a, CAST(b.condition AS BIGINT) AS b, count(*) AS shared
+    f"""WITH {PLACE_SETS} SELECT CAST(a.condition AS BIGINT) AS a, CAST(b.condition AS BIGINT) AS b, count(*) AS shared
 FROM own a JOIN own b ON a.code = b.code AND a.condition < b.condition GROUP BY ALL""",
 )
 def c11(t: Tables) -> DataFrame:
-    ones = class_sets(t).withColumn("w", F.lit(1.0))
+    ones = place_sets(t).withColumn("w", F.lit(1.0))
     return P.dot_products(ones, "condition", "code", "w").select(
         n64("a").alias("a"), n64("b").alias("b"), n64(F.round("dot")).alias("shared")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import bayes as N
 from ..operators import ensembles as E
@@ -97,6 +97,72 @@ def m5(t: Tables) -> DataFrame:
     return best(model.score(rows, "tokens", 1))
 
 
+def race_token(column: str = "race") -> Column:
+    return F.concat(F.lit("race_"), F.col(column).cast("string"))
+
+
+def with_race(t: Tables) -> DataFrame:
+    """Records with codes, gender and race (one-hot) as tokens, classed by condition."""
+    rows = store(S.records(t).select("row_id", "label", "gender", "race", "age", "codes"), "records")
+    return rows.withColumn("tokens", F.array_compact(F.array_append(N.bernoulli_tokens("codes", {"gender": F.col("gender") == 1}), race_token())))
+
+
+def races(t: Tables) -> DataFrame:
+    return t.spark.range(len(S.SEGMENTS)).select(race_token("id").alias("token"))
+
+
+#: Weights of the races in each class: th(label, race, w).
+RACE_SQL = """th AS (SELECT c.label, k.race, ln((coalesce(x.n, 0) + 1.0::DOUBLE) / (c.n + 5)) AS w
+  FROM (SELECT label, count(race) AS n FROM rec GROUP BY 1) c CROSS JOIN (SELECT range AS race FROM range(5)) k
+  LEFT JOIN (SELECT label, race, count(*) AS n FROM rec GROUP BY ALL) x ON x.label = c.label AND x.race = k.race)"""
+
+
+@query(
+    "m4_race_part",
+    f"""{S.BASE}, {RACE_SQL}, cls AS (SELECT label, count(*)::DOUBLE AS n FROM rec GROUP BY 1),
+sc AS (SELECT row_id, c.label, ln(c.n / (SELECT sum(n) FROM cls)) + coalesce(w, 0) AS s FROM rec CROSS JOIN cls c LEFT JOIN th ON th.label = c.label AND th.race = rec.race),
+z AS (SELECT row_id, ln(sum(exp(s))) AS lz FROM sc GROUP BY 1)
+SELECT row_id, label, round(s - lz, 6) AS log_p FROM sc JOIN z USING (row_id)""",
+)
+def m4_race(t: Tables) -> DataFrame:
+    """The race written one-hot as a multinomial part: every class of every record."""
+    rows = with_race(t)
+    model = N.fit_multinomial(N.token_counts(rows, "label", "tokens"), races(t))
+    return every_class(model, rows)
+
+
+def every_class(model: N.BayesModel, rows: DataFrame) -> DataFrame:
+    flat = model.log_probabilities(rows, "tokens").select("row_id", F.explode("log_p").alias("c"))
+    return flat.select("row_id", "c.label", r6(F.col("c.log_p")).alias("log_p"))
+
+
+def production_parts(t: Tables, rows: DataFrame) -> list[N.BayesModel]:
+    """Gender and symptoms as Bernoulli parts, race as a multinomial, age as a Gaussian one: all from one count table."""
+    counts, stats = N.statistics(rows, "label", "tokens", ["age"])
+    one = N.BayesSpec(components=1)
+    words = feature_set(t)
+    none = words.where(F.lit(False))
+    return [
+        N.fit_counts(counts, None, words.where("token = 'gender'"), spec=one),
+        N.fit_multinomial(counts, races(t), one),
+        N.fit_counts(counts, stats, none, ["age"], one),
+        N.fit_counts(counts, None, words.where("token <> 'gender'"), spec=one),
+    ]
+
+
+@query(
+    "m5_production_parts",
+    f"""{nb_sql(label='label', prior=4)}, {RACE_SQL},
+sc2 AS (SELECT row_id, cand AS label, s + coalesce(w, 0) AS s FROM sc JOIN rec USING (row_id) LEFT JOIN th ON th.label = cand AND th.race = rec.race),
+z2 AS (SELECT row_id, mx + ln(sum(exp(s - mx))) AS lz FROM (SELECT *, max(s) OVER (PARTITION BY row_id) AS mx FROM sc2) GROUP BY row_id, mx)
+SELECT row_id, label, round(s - lz, 6) AS log_p FROM sc2 JOIN z2 USING (row_id)""",
+)
+def m5_production(t: Tables) -> DataFrame:
+    """Four parts, their joint log-likelihoods summed: every class of every record, the prior counted four times."""
+    rows = with_race(t)
+    return every_class(N.compose(*production_parts(t, rows)), rows)
+
+
 @query("m6_composite_top5", f"{nb_sql(prior=2)} SELECT row_id, rank, cand AS label, round(p, 6) AS p FROM pr WHERE rank <= 5")
 def m6(t: Tables) -> DataFrame:
     rows = training(t)

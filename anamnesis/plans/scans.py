@@ -13,7 +13,7 @@ from ..schemas import COMPACT, GRID_RESULT, SPARSE
 from ..session import scratch_path
 from ..sources import sinks, tables
 from . import roles as S
-from .models import composite, training
+from .models import composite, nb_sql, training
 from .registry import Tables, query
 from .roles import r6
 
@@ -150,15 +150,26 @@ def a14(t: Tables) -> DataFrame:
 @query(
     "a15_split_files",
     """WITH r AS (SELECT o_orderkey AS row_id, o_orderpriority AS label, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
-SELECT row_id, CASE WHEN rn <= ceil(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, label FROM r WHERE label = '2-HIGH' AND rn <= ceil(n * 0.8::DOUBLE)""",
+SELECT row_id, CASE WHEN rn <= ceil(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, label FROM r""",
 )
 def a15(t: Tables) -> DataFrame:
+    """All written files, the split and label taken from their folders."""
     path = scratch_path(t.spark, "split")
     rows = head_split(t.orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("label")), "label", "row_id", 0.8)
     sinks.write_partitioned(rows, ["split", "label"], path)
-    back = t.spark.read.schema("row_id bigint, split string, label string").parquet(path)
-    # Only the folder of this split and label is read.
-    return back.where("split = 'train' AND label = '2-HIGH'")
+    return t.spark.read.schema("row_id bigint, split string, label string").parquet(path)
+
+
+@query(
+    "a15_one_split_file",
+    """WITH r AS (SELECT o_orderkey AS row_id, o_orderpriority AS label, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT label, CASE WHEN rn <= ceil(n * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM r GROUP BY ALL""",
+)
+def a15_one(t: Tables) -> DataFrame:
+    """Each split and label read alone, by its folder."""
+    back = a15(t)
+    parts = back.groupBy("split", "label").agg(S.count_rows().alias("n"), F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    return parts.select("label", "split", "n", "first", "last")
 
 
 METRICS = """m AS (SELECT l_returnflag AS name, avg(l_discount) AS train, avg(l_tax) AS test, sum(l_quantity) AS train_time, count(*) AS size FROM lineitem GROUP BY 1)"""
@@ -190,11 +201,26 @@ def a17(t: Tables) -> DataFrame:
     return tables.read_csv(t.spark, path, "Run int, Accuracy string")
 
 
-@query("a18_model_store", f"{S.BASE} SELECT label, count(*)::DOUBLE AS n FROM rec GROUP BY label")
+@query(
+    "a18_model_store",
+    f"""{nb_sql(label='label')}, g AS (SELECT label, mu, v + 1e-9 * gv AS var FROM cls CROSS JOIN gv)
+SELECT 'class' AS kind, label, '' AS name, round(b + 2 * ln(n / total), 6) AS x, round(n, 6) AS y FROM cls CROSS JOIN gv JOIN base USING (label)
+UNION ALL SELECT 'weight', label, code, round(ln(p) - ln(1 - p), 6), 0.0::DOUBLE FROM p
+UNION ALL SELECT 'gauss', label, 'age', round(mu, 6), round(var, 6) FROM g""",
+)
 def a18(t: Tables) -> DataFrame:
+    """Every number of the stored model: class weights and sizes, token weights, moments."""
     path = scratch_path(t.spark, "model")
     composite(t, training(t, "label")).save(path)
-    return N.BayesModel.load(t.spark, path, ["age"]).classes.select("label", "n")
+    back = N.BayesModel.load(t.spark, path)
+    words = back.dictionary.agg(F.collect_list("token")).scalar()
+    grid = back.classes.select("label", "rest", F.explode(words).alias("token")).join(back.weights, ["label", "token"], "left")
+    parts = [
+        back.classes.select(F.lit("class").alias("kind"), "label", F.lit("").alias("name"), F.col("base").alias("x"), F.col("n").alias("y")),
+        grid.select(F.lit("weight").alias("kind"), "label", F.col("token").alias("name"), F.coalesce("w", "rest").alias("x"), F.lit(0.0).alias("y")),
+        back.gauss.select(F.lit("gauss").alias("kind"), "label", F.col("feature").alias("name"), F.col("mean").alias("x"), F.col("var").alias("y")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({"x": r6(F.col("x")), "y": r6(F.col("y"))})
 
 
 @query("a19_result_folder", f"WITH {METRICS} SELECT name, round(train, 6) AS train, round(test, 6) AS test, train_time, round(size / 1024 / 1024, 6) AS size_mb FROM m")

@@ -29,7 +29,7 @@ def s1(t: Tables) -> DataFrame:
     """Batch after batch; the model equals that of one batch."""
     files = record_files(t)
     stream = I.record_stream(t.spark, files, RECORD, 2)
-    counts, stats = I.fit_stream(stream, "label", "tokens", ["age"], scratch_path(t.spark, "fit"))
+    counts, stats = I.fit_stream(stream, "label", "tokens", ["age"], scratch_path(t.spark, "fit"), scratch_path(t.spark, "stream"))
     model = N.fit_counts(counts, stats, feature_set(t), ["age"])
     scored = model.score(t.spark.read.schema(RECORD).parquet(files), "tokens", 1)
     top = F.get("top", 0)
@@ -39,7 +39,7 @@ def s1(t: Tables) -> DataFrame:
 @query("s1_stream_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def s1_counts(t: Tables) -> DataFrame:
     source = t.spark.readStream.schema(t.events.schema).parquet(t.path("events") + "*")
-    return I.running_counts(source, ["event_type"], scratch_path(t.spark, "counts"))
+    return I.running_counts(source, ["event_type"], scratch_path(t.spark, "counts"), scratch_path(t.spark, "stream"))
 
 
 @query(
@@ -50,7 +50,7 @@ SELECT count(*) FILTER (WHERE label = pred) AS correct, count(*) AS total, round
 def s2(t: Tables) -> DataFrame:
     files = record_files(t)
     model = N.fit(t.spark.read.schema(RECORD).parquet(files), "label", "tokens", feature_set(t), ["age"])
-    out = I.validate_stream(I.record_stream(t.spark, files, RECORD, 2), model, "label", "tokens", scratch_path(t.spark, "valid"))
+    out = I.validate_stream(I.record_stream(t.spark, files, RECORD, 2), model, "label", "tokens", scratch_path(t.spark, "valid"), scratch_path(t.spark, "stream"))
     return out.withColumn("accuracy", r6(F.col("accuracy")))
 
 
@@ -61,5 +61,5 @@ def s2(t: Tables) -> DataFrame:
 def s3(t: Tables) -> DataFrame:
     source, out = scratch_path(t.spark, "lines"), scratch_path(t.spark, "parsed")
     compact(t).write.option("header", "true").option("emptyValue", "").csv(source)
-    rows = I.parse_stream(t.spark, source, out, {str(i): i for i in range(5)}, 2)
+    rows = I.parse_stream(t.spark, source, out, scratch_path(t.spark, "stream"), {str(i): i for i in range(5)}, 2)
     return rows.withColumn("codes", F.array_join("codes", ";"))

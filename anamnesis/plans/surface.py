@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import codes as C
@@ -16,7 +16,7 @@ from ..operators import rates as B
 from ..session import scratch_path
 from . import roles as S
 from .evaluation import PR
-from .models import feature_set, training
+from .models import feature_set, nb_sql, training
 from .registry import Tables, query
 from .roles import n64, r6
 
@@ -94,16 +94,25 @@ def u8(t: Tables) -> DataFrame:
 
 @query("u9_estimator_protocol", f"{PR} SELECT row_id, pred AS prediction, round(best, 6) AS p FROM pd")
 def u9(t: Tables) -> DataFrame:
-    """fit, save, load, transform."""
+    """fit, save, load, transform: the pipeline before the fit and the fitted one go through files."""
     rows = training(t)
     stage = M.CompositeNaiveBayes(labelCol="label", tokensCol="tokens", numberCols=["age"]).setDictionary(feature_set(t))
-    fitted = Pipeline(stages=[stage]).fit(rows)
-    path = scratch_path(t.spark, "stage")
-    fitted.stages[0].save(path)
-    again = M.CompositeNaiveBayesModel.load(t.spark, path, ["age"])
+    raw, fitted = scratch_path(t.spark, "pipeline"), scratch_path(t.spark, "fitted")
+    Pipeline(stages=[stage]).save(raw)
+    Pipeline.load(raw).fit(rows).save(fitted)
+    again = PipelineModel.load(fitted)
     return again.transform(rows).select("row_id", "prediction", r6(F.get("top", 0)["p"]).alias("p"))
 
 
+@query("u9_class_probabilities", f"{nb_sql(label='label')} SELECT row_id, cand AS label, round(s - lz, 6) AS log_p FROM sc JOIN z USING (row_id)")
+def u9_all(t: Tables) -> DataFrame:
+    """Every class of every record with the logarithm of its probability."""
+    rows = training(t, "label")
+    stage = M.CompositeNaiveBayes(labelCol="label", tokensCol="tokens", numberCols=["age"]).setDictionary(feature_set(t))
+    flat = stage.fit(rows).logProbabilities(rows).select("row_id", F.explode("log_p").alias("c"))
+    return flat.select("row_id", "c.label", r6(F.col("c.log_p")).alias("log_p"))
+
+
 @query("u10_evaluator", f"{PR} SELECT 5 AS n, round(avg(CASE WHEN own_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS score FROM pd")
 def u10(t: Tables) -> DataFrame:
     rows = training(t)

@@ -150,7 +150,7 @@ def test_merged_batches_equal_one(rows, words):
 def test_store_and_load(rows, words, spark, tmp_path):
     model = N.fit(rows, "label", "tokens", words, ["age"])
     model.save(str(tmp_path / "m"))
-    again = N.BayesModel.load(spark, str(tmp_path / "m"), ["age"])
+    again = N.BayesModel.load(spark, str(tmp_path / "m"))
     assert tops(model.score(rows, "tokens", 2, "label")) == tops(again.score(rows, "tokens", 2, "label"))
 
 
@@ -192,7 +192,8 @@ def test_estimator_and_evaluator(rows, words):
 
 def test_learning_curve_counts(rows, words):
     curve = U.learning_curve(rows, "label", "tokens", ["id"], words, ["age"], [0.5, 1.0], 3, N.BayesSpec()).toPandas()
-    assert len(curve) == 6 and (curve.groupby("level").n.sum() == 1200).all()
+    held = curve[curve.role == "test"]
+    assert len(curve) == 12 and (held.groupby("level").n.sum() == 1200).all()
     assert curve.top_1.between(0, 1).all() and (curve.top_5 >= curve.top_1).all()
     assert isinstance(curve, pd.DataFrame)
 
@@ -269,3 +270,109 @@ def test_estimator_in_blocks(rows, words, monkeypatch):
     want = {r["id"]: r["prediction"] for r in fit().transform(rows).collect()}
     monkeypatch.setattr(N, "BLOCK_CELLS", 1)
     assert {r["id"]: r["prediction"] for r in fit().transform(rows).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def with_race(rows):
+    race = F.concat(F.lit("race_"), (F.col("id") % 7 % 4).cast("string"))
+    return rows.withColumn("tokens", F.when(F.col("id") % 11 == 0, F.col("tokens")).otherwise(F.array_append("tokens", race)))
+
+
+def parts_of(rows, words, spark):
+    counts, stats = N.statistics(rows, "label", "tokens", ["age"])
+    one = N.BayesSpec(components=1)
+    race = spark.createDataFrame([(f"race_{i}",) for i in range(5)], "token string")
+    first, rest = words.where("token < 'w3'"), words.where("token >= 'w3'")
+    return [N.fit_counts(counts, None, first, spec=one), N.fit_multinomial(counts, race, one), N.fit_counts(counts, stats, words.where("false"), ["age"], one), N.fit_counts(counts, None, rest, spec=one)]
+
+
+def log_rows(model, rows):
+    return {r["id"]: {x["label"]: x["log_p"] for x in r["log_p"]} for r in model.log_probabilities(rows, "tokens").collect()}
+
+
+@pytest.mark.parametrize("cells", [1, 10**6])
+def test_composition_is_the_sum_of_its_parts(with_race, words, spark, monkeypatch, cells):
+    monkeypatch.setattr(N, "BLOCK_CELLS", cells)
+    parts = parts_of(with_race, words, spark)
+    whole = log_rows(N.compose(*parts), with_race)
+    alone = [log_rows(p, with_race) for p in parts]
+    assert len(whole) == 1200
+    for k, got in whole.items():
+        s = {c: sum(a[k][c] for a in alone) for c in got}
+        z = np.logaddexp.reduce(list(s.values()))
+        assert np.allclose(list(got.values()), [v - z for v in s.values()], atol=1e-9)
+
+
+def test_race_changes_every_class(with_race, words, spark):
+    model = N.compose(*parts_of(with_race, words, spark))
+    one = with_race.where("id = 3")
+    moved = one.withColumn("tokens", F.transform("tokens", lambda x: F.when(x.startswith("race_"), "race_0").otherwise(x)))
+    a, b = log_rows(model, one)[3], log_rows(model, moved)[3]
+    assert a.keys() == b.keys() and all(abs(a[c] - b[c]) > 1e-6 for c in a)
+
+
+def test_multinomial_part_by_hand(with_race, words, spark):
+    """Smoothed shares of the races among the class's rows that have one, an unseen race (race_4) too."""
+    model = parts_of(with_race, words, spark)[1]
+    data = [r.asDict() for r in with_race.collect()]
+    seen = [(r["label"], t) for r in data for t in r["tokens"] if t.startswith("race_")]
+    for k, got in list(log_rows(model, with_race).items())[:200]:
+        row = next(r for r in data if r["id"] == k)
+        race = [t for t in row["tokens"] if t.startswith("race_")]
+        s = {}
+        for c in got:
+            s[c] = np.log(sum(r["label"] == c for r in data) / len(data))
+            if race:
+                s[c] += np.log((sum(x == (c, race[0]) for x in seen) + 1) / (sum(x[0] == c for x in seen) + 5))
+        z = np.logaddexp.reduce(list(s.values()))
+        assert all(abs(got[c] - s[c] + z) < 1e-9 for c in got)
+
+
+def test_parts_that_cannot_be_composed(with_race, words, spark):
+    parts = parts_of(with_race, words, spark)
+    with pytest.raises(ValueError, match="tokens of their own"):
+        N.compose(parts[0], parts[0])
+    with pytest.raises(ValueError, match="numbers of their own"):
+        N.compose(parts[2], parts[2])
+
+
+def test_composed_model_store(with_race, words, spark, tmp_path):
+    model = N.compose(*parts_of(with_race, words, spark))
+    model.save(str(tmp_path / "m"))
+    assert log_rows(N.BayesModel.load(spark, str(tmp_path / "m")), with_race) == log_rows(model, with_race)
+
+
+def test_pipeline_goes_through_files(rows, words, spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    stage = M.CompositeNaiveBayes(labelCol="label", numberCols=["age"], top=3, alpha=2.0).setDictionary(words)
+    Pipeline(stages=[stage]).write().save(str(tmp_path / "raw"))
+    fitted = Pipeline.load(str(tmp_path / "raw")).fit(rows)
+    fitted.write().save(str(tmp_path / "fitted"))
+    again = PipelineModel.load(str(tmp_path / "fitted"))
+    want = exact(Pipeline(stages=[stage]).fit(rows).transform(rows))
+    assert exact(fitted.transform(rows)) == want and exact(again.transform(rows)) == want
+    assert again.stages[0].uid == fitted.stages[0].uid and again.stages[0].getOrDefault("top") == 3
+    with pytest.raises(Exception, match="already exists"):
+        fitted.write().save(str(tmp_path / "fitted"))
+
+
+def test_kept_fold_model(rows, words, spark):
+    run = U.cross_validation(rows, "label", "tokens", ["id"], words, ["age"], 3, N.BayesSpec())
+    scores = {r["fold"]: r["top_1"] for r in run.fold_scores((1,)).collect()}
+    fold, model = run.keep_best()
+    assert scores[fold] == max(scores.values()) and model.keys == ()
+    held = run.rows.where(F.col("fold") == fold)
+    assert exact(model.score(held, "tokens", 5, "label")) == exact(run.scored().where(F.col("fold") == fold))
+
+
+def test_curve_roles_and_times(rows, words):
+    options = ["label", "tokens", ["id"], words, ["age"], [0.5, 1.0], 3, N.BayesSpec()]
+    cells = {(r["level"], r["fold"], r["role"]): r for r in U.learning_curve(rows, *options).collect()}
+    assert len(cells) == 12
+    for fold in range(3):
+        assert cells[1, fold, "test"]["n"] + cells[1, fold, "train"]["n"] == 1200
+        assert cells[0, fold, "test"]["n"] == cells[1, fold, "test"]["n"] and cells[0, fold, "train"]["n"] < cells[1, fold, "train"]["n"]
+    times = U.curve_times(rows, *options).collect()
+    assert len(times) == 6 and all(r["fit_seconds"] > 0 and r["score_seconds"] > 0 for r in times)
+    assert all(r["train_n"] == cells[r["level"], r["fold"], "train"]["n"] and r["test_n"] == cells[r["level"], r["fold"], "test"]["n"] for r in times)
