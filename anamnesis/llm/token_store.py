@@ -271,12 +271,18 @@ def encoded_in_order(docs: DataFrame, encode: Callable[[str], bytes], width: int
 
 
 def id_counts(sums: DataFrame) -> DataFrame:
-    """``id, n`` over all documents, from the sums of the buckets."""
+    """``id, n`` over all documents, from the sums of the buckets; each task sums what it reads first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
         for batch in batches:
             sparse = flat(batch.column(0))[0].view(COUNT)
-            yield pa.RecordBatch.from_arrays([pa.array(sparse["id"].astype(np.int64)), pa.array(sparse["n"].astype(np.int64))], ["id", "n"])
+            more = int(sparse["id"].max(initial=-1)) + 1 - len(total)
+            if more > 0:
+                total = np.concatenate([total, np.zeros(more, np.int64)])
+            np.add.at(total, sparse["id"], sparse["n"])
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     return sums.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
