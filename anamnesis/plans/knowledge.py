@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import maths as M
 from ..functions import text as X
 from ..operators import knowledge as J
 from ..operators import ordering as O
+from ..operators import sheets as H
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -167,6 +168,111 @@ def j7(t: Tables) -> DataFrame:
     return summary(good, "kept").unionByName(summary(bad, "rejected"))
 
 
+# Events as sheets of fifty rows and ten columns; in every other sheet location and intensity change places. Signups head
+# blocks, views tell prevalences, the others symptoms.
+LAYOUTS = {"a": H.ROLES, "b": (*H.ROLES[:6], "intensity", "location", *H.ROLES[8:])}
+CELLS_SQL = """WITH r AS (SELECT event_id AS row, event_id // 50 AS sheet, event_type AS kind, user_id AS u, CAST(floor(value) AS BIGINT) AS v FROM events),
+h AS (SELECT *, max(CASE WHEN kind = 'signup' THEN row END) OVER (ORDER BY row ROWS UNBOUNDED PRECEDING) AS head FROM r),
+b AS (SELECT h.*, head AS block FROM h JOIN r ON r.row = h.head WHERE r.sheet = h.sheet AND h.kind <> 'signup'),
+heads AS (SELECT row AS block, u, CASE WHEN u % 13 = 0 THEN '? ' ELSE '' END || 'User ' || u || ' (' || v || ')' AS condition FROM r WHERE kind = 'signup'),
+sy AS (SELECT block, 'pain_' || kind || '_' || u % 3 AS slug, max(row) AS row FROM b WHERE kind <> 'view' GROUP BY ALL),
+s AS (SELECT sy.*, kind, u, v FROM sy JOIN r USING (row))"""
+
+
+def sheets(t: Tables) -> tuple[DataFrame, DataFrame]:
+    kind, u, v = F.col("event_type"), F.col("user_id"), F.floor("value").cast("bigint")
+    head, view = kind == "signup", kind == "view"
+    text = {name: c.cast("string") for name, c in (("u", u), ("v", v), ("more", v + 10), ("third", u % 3), ("tens", u % 90))}
+    percent = (
+        F.when((kind == "error") & (u % 7 == 0), "often")
+        .when(u % 3 == 0, F.concat(text["v"], F.lit(",5%")))
+        .when(u % 3 == 1, F.concat(text["v"], F.lit("% - "), text["more"], F.lit("%")))
+        .otherwise(F.concat(text["v"], F.lit("%")))
+    )
+    nature = F.when(u % 11 == 0, "sharp").when(u % 4 != 0, F.concat(F.lit("Sharp ("), text["v"], F.lit("%), dull pain("), text["tens"], F.lit(",5%)")))
+    place = F.when(u % 17 == 0, "?!").when(u % 4 == 2, "Left  Arm").when(u % 4 == 3, F.concat(F.lit("chest ("), text["v"], F.lit("%); back: (1-"), text["tens"], F.lit("%)")))
+    told = F.when(u % 3 == 0, F.concat(text["v"], F.lit(" years"))).when(u % 3 == 1, F.concat(F.lit("male ("), text["v"], F.lit("%), female ("), text["tens"], F.lit(",5%)"))).otherwise(F.lit("rare"))
+    cells = {
+        "condition": F.when(head, F.concat(F.when(u % 13 == 0, "? ").otherwise(""), F.lit("User "), text["u"], F.lit(" ("), text["v"], F.lit(")"))),
+        "prevalence": F.when(view, F.when(u % 3 == 0, "Age prevalence").when(u % 3 == 1, " Gender").otherwise("Overall incidence")),
+        "prevalence_value": F.when(view, told),
+        "symptom": F.when(~head & ~view, F.concat(F.lit(" Pain  "), kind, F.lit(" "), text["third"])),
+        "probability": percent, "nature": nature, "location": place, "intensity": F.lit("Mild"), "duration": F.when(u % 2 == 0, "2 Days"), "excitation": F.lit("  "),
+    }
+    first = F.floor(F.col("event_id") / 50) % 2 == 0
+    placed = [F.when(first, cells[a]).otherwise(cells[b]) for a, b in zip(LAYOUTS["a"], LAYOUTS["b"])]
+    sheet = F.floor(F.col("event_id") / 50)
+    rows = t.events.select(F.when(first, "a").otherwise("b").alias("layout"), sheet.alias("sheet"), F.col("event_id").alias("row"), F.array(*placed).alias("cells"))
+    return H.sheet_blocks(rows, LAYOUTS)
+
+
+@query(
+    "j6_whole_sheets",
+    f"""{CELLS_SQL} SELECT block, slug, CASE WHEN kind = 'error' AND u % 7 = 0 THEN 'often' WHEN u % 3 = 0 THEN v || ',5%' WHEN u % 3 = 1 THEN v || '% - ' || (v + 10) || '%' ELSE v || '%' END AS probability,
+  CASE WHEN u % 11 = 0 THEN 'sharp' WHEN u % 4 <> 0 THEN 'Sharp (' || v || '%), dull pain(' || u % 90 || ',5%)' ELSE 'n/a' END AS nature,
+  CASE WHEN u % 17 = 0 THEN '?!' WHEN u % 4 = 2 THEN 'Left  Arm' WHEN u % 4 = 3 THEN 'chest (' || v || '%); back: (1-' || u % 90 || '%)' ELSE 'n/a' END AS location,
+  'Mild' AS intensity, CASE WHEN u % 2 = 0 THEN '2 Days' ELSE 'n/a' END AS duration, 'n/a' AS excitation FROM s""",
+)
+def j6_whole(t: Tables) -> DataFrame:
+    """Every symptom row of all sheets under its block, cell by cell."""
+    return sheets(t)[1].select("block", "slug", "probability", *H.ATTRIBUTE_CELLS)
+
+
+@query(
+    "j6_block_attributes",
+    f"""{CELLS_SQL}, p AS (SELECT block, u % 3 AS k, max(row) AS row FROM b WHERE kind = 'view' GROUP BY ALL),
+q AS (SELECT block, max(CASE k WHEN 0 THEN v || ' years' END) AS age, max(CASE k WHEN 1 THEN 'male (' || v || '%), female (' || u % 90 || ',5%)' END) AS gender, max(CASE k WHEN 2 THEN 'rare' END) AS incidence
+  FROM p JOIN r USING (row) GROUP BY block)
+SELECT block, condition, age, gender, incidence FROM heads LEFT JOIN q USING (block)""",
+)
+def j6_attributes(t: Tables) -> DataFrame:
+    return sheets(t)[0].select("block", "condition", "age", "gender", "incidence")
+
+
+#: Blocks with what speaks against them, and the last good one of each name.
+JUDGED = f"""{CELLS_SQL}, bad AS (SELECT block, 'probability' AS reason FROM s WHERE kind = 'error' AND u % 7 = 0 UNION SELECT block, 'nature' FROM s WHERE u % 11 = 0
+  UNION SELECT block, 'location' FROM s WHERE u % 17 = 0 UNION SELECT block, 'condition' FROM heads WHERE u % 13 = 0),
+good AS (SELECT 'user-' || u AS condition, max(block) AS block FROM heads WHERE block NOT IN (SELECT block FROM bad) GROUP BY 1)"""
+
+
+def map_text(column: str) -> Column:
+    entries = F.array_sort(F.map_entries(column))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+
+@query(
+    "j7_whole_definitions",
+    f"""{JUDGED} SELECT condition, slug, CASE WHEN u % 3 = 0 THEN v + 0.5 WHEN u % 3 = 1 THEN v + 10 ELSE v END::DOUBLE AS share,
+  CASE WHEN u % 4 <> 0 THEN 'dull_pain=' || (u % 90 + 0.5)::DOUBLE || ';sharp=' || v::DOUBLE END AS nature,
+  CASE WHEN u % 4 = 2 THEN 'left_arm=100.0' WHEN u % 4 = 3 THEN 'back=' || (u % 90)::DOUBLE || ';chest=' || v::DOUBLE END AS location,
+  'mild' AS intensity, CASE WHEN u % 2 = 0 THEN '2 days' END AS duration, CAST(NULL AS VARCHAR) AS excitation FROM s JOIN good USING (block)""",
+)
+def j7_whole(t: Tables) -> DataFrame:
+    """Cleaned definitions of the last good block of each condition: percentages, five attributes."""
+    _, definitions, _ = H.clean_blocks(*sheets(t))
+    return definitions.select("condition", "slug", "share", map_text("nature").alias("nature"), map_text("location").alias("location"), "intensity", "duration", "excitation")
+
+
+@query(
+    "j7_conditions",
+    f"""{JUDGED}, p AS (SELECT block, u % 3 AS k, max(row) AS row FROM b WHERE kind = 'view' GROUP BY ALL)
+SELECT condition, block, max(CASE k WHEN 0 THEN v || ' years' END) AS age, max(CASE k WHEN 1 THEN v END)::DOUBLE AS male, max(CASE k WHEN 1 THEN u % 90 + 0.5 END)::DOUBLE AS female,
+  max(CASE k WHEN 2 THEN 'rare' END) AS incidence FROM good LEFT JOIN p USING (block) LEFT JOIN r USING (row) GROUP BY ALL""",
+)
+def j7_conditions(t: Tables) -> DataFrame:
+    conditions, _, _ = H.clean_blocks(*sheets(t))
+    return conditions.select("condition", "block", "age", "male", "female", "incidence")
+
+
+@query(
+    "j7_quarantine",
+    f"{JUDGED} SELECT block, condition AS name, string_agg(reason, ',' ORDER BY reason) AS reasons FROM bad JOIN heads USING (block) GROUP BY ALL",
+)
+def j7_quarantine(t: Tables) -> DataFrame:
+    """Blocks that are left out, with every reason."""
+    return H.clean_blocks(*sheets(t))[2].select("block", "name", F.array_join("reasons", ",").alias("reasons"))
+
+
 def attribute_rows(t: Tables) -> DataFrame:
     """(row_id, symptom, attribute, value, seq): four attribute reports per symptom row."""
     facts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
