@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt"
@@ -84,13 +84,22 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_outline(spark: SparkSession, path: str) -> DataFrame:
     """``s-`` lines are parents of the lines below them: (main, part).
 
-    Each file is cut at its parent lines, so no row needs to know the ones before it.
+    Files may be of any length: each is read in blocks by many tasks. Lines are in order within their block, and a block
+    begins with the last parent of the blocks before it. Blank lines, and lines above the first parent of a file, are left out.
     """
-    text = spark.read.text(path, wholetext=True)
-    sections = text.select(F.explode(F.split("value", r"(?:^|\n)s-")).alias("s")).where(F.trim("s") != "")
-    lines = F.filter(F.transform(F.split("s", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    named = sections.select(lines.alias("l"))
-    return named.select(F.get("l", 0).alias("main"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("part"))
+    value, at = F.trim("value"), F.monotonically_increasing_id()
+    mark = F.when(F.col("value").startswith("s-"), F.trim(F.expr("substr(value, 3)")))
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    # Only the order of the numbers within a block counts, and a block is read by one task from its begin.
+    lines = spark.read.text(path).select(*place, value.alias("part"), mark.alias("main"), at.alias("_at")).where("part <> ''")
+    last = lines.groupBy("file", "block").agg(F.max(F.when(F.col("main").isNotNull(), F.struct("_at", "main"))).alias("_l"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a block.
+    carried = last.select("file", "block", F.last("_l.main", ignorenulls=True).over(earlier).alias("_before"))
+    upto = Window.partitionBy("file", "block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    held = lines.join(carried, ["file", "block"])
+    named = held.withColumn("_main", F.coalesce(F.last("main", ignorenulls=True).over(upto), "_before"))
+    return named.where(F.col("main").isNull() & F.col("_main").isNotNull()).select(F.col("_main").alias("main"), "part")
 
 
 def read_named_sets(spark: SparkSession, driver_file: str, schema: StructType | str) -> DataFrame:
