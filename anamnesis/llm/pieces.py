@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .kept import ENTRY_BYTES, KEPT_BYTES as HALF_BYTES, LONGEST_KEY
 from .texts import ragged
 
 NONE = np.int64(1) << 40
 #: Longer words are cut between letters that no piece has side by side.
 LONG_WORD = 64
-#: Words whose ids a worker keeps; beyond it the table starts anew.
+#: Words whose ids a worker keeps, and their bytes; beyond either the table starts anew. Long ones are not kept.
 KEPT_WORDS = 400_000
+KEPT_BYTES = 2 * HALF_BYTES
 ROUND_SYMBOLS = 1 << 18
 
 
@@ -79,6 +81,7 @@ class PieceModel:
         self.silent = np.array([k == "control" for k in kinds])
         self.decimal = [str(i) for i in range(size)]
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Positions in the pair table; its end where the two never merge."""
@@ -198,8 +201,9 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; words are merged once and kept."""
         known = self.known
-        if len(known) > KEPT_WORDS:
+        if len(known) > KEPT_WORDS or self.held > KEPT_BYTES:
             known.clear()
+            self.held = 0
         cut = [self.segments(t) for t in texts]
         missing = list(set().union(*cut).difference(known))
         at = 0
@@ -214,8 +218,13 @@ class PieceModel:
             for s, n in zip(missing[at:end], counts.tolist()):
                 known[s] = data[stop : stop + 4 * n]
                 stop += 4 * n
+            self.held += size + len(data) + ENTRY_BYTES * (end - at)
             at = end
-        return [b"".join(map(known.__getitem__, segments)) for segments in cut]
+        out = [b"".join(map(known.__getitem__, segments)) for segments in cut]
+        for s in missing:
+            if len(s) > LONGEST_KEY:
+                self.held -= len(s) + len(known.pop(s)) + ENTRY_BYTES
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: marks are blanks, the blank in front goes, byte pieces are joined to letters; bytes that are no letter become U+FFFD."""

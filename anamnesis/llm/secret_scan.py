@@ -165,8 +165,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo
                                F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    spans = known.select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key"), F.reverse(merged).alias("_spans")).where(F.size("_spans") > 0)
+    # The columns of the input go into one struct, so none of their names can clash.
     text = F.col(text_col).cast("string")
-    joined = docs.join(spans, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_key")), "left")
-    cleaned = F.aggregate("_spans", text, lambda t, s: F.overlay(t, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cleaned)).select(*docs.columns)
+    held = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    spans = known.select(F.col("doc_id").alias("found_id"), F.col("doc_key").alias("found_key"), F.reverse(merged).alias("spans")).where(F.size("spans") > 0)
+    joined = held.join(spans, F.col("id").eqNullSafe(F.col("found_id")) & F.col("key").eqNullSafe(F.col("found_key")), "left")
+    cleaned = F.aggregate("spans", F.col("text"), lambda t, s: F.overlay(t, F.lit(mark), s["start"] + 1, s["end"] - s["start"]))
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned)
+    return joined.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

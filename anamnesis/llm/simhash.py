@@ -301,9 +301,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col, hashed=True)
     nodes = store(signed.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "nodes")
     chosen = _rooted(nodes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_text"))
-    kept = docs.join(chosen, (F.col(id_col) == F.col("_kept")) & (F.xxhash64(text_col) == F.col("_kept_text")), "left_semi")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(text_col)
-    one = kept.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    # The columns of the input go into one struct, so none of their names can clash.
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), whole.alias("row"))
+    kept = held.join(chosen, (F.col("id") == F.col("_kept")) & (F.col("text_hash") == F.col("_kept_text")), "left_semi")
+    # Of repeated rows one, whichever; each task folds its own first.
+    one = kept.groupBy("id", "text_hash").agg(F.first("row").alias("row"))
+    # The row of a NULL id is told by its id alone.
+    return one.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

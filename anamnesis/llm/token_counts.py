@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .kept import LONGEST_KEY
+
 START, GOES_ON = 0, 1
 #: Words whose counts a worker keeps; beyond it the table starts anew.
 KEPT_WORDS = 500_000
@@ -112,7 +114,9 @@ def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
                 for word in words:
                     c = known.get(word)
                     if c is None:
-                        c = known[word] = automaton.count(word)
+                        c = automaton.count(word)
+                        if len(word) <= LONGEST_KEY:
+                            known[word] = c
                     if c < 0:
                         bad += 1
                     else:

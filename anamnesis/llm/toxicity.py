@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .kept import LONGEST_KEY
 
 #: Words that mark the first two categories.
 CATEGORIES = (
@@ -47,7 +48,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 class _Numbers(dict):
     def __missing__(self, word: str) -> int:
-        value = self[word] = zlib.crc32(word.encode()) % FEATURES
+        value = zlib.crc32(word.encode()) % FEATURES
+        if len(word) <= LONGEST_KEY:
+            self[word] = value
         return value
 
 

@@ -78,9 +78,12 @@ def _range_cuts(pages: DataFrame, count: int) -> list[str]:
     """At most ``count - 1`` keys; a frequent key comes several times."""
     if count < 2:
         return []
-    drawn = pages.select("_key", F.xxhash64("page_id", "_key", "path").alias("_h")).orderBy("_h", "_key").limit(SAMPLE_PER_RANGE * count)
-    keys = sorted(r["_key"] for r in drawn.select("_key").collect())
-    return keys[SAMPLE_PER_RANGE::SAMPLE_PER_RANGE][: count - 1] if len(keys) > SAMPLE_PER_RANGE else []
+    wanted, total = SAMPLE_PER_RANGE * count, pages.count()
+    # Rows are drawn where they are read; as many reach the driver as there are ranges, times a constant.
+    drawn = pages.select("_key").sample(min(1.0, wanted / total), seed=1) if total > wanted else pages.select("_key")
+    keys = sorted(r["_key"] for r in drawn.collect())
+    step = max(SAMPLE_PER_RANGE, -(-len(keys) // count))
+    return keys[step::step][: count - 1] if len(keys) > step else []
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

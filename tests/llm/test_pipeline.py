@@ -47,4 +47,24 @@ def test_registered():
 
     named = entry.queries()
     assert {*queries.QUERIES, "pipeline"} <= set(named)
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
+
+
+CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, _id string, _key string, _spans string, _kept string, _kept_text string, _copy string, id string, key string, row string, spans string, found string, fp bigint, root bigint, first string, text_hash string"
+
+
+def test_clashing_columns(spark):
+    """Whatever the other columns are called, the two stages that join keep them as they are."""
+    key = "password = hunter2secret99"
+    texts = [(1, "one two three four five six seven eight"), (2, "one two three four five six seven eight"), (3, f"other text {key} of this"), (None, key), (None, None), (3, f"other text {key} of this")]
+    extra = CLASHING.count(",") + 1 - 5
+    rows = spark.createDataFrame([(d, t, "en", f"owner{i}/repo", 5, *[str(c) if not 11 <= c <= 12 else c for c in range(extra)]) for i, (d, t) in enumerate(texts)], CLASHING)
+    clean = cp.redact_secrets(spark, rows, "")
+    assert clean.columns == rows.columns
+    got = clean.collect()
+    assert len(got) == 6 and sum("[SECRET]" in (r["text"] or "") for r in got) == 3
+    assert all(r["n_chars"] == len(r["text"] or "") if r["text"] is not None else r["n_chars"] is None for r in got)
+    kept = cp.drop_near_copies(spark, rows, "")
+    assert kept.columns == rows.columns
+    assert sorted(repr(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None", "None"]
+    assert all(r["_spans"] == "2" and r["found"] == "10" for r in [*got, *kept.collect()])
