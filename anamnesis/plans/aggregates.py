@@ -114,30 +114,32 @@ def d11(t: Tables) -> DataFrame:
     return sets.select("row_id", bit_mask(F.col("idx")).alias("mask"))
 
 
+BRANDS = range(1, 26)
+
+
 @query(
     "d12_flag_columns",
-    f"""{S.BASE} SELECT label, CAST(sum(CASE WHEN list_contains(codes, 'Brand#1') THEN 1 ELSE 0 END) AS BIGINT) AS f1,
-  CAST(sum(CASE WHEN list_contains(codes, 'Brand#2') THEN 1 ELSE 0 END) AS BIGINT) AS f2,
-  CAST(sum(CASE WHEN list_contains(codes, 'Brand#3') THEN 1 ELSE 0 END) AS BIGINT) AS f3 FROM rec GROUP BY label""",
+    f"{S.BASE} SELECT label, " + ", ".join(f"CAST(sum(CASE WHEN list_contains(codes, 'Brand#{i}') THEN 1 ELSE 0 END) AS BIGINT) AS f{i}" for i in BRANDS) + " FROM rec GROUP BY label",
 )
 def d12(t: Tables) -> DataFrame:
-    flags = R.wide_flags(S.coded(t), "codes", ["Brand#1", "Brand#2", "Brand#3"])
-    return flags.groupBy("label").agg(*[F.sum(f"`Brand#{i}`").alias(f"f{i}") for i in (1, 2, 3)])
+    flags = R.wide_flags(S.coded(t), "codes", [f"Brand#{i}" for i in BRANDS])
+    return flags.groupBy("label").agg(*[F.sum(f"`Brand#{i}`").alias(f"f{i}") for i in BRANDS])
+
+
+KINDS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
 
 @query(
     "d13_loop_pivot",
-    """SELECT l_orderkey AS row_id, CAST(max(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END) AS BIGINT) AS economy,
-  CAST(max(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END) AS BIGINT) AS promo,
-  CAST(max(CASE WHEN p_type = 'SMALL' THEN 1 ELSE 0 END) AS BIGINT) AS small FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
+    "SELECT l_orderkey AS row_id, " + ", ".join(f"CAST(max(CASE WHEN p_type = '{k}' THEN 1 ELSE 0 END) AS BIGINT) AS {k.lower()}" for k in KINDS) + " FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
 )
 def d13(t: Tables) -> DataFrame:
     facts = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return (
         facts.groupBy(F.col("l_orderkey").alias("row_id"))
-        .pivot("p_type", ["ECONOMY", "PROMO", "SMALL"])
+        .pivot("p_type", list(KINDS))
         .agg(F.max(F.lit(1)))
-        .select("row_id", *[n64(F.coalesce(n, F.lit(0))).alias(n.lower()) for n in ("ECONOMY", "PROMO", "SMALL")])
+        .select("row_id", *[n64(F.coalesce(n, F.lit(0))).alias(n.lower()) for n in KINDS])
     )
 
 
@@ -157,12 +159,13 @@ def d14(t: Tables) -> DataFrame:
 @query(
     "d15_last_value_pivot",
     """SELECT l_orderkey AS encounter, arg_max(l_quantity, l_linenumber * 1e9 + l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS a,
+  arg_max(l_quantity, l_linenumber * 1e9 + l_extendedprice) FILTER (WHERE l_returnflag = 'N') AS n,
   arg_max(l_quantity, l_linenumber * 1e9 + l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1""",
 )
 def d15(t: Tables) -> DataFrame:
     order = F.struct("l_linenumber", "l_extendedprice")
-    wide = R.value_pivot(t.lineitem, "l_orderkey", "l_returnflag", "l_quantity", order, ["A", "R"])
-    return wide.select(F.col("l_orderkey").alias("encounter"), F.col("A").alias("a"), F.col("R").alias("r"))
+    wide = R.value_pivot(t.lineitem, "l_orderkey", "l_returnflag", "l_quantity", order, ["A", "N", "R"])
+    return wide.select(F.col("l_orderkey").alias("encounter"), F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 
 @query(

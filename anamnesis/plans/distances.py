@@ -113,6 +113,34 @@ def o7(t: Tables) -> DataFrame:
     return D.drift(rates(t), "source", "F", "label", "code", "rate").select("source", "label", r6(F.col("kl_variant")).alias("kl"))
 
 
+# Drift over parts: every dataset has codes that another lacks.
+PART_DRIFT = """WITH own AS (SELECT DISTINCT o_orderstatus AS source, o_orderpriority AS label, l_partkey::VARCHAR AS code, l_orderkey AS row_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+cls AS (SELECT o_orderstatus AS source, o_orderpriority AS label, count(*) AS n FROM orders GROUP BY ALL),
+p AS (SELECT source, label, code, count(*) / any_value(n) AS p FROM own JOIN cls USING (source, label) GROUP BY ALL),
+vr AS (SELECT DISTINCT source FROM p WHERE source <> 'F'), b AS (SELECT vr.source, label, code, p FROM p JOIN vr ON p.source = 'F'), v AS (SELECT source, label, code, p AS q FROM p WHERE source <> 'F'),
+j AS (SELECT coalesce(b.source, v.source) AS source, coalesce(b.label, v.label) AS label, coalesce(p, 0) AS p, coalesce(q, 0) AS q
+  FROM b FULL JOIN v ON b.source = v.source AND b.label = v.label AND b.code = v.code),
+t AS (SELECT source, label, sum(p) FILTER (WHERE q > 0) AS sp, sum(q) AS sq, count(*) FILTER (WHERE q = 0) AS missing FROM j GROUP BY ALL)"""
+
+
+def part_rates(t: Tables) -> DataFrame:
+    """(source, label, code, rate): share of a class's orders that have the part."""
+    orders = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("label"))
+    sizes = orders.groupBy("source", "label").agg(S.count_rows().alias("n"))
+    lines = t.lineitem.select("l_orderkey", F.col("l_partkey").cast("string").alias("code")).distinct()
+    hits = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("source", "label", "code").agg(S.count_rows().alias("hits"))
+    return settle(hits.join(sizes, ["source", "label"]).withColumn("rate", F.col("hits") / F.col("n")))
+
+
+@query(
+    "o7_variant_codes",
+    f"{PART_DRIFT} SELECT j.source, j.label, any_value(missing) AS missing, round(sum(CASE WHEN p > 0 AND q > 0 THEN p / sp * ln((p / sp) / (q / sq)) END), 6) AS kl FROM j JOIN t USING (source, label) GROUP BY ALL",
+)
+def o7_codes(t: Tables) -> DataFrame:
+    """Both sides renormalised on the codes of the variant, those that the base lacks included."""
+    return D.drift(part_rates(t), "source", "F", "label", "code", "rate").select("source", "label", "missing", r6(F.col("kl_variant")).alias("kl"))
+
+
 @query("o8_wasserstein", f"{DRIFT} SELECT source, label, round(d, 6) AS d FROM wd")
 def o8(t: Tables) -> DataFrame:
     return D.wasserstein(rates(t), "source", "F", "label", "code", "rate").select("source", "label", r6(F.col("distance")).alias("d"))

@@ -9,6 +9,7 @@ from ..operators import curves as U
 from ..operators import evaluation as V
 from ..operators import scores as K
 from ..session import scratch_path
+from ..sources.sinks import write_partitioned
 from . import roles as S
 from .models import FIRST_SOURCE, best, composite, feature_set, nb_sql, training
 from .registry import Tables, query
@@ -368,3 +369,34 @@ def n22(t: Tables) -> DataFrame:
     two = ranked.where("model = 'O'").select("condition", "rank", F.col("pred").alias("second"))
     specialty = F.when(F.col("condition").isin("A", "R"), "x").otherwise("y")
     return one.join(two, ["condition", "rank"]).select("condition", n64("rank").alias("rank"), "first", "second", specialty.alias("specialty"))
+
+
+MISFIRES = """c AS (SELECT o_orderpriority AS condition, l_returnflag AS model, p_brand AS pred, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY condition, model ORDER BY n DESC, pred) AS rank FROM c QUALIFY rank <= 5),
+w AS (SELECT condition, rank, max(CASE model WHEN 'A' THEN pred END) AS nb, max(CASE model WHEN 'N' THEN pred END) AS rf, max(CASE model WHEN 'R' THEN pred END) AS mlp,
+  CASE WHEN condition < '3' THEN 'urgent' ELSE 'other' END AS specialty FROM r GROUP BY condition, rank)"""
+
+
+def three_models(t: Tables) -> DataFrame:
+    """The five most frequent misfires of three models beside each other, with the specialty of the condition."""
+    counts = t.lineitem.groupBy("l_orderkey", "l_partkey", F.col("l_returnflag").alias("model")).agg(S.count_rows().alias("n"))
+    placed = counts.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    cells = placed.groupBy(F.col("o_orderpriority").alias("condition"), "model", F.col("p_brand").alias("pred")).agg(F.sum("n").alias("n"))
+    ranked = V.ranked_misfires(cells, ["condition", "model"], 5)
+    models = {"A": "nb", "N": "rf", "R": "mlp"}
+    wide = ranked.groupBy("condition", n64("rank").alias("rank")).pivot("model", list(models)).agg(F.first("pred"))
+    return wide.withColumnsRenamed(models).withColumn("specialty", F.when(F.col("condition") < "3", "urgent").otherwise("other"))
+
+
+@query("n22_three_models", f"WITH {MISFIRES} SELECT condition, rank, nb, rf, mlp, specialty FROM w")
+def n22_three(t: Tables) -> DataFrame:
+    return three_models(t).select("condition", "rank", "nb", "rf", "mlp", "specialty")
+
+
+@query("n22_specialty_outputs", f"WITH {MISFIRES} SELECT specialty, condition, rank, nb, rf, mlp FROM w")
+def n22_outputs(t: Tables) -> DataFrame:
+    """One report a specialty, written apart and read back with the name of its folder."""
+    path = scratch_path(t.spark, "specialties")
+    write_partitioned(three_models(t), ["specialty"], path)
+    back = t.spark.read.schema("condition string, rank bigint, nb string, rf string, mlp string, specialty string").parquet(path)
+    return back.select("specialty", "condition", "rank", "nb", "rf", "mlp")

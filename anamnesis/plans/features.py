@@ -125,3 +125,26 @@ def l10(t: Tables) -> DataFrame:
 def l11(t: Tables) -> DataFrame:
     rows, names = store(base_rows(t), "records"), words(t)
     return L.layout_differences(L.sparse_rows(rows, names), L.one_hot_rows(rows, names, False), "row_id", len(names))
+
+
+@query(
+    "l11_planted_differences",
+    f"""{S.BASE} SELECT count(*) FILTER (WHERE row_id % 5 = 0) AS gender, count(*) FILTER (WHERE row_id % 7 = 0) AS age, count(*) FILTER (WHERE row_id % 3 = 0) AS race,
+  count(*) FILTER (WHERE row_id % 2 = 0 AND len(codes) > 0) AS codes, count(*) AS rows FROM rec""",
+)
+def l11_planted(t: Tables) -> DataFrame:
+    """The second layout is made of rows with another gender, age, race or code; the check counts each."""
+    rows, names = store(base_rows(t), "records"), words(t)
+
+    def where(n: int, value, column: str):
+        return F.when(F.col("row_id") % n == 0, value).otherwise(F.col(column))
+
+    other = rows.withColumns(
+        {
+            "gender": where(5, 1 - F.col("gender"), "gender"),
+            "age": where(7, F.col("age") + 1, "age"),
+            "race": where(3, (F.col("race") + 1) % 5, "race"),
+            "codes": where(2, F.slice("codes", 2, 1000), "codes"),
+        }
+    )
+    return L.layout_differences(L.sparse_rows(rows, names), L.one_hot_rows(other, names, False), "row_id", len(names))

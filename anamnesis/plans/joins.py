@@ -229,8 +229,8 @@ def c13(t: Tables) -> DataFrame:
 @query(
     "c14_model_columns",
     """WITH m AS (SELECT year(o_orderdate) AS dataset, o_orderstatus AS model, avg(o_totalprice) AS score FROM orders GROUP BY ALL)
-SELECT CAST(a.dataset AS BIGINT) AS dataset, round(a.score, 6) AS nb, round(b.score, 6) AS rf
-FROM m a JOIN m b ON a.dataset = b.dataset AND a.model = 'F' AND b.model = 'O'""",
+SELECT CAST(a.dataset AS BIGINT) AS dataset, round(a.score, 6) AS nb, round(b.score, 6) AS rf, round(c.score, 6) AS mlp
+FROM m a JOIN m b ON a.dataset = b.dataset AND a.model = 'F' AND b.model = 'O' JOIN m c ON c.dataset = a.dataset AND c.model = 'P'""",
 )
 def c14(t: Tables) -> DataFrame:
     runs = settle(
@@ -238,7 +238,8 @@ def c14(t: Tables) -> DataFrame:
     )
     nb = runs.where("model = 'F'").select("dataset", F.round("score", 6).alias("nb"))
     rf = runs.where("model = 'O'").select("dataset", F.round("score", 6).alias("rf"))
-    return nb.join(rf, "dataset").withColumn("dataset", n64("dataset"))
+    mlp = runs.where("model = 'P'").select("dataset", F.round("score", 6).alias("mlp"))
+    return nb.join(rf, "dataset").join(mlp, "dataset").withColumn("dataset", n64("dataset"))
 
 
 @query(

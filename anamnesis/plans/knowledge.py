@@ -83,18 +83,16 @@ def j2(t: Tables) -> DataFrame:
 
 @query(
     "j3_reachability",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'b' || o_custkey AS f, 's' || l_suppkey AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.1
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'b' || o_custkey AS f, 's' || l_suppkey AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey
   UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
 w AS (SELECT DISTINCT f AS start, f AS node FROM e WHERE f LIKE 'b%' UNION SELECT start, t FROM w JOIN e ON node = f) SELECT start, node FROM w""",
 )
 def j3(t: Tables) -> DataFrame:
     """From each starting customer over suppliers to places; places and regions form cycles."""
-    strong = t.lineitem.where((F.col("l_quantity") >= 50) & (F.col("l_discount") >= 0.1))
-
     def tagged(mark, column):
         return F.concat(F.lit(mark), F.col(column).cast("string"))
 
-    buys = strong.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    buys = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         tagged("b", "o_custkey").alias("f"), tagged("s", "l_suppkey").alias("t")
     )
     edges = (
@@ -402,22 +400,40 @@ def j15(t: Tables) -> DataFrame:
 
 @query(
     "j16_sampling_shares",
-    """WITH o AS (SELECT c_nationkey AS condition, c_mktsegment AS grp, count(*) FILTER (WHERE c_acctbal > 5000)::DOUBLE AS odds, 50.0::DOUBLE AS probability FROM customer WHERE c_nationkey < 20 GROUP BY ALL),
+    """WITH o AS (SELECT c_nationkey AS condition, c_mktsegment AS grp, count(*) FILTER (WHERE c_acctbal > 5000)::DOUBLE AS odds, 50.0::DOUBLE AS probability FROM customer GROUP BY ALL),
 p AS (SELECT condition, grp, CASE WHEN odds > 0 THEN odds / (odds + 1) ELSE probability / 100 END AS p FROM o)
 SELECT condition, grp, round(p / sum(p) OVER (PARTITION BY condition), 6) AS p FROM p
-UNION ALL SELECT n_nationkey, g, v FROM nation, (VALUES ('male', 0.5::DOUBLE), ('female', 0.25::DOUBLE)) d(g, v) WHERE n_nationkey NOT IN (SELECT condition FROM p)""",
+UNION ALL SELECT k, g, v FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT 100 + r_regionkey FROM region), (VALUES ('male', 0.5::DOUBLE), ('female', 0.25::DOUBLE)) d(g, v)
+WHERE k NOT IN (SELECT condition FROM p)""",
 )
 def j16(t: Tables) -> DataFrame:
     odds = (
-        t.customer.where(F.col("c_nationkey") < 20)
-        .groupBy(F.col("c_nationkey").alias("condition"), F.col("c_mktsegment").alias("grp"))
+        t.customer.groupBy(F.col("c_nationkey").alias("condition"), F.col("c_mktsegment").alias("grp"))
         .agg(F.count_if(F.col("c_acctbal") > 5000).cast("double").alias("odds"), F.lit(50.0).alias("probability"))
     )
-    keys = t.nation.select(F.col("n_nationkey").alias("condition"))
+    # Regions are conditions that no customer tells anything of.
+    keys = t.nation.select(F.col("n_nationkey").alias("condition")).unionByName(t.region.select((F.col("r_regionkey") + 100).alias("condition")))
     # The shares a condition without given sexes gets.
     return J.sampling_shares(odds, {"male": 0.5, "female": 0.25}, keys).withColumn("p", r6(F.col("p")))
 
 
+@query(
+    "j19_planted_faults",
+    """WITH f AS (SELECT 'm' || p_partkey AS module, p_size / 100 AS p, CASE p_size % 4 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 4.0::DOUBLE WHEN 2 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS k FROM part),
+e AS (SELECT module, 'Onset' AS state, p * k AS p FROM f UNION ALL SELECT module, 'Onset', 1 - p FROM f UNION ALL SELECT module, 'Guard', p FROM f UNION ALL SELECT module, 'Guard', (1 - p) * k FROM f
+  UNION ALL SELECT module, 'Ache', 1.0 FROM f UNION ALL SELECT module, 'Delay', 1.0 FROM f)
+SELECT module, state, round(sum(p), 6) AS total, count(*) FILTER (WHERE p < 0 OR p > 1) AS outside, CAST(abs(sum(p) - 1) > 1e-6 AS INTEGER) AS off FROM e GROUP BY ALL""",
+)
+def j19_planted(t: Tables) -> DataFrame:
+    """Transitions of three quarters of the modules are made too large or negative; the audit tells which and how."""
+    size = t.part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("m"), (F.col("p_size") % 4).alias("k"))
+    edges = J.state_edges(J.module_states(module_texts(t))).join(size, F.col("module") == F.col("m"))
+    factor = F.when(F.col("k") == 0, 1.5).when(F.col("k") == 1, 4.0).when(F.col("k") == 2, -1.0).otherwise(1.0)
+    bent = ((F.col("state") == "Onset") & (F.col("next_state") == "Ache")) | ((F.col("state") == "Guard") & (F.col("next_state") == "End"))
+    audit = J.probability_audit(edges.withColumn("p", F.when(bent, F.col("p") * factor).otherwise(F.col("p"))), ["module", "state"])
+    return audit.withColumn("total", r6(F.col("total")))
+
+
 @query("j17_hashed_probabilities")
 def j17(t: Tables) -> DataFrame:
     shares = t.part.groupBy("p_type", "p_name").agg(F.max("p_size").alias("probability"))

@@ -32,26 +32,23 @@ def p2(t: Tables) -> DataFrame:
     )
 
 
-ALLOWED = """own AS (SELECT DISTINCT c_nationkey AS condition, p_brand AS code FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_discount >= 0.09 AND l_quantity >= 45)"""
+ALLOWED = """own AS (SELECT DISTINCT s_nationkey AS condition, l_partkey AS code FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
 def allowed_pairs(t: Tables) -> DataFrame:
-    """The rule table: pairs that a large discounted order has; every line is held against it."""
-    ruling = t.lineitem.where((F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 45))
-    joined = ruling.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    joined = joined.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select(F.col("c_nationkey").cast("int").alias("condition"), F.col("p_brand").alias("code")).distinct()
+    """The rule table: the parts that suppliers of a nation delivered; what its customers ordered is held against it."""
+    joined = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select(F.col("s_nationkey").cast("int").alias("condition"), F.col("l_partkey").alias("code")).distinct()
 
 
 @query(
     "p3_symptoms_not_allowed",
-    f"""WITH {ALLOWED} SELECT CAST(c_nationkey AS BIGINT) AS condition, p_brand AS code, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-WHERE (c_nationkey, p_brand) NOT IN (SELECT (condition, code) FROM own) GROUP BY ALL""",
+    f"""WITH {ALLOWED} SELECT CAST(c_nationkey AS BIGINT) AS condition, l_partkey AS code, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+WHERE (c_nationkey, l_partkey) NOT IN (SELECT (condition, code) FROM own) GROUP BY ALL""",
 )
 def p3(t: Tables) -> DataFrame:
     owners = R.join_patients(S.conditions(t), S.patients(t)).select("row_id", F.col("nation").alias("condition"))
-    seen = S.symptom_rows(t).join(owners, "row_id")
+    seen = t.lineitem.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("code")).join(owners, "row_id")
     return Q.not_allowed(seen, allowed_pairs(t), ["condition", "code"]).withColumn("condition", n64("condition"))
 
 
@@ -71,6 +68,18 @@ def p5(t: Tables) -> DataFrame:
     return Q.set_differences(raw, text, "row_id", "raw", "parsed").agg(S.count_rows().alias("differing"))
 
 
+@query("p5_planted_differences", f"{S.BASE} SELECT row_id FROM rec WHERE len(codes) > 0 AND (row_id % 7 = 0 OR row_id % 11 = 0)")
+def p5_planted(t: Tables) -> DataFrame:
+    """In some texts the first code is missing, in others one is spelled otherwise; just these are found."""
+    raw = R.symptom_sets(S.symptom_rows(t), "row_id", "code", "raw")
+    parsed = F.split("SYMPTOMS", ";")
+    less = F.slice(parsed, 2, 1000)
+    other = F.transform(parsed, lambda c: F.when(c == F.get(parsed, 0), F.lower(c)).otherwise(c))
+    planted = F.when(F.col("row_id") % 7 == 0, less).when(F.col("row_id") % 11 == 0, other).otherwise(parsed)
+    text = R.compact_rows(S.reported(t)).select("row_id", planted.alias("parsed"))
+    return Q.set_differences(raw, text, "row_id", "raw", "parsed")
+
+
 @query(
     "p6_symptom_counts_before_after",
     f"""{S.BASE}, a AS (SELECT label, len(codes) AS n FROM rec), b AS (SELECT label, count(l_orderkey) AS n FROM rec LEFT JOIN lineitem ON row_id = l_orderkey GROUP BY row_id, label),

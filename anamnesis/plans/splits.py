@@ -46,13 +46,14 @@ def g3(t: Tables) -> DataFrame:
 
 @query(
     "g4_concat_split",
-    """WITH u AS (SELECT o_orderkey AS row_id, o_orderpriority AS label FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'),
+    """WITH u AS (SELECT o_orderkey AS row_id, o_orderpriority AS label FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O'
+  UNION ALL SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'P'),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('-', '1', row_id::VARCHAR)), row_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM u)
 SELECT row_id, CASE WHEN rn <= round(n * 0.9::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM r""",
 )
 def g4(t: Tables) -> DataFrame:
-    both = rows(t).where("source = 'F'").unionByName(rows(t).where("source = 'O'"))
-    return G.stratified_split(both, "label", ["row_id"], 0.9, 1).select("row_id", "split")
+    one, two, three = (rows(t).where(F.col("source") == s) for s in ("F", "O", "P"))
+    return G.stratified_split(one.unionByName(two).unionByName(three), "label", ["row_id"], 0.9, 1).select("row_id", "split")
 
 
 @query(

@@ -109,6 +109,22 @@ def h11(t: Tables) -> DataFrame:
     return shares.select("item", F.col("key").alias("name"), F.col("value").alias("share"))
 
 
+@query(
+    "h11_locations",
+    """SELECT p_partkey AS item, unnest(CASE WHEN p_size % 3 = 0 THEN [replace(p_name, ' ', '_')] ELSE [replace(p_name, ' ', ''), lower(p_type)] END) AS place,
+  unnest(CASE p_size % 3 WHEN 0 THEN [100.0::DOUBLE] WHEN 1 THEN [p_size::DOUBLE, 3.5::DOUBLE] ELSE [(p_size + 10)::DOUBLE, 3.5::DOUBLE] END) AS share FROM part""",
+)
+def h11_locations(t: Tables) -> DataFrame:
+    """A bare place counts 100; others have a share, of a range the upper end, between signs of all kinds."""
+    size, upto = F.col("p_size").cast("string"), (F.col("p_size") + 10).cast("string")
+    rest = F.concat(F.lit("%) ; "), F.lower("p_type"), F.lit(": (3,5 %)"))
+    cell = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(
+        F.concat("p_name", F.lit(" ("), F.when(F.col("p_size") % 3 == 1, size).otherwise(F.concat(size, F.lit("% - "), upto)), rest)
+    )
+    shares = t.part.select(F.col("p_partkey").alias("item"), F.explode(X.locations(cell)))
+    return shares.select("item", F.col("key").alias("place"), F.col("value").alias("share"))
+
+
 @query("h12_gender_shares", "SELECT p_partkey AS item, p_size::DOUBLE AS male, (100 - p_size)::DOUBLE AS female FROM part")
 def h12(t: Tables) -> DataFrame:
     size, rest = F.col("p_size").cast("string"), (100 - F.col("p_size")).cast("string")
@@ -138,12 +154,12 @@ def h13(t: Tables) -> DataFrame:
 
 @query(
     "h14_first_pair",
-    "SELECT p_size AS value, count(*) AS n FROM part WHERE length(p_name) = 9 GROUP BY 1",
+    "SELECT CAST(length(p_name) AS INTEGER) AS index, p_size AS value, count(*) AS n FROM part GROUP BY ALL",
 )
 def h14(t: Tables) -> DataFrame:
     cell = F.concat(F.length("p_name").cast("string"), F.lit("|"), F.col("p_size").cast("string"), F.lit(","))
     pair = t.part.select(X.first_pair(cell).alias("p"))
-    return pair.where(F.col("p.index") == 9).groupBy(F.col("p.value").alias("value")).agg(S.count_rows().alias("n"))
+    return pair.groupBy(F.col("p.index").alias("index"), F.col("p.value").alias("value")).agg(S.count_rows().alias("n"))
 
 
 @query(

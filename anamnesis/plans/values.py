@@ -130,12 +130,12 @@ def i12(t: Tables) -> DataFrame:
 
 @query(
     "i13_label_in_top_n",
-    """WITH f AS (SELECT vec_id, label AS own, unnest(embedding[1:10])::DOUBLE AS p, generate_subscripts(embedding[1:10], 1) - 1 AS label FROM embeddings),
+    """WITH f AS (SELECT vec_id, label AS own, unnest(embedding)::DOUBLE AS p, generate_subscripts(embedding, 1) - 1 AS label FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, label) AS rank FROM f)
 SELECT vec_id, CAST(max(CASE WHEN own = label AND rank <= 3 THEN 1 ELSE 0 END) AS INTEGER) AS hit FROM r GROUP BY 1""",
 )
 def i13(t: Tables) -> DataFrame:
-    scores = F.slice("embedding", 1, 10).cast("array<double>")
+    scores = F.col("embedding").cast("array<double>")
     top = t.embeddings.select("vec_id", F.col("label").alias("own"), M.ranked(scores, 3).alias("top"))
     return top.select("vec_id", F.array_contains("top.label", F.col("own")).cast("int").alias("hit"))
 
