@@ -32,11 +32,11 @@ def d2(t: Tables) -> DataFrame:
 
 @query(
     "d3_symptoms_of_condition",
-    f"""{S.BASE} SELECT label, array_to_string(list_sort(list(DISTINCT code)), ';') AS codes FROM rec JOIN sym USING (row_id) GROUP BY label""",
+    f"""WITH {CLASS_SETS} SELECT condition, array_to_string(list_sort(list(code)), ';') AS codes FROM own GROUP BY condition""",
 )
 def d3(t: Tables) -> DataFrame:
-    flat = S.coded(t).select("label", F.explode("codes").alias("code"))
-    return R.symptom_sets(flat, "label", "code").select("label", F.array_join("codes", ";").alias("codes"))
+    """Customers as conditions: each has names that another lacks."""
+    return R.symptom_sets(class_sets(t), "condition", "code").select("condition", F.array_join("codes", ";").alias("codes"))
 
 
 @query(
