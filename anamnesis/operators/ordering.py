@@ -15,8 +15,10 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Hexadecimal digits of a hash bucket, at least; more where there are more shuffle partitions.
 HASH_DIGITS = 3
-MAX_BUCKETS = 4096
+#: Quantile ranges of a number, at most: their limits are part of the plan.
+MAX_BUCKETS = 1 << 16
 
 
 def hash_key(seed: object, *ids: str | Column) -> Column:
@@ -60,7 +62,7 @@ def _with_offsets(df: DataFrame, group: Sequence[str], bucket: str, amount: Colu
         F.sum("_part").over(whole).alias("_all"),
     )
     if not group:
-        # At most MAX_BUCKETS + 1 rows.
+        # One row a bucket: some times the number of shuffle partitions.
         offsets = F.broadcast(offsets)
     return df.join(offsets, [*group, bucket])
 
@@ -90,7 +92,9 @@ def hash_rank(
     df: DataFrame, group: Sequence[str], seed: object, ids: Sequence[str], rank: str = "rn", total: str = "n"
 ) -> DataFrame:
     """1-based rank of each row in its group in hash order, and the size of the group."""
-    work = df.withColumn("_key", hash_key(seed, *ids)).withColumn("_bucket", F.substring("_key", 1, HASH_DIGITS))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = max(HASH_DIGITS, len(f"{4 * parts - 1:x}"))
+    work = df.withColumn("_key", hash_key(seed, *ids)).withColumn("_bucket", F.substring("_key", 1, digits))
     work = running_sum(work, group, ["_key", *ids], "_bucket", F.lit(1), "_before", total)
     return work.withColumn(rank, F.col("_before") + 1).drop("_key", "_bucket", "_before")
 

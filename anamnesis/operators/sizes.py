@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import ensure_checkpoints, scratch_path
@@ -30,12 +32,15 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(settled: DataFrame, cell_bytes: int = 64, array_column: str | None = None) -> DataFrame:
+def small_side(settled: DataFrame, cell_bytes: int = 64, array_column: str | None = None, text_columns: Sequence[str] = ()) -> DataFrame:
     """Mark a settled table for broadcast where its counted size is under BROADCAST_BYTES.
 
-    The size is rows (or the summed lengths of ``array_column``) times ``cell_bytes``. Beyond it
-    the table is returned unmarked and Spark joins it by shuffle, splitting hot keys.
+    The size is rows (or the summed lengths of ``array_column``) times ``cell_bytes``, and the measured bytes of the
+    ``text_columns``. Beyond it the table is returned unmarked and Spark joins it by shuffle, splitting hot keys.
     """
     cells = F.count(F.lit(1)) if array_column is None else F.sum(F.size(array_column))
-    size = settled.agg(cells.alias("c")).first()["c"] or 0
-    return F.broadcast(settled) if size * cell_bytes <= BROADCAST_BYTES else settled
+    size = cells * cell_bytes
+    for c in text_columns:
+        size = size + F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    total = settled.agg(size.alias("c")).first()["c"] or 0
+    return F.broadcast(settled) if total <= BROADCAST_BYTES else settled

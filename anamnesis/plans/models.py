@@ -245,7 +245,7 @@ SELECT row_id, label, pred FROM rec JOIN rule ON array_to_string(codes, ';') = m
 def m13(t: Tables) -> DataFrame:
     rows = store(S.reported(t).select("row_id", "label", "codes"), "records")
     rules = settle(N.rule_table(rows, "label", "codes").select("mask", F.col("rule").alias("pred")))
-    return rows.withColumn("mask", F.array_join("codes", ";")).join(small_side(rules, 256), "mask").select("row_id", "label", "pred")
+    return rows.withColumn("mask", F.array_join("codes", ";")).join(small_side(rules, 64, text_columns=["mask", "pred"]), "mask").select("row_id", "label", "pred")
 
 
 def record_vectors(t: Tables) -> tuple[DataFrame, list[str]]:

@@ -273,9 +273,11 @@ def a21(t: Tables) -> DataFrame:
 def a22(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "leading")
     lines = t.supplier.select(F.concat_ws(",", F.col("s_suppkey").cast("string"), F.col("s_acctbal").cast("string")).alias("value"))
-    notes = t.spark.range(6).select(F.concat(F.lit("% note "), F.col("id").cast("string")).alias("value"))
-    # One file, the notes first.
-    notes.unionByName(lines).coalesce(1).write.text(path)
+    # Several files, the notes first in each.
+    files = 4
+    notes = t.spark.range(6 * files).select(F.concat(F.lit("% note "), F.col("id").cast("string")).alias("value"), (F.col("id") % files).alias("file"), F.lit(0).alias("kind"))
+    dealt = lines.select("value", F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(1).alias("kind"))
+    notes.unionByName(dealt).repartitionById(files, F.col("file").cast("int")).sortWithinPartitions("kind").select("value").write.text(path)
     return tables.read_below_lines(t.spark, path, StructType.fromDDL("id bigint, amount double")).select("id", "amount")
 
 
