@@ -68,3 +68,25 @@ def test_clashing_columns(spark):
     assert kept.columns == rows.columns
     assert sorted(repr(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None", "None"]
     assert all(r["_spans"] == "2" and r["found"] == "10" for r in [*got, *kept.collect()])
+
+
+def test_planted_toxic_and_secrets(spark, sf_dir):
+    """What the toxicity stage rejects and the secret stage replaces, told from the planted rows and not from the stage."""
+    sf_dir = sf_dir.replace("0.01", "0.1")  # enough labelled rows for shares
+    df, rows = given(spark, sf_dir)
+    labels, marks = given(spark, sf_dir, "labels")
+    toxic = {r["doc_id"] for r in marks if r["toxic"] == 1}
+    clean = {r["doc_id"] for r in marks if r["toxic"] == 0}
+    kept = {r["doc_id"] for r in cp.drop_toxic(spark, df, sf_dir).collect()}
+    present = {r["doc_id"] for r in rows}
+    assert len(toxic & present - kept) >= 0.8 * len(toxic & present)
+    assert len(clean & present & kept) >= 0.99 * len(clean & present)
+
+    own = "token: Zx81kQp77LmN0aB"
+    example = "password = changeme-please"
+    texts = [(i, f"first words {example} last {i}", f"owner{i}/repo") for i in range(8)]
+    texts += [(100, f"before {own} after, {own}!", "solo/repo"), (101, "nothing of that kind", "solo/repo"), (102, None, "solo/repo")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    safe = {r["doc_id"]: r for r in cp.redact_secrets(spark, docs, "").collect()}
+    assert safe[100]["text"] == "before [SECRET] after, [SECRET]!" and safe[100]["n_chars"] == len(safe[100]["text"])
+    assert all(safe[d]["text"] == t for d, t, _ in texts if d != 100)

@@ -44,3 +44,68 @@ def test_empty_tables(spark):
     chain = tox.fit_chain(some, labels)
     assert [r["toxic"] for r in tox.toxicity(some, chain).collect()] == [0]
     assert tox.toxicity(frame(spark, []), tox.fit_chain(frame(spark, []), labels)).collect() == []
+
+
+def newton(x, y, strength):
+    """Penalised logistic regression to its end, with an unpenalised constant in the last column."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], strength)
+    penalty[-1] = 0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (p - y) / len(y) + penalty * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(penalty + 1e-12)
+        step = np.linalg.solve(bend, slope)
+        rate = 1.0
+
+        def loss(v):
+            s = x @ v
+            return np.mean(np.logaddexp(0, s) - y * s) + strength / 2 * (v[:-1] @ v[:-1])
+
+        while loss(w - rate * step) > loss(w) and rate > 1e-8:
+            rate /= 2
+        w = w - rate * step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w
+
+
+def test_chain_by_hand():
+    """Folds, out-of-fold columns and the full refit, with dense matrices and another optimiser: the same probabilities."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    n, vocabulary = 240, 30
+    truth = rnd.random((n, 3)) < [[0.3, 0.4, 0.5]]
+    truth[:, 2] |= truth[:, 0] & (rnd.random(n) < 0.8)
+    labels = truth.astype(float)
+    share = np.where(np.arange(vocabulary) < 15, 0.6, 0.1)
+    there = np.stack([rnd.random(n) < np.where(truth[:, j % 3], share[j], 0.15) for j in range(vocabulary)], 1)
+    rows = [np.flatnonzero(r) for r in there]
+    chain = tox.train(rows, labels, ["a", "b", "c"])
+
+    def fitted(part, earlier, label):
+        frequency = part.sum(0)
+        expected = frequency * label.mean()
+        spread = np.sqrt(expected * (1 - frequency / len(label)) + 1e-9)
+        hits = (part * label[:, None]).sum(0)
+        used = (frequency >= tox.LEAST_DOCUMENTS) & (np.abs(hits - expected) >= tox.LEAST_DEVIATION * spread)
+        w = newton(np.column_stack([part[:, used], earlier, np.ones(len(label))]).astype(float), label, tox.STRENGTH)
+        return lambda some, before: 1 / (1 + np.exp(-np.column_stack([some[:, used], before, np.ones(len(some))]) @ w))
+
+    fold = np.random.default_rng(1).permutation(n) % tox.FOLDS
+    held, out = np.zeros((n, 0)), np.zeros((n, 0))
+    for j in range(3):
+        column = np.zeros(n)
+        for k in range(tox.FOLDS):
+            inside = fold != k
+            column[~inside] = fitted(there[inside], held[inside], labels[inside, j])(there[~inside], held[~inside])
+        final = fitted(there, held, labels[:, j])
+        out = np.column_stack([out, final(there, out)])
+        held = np.column_stack([held, column])
+    got = chain.score(rows)
+    assert got.shape == (n, 3) and np.abs(got - out).max() < 0.02
+    assert np.abs(got - out).mean() < 2e-3
+    assert out.std(0).min() > 0.05
