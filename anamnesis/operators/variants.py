@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import hash_key
-from .pairwise import dot_products
+from .pairwise import cross_products, dot_products
 from .rates import absent_codes
 from .sizes import settle, small_side
 
@@ -46,8 +46,10 @@ def inject_connected(defs: DataFrame, mode: str = "mean", target: int = TARGET)
     edges = half.select(F.col("a").alias("own"), F.col("b").alias("code"), "dot").unionByName(
         half.select(F.col("b").alias("own"), F.col("a").alias("code"), "dot")
     )
-    own = defs.select("condition", F.col("code").alias("own"))
-    strength = own.join(edges, "own").groupBy("condition", "code").agg(F.sum("dot").alias("s"))
+    # The own codes of a condition times the edges of a code: block products, no condition x own x code rows.
+    held = defs.select(F.col("condition").alias("row"), F.col("code").alias("own"), F.lit(1.0).alias("w"))
+    links = edges.select(F.col("code").alias("row"), "own", F.col("dot").alias("w"))
+    strength = cross_products(held, links, "row", "own", "w").select(F.col("a").alias("condition"), F.col("b").alias("code"), F.col("dot").alias("s"))
     candidates = strength.join(defs.select("condition", "code"), ["condition", "code"], "left_anti")
     place = F.row_number().over(Window.partitionBy("condition").orderBy(F.desc("s"), "code"))
     added = candidates.withColumn("place", place).where(F.col("place") <= target).select("condition", "code")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anamnesis.operators import distances as D
+from anamnesis.operators import pairwise as P
 from anamnesis.operators import records as R
 from anamnesis.operators import variants as V
 
@@ -65,3 +66,22 @@ def test_variability_by_hand(spark, seed):
     for r in D.variability(hits, "label", "code", F.lit(12)).collect():
         exact = sum(p[r["a"], f"w{i}"] * (1 - p[r["b"], f"w{i}"]) + p[r["b"], f"w{i}"] * (1 - p[r["a"], f"w{i}"]) for i in range(12)) / 12
         assert r["variability"] == float(math.floor(exact * 10**6 + Fraction(1, 2))) / 1e6
+
+
+@pytest.mark.parametrize("blocks", [(256, 4096), (3, 4), (1, 1)])
+def test_cross_products(spark, blocks):
+    """Against plain sums, for any cut into blocks; rows without a common column have no pair."""
+    import random
+
+    rnd = random.Random(3)
+    one = {(i, f"c{j}"): float(rnd.randint(1, 9)) for i in range(20) for j in range(15) if rnd.random() < 0.3}
+    two = {(f"r{i}", f"c{j}"): float(rnd.randint(-3, 9)) for i in range(8) for j in range(18) if rnd.random() < 0.3}
+    left, right = (spark.createDataFrame([(*k, v) for k, v in d.items()], f"row {t}, col string, v double") for d, t in ((one, "long"), (two, "string")))
+    got = {(r["a"], r["b"]): r["dot"] for r in P.cross_products(left, right, "row", "col", "v", *blocks).collect()}
+    want = {}
+    for (a, c), v in one.items():
+        for (b, d), w in two.items():
+            if c == d and w:
+                want[a, b] = want.get((a, b), 0) + v * w
+    assert got == want
+    assert P.cross_products(left.where("false"), right, "row", "col", "v").count() == 0
