@@ -47,7 +47,7 @@ def check(spark, con, name, fn, sql, folder):
     want = rows(names, cur.fetchall())
     if sorted(names) != sorted(frame.columns):
         return False, f"columns {sorted(frame.columns)} against {sorted(names)}", took
-    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date"}
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean"}
     mine = dict(frame.dtypes)
     for d in cur.description:
         if kinds.get(str(d[1])) != mine[d[0]]:
