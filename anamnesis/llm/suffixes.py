@@ -9,8 +9,8 @@ a window, needs no further look. The stretches of text with a
 repeated name meet in one task, which sorts their suffixes, takes the previous and the next smaller
 position of each in suffix order, and finds the longest factor that also starts earlier.
 
-A name with more than ``most`` stretches is taken further apart: its windows are dealt by two
-hashes of all their bytes, and a task that streams them in order keeps the first of each.
+A name with more than ``most`` stretches is taken further apart: the least place of each of its
+windows, known by two hashes of all their bytes, is aggregated; all other starts are repeats.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ MOST = 20_000
 #: Bytes hashed at a time, and bytes of stretches sorted at a time.
 STRETCH, SORTED = 1 << 20, 2 << 20
 KEY_BITS, RUN_BITS = 23, 9
+START_BITS = 63 - KEY_BITS
+START_MASK = (1 << START_BITS) - 1
 #: Short names compress better in shuffles; those that fall together only cost a further look.
 NAME_BITS = 48
 #: Documents without an id get one below all real ones, by the hash of their text.
@@ -134,11 +136,16 @@ def named_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def place(key: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Text key, first start and number of starts in one number; sorted by it, the starts of a text are in order."""
-    return key << (63 - KEY_BITS) | first << RUN_BITS | size
+    return key << START_BITS | first << RUN_BITS | size
 
 
 def placed(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return at >> (63 - KEY_BITS), at >> RUN_BITS & ((1 << (63 - KEY_BITS - RUN_BITS)) - 1), at & ((1 << RUN_BITS) - 1)
+    return at >> START_BITS, at >> RUN_BITS & ((1 << (START_BITS - RUN_BITS)) - 1), at & ((1 << RUN_BITS) - 1)
+
+
+def spot(key: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Text key and one start in one number, in the order of places."""
+    return key << START_BITS | start
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,21 +297,18 @@ def _table_repeats(table: pa.Table) -> pa.RecordBatch:
     return _repeats(*(table.column(i).to_numpy() for i in range(3)), table.column(3).to_pylist())
 
 
-def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows ordered by their hashes, then place: all but the first of each are repeats."""
-    head = None  # hashes and place of the first window of the present group
+def _but_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their hot stretches and the spots that are the first of a window: runs of all other starts."""
     for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        if not rows.shape[1]:
-            continue
-        if head is not None:
-            rows = np.concatenate([head[:, None], rows], 1)
-        new = np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])
-        group = np.maximum.accumulate(np.where(new, np.arange(rows.shape[1]), 0))
-        same = (rows[2:] != rows[2:, group]).any(0)
-        head = rows[:, group[-1]]
-        doc, key, start = rows[2:]
-        yield pa.RecordBatch.from_arrays([pa.array(x[same]) for x in (doc, key, start, start + 1)], ["doc", "key", "first", "last"])
+        out = [np.zeros((4, 0), np.int64)]
+        for doc, stretches, firsts in zip(*(c.to_pylist() for c in batch.columns)):
+            key, first, size = placed(np.array(stretches, np.int64))
+            spots = np.setdiff1d(spot(np.repeat(key, size), ragged(first, size)), np.array(firsts or [], np.int64))
+            if len(spots):
+                cut = np.flatnonzero(np.diff(spots) != 1) + 1
+                begin, end = spots[np.concatenate([[0], cut])], spots[np.concatenate([cut, [len(spots)]]) - 1]
+                out.append(np.stack([np.full(len(begin), doc), begin >> START_BITS, begin & START_MASK, (end & START_MASK) + 1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], ["doc", "key", "first", "last"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
@@ -315,7 +319,7 @@ def _contents(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.Recor
             name, doc, where, texts = [], [], [], []
             for i, k, data, found in zip(*(c.to_pylist() for c in part.columns)):
                 for s in found:
-                    key, first, size = s["at"] >> (63 - KEY_BITS), s["at"] >> RUN_BITS & ((1 << (63 - KEY_BITS - RUN_BITS)) - 1), s["at"] & ((1 << RUN_BITS) - 1)
+                    key, first, size = s["at"] >> START_BITS, s["at"] >> RUN_BITS & ((1 << (START_BITS - RUN_BITS)) - 1), s["at"] & ((1 << RUN_BITS) - 1)
                     if key == k and s["hot"] == hot:
                         name.append(s["name"])
                         doc.append(i)
@@ -325,7 +329,7 @@ def _contents(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.Recor
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both hashes of every window of the stretches."""
+    """Both hashes of every window of the stretches, and where it stands."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -334,8 +338,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = np.repeat(np.arange(len(size)), size)
             starts = ragged(offsets[:-1], size)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(gram_hashes(data, LENGTH, kind)[starts].view(np.int64)) for kind in range(2)), part.column(0).take(pa.array(which)), pa.array(key[which]), pa.array(first[which] + starts - offsets[:-1][which])],
-                ["a", "b", "doc", "key", "start"],
+                [*(pa.array(gram_hashes(data, LENGTH, kind)[starts].view(np.int64)) for kind in range(2)), part.column(0).take(pa.array(which)), pa.array(spot(key[which], first[which] + starts - offsets[:-1][which]))],
+                ["a", "b", "doc", "spot"],
             )
 
 
@@ -351,7 +355,8 @@ def repeated_runs(texts: DataFrame, most: int = MOST) -> DataFrame:
     names = texts.mapInArrow(_names, "name bigint, doc bigint, at bigint, weight int")
     # Written once: the counts are read again by the join, and tell whether a name is hot at all.
     counts = store(names.groupBy("name").agg(F.sum("weight").alias("n")).where("n > 1").select("name", (F.col("n") > most).alias("hot")), "names")
-    found = names.select("name", "doc", "at").join(counts, "name").groupBy("doc").agg(F.collect_set(F.struct("name", "at", "hot")).alias("found"))
+    # The filter that joins on the id would add is in all uses alike, so that they share one shuffle.
+    found = names.select("name", "doc", "at").where("doc IS NOT NULL").join(counts, "name").groupBy("doc").agg(F.collect_set(F.struct("name", "at", "hot")).alias("found"))
 
     def stretches(hot: bool) -> DataFrame:
         own = texts.join(found, "doc").select("doc", "key", "data", "found")
@@ -360,8 +365,11 @@ def repeated_runs(texts: DataFrame, most: int = MOST) -> DataFrame:
     cold = stretches(False).repartition(count, "name").sortWithinPartitions("name").mapInArrow(_sorted_names, REPEATS)
     if counts.where("hot").isEmpty():
         return cold
-    hot = stretches(True).select("doc", "at", "data").mapInArrow(_windows, "a bigint, b bigint, doc bigint, key bigint, start bigint")
-    hot = hot.repartition(count, "a", "b").sortWithinPartitions("a", "b", "doc", "key", "start").mapInArrow(_first_windows, REPEATS)
+    windows = stretches(True).select("doc", "at", "data").mapInArrow(_windows, "a bigint, b bigint, doc bigint, spot bigint")
+    # The least place of a window is taken where it is read and again where it is dealt: a task sends each window once, however often it has it.
+    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "spot")).alias("least")).groupBy("least.doc").agg(F.collect_list("least.spot").alias("firsts"))
+    own = found.select("doc", F.transform(F.filter("found", lambda s: s["hot"]), lambda s: s["at"]).alias("at")).where(F.size("at") > 0)
+    hot = own.join(firsts, "doc", "left").mapInArrow(_but_first, REPEATS)
     return cold.unionByName(hot)
 
 

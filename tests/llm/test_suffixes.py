@@ -106,3 +106,33 @@ def test_repeated_starts_in_large_groups():
         place, rank = rng.permutation(n), rng.integers(0, kinds, n)
         want = [bool(((rank == rank[i]) & (place < place[i])).any()) for i in range(n)]
         assert sx.repeated_starts(place, rank).tolist() == want
+
+
+def test_one_passage_everywhere(spark):
+    """A passage in every document, in several partitions: all copies but the first go, on the way of hot names too."""
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = word(400)
+    rows = [(i, f"{word(150)} {shared if i % 7 else shared[:250]} {word(120)}") for i in range(300)]
+    df = frame(spark, rows).repartition(7)
+    same(df, rows, most=20)
+    same(df, rows)
+
+
+@pytest.mark.parametrize("most", [3, sx.MOST])
+def test_two_texts_of_one_id(spark, most):
+    """They are ordered by a hash: one of them keeps the shared passage, and both rows of one text get one result."""
+    rnd = random.Random(12)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, "x" + shared), (1, "y" + shared), (1, "y" + shared)] + [(i, shared) for i in range(2, 9)]
+    got = sx.remove_repeats(frame(spark, rows), most=most).collect()
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 1) in ([0, 0, 300], [0, 300, 300])
+    assert {r["n_removed"] for r in got if r["doc_id"] != 1} == {300}
+
+
+@pytest.mark.parametrize("most", [3, sx.MOST])
+def test_longer_than_a_stretch(spark, most):
+    rnd = np.random.default_rng(13)
+    text = bytes(rnd.integers(97, 123, sx.STRETCH + 5000, dtype=np.uint8)).decode()
+    rows = [(1, text + text[sx.STRETCH - 300 : sx.STRETCH + 300]), (2, "z" + text[sx.STRETCH - 200 :]), (3, text[:200] * 3)]
+    same(frame(spark, rows), rows, most=most)
