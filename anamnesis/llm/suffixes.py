@@ -311,8 +311,8 @@ def _but_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, 1)], ["doc", "key", "first", "last"])
 
 
-def _contents(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
-    """Documents with their repeated names, hot ones or the others: the bytes of each stretch."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the places of their stretches and repeated names: the bytes of each stretch."""
     for batch in batches:
         for at, count in _row_groups(batch.column(2)):
             part = batch.slice(at, count)
@@ -320,7 +320,7 @@ def _contents(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.Recor
             for i, k, data, found in zip(*(c.to_pylist() for c in part.columns)):
                 for s in found:
                     key, first, size = s["at"] >> START_BITS, s["at"] >> RUN_BITS & ((1 << (START_BITS - RUN_BITS)) - 1), s["at"] & ((1 << RUN_BITS) - 1)
-                    if key == k and s["hot"] == hot:
+                    if key == k:
                         name.append(s["name"])
                         doc.append(i)
                         where.append(s["at"])
@@ -358,9 +358,12 @@ def repeated_runs(texts: DataFrame, most: int = MOST) -> DataFrame:
     # The filter that joins on the id would add is in all uses alike, so that they share one shuffle.
     found = names.select("name", "doc", "at").where("doc IS NOT NULL").join(counts, "name").groupBy("doc").agg(F.collect_set(F.struct("name", "at", "hot")).alias("found"))
 
+    def chosen(hot: bool) -> DataFrame:
+        return found.select("doc", F.filter("found", lambda s: s["hot"] == hot).alias("found")).where(F.size("found") > 0)
+
     def stretches(hot: bool) -> DataFrame:
-        own = texts.join(found, "doc").select("doc", "key", "data", "found")
-        return own.mapInArrow(lambda batches: _contents(batches, hot), "name bigint, doc bigint, at bigint, data binary")
+        own = texts.join(chosen(hot), "doc").select("doc", "key", "data", "found")
+        return own.mapInArrow(_contents, "name bigint, doc bigint, at bigint, data binary")
 
     cold = stretches(False).repartition(count, "name").sortWithinPartitions("name").mapInArrow(_sorted_names, REPEATS)
     if counts.where("hot").isEmpty():
@@ -368,7 +371,7 @@ def repeated_runs(texts: DataFrame, most: int = MOST) -> DataFrame:
     windows = stretches(True).select("doc", "at", "data").mapInArrow(_windows, "a bigint, b bigint, doc bigint, spot bigint")
     # The least place of a window is taken where it is read and again where it is dealt: a task sends each window once, however often it has it.
     firsts = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "spot")).alias("least")).groupBy("least.doc").agg(F.collect_list("least.spot").alias("firsts"))
-    own = found.select("doc", F.transform(F.filter("found", lambda s: s["hot"]), lambda s: s["at"]).alias("at")).where(F.size("at") > 0)
+    own = chosen(True).select("doc", "found.at")
     hot = own.join(firsts, "doc", "left").mapInArrow(_but_first, REPEATS)
     return cold.unionByName(hot)
 
