@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sizes import settle, small_side
+
 
 def join_patients(conditions: DataFrame, patients: DataFrame, on: str = "PATIENT", key: str = "Id") -> DataFrame:
     """Conditions with their patient; a condition without one keeps NULLs.
@@ -94,6 +96,20 @@ def with_indices(df: DataFrame, codes: str, dictionary: DataFrame, out: str = "i
     return held.withColumn(out, F.array_sort(F.filter(numbers, lambda i: i.isNotNull()))).drop("_m")
 
 
+def looked_up(rows: DataFrame, key: str, codes: str, dictionary: DataFrame, value: str, out: str) -> DataFrame:
+    """``key, out``: the values that a dictionary of any size (one row a code) has for the list of each row, in the order of the list.
+
+    ``key`` tells the rows apart. Codes are joined to the dictionary, which is broadcast where its counted size allows; the codes of a row
+    stay in one task, so the one shuffle is of lists. A repeated code counts once; unknown codes, and those with a NULL value,
+    drop out; a row without any known code has an empty list.
+    """
+    known = small_side(settle(dictionary.select(F.col("code").alias("_code"), F.col(value).alias("_value"))), 32, text_columns=["_code"])
+    single = rows.select(F.col(key).alias("_key"), F.posexplode_outer(F.array_distinct(codes)).alias("_at", "_code"))
+    found = F.when(F.col("_value").isNotNull(), F.struct("_at", "_value"))
+    lists = single.join(known, "_code", "left").groupBy("_key").agg(F.array_sort(F.collect_list(found)).alias("_l"))
+    return lists.select(F.col("_key").alias(key), F.col("_l._value").alias(out))
+
+
 def compact_rows(rows: DataFrame, codes: str = "codes") -> DataFrame:
     """Array of codes to the ``;`` list and count of the compact file."""
     return rows.withColumn("NUM_SYMPTOMS", F.size(codes)).withColumn("SYMPTOMS", F.array_join(codes, ";"))

@@ -27,8 +27,8 @@ def h1(t: Tables) -> DataFrame:
     f"{S.BASE} SELECT row_id, array_to_string(list_sort(list(idx)), ',') AS symptoms FROM sym JOIN dic USING (code) GROUP BY 1",
 )
 def h2(t: Tables) -> DataFrame:
-    rows = R.with_indices(S.reported(t), "codes", S.dictionary(t))
-    return rows.select("row_id", F.array_join(F.transform("idx", lambda i: i.cast("string")), ",").alias("symptoms"))
+    rows = R.looked_up(S.reported(t), "row_id", "codes", S.dictionary(t), "idx", "idx")
+    return rows.select("row_id", F.array_join(F.array_sort("idx").cast("array<string>"), ",").alias("symptoms"))
 
 
 @query(
@@ -38,8 +38,8 @@ SELECT row_id, string_agg(name, ';' ORDER BY code) AS names FROM sym JOIN nm USI
 )
 def h3(t: Tables) -> DataFrame:
     names = t.part.groupBy(F.col("p_brand").alias("code")).agg(F.min("p_name").alias("name"))
-    rows = S.reported(t).withColumn("m", R.dictionary_map(names, "code", "name").scalar())
-    return rows.select("row_id", F.array_join(F.transform("codes", lambda c: F.try_element_at(F.col("m"), c)), ";").alias("names"))
+    rows = R.looked_up(S.reported(t), "row_id", "codes", names, "name", "names")
+    return rows.select("row_id", F.array_join("names", ";").alias("names"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import pytest
 
+from anamnesis.operators import records as R, sizes
 from anamnesis.plans import catalog
 
 
@@ -31,3 +32,19 @@ def test_more_codes_than_bits(spark, tmp_path):
     assert names == {i: ";".join(sorted({c, codes[-1]})) for i, c in enumerate(codes)}
     with pytest.raises(Exception, match="a number has 62 bits"):
         catalog.QUERIES["i10_bits_to_number"](spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("width", [sizes.BROADCAST_BYTES, 0])
+def test_lists_against_a_long_dictionary(spark, monkeypatch, width):
+    """3,000 codes, joined by broadcast and by shuffle: order of the list, repeated, unknown and NULL codes, NULL values, empty and NULL lists."""
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", width)
+    values = {f"c{i}": None if i % 100 == 7 else i for i in range(3000)}
+    dictionary = spark.createDataFrame(list(values.items()), "code string, idx long")
+    lists = [[f"c{(i * 37 + k * 11) % 3200}" for k in range(i % 9)] for i in range(200)] + [["c5", "c5", "c4", None], ["none"], [], None]
+    rows = spark.createDataFrame([(i, c, "x") for i, c in enumerate(lists)], "id long, codes array<string>, _at string")
+    got = {r["id"]: r["out"] for r in R.looked_up(rows, "id", "codes", dictionary, "idx", "out").collect()}
+    want = {i: [values[c] for c in dict.fromkeys(codes or []) if values.get(c) is not None] for i, codes in enumerate(lists)}
+    assert got == want
+    assert R.looked_up(rows.limit(0), "id", "codes", dictionary, "idx", "out").collect() == []
+    none = R.looked_up(rows, "id", "codes", dictionary.limit(0), "idx", "out").collect()
+    assert {tuple(r["out"]) for r in none} == {()} and len(none) == len(lists)
