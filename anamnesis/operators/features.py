@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from .scores import standardised
+from .sizes import settle, small_side
 
 
 def code_list(dictionary: DataFrame) -> list[str]:
@@ -70,9 +71,13 @@ def nonzero(rows: DataFrame, keys: Sequence[str], column: str = "features") -> D
 
 
 def nominal(rows: DataFrame, value: str, encoding: DataFrame, default: int, out: str) -> DataFrame:
-    """Code of an observed value by a dictionary (value, code); NULL and unknown give ``default``."""
-    coded = encoding.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-    joined = rows.join(coded, F.col(value) == F.col("_value"), "left")
+    """Code of an observed value by a dictionary (value, code); NULL and unknown give ``default``.
+
+    Few values hold most of the rows, so the dictionary is written once and broadcast where its counted size allows.
+    """
+    coded = settle(encoding.select(F.col("value").alias("_value"), F.col("code").alias("_code")))
+    texts = [name for name, kind in coded.dtypes if kind == "string"]
+    joined = rows.join(small_side(coded, text_columns=texts), F.col(value) == F.col("_value"), "left")
     return joined.withColumn(out, F.coalesce("_code", F.lit(default))).drop("_value", "_code")
 
 

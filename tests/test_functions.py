@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from anamnesis.functions import codes as C
 from anamnesis.functions import maths as M
 from anamnesis.functions import text as X
+from anamnesis.operators import features as L
 from anamnesis.operators import knowledge as J
 
 
@@ -122,3 +123,17 @@ def test_reachability_with_cycle(spark):
     starts = spark.createDataFrame([("a",), ("x",)], "s string")
     got = {(r.start, r.node) for r in J.reachable(edges, starts, "f", "t", "s").collect()}
     assert got == {("a", "a"), ("a", "b"), ("a", "c"), ("x", "x"), ("x", "c"), ("x", "a"), ("x", "b")}
+
+
+def test_nominal_deals_no_rows_by_value(spark, capsys):
+    rows = spark.createDataFrame([(i, "N" if i % 9 else None) for i in range(500)] + [(500, "A"), (501, "R")], "id int, v string")
+    encoding = rows.where("v <> 'N'").select(F.col("v").alias("value")).distinct().withColumn("code", F.when(F.col("value") == "A", 1).otherwise(2))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = L.nominal(rows, "v", encoding, 9, "code")
+        assert {r.id: r.code for r in coded.collect()} == {**{i: 9 for i in range(500)}, 500: 1, 501: 2}
+        coded.explain()
+        assert "hashpartitioning(v#" not in capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
