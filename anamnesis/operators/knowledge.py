@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.codes import lookup
 from ..functions.text import hash_key, percent_max, slugify, symptom_key
-from ..session import ensure_checkpoints
-from .sizes import settle, small_side
+from ..session import scratch_path
+from .sizes import settle, small_side, store
 
 # Order and neutral value of the four coded attributes, and the fill-in percentages.
 ATTRIBUTES = ["nature", "vas", "duration", "location"]
@@ -128,20 +128,41 @@ def state_edges(states: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, starts: DataFrame, source: str, target: str, start: str) -> DataFrame:
     """(start, node): all nodes that can be reached from each start, the start included.
 
-    Breadth first to the fixpoint; each round joins only the nodes found last. Rounds are cut by
-    a reliable checkpoint, so neither the plan nor a lost executor replays the earlier ones.
-    Cycles end because a known pair is not followed again.
+    Breadth first to the fixpoint; each round follows only the pairs found last. The edges and each round's
+    pairs are written once, so neither the plan nor a lost executor replays the earlier ones. A round takes the
+    edges that leave its nodes, and meets only those known pairs whose node one of them enters; both are
+    broadcast where their counted sizes allow. Cycles end because a known pair is not followed again.
     """
-    ensure_checkpoints(starts.sparkSession)
-    steps = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
-    found = starts.select(F.col(start).alias("start"), F.col(start).alias("node")).distinct()
-    fresh = found
+    spark = starts.sparkSession
+    steps = store(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct(), "edges")
+    own = starts.select(F.col(start).alias("start")).distinct()
+    node = own.select("start").union(steps.select("_to")).schema[0].dataType
+    path, rounds = scratch_path(spark, "reached"), []
+
+    def kept(pairs: DataFrame) -> DataFrame:
+        rounds.append(f"{path}/{len(rounds)}")
+        pairs = pairs.withColumn("node", F.col("node").cast(node))
+        pairs.write.parquet(rounds[-1])
+        return spark.read.schema(pairs.schema).parquet(rounds[-1])
+
+    def small(df: DataFrame) -> DataFrame:
+        return small_side(df, text_columns=[name for name, kind in df.dtypes if kind == "string"])
+
+    found = kept(own.withColumn("node", F.col("start")))
+    # Edges are distinct, so are the pairs of the first round.
+    first = steps.join(small(found.select("start")), F.col("_from") == F.col("start"))
+    fresh = kept(first.where(~F.col("_from").eqNullSafe(F.col("_to"))).select("start", F.col("_to").alias("node")))
     while True:
-        after = fresh.join(steps, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
-        fresh = after.join(found, ["start", "node"], "left_anti").checkpoint()
-        if fresh.isEmpty():
+        found = spark.read.schema(found.schema).parquet(*rounds)
+        nodes = settle(fresh.select("node").distinct())
+        if nodes.isEmpty():
             return found
-        found = found.unionByName(fresh).checkpoint()
+        leaving = store(steps.join(small(nodes), F.col("_from") == F.col("node"), "left_semi"), "leaving")
+        marked = small(leaving)
+        after = fresh.join(marked, F.col("node") == F.col("_from")).select("start", F.col("_to").cast(node).alias("node")).distinct()
+        entered = leaving.select(F.col("_to").cast(node).alias("node")).distinct()
+        met = found.join(entered if marked is leaving else F.broadcast(entered), "node", "left_semi")
+        fresh = kept(after.join(met, ["start", "node"], "left_anti"))
 
 
 # -- definition sheets ----------------------------------------------------------------------

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import knowledge as J
 from ..operators import ordering as O
 from ..operators import sheets as H
+from ..operators.sizes import store
 from . import roles as S
 from .registry import Tables, query
 from .roles import n64, r6
@@ -92,9 +93,9 @@ def j3(t: Tables) -> DataFrame:
     def tagged(mark, column):
         return F.concat(F.lit(mark), F.col(column).cast("string"))
 
-    buys = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        tagged("b", "o_custkey").alias("f"), tagged("s", "l_suppkey").alias("t")
-    )
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Read twice: for the edges and for the starts.
+    buys = store(lines.select(tagged("b", "o_custkey").alias("f"), tagged("s", "l_suppkey").alias("t")), "buys")
     edges = (
         buys.unionByName(t.supplier.select(tagged("s", "s_suppkey").alias("f"), tagged("n", "s_nationkey").alias("t")))
         .unionByName(t.nation.select(tagged("n", "n_nationkey").alias("f"), tagged("r", "n_regionkey").alias("t")))

@@ -125,6 +125,21 @@ def test_reachability_with_cycle(spark):
     assert got == {("a", "a"), ("a", "b"), ("a", "c"), ("x", "x"), ("x", "c"), ("x", "a"), ("x", "b")}
 
 
+def test_reachability_reads_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "b")], "f string, t string")
+    starts = spark.createDataFrame([("a",), ("d",), ("z",), ("a",)], "s string")
+    found = J.reachable(edges.mapInArrow(seen, "f string, t string"), starts, "f", "t", "s")
+    assert sorted((r.start, r.node) for r in found.collect()) == sorted([("z", "z"), *(("a", n) for n in "abcde"), *(("d", n) for n in "bcde")])
+    assert read.value == 5
+
+
 def test_nominal_deals_no_rows_by_value(spark, capsys):
     rows = spark.createDataFrame([(i, "N" if i % 9 else None) for i in range(500)] + [(500, "A"), (501, "R")], "id int, v string")
     encoding = rows.where("v <> 'N'").select(F.col("v").alias("value")).distinct().withColumn("code", F.when(F.col("value") == "A", 1).otherwise(2))
