@@ -68,37 +68,45 @@ def candidates(ids: np.ndarray, ends: np.ndarray, enders: np.ndarray, window: in
 
 def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW, short: int = SHORT) -> np.ndarray:
     """Ends of the windows of least cost; ``at`` rises from 0 in steps of at most ``window``."""
+    place = np.full(int(at[-1]) + 1, -1, np.int64)
+    place[at] = np.arange(len(at))
     later, earlier = [], []
     size = 1
     while size < window:
-        found = np.searchsorted(at, at - size)
-        hit = np.flatnonzero((at >= size) & (at[found] == at - size))
-        later.append(hit)
+        reach = int(np.searchsorted(at, size))
+        found = place[at[reach:] - size]
+        hit = np.flatnonzero(found >= 0)
+        later.append(hit + reach)
         earlier.append(found[hit])
         size *= 2
     later = np.concatenate([*later, np.zeros(0, np.int64)])
     order = np.argsort(later, kind="stable")
     jumps = np.concatenate([*earlier, np.zeros(0, np.int64)])[order].astype(np.int64).tolist()
-    first = np.searchsorted(later[order], np.arange(len(at) + 1)).tolist()
-    position, costs = at.tolist(), penalty.tolist()
-    least, back = [0] * len(position), [0] * len(position)
-    queue, keys, head = [0], [0], 0  # candidates in reach with rising cost + position
-    for j in range(1, len(position)):
-        here = position[j]
-        while position[queue[head]] < here - window:
+    last = np.searchsorted(later[order], np.arange(len(at)), "right").tolist()
+    position = at.tolist()
+    least, back = [0], [0]
+    queue, places, keys, head, used = [0], [0], [0], 0, last[0]  # candidates in reach with rising cost + position
+    for j, (here, cost, stop) in enumerate(zip(position[1:], penalty[1:].tolist(), last[1:]), 1):
+        limit = here - window
+        while places[head] < limit:
             head += 1
-        best, origin = keys[head] + window - here, queue[head]
-        for i in jumps[first[j] : first[j + 1]]:
-            if least[i] + short < best:
-                best, origin = least[i] + short, i
-        best += costs[j]
-        least[j], back[j] = best, origin
+        best, origin = keys[head] - limit, queue[head]
+        if used < stop:
+            for i in jumps[used:stop]:
+                if least[i] + short < best:
+                    best, origin = least[i] + short, i
+            used = stop
+        best += cost
+        least.append(best)
+        back.append(origin)
         key = best + here
         while len(keys) > head and keys[-1] > key:
             keys.pop()
             queue.pop()
+            places.pop()
         keys.append(key)
         queue.append(j)
+        places.append(here)
     cuts, j = [], len(position) - 1
     while j:
         cuts.append(position[j])
