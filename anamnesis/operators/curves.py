@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -61,12 +61,16 @@ class CrossValidation:
 def cross_validation(
     rows: DataFrame, label: str, tokens: str, ids: Sequence[str], dictionary: DataFrame, numbers: Sequence[str], folds: int, spec: N.BayesSpec
 ) -> CrossValidation:
-    """All models come from one count table by fold."""
+    """All models come from one count table by fold.
+
+    Sums over the tokens of a class are written once: a kept model has the same bits as the one that was scored.
+    """
     dealt = store(kfold(rows, label, ids, folds))
     counts, stats = N.statistics(dealt, label, tokens, numbers, ["fold"])
     counts = settle(N.merge_counts([_other_folds(counts, folds)], ["fold"]))
     stats = settle(N.merge_moments([_other_folds(stats, folds)], ["fold"])) if stats is not None else None
-    return CrossValidation(dealt, N.fit_counts(counts, stats, dictionary, numbers, spec, ["fold"]), label, tokens)
+    model = N.fit_counts(counts, stats, dictionary, numbers, spec, ["fold"])
+    return CrossValidation(dealt, replace(model, classes=settle(model.classes), gauss=settle(model.gauss)), label, tokens)
 
 
 def learning_curve(

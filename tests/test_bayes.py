@@ -366,6 +366,20 @@ def test_kept_fold_model(rows, words, spark):
     assert exact(model.score(held, "tokens", 5, "label")) == exact(run.scored().where(F.col("fold") == fold))
 
 
+def test_kept_fold_model_under_another_plan(rows, words, spark):
+    run = U.cross_validation(rows, "label", "tokens", ["id"], words, ["age"], 3, N.BayesSpec())
+    scored = run.scored()
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        fold, model = run.keep_best()
+        held = run.rows.where(F.col("fold") == fold)
+        assert exact(model.score(held, "tokens", 5, "label")) == exact(scored.where(F.col("fold") == fold))
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_curve_roles_and_times(rows, words):
     options = ["label", "tokens", ["id"], words, ["age"], [0.5, 1.0], 3, N.BayesSpec()]
     cells = {(r["level"], r["fold"], r["role"]): r for r in U.learning_curve(rows, *options).collect()}
